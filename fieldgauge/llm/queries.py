@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldgauge.llm import decision_list, quality_model, sentencepiece_bpe, sharding, toxicity
+from fieldgauge.llm import decision_list, decontaminate, quality_model, sentencepiece_bpe, sharding, toxicity
 from fieldgauge.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,8 +42,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op4_sentencepiece, op5_toxicity, op8_quality_rules, op9_sharding)}
+    return {f.__name__: f for f in (op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_decontamination, op8_quality_rules, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": decontaminate.ORACLE}
