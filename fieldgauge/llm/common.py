@@ -15,16 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, deal: bool = False) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests, a local
-    session) is a temporary folder set.
+    session) is a temporary folder set. ``deal`` spreads the rows evenly first. In loops that also
+    keeps plans short: a checkpoint remembers how its rows were sorted and partitioned, under all
+    the names that joins have given the columns, and these would multiply from round to round.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    context = session.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = session.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    if deal:
+        df = df.repartition(int(session.conf.get("spark.sql.shuffle.partitions")))
     return df.checkpoint(eager=True)
 
 

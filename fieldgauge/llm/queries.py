@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldgauge.llm import decision_list, decontaminate, quality_model, sentencepiece_bpe, sharding, toxicity
+from fieldgauge.llm import decision_list, decontaminate, near_dup, quality_model, sentencepiece_bpe, sharding, toxicity
 from fieldgauge.llm.common import table
 
 
@@ -41,8 +41,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_decontamination, op8_quality_rules, op9_sharding)}
+    return {f.__name__: f for f in (op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_decontamination, op8_quality_rules, op9_sharding, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
