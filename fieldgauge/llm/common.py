@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame, deal: bool = False) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests, a local
-    session) is a temporary folder set. ``deal`` spreads the rows evenly first. In loops that also
-    keeps plans short: a checkpoint remembers how its rows were sorted and partitioned, under all
-    the names that joins have given the columns, and these would multiply from round to round.
+    Only where that is unset (tests, a local session) is a temporary folder taken.
     """
-    session = df.sparkSession
-    context = session.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = session.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    if deal:
-        df = df.repartition(int(session.conf.get("spark.sql.shuffle.partitions")))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, written as a table in the shared folder and read again: the lineage ends there.
+
+    Unlike a checkpoint's, the plan of the result knows the true size of the table, so sizes that
+    are estimated from joins do not multiply over the rounds of a loop.
+    """
+    at = shared_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def text_or_empty(name: str = "text"):
