@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldgauge.llm import decision_list, decontaminate, near_dup, quality_model, sentencepiece_bpe, sharding, toxicity
+from fieldgauge.llm import decision_list, decontaminate, licenses, line_dedup, near_dup, pii, quality_model, sentencepiece_bpe, sharding, toxicity
 from fieldgauge.llm.common import table
 
 
@@ -17,6 +18,15 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_blocks", F.array_join("licenses", ",").alias("licenses"), F.to_json("findings").alias("findings"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.graded_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +43,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a fixed one here, so that runs agree; a user passes a secret."""
+    done = pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), key="registered query")
+    return done.select("doc_id", F.size("kinds").cast("long").alias("n_values"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"), "text")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +62,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_decontamination, op8_quality_rules, op9_sharding, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_decontamination, op7_pseudonyms, op8_quality_rules, op9_sharding, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
