@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldgauge.llm.common import durable, free_name
+from fieldgauge.llm.common import BROADCAST_IDS, durable, free_name, pick
 
 #: Edits within which two lines are the same, and code points from which a line takes part.
 THRESHOLD, MIN_CHARS = 2, 40
@@ -143,10 +143,15 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(F.char_length(a) - F.char_length(b)) > threshold, F.lit(threshold + 1).cast("long")).otherwise(F.aggregate(other, first, step, last))
 
 
-def _linked(pairs: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
-    """(earlier, later): of the pairs (a, b) of line ids those within the threshold, by first occurrence."""
-    lines = distinct.select("id", "line", "first")
-    both = pairs.distinct().join(lines.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
+def _linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """(earlier, later): of the pairs (a, b) of line ids those within the threshold, by first occurrence.
+
+    Only the lines that some pair names are moved.
+    """
+    pairs = durable(pairs.distinct())
+    ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    own = pick(lines.select("id", "line", F.struct("doc_id", "at").alias("first")), ids, "id").groupBy("id").agg(F.first("line").alias("line"), F.min("first").alias("first"))
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
     near = both.where(banded_distance(F.col("la"), F.col("lb"), threshold) <= threshold)
     return near.select(F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("later"))
 
@@ -157,44 +162,45 @@ def _meet(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
     return i.join(p, (i["key"] == p["key"]) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_lines(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(earlier, later): links between distinct lines (id, line, n, letters, first).
+def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(earlier, later): links between different lines, from (id, line, doc_id, at) and (id, first, times).
 
     Every line that is within the threshold of an earlier one is the later one of some link. Where an
     index entry holds more than `HOT` lines, all are compared with its earliest line first, and those
     linked to it are settled; only what is left there is compared with the others.
     """
+    # each line makes its entries where it stands; of lines that occur again one copy is gathered first
+    again = durable(firsts.where("times > 1").select("id"))
+    few = again.count() <= BROADCAST_IDS
+    side = F.broadcast(again) if few else again
+    once = lines.select("id", "line").join(side, "id", "left_anti")
+    copies = lines.select("id", "line").join(side, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    distinct = once.unionByName(copies).withColumns({"n": F.char_length("line"), "letters": _letter_counts(F.col("line"))})
     index, probe = index_entries(distinct, threshold), probe_entries(distinct, threshold)
-    firsts = distinct.select("id", "first")
     hot = durable(index.groupBy("key").count().where(F.col("count") > HOT).select("key"))
     if hot.isEmpty():
-        return _linked(_meet(index, probe, threshold), distinct, threshold)
-    usual = _linked(_meet(index.join(hot, "key", "left_anti"), probe, threshold), distinct, threshold)
-    hot_index, hot_probe = durable(index.join(hot, "key")), durable(probe.join(hot, "key"))
+        return _linked(_meet(index, probe, threshold), lines, threshold)
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    usual = _meet(index.join(side, "key", "left_anti"), probe, threshold)
+    hot_index, hot_probe = durable(index.join(side, "key", "left_semi")), durable(probe.join(side, "key", "left_semi"))
     centre = hot_index.join(firsts, "id").groupBy("key").agg(F.min_by(F.struct("id", "letters"), "first").alias("c")).select("key", "c.id", "c.letters")
-    settled = durable(_linked(_meet(centre, hot_probe, threshold), distinct, threshold))
+    settled = durable(_linked(_meet(centre, hot_probe, threshold), lines, threshold))
     done = settled.select(F.col("later").alias("id")).distinct()
     rest = _meet(hot_index, hot_probe.join(done, "id", "left_anti"), threshold).union(_meet(hot_index.join(done, "id", "left_anti"), hot_probe, threshold))
-    return usual.union(settled).union(_linked(rest, distinct, threshold))
-
-
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, doc_id, at, n_links): where each distinct line occurs first, and the earlier lines it is linked to."""
-    # lines with the same 64-bit name are one line; the names of all that differ are taken to differ
-    occurring = lines_of(docs, min_chars)
-    distinct = occurring.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    distinct = durable(distinct.select(F.xxhash64("line").alias("id"), "line", F.char_length("line").alias("n"), _letter_counts(F.col("line")).alias("letters"), "first"))
-    links = near_lines(distinct, threshold).distinct().groupBy(F.col("later").alias("id")).agg(F.count("*").alias("n_links"))
-    return distinct.select("id", "first").join(links, "id", "left").select("id", "first.doc_id", "first.at", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return settled.union(_linked(usual.union(rest), lines, threshold))
 
 
 def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, at): long lines that stay.
 
     The first occurrence of a line, by doc_id and place, stays unless the line is within ``threshold``
-    edits of a line that occurs earlier; its other occurrences go. doc_id is taken as the key.
+    edits of a line that occurs earlier; its other occurrences go. doc_id is taken as the key. Lines are
+    told apart by a 64-bit hash.
     """
-    return line_classes(docs, threshold, min_chars).where("n_links = 0").select("doc_id", "at")
+    lines = lines_of(docs, min_chars).withColumn("id", F.xxhash64("line"))
+    firsts = durable(lines.groupBy("id").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times")))
+    gone = durable(near_lines(lines, firsts, threshold).select(F.col("later").alias("id")).distinct())
+    return firsts.join(gone, "id", "left_anti").select("first.doc_id", "first.at")
 
 
 def _with_kept(docs: DataFrame, threshold: int, min_chars: int) -> tuple[DataFrame, Column, Column]:
