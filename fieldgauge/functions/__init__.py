@@ -11,7 +11,10 @@ WINDOWS = [("6-12", 6, 12), ("13-30", 13, 30)]  # rollout steps, ends included
 
 
 def sig(x: Column, n: int = 6) -> Column:
-    """x to n significant figures, exact decimal rounding; null, NaN and infinities pass."""
+    """x to n significant figures; null, NaN and infinities pass.
+
+    A value whose shortest decimal form ends in a 5 to be rounded goes away from zero.
+    """
     x = x.cast("double")
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == INF), x).otherwise(F.format_string(f"%.{n - 1}e", x).cast("double"))
 

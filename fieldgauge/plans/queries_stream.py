@@ -1 +1,56 @@
-"""Registered queries."""
+"""Registered queries with user functions and streams (F5, F6, T2), and the event-time monitor."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from fieldgauge.functions import EPS, sig
+from fieldgauge.operators import layout as L
+from fieldgauge.plans.queries_frames import _PERS
+from fieldgauge.plans.queries_tables import _FRAMES, _frames
+from fieldgauge.plans.registry import S, query
+from fieldgauge.sources import views as V
+from fieldgauge.streaming import jobs
+
+
+def _last(inputs):
+    """Persistence, as a user's model would be given."""
+    return [x[-1] for x in inputs]
+
+
+@query("q_f5", "grid", f"WITH {_FRAMES} SELECT file, trajectory, t - 4 AS start, {S('p', 5)} AS pred FROM (SELECT *, lag(x) OVER w AS p, count(*) OVER h AS n FROM fr WINDOW w AS (PARTITION BY file, trajectory ORDER BY t), h AS (PARTITION BY file, trajectory ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) q WHERE n = 4")
+def q_f5(spark, d):
+    w = L.history_windows(_frames(spark, d), ["file", "trajectory"]).select("file", "trajectory", "start", "inputs")
+    return jobs.one_step_forecasts(w, _last).select("file", "trajectory", "start", sig(F.col("pred"), 5).alias("pred"))
+
+
+@query("q_f6", "grid", f"WITH s AS (SELECT file, trajectory, site, x FROM grid WHERE field = 'density' AND t = 3) SELECT file, trajectory, site, CAST(k AS INT) AS rollout_step, {S('x', 5)} AS pred FROM s, range(1, 31) r(k)")
+def q_f6(spark, d):
+    g = V.grid(spark, d).where("field = 'density'").select("file", "trajectory", "site", "t", "x")
+    return jobs.rollout_forecasts(g, _last, 30).select("file", "trajectory", "site", "rollout_step", sig(F.col("pred"), 5).alias("pred"))
+
+
+def _shared(spark):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    import uuid
+
+    return f"{folder}/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="spark-")
+
+
+@query("q_t2", "grid", f"WITH {_PERS} SELECT file, trajectory, t, {S('persistence_mse', 5)} AS persistence_mse FROM pm WHERE field = 'density' AND persistence_mse IS NOT NULL AND t < 60")
+def q_t2(spark, d):
+    """Frames written as a table, read as a stream and carried by state; compared with the batch operator."""
+    base = _shared(spark)
+    frames = V.grid(spark, d).where("field = 'density' and t < 60").groupBy("file", "trajectory", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("site", "x"))), lambda s: s["x"]).alias("xs"))
+    frames.write.parquet(f"{base}/frames")
+    stream = spark.readStream.schema(frames.schema).parquet(f"{base}/frames")
+    jobs.persistence_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("file", "trajectory", "t", sig(F.col("persistence_mse"), 5).alias("persistence_mse"))
+
+
+@query("q_x1", "events", f"WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, var_samp(value) AS v, count(*) AS n FROM events GROUP BY ALL) SELECT CAST(day AS VARCHAR) AS day, event_type, n, {S('v', 4)} AS var FROM e")
+def q_x1(spark, d):
+    m = jobs.conditioning_monitor(V.table(spark, d, "events"), EPS)
+    return m.select(F.to_date("start").cast("string").alias("day"), "event_type", "n", sig(F.col("var"), 4).alias("var"))

@@ -110,10 +110,10 @@ def q_p10(spark, d):
     return seq.select("file", "trajectory", "last_t", F.size(flat).cast("long").alias("n_channels"))
 
 
-@query("q_p11", "events", f"WITH v AS (SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN var_samp(value) IS NULL THEN 0 ELSE var_samp(value) END AS v FROM events GROUP BY ALL) SELECT user_id, CAST(day AS VARCHAR) AS day, {S('v', 3)} AS filled FROM v")
+@query("q_p11", "events", f"WITH v AS (SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN var_samp(value) IS NULL THEN 0 ELSE var_samp(value) END AS v FROM events GROUP BY ALL) SELECT user_id, CAST(day AS VARCHAR) AS day, {S('v * sqrt(2)', 5)} AS filled FROM v")
 def q_p11(spark, d):
     v = V.table(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.coalesce(F.var_samp("value"), F.lit(float("nan"))).alias("v"))
-    return v.select("user_id", "day", sig(nan_to_num(F.col("v")), 3).alias("filled"))
+    return v.select("user_id", "day", sig(nan_to_num(F.col("v")) * F.sqrt(F.lit(2.0)), 5).alias("filled"))
 
 
 @query("q_p12", "curve", "WITH x AS (SELECT DISTINCT trajectory, x AS t FROM curve), g AS (SELECT *, t - row_number() OVER (PARTITION BY trajectory ORDER BY t) AS g FROM x) SELECT trajectory, min(t) AS first, max(t) AS last, count(*) AS n FROM g GROUP BY trajectory, g")
@@ -284,9 +284,9 @@ def q_v17(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey").join(written, "o_orderkey", "left_anti")
 
 
-@query("q_f1", "lineitem", f"SELECT l_orderkey, l_linenumber, {S('l_extendedprice / 7', 3)} AS p3, {S('l_extendedprice / 7', 6)} AS p6 FROM lineitem")
+@query("q_f1", "lineitem", f"SELECT l_orderkey, l_linenumber, {S('l_extendedprice * sqrt(2)', 3)} AS p3, {S('l_extendedprice * sqrt(2)', 6)} AS p6 FROM lineitem")
 def q_f1(spark, d):
-    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sig(F.col("l_extendedprice") / 7, 3).alias("p3"), sig(F.col("l_extendedprice") / 7, 6).alias("p6"))
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sig(F.col("l_extendedprice") * F.sqrt(F.lit(2.0)), 3).alias("p3"), sig(F.col("l_extendedprice") * F.sqrt(F.lit(2.0)), 6).alias("p6"))
 
 
 @query("q_f2", "embeddings", "SELECT vec_id, len(list_filter(embedding, lambda x: isnan(x) OR isinf(x) OR x > CAST(0.3 AS FLOAT))) > 0 AS exceeds FROM embeddings")
