@@ -60,3 +60,23 @@ def required(keys: DataFrame, present: DataFrame, key: str, strict: bool = False
     """Keys that are absent; with ``strict`` reading an absent key is an error that names it."""
     gone = keys.select(key).distinct().join(present.select(key), key, "left_anti")
     return gone.withColumn(key, F.raise_error(F.concat(F.lit("absent: "), F.col(key).cast("string"))).cast(dict(keys.dtypes)[key])) if strict else gone
+
+
+def numeric_leaves(docs: DataFrame, col: str, depth: int = 4, key: str = "doc_id") -> DataFrame:
+    """key, path and num of the numbers in JSON documents, also those inside string leaves; one level a step.
+
+    Objects and arrays are opened ``depth`` times; what is nested deeper is not opened.
+    """
+    level = docs.select(key, F.lit("").alias("path"), F.try_parse_json(col).alias("v"))
+    leaves = []
+    for i in range(depth + 1):
+        kind = F.schema_of_variant("v")
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        text = F.try_variant_get("v", "$", "string")
+        found = F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), 1))
+        leaves.append(level.where(~nested).select(key, "path", F.explode(found).alias("s")))
+        if i < depth:
+            name = f"_l{i}"
+            level.where(nested).createOrReplaceTempView(name)
+            level = docs.sparkSession.sql(f"SELECT {key}, concat(path, '/', coalesce(x.key, cast(x.pos AS string))) AS path, x.value AS v FROM {name}, LATERAL variant_explode(v) AS x")
+    return reduce(DataFrame.unionByName, leaves).select(key, "path", F.col("s").try_cast("double").alias("num"))

@@ -93,3 +93,9 @@ def unique_leaves(fields: DataFrame) -> DataFrame:
     """A later field with a leaf name that is taken gets `leaf@path`, and a number from the third on."""
     n = F.row_number().over(Window.partitionBy("leaf").orderBy("path"))
     return fields.withColumn("_n", n).withColumn("name", F.when(F.col("_n") == 1, F.col("leaf")).when(F.col("_n") == 2, F.concat_ws("@", "leaf", "path")).otherwise(F.concat(F.concat_ws("@", "leaf", "path"), F.lit("#"), F.col("_n")))).drop("_n")
+
+
+def notes(resolved: DataFrame) -> DataFrame:
+    """INCOMPLETE with the fields whose layout was assumed, NOTE with those where it was asserted."""
+    named = F.when(F.col("grade") == "assumed", "INCOMPLETE").when(F.col("grade") == "asserted", "NOTE")
+    return resolved.where("grade is not null").groupBy(named.alias("note")).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("fields"))

@@ -310,3 +310,20 @@ def q_f4(spark, d):
 def q_f7(spark, d):
     v = V.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     return _array_stats(v, "e").select("vec_id", sig(F.col("var"), 4).alias("var"))
+
+
+@query("q_c19", "embeddings", f"WITH {_CAT} SELECT 'NOTE' AS note, string_agg(name, ',' ORDER BY name) AS fields FROM cat WHERE r > 2")
+def q_c19(spark, d):
+    return L.notes(L.resolve_layout(_catalogue(spark, d), 2, None))
+
+
+@query("q_m10", "documents", "SELECT source, count(*) FILTER (WHERE try_cast(substr(text, 1, 3) AS DOUBLE) IS NOT NULL) AS n_read, CASE WHEN count(*) FILTER (WHERE try_cast(substr(text, 1, 3) AS DOUBLE) IS NULL) > 0 THEN 'unreadable input' END AS error FROM documents GROUP BY source")
+def q_m10(spark, d):
+    """Inputs that cannot be read as numbers are recorded for their source; the census goes on."""
+    x = F.substring("text", 1, 3).try_cast("double")
+    return V.table(spark, d, "documents").groupBy("source").agg(F.count(x).alias("n_read"), F.when(F.count_if(x.isNull()) > 0, "unreadable input").alias("error"))
+
+
+@query("q_v4", "events", "SELECT event_id, '/' || key AS path, CAST(json_extract_string(props, '$.' || key) AS DOUBLE) AS num FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) q")
+def q_v4(spark, d):
+    return K.numeric_leaves(V.table(spark, d, "events"), "props", depth=2, key="event_id")
