@@ -53,7 +53,7 @@ def nan_to_num(x: Column) -> Column:
 
 def two_sided_p(r: Column, df: Column) -> Column:
     """Two-sided p of a correlation with integer df: the finite Student sum, no solver."""
-    theta = F.atan(F.abs(r) * F.sqrt(df / (1 - r * r)))
+    theta = F.atan(F.abs(r) / F.sqrt(1 - r * r))
     c, s = F.cos(theta), F.sin(theta)
     k = F.floor((df - 2) / 2).cast("int")
     # even df: sin * (1 + 1/2 cos^2 + 1.3/2.4 cos^4 + ...); odd df: 2/pi (theta + sin cos (1 + 2/3 cos^2 + ...))

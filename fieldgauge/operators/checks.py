@@ -17,7 +17,7 @@ def compare_tables(got: DataFrame, want: DataFrame, keys: list[str], values: lis
     j = a.join(b, keys, "full")
 
     def same(x: Column, y: Column) -> Column:
-        near = F.when(F.isnan(x) | F.isnan(y), F.isnan(x) & F.isnan(y)).when(y == 0, F.abs(x) <= 1e-12).otherwise(F.abs(x - y) <= rel * F.abs(y))
+        near = F.when(F.isnan(x) | F.isnan(y), F.isnan(x) & F.isnan(y)).when((x == 0) | (y == 0), F.abs(x - y) <= 1e-12).otherwise(F.abs(x - y) <= rel * F.abs(y))
         return F.when(x.isNull() | y.isNull(), x.isNull() & y.isNull()).otherwise(near)
 
     each = F.array(*(F.struct(F.lit(c).alias("column"), F.when(F.col("_a").isNull(), "missing").when(F.col("_b").isNull(), "extra").when(same(F.col(f"_a_{c}"), F.col(f"_b_{c}")), "equal").otherwise("differs").alias("status")) for c in values))

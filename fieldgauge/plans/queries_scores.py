@@ -179,7 +179,7 @@ def q_w20(spark, d):
 @query(
     "q_w21",
     "cells",
-    f"""WITH c AS (SELECT file, t % 7 AS k, corr(density, site) AS r, count(DISTINCT t) AS n FROM cells GROUP BY ALL), a AS (SELECT *, n - 2 AS df, atan(abs(r) * sqrt((n - 2) / (1 - r * r))) AS th FROM c),
+    f"""WITH c AS (SELECT file, t % 7 AS k, corr(density, site) AS r, count(DISTINCT t) AS n FROM cells GROUP BY ALL), a AS (SELECT *, n - 2 AS df, atan(abs(r) / sqrt(1 - r * r)) AS th FROM c),
 s AS (SELECT a.*, (SELECT coalesce(sum(p), 0) FROM (SELECT product(CASE WHEN a.df % 2 = 0 THEN (2 * j - 1) / (2 * j) ELSE (2 * j) / (2 * j + 1) END * cos(a.th) * cos(a.th)) AS p FROM (SELECT unnest(range(1, 60)) AS i) i, (SELECT unnest(range(1, 60)) AS j) j WHERE j <= i AND i <= floor((a.df - 2) / 2) GROUP BY i) q) AS rest FROM a)
 SELECT file, k, {S('CASE WHEN df % 2 = 0 THEN 1 - sin(th) * (1 + rest) ELSE 1 - 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * cos(th) * (1 + rest) ELSE 0 END) END', 5)} AS p FROM s""",
 )
