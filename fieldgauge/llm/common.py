@@ -54,7 +54,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
 BROADCAST_IDS = 1_000_000
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows: marked for broadcast while it has few rows, else as it is."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def pick(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose key is among ``ids``: by broadcast while these are few, else by a join."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return df.join(few(ids), key, "left_semi")
