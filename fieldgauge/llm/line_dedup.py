@@ -24,7 +24,7 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 #: Letters whose counts are compared first: an edit changes two counts by one at most.
-LETTERS = "aeinorstlu"
+LETTERS = "aeinrt"
 #: Lines of one index entry that are compared with all their lookers-up; of a longer entry, lines that
 #: the earliest one settles are not compared further.
 HOT = 64
@@ -143,6 +143,22 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(F.char_length(a) - F.char_length(b)) > threshold, F.lit(threshold + 1).cast("long")).otherwise(F.aggregate(other, first, step, last))
 
 
+def _common_front(a: Column, b: Column, step: int = 16) -> Column:
+    """Leading characters that two lines share, in whole steps; one character at least is left of each."""
+    k = F.floor((F.least(F.char_length(a), F.char_length(b)) - 1) / step).cast("int")
+    differs = F.transform(F.sequence(F.lit(0), k - 1), lambda i: a.substr(i * step + 1, F.lit(step)) != b.substr(i * step + 1, F.lit(step)))
+    first = F.array_position(differs, True).cast("int")
+    return F.when(k < 1, 0).when(first == 0, k * step).otherwise((first - 1) * step).cast("int")
+
+
+def _without_common_ends(both: DataFrame) -> DataFrame:
+    """`la` and `lb` without what they share in front and behind, which no distance depends on; reversed."""
+    for _ in range(2):
+        both = both.withColumn("_k", _common_front(F.col("la"), F.col("lb")))
+        both = both.withColumns({c: F.reverse(F.col(c).substr(F.col("_k") + 1, F.char_length(c))) for c in ("la", "lb")})
+    return both.drop("_k")
+
+
 def _linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """(earlier, later): of the pairs (a, b) of line ids those within the threshold, by first occurrence.
 
@@ -152,6 +168,8 @@ def _linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     own = pick(lines.select("id", "line", F.struct("doc_id", "at").alias("first")), ids, "id").groupBy("id").agg(F.first("line").alias("line"), F.min("first").alias("first"))
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
+    # pairs are few and short but dear: every task gets its share of them
+    both = _without_common_ends(both).repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     near = both.where(banded_distance(F.col("la"), F.col("lb"), threshold) <= threshold)
     return near.select(F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("later"))
 
