@@ -168,8 +168,9 @@ def _linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     own = pick(lines.select("id", "line", F.struct("doc_id", "at").alias("first")), ids, "id").groupBy("id").agg(F.first("line").alias("line"), F.min("first").alias("first"))
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
-    # pairs are few and short but dear: every task gets its share of them
-    both = _without_common_ends(both).repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # pairs are few and short but dear: every task gets its share of them. They are written first, since
+    # the filter would be pushed down and have its long expression filled with those that make its columns
+    both = durable(_without_common_ends(both).repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     near = both.where(banded_distance(F.col("la"), F.col("lb"), threshold) <= threshold)
     return near.select(F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("later"))
 
