@@ -9,6 +9,7 @@ document and on every machine, and the holder of the key can undo it.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
@@ -25,17 +26,17 @@ _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 _FORMS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?:(?<=password)|(?<=passwd)|(?<=token)|(?<=secret)|(?<=api_key)|(?<=apikey))(?:\s?[=:]\s?[\"']?)[0-9A-Za-z]{8,}"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("iban", r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"),
     ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
     ("iso_date", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"),
     ("date", r"(?<![\d/.])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\d/])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d|-\d)"),
-    ("phone", r"(?<![\d(+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"),
-    ("intl_phone", r"(?<![\d+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"),
+    ("phone", r"(?<![\d(+])(?:\+(?:1|(?![0-9])\d)[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"),
+    ("intl_phone", r"(?<![\d+])\+(?![01])\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"),
 ]
 _ANY = re.compile("|".join(f"(?P<{k}>{p.replace('([/.])', '(?P<sep>[/.])').replace(chr(92) + '1', '(?P=sep)')})" for k, p in _FORMS))
-_HINT = re.compile(r"[0-9@]|password|passwd|token|secret|api_?key")
+_HINT = re.compile(r"[\d@]|password|passwd|token|secret|api_?key")
 
 
 def luhn(digits: str) -> int:
@@ -52,14 +53,14 @@ class Pseudonyms:
 
     def __init__(self, key: str, back: bool = False):
         self.key, self.back = key, back
-        self.of = lru_cache(100_000)(self._of)
+        self.of = lru_cache(100_000)(self._in_script)
 
     def _move(self, value: int, n: int, name: str) -> int:
         return int(permute(np.array([value]), n, round_keys(f"{self.key}/{name}/{n}"), self.back)[0])
 
     def _refill(self, text: str, digits: str) -> str:
         it = iter(digits)
-        return "".join(next(it) if c.isdigit() else c for c in text)
+        return "".join(next(it) if c in _DIGIT else c for c in text)
 
     def _letters(self, text: str, name: str, hexadecimal: bool = False) -> str:
         """Each ASCII letter and digit by one of its own class, in blocks that one number can hold."""
@@ -85,8 +86,21 @@ class Pseudonyms:
         flush()
         return "".join(out)
 
+    def _in_script(self, kind: str, text: str) -> str | None:
+        """As `_of`, for values in the digits of any script; the pseudonym has digits of that script."""
+        if text.isascii():
+            return self._of(kind, text)
+        values = [unicodedata.decimal(c, None) for c in text]
+        new = self._of(kind, "".join(c if v is None else str(v) for c, v in zip(text, values, strict=True)))
+        zeros = [None if v is None else ord(c) - v for c, v in zip(text, values, strict=True)]
+        if new is None or not any(zeros):
+            return new
+        if len(new) != len(text) or any((v is None) == (c in _DIGIT) for c, v in zip(new, values, strict=True)):
+            zeros = [next(z for z in zeros if z)] * len(new)
+        return "".join(chr(z + int(c)) if z and c in _DIGIT else c for c, z in zip(new, zeros, strict=True))
+
     def _of(self, kind: str, text: str) -> str | None:
-        """The pseudonym of a value, or None where the value is not valid."""
+        """The pseudonym of a value with ASCII digits, or None where the value is not valid."""
         digits = "".join(c for c in text if c in _DIGIT)
         if kind == "email":
             local, _, host = text.partition("@")
@@ -148,7 +162,7 @@ class Pseudonyms:
             body = f"{self._move(int(digits[1:-1]), 10 ** (len(digits) - 2), 'card/' + digits[0]):0{len(digits) - 2}d}"
             body = digits[0] + body
             return self._refill(text, body + str((10 - luhn(body + "0")) % 10))
-        if kind == "phone":
+        if kind == "phone" and digits[:-10] in ("", "1"):
             lead, own = digits[:-10], digits[-10:]
             if own[0] in "01" or own[3] in "01":
                 return None
@@ -157,7 +171,7 @@ class Pseudonyms:
             a, x = divmod(v, 800)
             return self._refill(text, f"{lead}{a + 200}{x + 200}{line:04d}")
         lead = digits[:2]  # other numbers keep the country in front
-        if not 8 <= len(digits) <= 15:
+        if not 8 <= len(digits) <= 15 or digits[0] in "01":
             return None
         return self._refill(text, lead + f"{self._move(int(digits[2:]), 10 ** (len(digits) - 2), 'phone/' + lead):0{len(digits) - 2}d}")
 

@@ -202,6 +202,22 @@ def test_pseudonyms(spark):
     assert all(got[i].text == t and got[i].kinds == [] for i, t in enumerate(ODD)) and got[len(ODD)].text == got[len(ODD) + 1].text == new
 
 
+@pytest.mark.parametrize("zero", ["\u0660", "\u0966", "\uff10"])
+def test_pseudonyms_in_other_digits(spark, zero):
+    """Values in Arabic, Devanagari and full-width digits are replaced in their script, as the same numbers."""
+    script = lambda t: re.sub("[0-9]", lambda m: chr(ord(zero) + int(m[0])), t)
+    there, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", back=True)
+    values = ["4961143020124266", "4961 1430 2012 4266", "(677) 555-7033", "+1 (677) 555-7033", "123-45-6789", "2021-03-04", "31/12/1999", "80.122.231.226", "+44 20 7946 0958", "GB82 WEST 1234 5698 7654 32"]
+    for v in values:
+        new, kinds = there.apply(script(v))
+        assert len(kinds) == 1 and new == script(there.apply(v)[0]) != script(v) and back.apply(new)[0] == script(v)
+    bad = f"1 a@b {script('1234567890123456')} {script('999.1.1.1')} {script('000-45-6789')} {script('(077) 555-7033')}"
+    assert there.apply(bad) == (bad, [])
+    assert there.apply("x\u00b2 y@example.com")[1] == ["email"]
+    got = pii.pseudonymized(docs_of(spark, [bad, f"at 1: {script(values[0])}"]), "k").orderBy("doc_id").collect()
+    assert [r.kinds for r in got] == [[], ["card"]]
+
+
 # 8 quality rules
 def test_statistics_and_rules(spark):
     rng = random.Random(2)
