@@ -4,7 +4,7 @@ Similarity of two documents: let a be the length of the longest common subsequen
 sequences of five-word shingles; then a / (n1 + n2 - a). Without moved passages this is the Jaccard
 similarity of the shingles. Two documents are linked at 0.8 or more.
 
-Candidates come from buckets of Order MinHash sketches. A bucket of up to `SMALL` texts gives all its
+Candidates come from buckets of Order MinHash sketches, those of short texts from a prefix filter. A bucket of up to `SMALL` texts gives all its
 pairs. The texts of larger ones are dealt again, into buckets of two sketches that they have in common,
 which texts that share a passage only hardly ever are. Of these the larger ones are joined where they
 gather around the same text, so that a family of copies is one bucket. Such a one is a star: every text is compared with the shortest one, c. A text x that is not
@@ -33,9 +33,10 @@ from fieldgauge.llm.hashed_terms import Cached
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches of a text, and minima in each. Two texts of similarity 0.8 miss each other in all with
-#: probability (1 - 0.8**5)**30, seven in a million, and have but one in common with one in ten thousand;
-#: that one does not suffice where its bucket is large.
+#: probability (1 - 0.8**5)**30, seven in a million, if they are long; 12 in a million from `FEW` shingles.
 SKETCHES, MINIMA = 30, 5
+#: Pairs of which one text has so many shingles at most are found without fail, by a prefix filter.
+FEW = 64
 SMALL = 12
 _FIND = re.compile(WORD)
 _SEEDS = np.array([int.from_bytes(hashlib.sha256(f"sketch {i}".encode()).digest()[:8], "big") for i in range(SKETCHES)], np.uint64)
@@ -60,17 +61,38 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(names: np.ndarray) -> np.ndarray:
-    """Order MinHash: for each seed the occurrence-labelled shingles of the least hashes, in text order."""
+def _labelled(names: np.ndarray) -> np.ndarray:
+    """Names of the shingles in which a repeated one has another name each time."""
     n = len(names)
-    if not n:
-        return np.empty(0, np.int64)
     order = np.argsort(names, kind="stable")
     new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
     labels = np.empty(n, np.uint64)
     at = np.arange(n)
     labels[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    labelled = _mix(names + labels * np.uint64(0xD6E8FEB86659FD93))
+    return _mix(names + labels * np.uint64(0xD6E8FEB86659FD93))
+
+
+def prefix(names: np.ndarray) -> np.ndarray:
+    """The least of the labelled shingles, so many that a text of similarity 0.8 has one of them among its own.
+
+    A link needs 0.8 times the shingles of the longer text in common, so all but that many and one more.
+    """
+    n = len(names)
+    return np.sort(_labelled(names))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1].astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def keys_of(names: np.ndarray) -> np.ndarray:
+    """Keys of the buckets of a text: short ones have their prefix, long ones their sketches, those between both."""
+    n = len(names)
+    return np.concatenate([prefix(names) if n * SIMILARITY <= FEW else np.empty(0, np.int64), sketch(names) if n > FEW else np.empty(0, np.int64)])
+
+
+def sketch(names: np.ndarray) -> np.ndarray:
+    """Order MinHash: for each seed the occurrence-labelled shingles of the least hashes, in text order."""
+    n = len(names)
+    if not n:
+        return np.empty(0, np.int64)
+    labelled = _labelled(names)
     values, places = [], []
     for a in range(0, n, _BLOCK):
         h = _mix(labelled[None, a : a + _BLOCK] ^ _SEEDS[:, None])
@@ -150,7 +172,7 @@ def compare(x: np.ndarray, y: np.ndarray) -> tuple[int, int, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (64-bit digest of the words), n (shingles), words (32-bit hashes) and keys (sketches) of each row."""
+    """doc_id, node (64-bit digest of the words), n (shingles), words (32-bit hashes) and keys (of its buckets) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Cached(lambda w: crc32(w.encode("utf-8", "surrogatepass")))
@@ -163,7 +185,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 nodes.append(hashlib.blake2b(" ".join(found).encode("utf-8", "surrogatepass"), digest_size=8).digest())
                 sizes.append(len(names))
                 kept.append(words.tobytes())
-                keys.append(sketch(names))
+                keys.append(keys_of(names))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.frombuffer(b"".join(nodes), "<i8")), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))],

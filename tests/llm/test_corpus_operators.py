@@ -297,6 +297,42 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicate_classes(docs_of(spark, []).limit(0)).count() == 0
 
 
+def shingles_of(text):
+    return near_dup.shingles(np.array([zlib.crc32(w.encode()) for w in text.split()], np.uint32))
+
+
+def brute_classes(texts):
+    names, up = [shingles_of(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if min(len(names[i]), len(names[j])) >= 0.8 * max(len(names[i]), len(names[j])) and near_dup.compare(names[i], names[j])[0] == 0:
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    return up
+
+
+def test_short_texts_meet(spark):
+    """Each linked pair of texts of 5 to 110 words has a key in common, whatever words differ."""
+    rng = random.Random(11)
+    pairs = 0
+    for n in [*range(5, 31), *range(31, 111, 5)]:
+        for _ in range(60):
+            x = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(9)) for _ in range(n)]
+            y = x[rng.randint(0, 1 + n // 12) : n - rng.randint(0, n // 12)] + ["new"] * rng.randint(0, 1 + n // 12)
+            a, b = shingles_of(" ".join(x)), shingles_of(" ".join(y))
+            if min(len(a), len(b)) <= near_dup.FEW and near_dup.compare(a, b)[0] == 0:
+                pairs += 1
+                assert set(near_dup.keys_of(a)) & set(near_dup.keys_of(b))
+    assert pairs > 500
+    texts = []
+    for n in range(5, 31):
+        for _ in range(4):
+            x = ["w%d" % rng.randrange(300) for _ in range(n)]
+            texts += [" ".join(x), " ".join([*x, "end"]), " ".join(["start", *x]), " ".join(x[1:]), " ".join(x[:-1])]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_classes(texts)))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
