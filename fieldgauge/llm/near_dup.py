@@ -5,9 +5,8 @@ sequences of five-word shingles; then a / (n1 + n2 - a). Without moved passages
 similarity of the shingles. Two documents are linked at 0.8 or more.
 
 Candidates come from buckets of Order MinHash sketches, those of short texts from a prefix filter. A bucket of up to `SMALL` texts gives all its
-pairs. The texts of larger ones are dealt again, into buckets of two sketches that they have in common,
-which texts that share a passage only hardly ever are. Of these the larger ones are joined where they
-gather around the same text, so that a family of copies is one bucket. Such a one is a star: every text is compared with the shortest one, c. A text x that is not
+pairs. Larger ones are joined where they gather around the same text, so that a family of copies is one
+bucket. Such a one is a star: every text is compared with the shortest one, c. A text x that is not
 linked to c shares fewer than 4/9 (|x| + |c|) shingles with it. Any y of the bucket has |y| >= |c|, and
 a link of x and y needs 4/9 (|x| + |y|) common shingles, so x and y have a shingle in common that c has
 not: as many, at least, as 4/9 (|x| + |c|) exceeds what x shares with c. Of so many common members one is
@@ -216,19 +215,15 @@ def _edges(sized: DataFrame, small: int) -> DataFrame:
 
 
 def _first_edges(sig: DataFrame) -> DataFrame:
-    """(c, d, star) of the sketches: large buckets are dealt again by pairs of their keys."""
+    """(c, d, star) of the first keys. Large buckets that gather around one text, the one with most
+    keys, become one bucket, so that a family of copies has few stars; no bucket is left out."""
     texts = sig.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     rows = texts.select(F.explode("keys").alias("key"), "node", "n").withColumn("label", F.col("node"))
     sized = _sized(rows)
     large = durable(sized.where(F.col("size") > SMALL).select("key", "node", "n"))
-    own = large.groupBy("node", "n").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # as many as sketches at most
-    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, SKETCHES), lambda y: F.xxhash64(x, y))))
-    again = durable(own.select(F.explode(both).alias("key"), "node", "n", F.size("keys").alias("keys")))
-    # of these the large ones whose texts gather around one text, the one with most keys, become one bucket
-    middle = again.groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most"), F.count("*").alias("size")).where("size > 1")
-    joined = again.join(middle, "key")
-    gathered = F.when(F.col("size") > SMALL, F.xxhash64("most.node")).otherwise(F.xxhash64("key", F.lit("small")))
-    dealt = joined.select(gathered.alias("key"), "node", "n").distinct().withColumn("label", F.col("node"))
+    own = large.join(large.groupBy("node").agg(F.count("*").alias("keys")), "node")
+    middle = own.groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most"))
+    dealt = large.join(middle, "key").select(F.xxhash64("most.node").alias("key"), "node", "n").distinct().withColumn("label", F.col("node"))
     plain = _pairs(sized, SMALL).withColumn("star", F.lit(False))
     return plain.unionByName(_edges(_sized(dealt), SMALL)).groupBy("c", "d").agg(F.max("star").alias("star"))
 

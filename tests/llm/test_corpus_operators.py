@@ -333,6 +333,36 @@ def test_short_texts_meet(spark):
     assert got == dict(enumerate(brute_classes(texts)))
 
 
+def test_one_common_sketch_in_a_large_bucket(spark):
+    """A pair that shares one sketch only is found, however many other texts share it."""
+    rng = random.Random(13)
+    words = lambda n: ["w%d" % rng.randrange(5000) for _ in range(n)]
+    while True:  # about one in three thousand of such pairs
+        x = words(150)
+        y = list(x)
+        for i in (20, 65, 110):
+            y[i] = "new%d" % i
+        a, b = shingles_of(" ".join(x)), shingles_of(" ".join(y))
+        common = set(near_dup.keys_of(a)) & set(near_dup.keys_of(b))
+        if len(common) == 1 and near_dup.compare(a, b)[0] == 0:
+            break
+    seed = next(i for i, k in enumerate(near_dup.sketch(a)) if k in common)
+    labelled = near_dup._labelled(a)
+    minima = sorted(np.argsort(near_dup._mix(labelled ^ near_dup._SEEDS[seed]))[: near_dup.MINIMA])
+    # other texts of the same minima, apart in all else
+    others, tries = [], 0
+    passages = [x[i : i + 5] for i in minima]
+    while len(others) < near_dup.SMALL + 4 and tries < 200_000:
+        tries += 1
+        t = " ".join(w for p in passages for w in [*p, *words(12)])
+        if near_dup.sketch(shingles_of(t))[seed] in common:
+            others.append(t)
+    assert len(others) == near_dup.SMALL + 4
+    texts = [" ".join(x), " ".join(y), *others]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_classes(texts))) and got[1] == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
