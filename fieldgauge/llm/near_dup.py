@@ -12,7 +12,8 @@ a link of x and y needs 4/9 (|x| + |y|) common shingles, so x and y have a shing
 not: as many, at least, as 4/9 (|x| + |c|) exceeds what x shares with c. Of so many common members one is
 among the rarest of x's, so x meets others again in smaller buckets, one for each of its rarest shingles
 outside of c, and so on until each bucket lies in one class: no link that would join two classes is
-lost, and no bucket is expanded into all its pairs.
+lost, and no bucket is expanded into all its pairs. A text with enough shingles of c, but in another
+order, is compared with each other text of the star that has enough of them and is of another class.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, MINIMA = 30, 5
 #: Pairs of which one text has so many shingles at most are found without fail, by a prefix filter.
 FEW = 64
-SMALL = 12
+#: Texts of a bucket that gives all its pairs, at first and in any round.
+SMALL, MOST = 12, 192
 _FIND = re.compile(WORD)
 _SEEDS = np.array([int.from_bytes(hashlib.sha256(f"sketch {i}".encode()).digest()[:8], "big") for i in range(SKETCHES)], np.uint64)
 _BLOCK = 1 << 13
@@ -259,20 +261,32 @@ def _next_buckets(done: DataFrame, labels: DataFrame) -> DataFrame:
     stars = done.where("star")
     stars = stars.join(few(labels.select(F.col("node").alias("d"), "label")), "d", "left").withColumn("label", F.coalesce("label", "d"))
     stars = stars.join(few(labels.select(F.col("node").alias("c"), F.col("label").alias("of_c"))), "c", "left").withColumn("apart", F.col("label") != F.coalesce("of_c", "c"))
-    open_ = stars.groupBy("c").agg(F.max("apart").alias("open"), F.max(F.col("state") == 2).alias("moved")).where("open")
+    open_ = stars.where("apart").select("c").distinct()
     members = stars.join(few(durable(open_)), "c")
     each = members.select("c", F.col("d").alias("node"), "n", "label", "apart", (F.size("outside") - F.col("need") + 1).alias("first"), F.explode("outside").alias("s"))
     seen = each.groupBy("c", "s").agg(F.count("*").alias("texts"))
     rarest = F.row_number().over(Window.partitionBy("c", "node").orderBy("texts", "s"))
     ranked = each.join(seen, ["c", "s"]).withColumn("rank", rarest).where("rank <= first and texts > 1")
-    rows = ranked.select(F.xxhash64("c", "s").alias("key"), "node", "n", "label", "apart")
-    # a text in another order than its centre need share nothing outside of it: all members meet again
-    again = members.where("moved").select(F.xxhash64("c", F.lit("moved")).alias("key"), F.col("d").alias("node"), "n", "label", "apart")
-    rows = durable(rows.unionByName(again))
+    rows = durable(ranked.select(F.xxhash64("c", "s").alias("key"), "node", "n", "label", "apart"))
     useful = rows.groupBy("key").agg(F.max("apart").alias("apart"), F.min("label").alias("a"), F.max("label").alias("b")).where("apart and a <> b").select("key")
     return rows.join(few(durable(useful)), "key", "left_semi").select("key", "node", "n", "label").distinct()
 
 
+def _moved_edges(done: DataFrame, labels: DataFrame) -> DataFrame:
+    """(c, d, star): pairs of a star of which one is in another order than the centre.
+
+    Such a text need share nothing outside of the centre with its partner, so it is compared with all
+    members that are near enough in size and not known to share too few shingles with the centre (those
+    meet it in the smaller buckets), save those of its class. Each pair is a row of its own.
+    """
+    stars = done.where("star and state <> 1").join(few(labels.select(F.col("node").alias("d"), "label")), "d", "left")
+    stars = durable(stars.select("c", "d", "n", "state", F.coalesce("label", "d").alias("label")))
+    moved = durable(stars.where("state = 2").select("c", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("label").alias("of_x")))
+    sizes = (F.least("n", "nx") >= F.greatest("n", "nx") * F.lit(SIMILARITY) - 1e-9) & (F.col("label") != F.col("of_x"))
+    pairs = stars.join(few(moved), "c").where(sizes)
+    return pairs.select(F.least("d", "x").alias("c"), F.greatest("d", "x").alias("d"), F.lit(False).alias("star")).distinct()
+
+
 def classes(sig: DataFrame) -> DataFrame:
     """(node, label) of the nodes that have links: the class of each, named by its least node."""
     edges, links, small = _first_edges(sig), None, SMALL
@@ -282,10 +296,11 @@ def classes(sig: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         labels = components(links, rounds=1)
         buckets = durable(_next_buckets(done, labels))
-        if buckets.isEmpty():
+        moved = durable(_moved_edges(done, labels))
+        if buckets.isEmpty() and moved.isEmpty():
             return components(links)
-        small *= 4  # fewer texts are left in each round
-        edges = _edges(_sized(buckets), small)
+        small = min(4 * small, MOST)  # fewer texts are left in each round
+        edges = _edges(_sized(buckets), small).unionByName(moved).groupBy("c", "d").agg(F.max("star").alias("star"))
 
 
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:

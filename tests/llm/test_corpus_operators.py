@@ -363,6 +363,20 @@ def test_one_common_sketch_in_a_large_bucket(spark):
     assert got == dict(enumerate(brute_classes(texts))) and got[1] == 0
 
 
+def test_moved_passages_in_a_large_bucket(spark, monkeypatch):
+    """Near copies of one text, some with moved passages: classes as by brute force, and no array of more pairs than MOST texts have."""
+    rng = random.Random(17)
+    base = ["w%d" % rng.randrange(900) for _ in range(120)]
+    vary = lambda w: " ".join("v%d" % rng.randrange(900) if rng.random() < 0.012 else x for x in w)
+    texts = [vary(base) for _ in range(60)] + [vary(base[60:] + base[:60]) for _ in range(8)] + [vary(base[30:60] + base[:30] + base[60:]) for _ in range(3)]
+    sizes, pairs = [], near_dup._pairs
+    monkeypatch.setattr(near_dup, "MOST", 24)
+    monkeypatch.setattr(near_dup, "_pairs", lambda sized, small: sizes.append(small) or pairs(sized, small))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_classes(texts))) and len(set(got.values())) > 1
+    assert len(sizes) > 1 and max(sizes) <= 24
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
