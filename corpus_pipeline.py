@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, within two edits, go; so do documents that have no other text."""
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_repeats(docs, min_chars=line_dedup.ALL_LINES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

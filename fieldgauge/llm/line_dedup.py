@@ -15,12 +15,22 @@ from fieldgauge.llm.common import BROADCAST_IDS, durable, free_name, pick
 
 #: Edits within which two lines are the same, and code points from which a line takes part.
 THRESHOLD, MIN_CHARS = 2, 40
+#: For ``min_chars``: every line that is not blank takes part.
+ALL_LINES = 1
+
+
+def _takes_part(line: Column, min_chars: int) -> Column:
+    n = F.char_length(line)
+    return (n >= min_chars) & ((n >= MIN_CHARS) | line.rlike(r"\S"))
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, at, line) of lines with ``min_chars`` code points or more; ``at`` counts from 0."""
+    """(doc_id, at, line) of lines with ``min_chars`` code points or more; ``at`` counts from 0.
+
+    Blank lines of fewer than `MIN_CHARS` never take part.
+    """
     cut = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    return cut.where(F.char_length("line") >= min_chars)
+    return cut.where(_takes_part(F.col("line"), min_chars))
 
 
 #: Letters whose counts are compared first: an edit changes two counts by one at most.
@@ -195,6 +205,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD)
     once = lines.select("id", "line").join(side, "id", "left_anti")
     copies = lines.select("id", "line").join(side, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     distinct = once.unionByName(copies).withColumns({"n": F.char_length("line"), "letters": _letter_counts(F.col("line"))})
+    distinct = distinct.where(F.col("n") > threshold)  # any two shorter ones are within the threshold: only equal ones count
     index, probe = index_entries(distinct, threshold), probe_entries(distinct, threshold)
     hot = durable(index.groupBy("key").count().where(F.col("count") > HOT).select("key"))
     if hot.isEmpty():
@@ -210,10 +221,11 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD)
 
 
 def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, at): long lines that stay.
+    """(doc_id, at): lines of ``min_chars`` or more that stay.
 
     The first occurrence of a line, by doc_id and place, stays unless the line is within ``threshold``
-    edits of a line that occurs earlier; its other occurrences go. doc_id is taken as the key. Lines are
+    edits of a line that occurs earlier; its other occurrences go. Of lines of ``threshold`` code points
+    or fewer only the other occurrences go. doc_id is taken as the key. Lines are
     told apart by a 64-bit hash.
     """
     lines = lines_of(docs, min_chars).withColumn("id", F.xxhash64("line"))
@@ -228,7 +240,7 @@ def _with_kept(docs: DataFrame, threshold: int, min_chars: int) -> tuple[DataFra
     stay = kept_lines(docs, threshold, min_chars).groupBy("doc_id").agg(F.collect_list("at").alias(at))
     found = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left").drop(stay["doc_id"])
     places = F.coalesce(F.col(at), F.array().cast("array<int>"))
-    left = F.filter(lines, lambda x, i: (F.char_length(x) < min_chars) | F.array_contains(places, i))
+    left = F.filter(lines, lambda x, i: ~_takes_part(x, min_chars) | F.array_contains(places, i))
     return found, lines, left
 
 

@@ -24,7 +24,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), min_chars=line_dedup.ALL_LINES)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,29 @@ def test_line_dedup(spark, hot, monkeypatch):
     assert line_dedup.deduplicated(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_line_dedup_of_all_lines(spark, tmp_path):
+    """The registered query and the pipeline take part of no length out: short repeats go, blank lines stay."""
+    import corpus_pipeline
+    from fieldgauge.llm import queries
+
+    rng = random.Random(14)
+    base = ["".join(rng.choice("abcdefg ") for _ in range(rng.randint(1, 45))) for _ in range(30)]
+    texts = ["\n".join(change(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) for _ in range(rng.randint(1, 6))) for _ in range(50)] + ["a\nb\n\n \na", "ab\nab\n\t\n\t", *ODD]
+    first = {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                first.setdefault(line, (i, k))
+    order = sorted(first, key=first.get)
+    keep = {first[a] for n, a in enumerate(order) if not any(min(len(a), len(b)) > 2 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2 for b in order[:n])}
+    want = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if not x.strip() or (i, k) in keep) for i, t in enumerate(texts)}
+    docs_of(spark, texts, False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.kept_sha256 for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs_of(spark, texts, False), "").where("text is not null").collect()}
+    assert left == {i: t for i, t in want.items() if texts[i] is not None and (t.strip(" ") or not texts[i].strip(" "))}
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.without_repeats(docs_of(spark, ["a" * 50]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
