@@ -3,15 +3,23 @@
 A line within `threshold` edits of another one has at least one of the other's threshold + 1 segments
 unchanged, at nearly the same place. So each distinct line is put into an index under its segments, and
 looks up, for each length a shorter partner can have, the substrings at the places where such a segment
-can have moved to. What meets is verified by a bit-parallel edit distance over the band of the threshold.
+can have moved to. Only keys under which different lines meet are written; what meets is verified by a
+bit-parallel edit distance over the band of the threshold.
+
+Where very many lines meet under one segment, the earliest of them is compared with all, which settles
+those near it. The lines left there are cut into more segments and meet again where all but `threshold`
+segments are equal, and so on with ever finer cuts.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import accumulate, combinations, groupby, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldgauge.llm.common import BROADCAST_IDS, durable, free_name, pick
+from fieldgauge.llm.common import durable, few, free_name, pick
 
 #: Edits within which two lines are the same, and code points from which a line takes part.
 THRESHOLD, MIN_CHARS = 2, 40
@@ -34,70 +42,64 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 #: Letters whose counts are compared first: an edit changes two counts by one at most.
-LETTERS = "aeinrt"
+LETTERS = "aeinrtoshlud"
 #: Lines of one index entry that are compared with all their lookers-up; of a longer entry, lines that
-#: the earliest one settles are not compared further.
+#: the earliest one settles go, and the others meet again in finer cuts.
 HOT = 64
 
 
 def _letter_counts(line: Column) -> Column:
-    """The counts of `LETTERS`, modulo 64, in one number."""
+    """The counts of `LETTERS`, modulo 16, in one number."""
     out = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        count = F.char_length(line) - F.char_length(F.replace(line, F.lit(c)))
-        out = out.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(64)).cast("long"), 6 * i))
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)).cast("long"), 4 * i))
     return out
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
-    total = F.lit(0).cast("long")
+    total, four = F.lit(0), F.lit(15).cast("long")
     for i in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 6 * i).bitwiseAND(F.lit(63).cast("long")) - F.shiftright(b, 6 * i).bitwiseAND(F.lit(63).cast("long")))
-        total = total + F.least(d, 64 - d)
+        d = (F.shiftright(a, 4 * i).bitwiseAND(four) - F.shiftright(b, 4 * i).bitwiseAND(four)).bitwiseAND(four).cast("int")
+        total = total + F.least(d, F.lit(16) - d)
     return total
 
 
-def _segments(length: Column, k: int, threshold: int) -> tuple[Column, Column]:
-    """First place (from 1) and size of segment k of a line of this length; the last ones are the longer."""
-    parts = threshold + 1
-    small = F.floor(length / parts).cast("int")
-    longer = length - small * parts  # so many segments have one character more
-    before = F.lit(k) * small + F.greatest(F.lit(0), F.lit(k) - (F.lit(parts) - longer))
-    return (before + 1).cast("int"), (small + (F.lit(k) >= F.lit(parts) - longer).cast("int")).cast("int")
-
-
-def _name(length: Column, k: int, segment: Column) -> Column:
-    return F.xxhash64(length, F.lit(k), segment)
-
+def _cuts(parts: int, threshold: int) -> list[dict]:
+    """What two lines within the threshold can share: ways to leave ``threshold`` of the ``parts`` segments out.
 
-def index_entries(distinct: DataFrame, threshold: int) -> DataFrame:
-    """(key, line id) under each segment of a line."""
-    n = F.col("n")
-    keys = []
-    for k in range(threshold + 1):
-        first, size = _segments(n, k, threshold)
-        keys.append(_name(n, k, F.col("line").substr(first, size)))
-    return distinct.select("id", "letters", F.explode(F.array(*keys)).alias("key"))
-
-
-def probe_entries(distinct: DataFrame, threshold: int) -> DataFrame:
-    """(key, line id) of the substrings where a segment of a partner of equal or less length can stand.
-
-    With d the difference of the lengths, segment k (from 0) of the partner stands at p in it and, in
-    this line, within k edits of p as seen from the left and, from the right, within threshold - k of
-    p + d. Both must hold.
+    The others are pieces (k, m, s): segments k to m - 1 of the shorter line, found s places further in the
+    longer one, which has d code points more. With no more edits than segments left out, some way has
+    all edits in them and as many in each run of them, at most, as it has segments: so much can the shift
+    change there. ``own``: no shifts, as a line is entered into the index.
+    """
+    found = []
+    for way, out in enumerate(combinations(range(parts), threshold)):
+        runs = [list(g) for _, g in groupby(out, key=lambda k, o=out: k - o.index(k))]
+        for moves in product(*(range(-len(r), len(r) + 1) for r in runs)):
+            if 0 <= (d := sum(moves)) <= threshold:
+                starts, shifts = [0, *(r[-1] + 1 for r in runs)], [0, *accumulate(moves)]
+                pieces = [(k, m, s) for k, m, s in zip(starts, [*(r[0] for r in runs), parts], shifts, strict=True) if m > k]
+                cut = {"way": way, "d": d, "own": not d and not any(s for _, _, s in pieces)}
+                for i, piece in enumerate(pieces + [(0, 0, 0)] * (threshold + 1 - len(pieces))):
+                    cut |= {f"{x}{i}": v for x, v in zip("kms", piece, strict=True)}
+                found.append(cut)
+    return found
+
+
+def entries(lines: DataFrame, parts: int, threshold: int) -> DataFrame:
+    """(id, letters, own, key) of lines (id, line, n, letters): under its own pieces (``own``, the index)
+    and those that a partner of equal or less length can have in it.
+
+    A place outside of the line gives some other text; what then meets is verified like all else.
     """
-    n, keys = F.col("n"), []
-    for d in range(threshold + 1):
-        length = (n - d).cast("int")
-        for k in range(threshold + 1):
-            first, size = _segments(length, k, threshold)
-            low, high = max(-k, d - (threshold - k)), min(k, d + (threshold - k))
-            for shift in range(low, high + 1):
-                start = (first + shift).cast("int")
-                fits = (start >= 1) & (start + size - 1 <= n)
-                keys.append(F.when(fits, _name(length, k, F.col("line").substr(start, size))))
-    return distinct.select("id", "letters", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    cuts = _cuts(parts, threshold)
+    kind = ", ".join(f"{x}: {'boolean' if x == 'own' else 'int'}" for x in cuts[0])
+    each = lines.select("id", "letters", "n", "line", F.inline(F.from_json(F.lit(json.dumps(cuts)), f"array<struct<{kind}>>")))
+    length = F.col("n") - F.col("d")
+    at = lambda k: F.floor(length * F.col(k) / parts).cast("int")  # noqa: E731  where a segment starts in the shorter line
+    pieces = [F.col("line").substr(at(f"k{i}") + F.col(f"s{i}") + 1, at(f"m{i}") - at(f"k{i}")) for i in range(threshold + 1)]
+    return each.select("id", "letters", "own", F.xxhash64(F.lit(parts), length, "way", *pieces).alias("key"))
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -111,12 +113,10 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     width = 2 * threshold + 1
     full = (1 << width) - 1
     none = F.array_repeat(F.lit(None).cast("string"), threshold)
-    chars = F.concat(none, F.split(a, ""), none, none)
-    other = F.split(b, "")
     zero = F.lit(0).cast("long")
     first = F.struct(F.lit((full << threshold) & full).cast("long").alias("vp"), zero.alias("vn"), F.lit(threshold).cast("long").alias("score"), F.lit(0).alias("j"))
 
-    def step(state: Column, char: Column) -> Column:
+    def step(chars: Column, state: Column, char: Column) -> Column:
         match = F.lit(0).cast("long")
         for i in range(width):
             match = match.bitwiseOR(F.when(F.get(chars, state["j"] + i) == char, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -150,7 +150,10 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
             score = score + F.when(F.lit(i) < up, change).otherwise(0)
         return score
 
-    return F.when(F.abs(F.char_length(a) - F.char_length(b)) > threshold, F.lit(threshold + 1).cast("long")).otherwise(F.aggregate(other, first, step, last))
+    # both lines are split once, not again for each character
+    split = F.array(F.struct(F.concat(none, F.split(a, ""), none, none).alias("chars"), F.split(b, "").alias("other")))
+    score = F.transform(split, lambda s: F.aggregate(s["other"], first, lambda state, char: step(s["chars"], state, char), last))[0]
+    return F.when(F.abs(F.char_length(a) - F.char_length(b)) > threshold, F.lit(threshold + 1).cast("long")).otherwise(score)
 
 
 def _common_front(a: Column, b: Column, step: int = 16) -> Column:
@@ -170,14 +173,10 @@ def _without_common_ends(both: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """(earlier, later): of the pairs (a, b) of line ids those within the threshold, by first occurrence.
-
-    Only the lines that some pair names are moved.
-    """
-    pairs = durable(pairs.distinct())
-    ids = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    own = pick(lines.select("id", "line", F.struct("doc_id", "at").alias("first")), ids, "id").groupBy("id").agg(F.first("line").alias("line"), F.min("first").alias("first"))
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb")), "b")
+    """(earlier, later): of the pairs (a, b) of line ids those within the threshold, by first occurrence."""
+    a = lines.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa"))
+    b = lines.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
+    both = pairs.distinct().join(a, "a").join(b, "b")
     # pairs are few and short but dear: every task gets its share of them. They are written first, since
     # the filter would be pushed down and have its long expression filled with those that make its columns
     both = durable(_without_common_ends(both).repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -185,9 +184,18 @@ def _linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     return near.select(F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("later"))
 
 
-def _meet(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
-    i, p = index.select("key", F.col("id").alias("a"), F.col("letters").alias("ca")), probe.select("key", F.col("id").alias("b"), F.col("letters").alias("cb"))
-    close = (F.col("a") != F.col("b")) & (_letters_apart(F.col("ca"), F.col("cb")) <= 2 * threshold)
+def _meeting(lines: DataFrame, parts: int, threshold: int) -> DataFrame:
+    """The `entries` under keys where a line looks up another one, written: few of all."""
+    made = entries(lines, parts, threshold)
+    keys = durable(made.groupBy("key").agg(F.max("own").alias("own"), F.min("id").alias("a"), F.max("id").alias("b")).where("own and a <> b").select("key"))
+    return durable(pick(made, keys, "key"))
+
+
+def _meet(met: DataFrame, done: DataFrame | None, threshold: int) -> DataFrame:
+    """Pairs (a, b) of the lines under each key whose letters allow for the threshold, not both ``done``."""
+    met = met.withColumn("done", F.lit(False)) if done is None else met.join(few(done.select("id", F.lit(True).alias("done"))), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    i, p = (met.where(which).select("key", F.col("id").alias(x), F.col("letters").alias(f"c{x}"), F.col("done").alias(f"d{x}")) for which, x in (("own", "a"), ("true", "b")))
+    close = (F.col("a") != F.col("b")) & ~(F.col("da") & F.col("db")) & (_letters_apart(F.col("ca"), F.col("cb")) <= 2 * threshold)
     return i.join(p, (i["key"] == p["key"]) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -195,29 +203,34 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD)
     """(earlier, later): links between different lines, from (id, line, doc_id, at) and (id, first, times).
 
     Every line that is within the threshold of an earlier one is the later one of some link. Where an
-    index entry holds more than `HOT` lines, all are compared with its earliest line first, and those
-    linked to it are settled; only what is left there is compared with the others.
+    index entry holds more than `HOT` lines, all are compared with its earliest line; the pairs of which
+    one line at least is not settled then meet again in a finer cut. Under the last cut all are compared.
     """
     # each line makes its entries where it stands; of lines that occur again one copy is gathered first
-    again = durable(firsts.where("times > 1").select("id"))
-    few = again.count() <= BROADCAST_IDS
-    side = F.broadcast(again) if few else again
-    once = lines.select("id", "line").join(side, "id", "left_anti")
-    copies = lines.select("id", "line").join(side, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    again = few(durable(firsts.where("times > 1").select("id")))
+    once = lines.select("id", "line").join(again, "id", "left_anti")
+    copies = lines.select("id", "line").join(again, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     distinct = once.unionByName(copies).withColumns({"n": F.char_length("line"), "letters": _letter_counts(F.col("line"))})
     distinct = distinct.where(F.col("n") > threshold)  # any two shorter ones are within the threshold: only equal ones count
-    index, probe = index_entries(distinct, threshold), probe_entries(distinct, threshold)
-    hot = durable(index.groupBy("key").count().where(F.col("count") > HOT).select("key"))
-    if hot.isEmpty():
-        return _linked(_meet(index, probe, threshold), lines, threshold)
-    side = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
-    usual = _meet(index.join(side, "key", "left_anti"), probe, threshold)
-    hot_index, hot_probe = durable(index.join(side, "key", "left_semi")), durable(probe.join(side, "key", "left_semi"))
-    centre = hot_index.join(firsts, "id").groupBy("key").agg(F.min_by(F.struct("id", "letters"), "first").alias("c")).select("key", "c.id", "c.letters")
-    settled = durable(_linked(_meet(centre, hot_probe, threshold), lines, threshold))
-    done = settled.select(F.col("later").alias("id")).distinct()
-    rest = _meet(hot_index, hot_probe.join(done, "id", "left_anti"), threshold).union(_meet(hot_index.join(done, "id", "left_anti"), hot_probe, threshold))
-    return settled.union(_linked(usual.union(rest), lines, threshold))
+    met = _meeting(distinct, threshold + 1, threshold)
+    ids = durable(met.select("id").distinct())
+    texts = durable(pick(distinct, ids, "id").join(pick(firsts, ids, "id").select("id", "first"), "id"))
+    cuts, links, done = [threshold + 2, 2 * threshold + 2, 4 * threshold + 2], None, None
+    while True:
+        hot = durable(met.where("own").groupBy("key").count().where(F.col("count") > HOT).select("key"))
+        if not cuts or hot.isEmpty():
+            found = durable(_linked(_meet(met, done, threshold), texts, threshold))
+            return found if links is None else links.union(found)
+        crowd = durable(met.join(few(hot), "key", "left_semi"))
+        centre = crowd.where("own").join(texts.select("id", "first"), "id").groupBy("key").agg(F.min_by(F.struct("id", "letters"), "first").alias("c"))
+        star = centre.select("key", F.col("c.id").alias("a"), F.col("c.letters").alias("ca")).join(crowd.select("key", F.col("id").alias("b"), F.col("letters").alias("cb")), "key")
+        star = star.where((F.col("a") != F.col("b")) & (_letters_apart(F.col("ca"), F.col("cb")) <= 2 * threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        usual = _meet(met.join(few(hot), "key", "left_anti"), done, threshold)
+        found = durable(_linked(star.union(usual), texts, threshold))
+        links = found if links is None else links.union(found)
+        done = durable(links.select(F.col("later").alias("id")).distinct())
+        inside = durable(crowd.select("id").distinct())
+        met = _meeting(pick(texts, inside, "id"), cuts.pop(0), threshold)
 
 
 def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -234,14 +247,20 @@ def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     return firsts.join(gone, "id", "left_anti").select("first.doc_id", "first.at")
 
 
-def _with_kept(docs: DataFrame, threshold: int, min_chars: int) -> tuple[DataFrame, Column, Column]:
-    """The documents with their lines and, in order, the lines that stay."""
-    at, lines = free_name(docs, "_at"), F.split(F.coalesce("text", F.lit("")), "\n")
+def _with_kept(docs: DataFrame, threshold: int, min_chars: int) -> tuple[DataFrame, str, str]:
+    """The documents with how many lines each has and, in order, the lines that stay; the names of the two."""
+    at, n, kept = free_name(docs, "_at"), free_name(docs, "_n_lines"), free_name(docs, "_kept")
     stay = kept_lines(docs, threshold, min_chars).groupBy("doc_id").agg(F.collect_list("at").alias(at))
     found = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left").drop(stay["doc_id"])
-    places = F.coalesce(F.col(at), F.array().cast("array<int>"))
-    left = F.filter(lines, lambda x, i: ~_takes_part(x, min_chars) | F.array_contains(places, i))
-    return found, lines, left
+    # bound as variables, so that a text is split once
+    own = F.array(F.struct(F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.coalesce(F.col(at), F.array().cast("array<int>")).alias("at")))
+
+    def left(s: Column) -> Column:
+        others = F.filter(F.transform(s["lines"], lambda x, i: F.when(~_takes_part(x, min_chars), i)), lambda i: i.isNotNull())
+        places = F.filter(F.array_sort(F.array_distinct(F.concat(s["at"], others))), lambda i: i < F.size(s["lines"]))
+        return F.struct(F.size(s["lines"]).cast("long").alias("n"), F.transform(places, lambda i: F.get(s["lines"], i)).alias("left"))
+
+    return found.select(*docs.columns, F.inline(F.transform(own, left)).alias(n, kept)), n, kept
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -250,15 +269,18 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     Lines are split at \\n; those of fewer than ``min_chars`` code points always stay. A null text is
     one empty line. Rows that share a doc_id share the places that stay.
     """
-    found, lines, left = _with_kept(docs.select("doc_id", "text"), threshold, min_chars)
-    return found.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(left).cast("long").alias("n_kept"), F.sha2(F.array_join(left, "\n"), 256).alias("kept_sha256"))
+    found, n, kept = _with_kept(docs.select("doc_id", "text"), threshold, min_chars)
+    return found.select("doc_id", F.col(n).alias("n_lines"), F.size(kept).cast("long").alias("n_kept"), F.sha2(F.array_join(kept, "\n"), 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents without repeated lines. One of which nothing stays goes; n_chars follows the text."""
-    found, _, left = _with_kept(docs, threshold, min_chars)
-    text = free_name(docs, "_text")
-    out = found.withColumn(text, F.when(F.col("text").isNotNull(), F.array_join(left, "\n")))
+    """The documents without repeated lines. One of which nothing stays goes; n_chars follows the text.
+
+    Null and blank texts stay as they are; rows that share a doc_id share the places that stay.
+    """
+    found, _, kept = _with_kept(docs, threshold, min_chars)
+    text = free_name(found, "_text")
+    out = found.withColumn(text, F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")))
     out = out.where((F.coalesce(F.trim(text), F.lit("")) != "") | (F.coalesce(F.trim("text"), F.lit("")) == ""))
     changed = {"text": F.col(text), "n_chars": F.when(F.col(text).eqNullSafe(F.col("text")), F.col("n_chars") if "n_chars" in docs.columns else F.lit(0)).otherwise(F.char_length(text)).cast("long")}
     return out.select(*((changed[c].alias(c) if c in changed else F.col(c)) for c in docs.columns))
