@@ -14,7 +14,7 @@ segments are equal, and so on with ever finer cuts.
 from __future__ import annotations
 
 import json
-from itertools import accumulate, combinations, groupby, product
+from itertools import accumulate, combinations, groupby, pairwise, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +73,7 @@ def _cuts(parts: int, threshold: int) -> list[dict]:
     all edits in them and as many in each run of them, at most, as it has segments: so much can the shift
     change there. ``own``: no shifts, as a line is entered into the index.
     """
-    found = []
+    found, width = [], max(sum(b > a + 1 for a, b in pairwise([-1, *out, parts])) for out in combinations(range(parts), threshold))
     for way, out in enumerate(combinations(range(parts), threshold)):
         runs = [list(g) for _, g in groupby(out, key=lambda k, o=out: k - o.index(k))]
         for moves in product(*(range(-len(r), len(r) + 1) for r in runs)):
@@ -81,7 +81,7 @@ def _cuts(parts: int, threshold: int) -> list[dict]:
                 starts, shifts = [0, *(r[-1] + 1 for r in runs)], [0, *accumulate(moves)]
                 pieces = [(k, m, s) for k, m, s in zip(starts, [*(r[0] for r in runs), parts], shifts, strict=True) if m > k]
                 cut = {"way": way, "d": d, "own": not d and not any(s for _, _, s in pieces)}
-                for i, piece in enumerate(pieces + [(0, 0, 0)] * (threshold + 1 - len(pieces))):
+                for i, piece in enumerate(pieces + [(0, 0, 0)] * (width - len(pieces))):
                     cut |= {f"{x}{i}": v for x, v in zip("kms", piece, strict=True)}
                 found.append(cut)
     return found
@@ -98,7 +98,7 @@ def entries(lines: DataFrame, parts: int, threshold: int) -> DataFrame:
     each = lines.select("id", "letters", "n", "line", F.inline(F.from_json(F.lit(json.dumps(cuts)), f"array<struct<{kind}>>")))
     length = F.col("n") - F.col("d")
     at = lambda k: F.floor(length * F.col(k) / parts).cast("int")  # noqa: E731  where a segment starts in the shorter line
-    pieces = [F.col("line").substr(at(f"k{i}") + F.col(f"s{i}") + 1, at(f"m{i}") - at(f"k{i}")) for i in range(threshold + 1)]
+    pieces = [F.col("line").substr(at(f"k{i}") + F.col(f"s{i}") + 1, at(f"m{i}") - at(f"k{i}")) for i in range(len([x for x in cuts[0] if x[0] == "k"]))]
     return each.select("id", "letters", "own", F.xxhash64(F.lit(parts), length, "way", *pieces).alias("key"))
 
 
@@ -209,7 +209,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD)
     # each line makes its entries where it stands; of lines that occur again one copy is gathered first
     again = few(durable(firsts.where("times > 1").select("id")))
     once = lines.select("id", "line").join(again, "id", "left_anti")
-    copies = lines.select("id", "line").join(again, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    copies = durable(lines.select("id", "line").join(again, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
     distinct = once.unionByName(copies).withColumns({"n": F.char_length("line"), "letters": _letter_counts(F.col("line"))})
     distinct = distinct.where(F.col("n") > threshold)  # any two shorter ones are within the threshold: only equal ones count
     met = _meeting(distinct, threshold + 1, threshold)
