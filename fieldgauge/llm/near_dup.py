@@ -4,16 +4,18 @@ Similarity of two documents: let a be the length of the longest common subsequen
 sequences of five-word shingles; then a / (n1 + n2 - a). Without moved passages this is the Jaccard
 similarity of the shingles. Two documents are linked at 0.8 or more.
 
-Candidates come from buckets of Order MinHash sketches, those of short texts from a prefix filter. A bucket of up to `SMALL` texts gives all its
-pairs. Larger ones are joined where they gather around the same text, so that a family of copies is one
-bucket. Such a one is a star: every text is compared with the shortest one, c. A text x that is not
-linked to c shares fewer than 4/9 (|x| + |c|) shingles with it. Any y of the bucket has |y| >= |c|, and
-a link of x and y needs 4/9 (|x| + |y|) common shingles, so x and y have a shingle in common that c has
-not: as many, at least, as 4/9 (|x| + |c|) exceeds what x shares with c. Of so many common members one is
-among the rarest of x's, so x meets others again in smaller buckets, one for each of its rarest shingles
-outside of c, and so on until each bucket lies in one class: no link that would join two classes is
-lost, and no bucket is expanded into all its pairs. A text with enough shingles of c, but in another
-order, is compared with each other text of the star that has enough of them and is of another class.
+Candidates come from buckets of Order MinHash sketches; texts of few shingles come from a prefix filter,
+which loses none. Every text of a bucket is compared with the one that is in most buckets. A bucket in which
+up to `SMALL` texts are then outside of its largest class gives the pairs of these with all others. A
+larger one is a star around a member c of that class, and pairs are sought among the differences from c: let
+x differ from c in the set X of shingles (those that one of the two lacks), d(x) of them shingles that x
+lacks. Then x and y have |c| - d(x) - d(y) + |X n Y| shingles in common, and a link needs 4/9 (|x| + |y|). If
+x shares too few shingles with c for a link, that asks for more than 5/9 d(y) + 4/9 (|Y| - d(y)) common
+differences, and always for one. So a link of x has a common difference among so many of the rarest of X and
+of Y, and those that very many texts of a star have, since c is the odd one out, come last. No bucket is
+expanded into all its pairs, and no link that would join two classes is lost. A text with enough shingles of
+c, but in another order, is compared with each other text of the star that has enough of them and is of
+another class.
 """
 
 from __future__ import annotations
@@ -28,17 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldgauge.llm.common import BROADCAST_IDS, WORD, durable, few, pick
+from fieldgauge.llm.common import BROADCAST_IDS, WORD, durable, few
 from fieldgauge.llm.hashed_terms import Cached
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Of the shingles of two texts together, those that a link needs in common.
+SHARE = SIMILARITY / (1 + SIMILARITY)
 #: Sketches of a text, and minima in each. Two texts of similarity 0.8 miss each other in all with
 #: probability (1 - 0.8**5)**30, seven in a million, if they are long; 12 in a million from `FEW` shingles.
 SKETCHES, MINIMA = 30, 5
 #: Pairs of which one text has so many shingles at most are found without fail, by a prefix filter.
 FEW = 64
-#: Texts of a bucket that gives all its pairs, at first and in any round.
-SMALL, MOST = 12, 192
+#: Texts outside of the largest class of a bucket that are compared with all its others, in any round.
+SMALL = 12
 _FIND = re.compile(WORD)
 _SEEDS = np.array([int.from_bytes(hashlib.sha256(f"sketch {i}".encode()).digest()[:8], "big") for i in range(SKETCHES)], np.uint64)
 _BLOCK = 1 << 13
@@ -65,6 +69,8 @@ def shingles(words: np.ndarray) -> np.ndarray:
 def _labelled(names: np.ndarray) -> np.ndarray:
     """Names of the shingles in which a repeated one has another name each time."""
     n = len(names)
+    if not n:
+        return names
     order = np.argsort(names, kind="stable")
     new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
     labels = np.empty(n, np.uint64)
@@ -73,19 +79,12 @@ def _labelled(names: np.ndarray) -> np.ndarray:
     return _mix(names + labels * np.uint64(0xD6E8FEB86659FD93))
 
 
-def prefix(names: np.ndarray) -> np.ndarray:
-    """The least of the labelled shingles, so many that a text of similarity 0.8 has one of them among its own.
+def prefix_size(n: int) -> int:
+    """Of so many labelled shingles, in any one order, a text of similarity 0.8 has one among its own.
 
     A link needs 0.8 times the shingles of the longer text in common, so all but that many and one more.
     """
-    n = len(names)
-    return np.sort(_labelled(names))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1].astype(np.int64) if n else np.empty(0, np.int64)
-
-
-def keys_of(names: np.ndarray) -> np.ndarray:
-    """Keys of the buckets of a text: short ones have their prefix, long ones their sketches, those between both."""
-    n = len(names)
-    return np.concatenate([prefix(names) if n * SIMILARITY <= FEW else np.empty(0, np.int64), sketch(names) if n > FEW else np.empty(0, np.int64)])
+    return n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
 
 
 def sketch(names: np.ndarray) -> np.ndarray:
@@ -153,166 +152,218 @@ def aligned(x: np.ndarray, y: np.ndarray, band: int) -> int:
 
 def compare(x: np.ndarray, y: np.ndarray) -> tuple[int, int, np.ndarray]:
     """State (0 linked, 1 too few common shingles, 2 enough of them but in another order), how many
-    common shingles outside of x another text needs for a link with y, and those of y outside of x."""
-    nx, ny = len(x), len(y)
-    ux, cx = np.unique(x, return_counts=True)
-    uy, cy = np.unique(y, return_counts=True)
-    at = np.minimum(np.searchsorted(ux, uy), max(nx and len(ux) - 1, 0))
-    inside = ux[at] == uy if nx else np.zeros(len(uy), bool)
-    common = int(np.minimum(cx[at[inside]], cy[inside]).sum())
-    # a shingle that y has more often than x is outside of x as well
-    more = ~inside | ((cx[at] if nx else 0) < cy)
-    outside = uy[more]
-    need = SIMILARITY / (1 + SIMILARITY) * (nx + ny) - 1e-9
-    if common < need:
-        # the count holds for sets; where y repeats a shingle outside of x, one common member is asked for
-        return 1, int(np.ceil(need - common)) if (cy[more] == 1).all() else 1, outside
-    if aligned(x, y, int(nx + ny - 2 * need) + 1) < need:
-        return 2, 1, outside
-    return 0, 1, outside
+    shingles of x are not in y, and all that one of the two lacks (labelled by occurrence)."""
+    a, b = _labelled(x), _labelled(y)
+    apart = np.setxor1d(a, b, assume_unique=True)
+    common = (len(a) + len(b) - len(apart)) // 2
+    need = SHARE * (len(x) + len(y)) - 1e-9
+    state = 1 if common < need else 2 if aligned(x, y, int(len(x) + len(y) - 2 * need) + 1) < need else 0
+    return state, len(a) - common, apart
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (64-bit digest of the words), n (shingles), words (32-bit hashes) and keys (of its buckets) of each row."""
+    """doc_id, node (64-bit digest of the words), n (shingles), words (32-bit hashes) of each row, keys
+    (its sketches, if it has more than `FEW` shingles), and names and first (its labelled shingles and the
+    size of its prefix, if a text of `FEW` or fewer can be similar to it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Cached(lambda w: crc32(w.encode("utf-8", "surrogatepass")))
+        none = np.empty(0, np.int64)
         for batch in batches:
-            nodes, sizes, kept, keys = [], [], [], []
+            nodes, sizes, kept, keys, short, first = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = _FIND.findall((text or "").lower())
                 words = np.fromiter(map(of.__getitem__, found), np.uint32, len(found))
                 names = shingles(words)
+                n = len(names)
                 nodes.append(hashlib.blake2b(" ".join(found).encode("utf-8", "surrogatepass"), digest_size=8).digest())
-                sizes.append(len(names))
+                sizes.append(n)
                 kept.append(words.tobytes())
-                keys.append(keys_of(names))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                keys.append(sketch(names) if n > FEW else none)
+                short.append(_labelled(names).astype(np.int64) if 0 < n * SIMILARITY <= FEW else none)
+                first.append(prefix_size(n) if len(short[-1]) else 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.frombuffer(b"".join(nodes), "<i8")), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))],
-                names=["doc_id", "node", "n", "words", "keys"],
+                [batch.column("doc_id"), pa.array(np.frombuffer(b"".join(nodes), "<i8")), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), _lists(keys), _lists(short), pa.array(first, pa.int64())],
+                names=["doc_id", "node", "n", "words", "keys", "names", "first"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, words binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, words binary, keys array<long>, names array<long>, first long")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
+
+def _ranked(rows: DataFrame, group: list[str], owner: str) -> DataFrame:
+    """Rows (group, owner, s, total, ...) whose s is not its owner's alone, with its ``rank`` among those of the
+    owner, the rarest within the group first. Those that nobody else has come before all; they are only counted."""
+    seen = rows.groupBy(*group, "s").agg(F.count("*").alias("texts")).where("texts > 1")
+    each = Window.partitionBy(*group, owner)
+    shared = rows.join(seen, [*group, "s"]).withColumn("shared", F.count("*").over(each))
+    return shared.withColumn("rank", F.col("total") - F.col("shared") + F.row_number().over(each.orderBy("texts", "s")))
+
+
+def _first_buckets(sig: DataFrame) -> DataFrame:
+    """(key, node, n): texts under their sketches, short ones under the rarest of their shingles."""
+    texts = sig.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys", "names", "first")))
+    short = durable(texts.where("first > 0").select("node", "n", "first", F.explode("names").alias("s")))
+    keys = _ranked(short.withColumn("total", F.col("n")), [], "node").where("rank <= first").select(F.xxhash64(F.lit("prefix"), "s").alias("key"), "node", "n")
+    return texts.select(F.explode("keys").alias("key"), "node", "n").unionByName(keys)
 
 
 def _sized(buckets: DataFrame) -> DataFrame:
-    """The rows (key, node, n, label) with the size of their bucket and its shortest text."""
-    shortest = buckets.groupBy("key").agg(F.min(F.struct("n", "node")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    return buckets.join(shortest, "key")
-
-
-def _pairs(sized: DataFrame, small: int) -> DataFrame:
-    """(c, d): all pairs of the buckets of up to ``small`` texts, those of one class left out."""
-    lists = sized.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node", "label"))).alias("all"))
-    pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, small), lambda y: F.struct(x["node"].alias("c"), y["node"].alias("d"), (x["label"] != y["label"]).alias("apart")))))
-    return lists.select(F.explode(pairs).alias("p")).where("p.apart").select("p.c", "p.d")
-
-
-def _edges(sized: DataFrame, small: int) -> DataFrame:
-    """(c, d, star) to compare: all pairs of small buckets, stars of others."""
-    star = sized.where((F.col("size") > small) & (F.col("node") != F.col("least.node"))).select(F.col("least.node").alias("c"), F.col("node").alias("d"), F.lit(True).alias("star"))
-    return star.unionByName(_pairs(sized, small).withColumn("star", F.lit(False))).groupBy("c", "d").agg(F.max("star").alias("star"))
-
-
-def _first_edges(sig: DataFrame) -> DataFrame:
-    """(c, d, star) of the first keys. Large buckets that gather around one text, the one with most
-    keys, become one bucket, so that a family of copies has few stars; no bucket is left out."""
-    texts = sig.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = texts.select(F.explode("keys").alias("key"), "node", "n").withColumn("label", F.col("node"))
-    sized = _sized(rows)
-    large = durable(sized.where(F.col("size") > SMALL).select("key", "node", "n"))
-    own = large.join(large.groupBy("node").agg(F.count("*").alias("keys")), "node")
-    middle = own.groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most"))
-    dealt = large.join(middle, "key").select(F.xxhash64("most.node").alias("key"), "node", "n").distinct().withColumn("label", F.col("node"))
-    plain = _pairs(sized, SMALL).withColumn("star", F.lit(False))
-    return plain.unionByName(_edges(_sized(dealt), SMALL)).groupBy("c", "d").agg(F.max("star").alias("star"))
-
-
-def _verified(edges: DataFrame, sig: DataFrame) -> DataFrame:
-    """(c, d, star, n of d, state, need, outside): each pair compared; ``outside`` only for stars."""
-    ids = durable(edges.select(F.col("c").alias("node")).union(edges.select("d")).distinct())
-    words = pick(sig.select("node", "words"), ids, "node").groupBy("node").agg(F.first("words").alias("words"))
+    """(key, node, n, keys), written: buckets of more than one text; ``keys`` counts those of a text.
+
+    Large ones that lie around one text, the one with most keys, become one bucket, so that a family of
+    copies has few stars; no bucket is left out.
+    """
+    rows = durable(buckets.join(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+    rows = durable(rows.join(rows.groupBy("node").agg(F.count("*").alias("keys")), "node"))
+    large = rows.where(F.col("size") > SMALL)
+    middle = durable(large.groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most")))
+    dealt = large.join(few(middle), "key").select(F.xxhash64("most.node").alias("key"), "node", "n", "keys").distinct()
+    return durable(rows.where(F.col("size") <= SMALL).select("key", "node", "n", "keys").unionByName(dealt))
+
+
+def _with_class(rows: DataFrame, labels: DataFrame | None, column: str, label: str) -> DataFrame:
+    """With the class of the text in ``column``; a text without links is its own class."""
+    if labels is None:
+        return rows.withColumn(label, F.col(column))
+    return rows.join(few(labels.select(F.col("node").alias(column), F.col("label").alias(label))), column, "left").withColumn(label, F.coalesce(label, column))
+
+
+def _apart(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs (c, d) of different classes."""
+    return _with_class(_with_class(edges, labels, "c", "a"), labels, "d", "b").where("a <> b").select("c", "d")
+
+
+def _compared(edges: DataFrame, sig: DataFrame, differences: bool = False) -> DataFrame:
+    """(c, d, state), written: each pair compared; for ``differences`` also the shingles of both (nc and n), how
+    many of c's are ``lost`` in d, and all that one of the two lacks."""
+    edges = durable(edges.select("c", "d"))
+    names = ["c", "d", "state", "nc", "n", "lost", "apart"] if differences else ["c", "d", "state"]
+    schema = "c long, d long, state int" + ", nc long, n long, lost long, apart array<long>" * differences
+    pairs = edges.count()
+    if not pairs:
+        return sig.sparkSession.createDataFrame([], schema)
+    ids = edges.select(F.col("c").alias("node")).union(edges.select("d")).distinct()
+    ids = F.broadcast(ids) if 2 * pairs <= BROADCAST_IDS else ids
+    words = sig.select("node", "words").join(ids, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
     both = edges.join(words.select(F.col("node").alias("c"), F.col("words").alias("cw")), "c").join(words.select(F.col("node").alias("d"), F.col("words").alias("dw")), "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            states, needs, outside, sizes = [], [], [], []
+            found, apart = [], []
             last, x = None, None
-            for c, d, star in zip(batch.column("cw").to_pylist(), batch.column("dw").to_pylist(), batch.column("star").to_pylist(), strict=True):
+            for c, d in zip(batch.column("cw").to_pylist(), batch.column("dw").to_pylist(), strict=True):
                 if c != last:
                     last, x = c, shingles(np.frombuffer(c, np.uint32))
                 y = shingles(np.frombuffer(d, np.uint32))
-                state, need, out = compare(x, y)
-                states.append(state)
-                needs.append(need)
-                sizes.append(len(y))
-                outside.append(out.astype(np.int64) if star else np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, outside)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *outside])))
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("d"), batch.column("star"), pa.array(sizes, pa.int64()), pa.array(states, pa.int32()), pa.array(needs, pa.int64()), lists], names=["c", "d", "star", "n", "state", "need", "outside"])
-
-    return both.select("c", "d", "star", "cw", "dw").mapInArrow(run, "c long, d long, star boolean, n long, state int, need long, outside array<long>")
-
-
-def _next_buckets(done: DataFrame, labels: DataFrame) -> DataFrame:
-    """Smaller buckets for the texts of stars that are not in one class with their centre by now."""
-    stars = done.where("star")
-    stars = stars.join(few(labels.select(F.col("node").alias("d"), "label")), "d", "left").withColumn("label", F.coalesce("label", "d"))
-    stars = stars.join(few(labels.select(F.col("node").alias("c"), F.col("label").alias("of_c"))), "c", "left").withColumn("apart", F.col("label") != F.coalesce("of_c", "c"))
-    open_ = stars.where("apart").select("c").distinct()
-    members = stars.join(few(durable(open_)), "c")
-    each = members.select("c", F.col("d").alias("node"), "n", "label", "apart", (F.size("outside") - F.col("need") + 1).alias("first"), F.explode("outside").alias("s"))
-    seen = each.groupBy("c", "s").agg(F.count("*").alias("texts"))
-    rarest = F.row_number().over(Window.partitionBy("c", "node").orderBy("texts", "s"))
-    ranked = each.join(seen, ["c", "s"]).withColumn("rank", rarest).where("rank <= first and texts > 1")
-    rows = durable(ranked.select(F.xxhash64("c", "s").alias("key"), "node", "n", "label", "apart"))
-    useful = rows.groupBy("key").agg(F.max("apart").alias("apart"), F.min("label").alias("a"), F.max("label").alias("b")).where("apart and a <> b").select("key")
-    return rows.join(few(durable(useful)), "key", "left_semi").select("key", "node", "n", "label").distinct()
-
-
-def _moved_edges(done: DataFrame, labels: DataFrame) -> DataFrame:
-    """(c, d, star): pairs of a star of which one is in another order than the centre.
+                state, lost, other = compare(x, y)
+                found.append((state, len(x), len(y), lost))
+                apart.append(other.astype(np.int64))
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("d"), *([*columns, _lists(apart)] if differences else columns[:1])], names=names)
 
-    Such a text need share nothing outside of the centre with its partner, so it is compared with all
-    members that are near enough in size and not known to share too few shingles with the centre (those
-    meet it in the smaller buckets), save those of its class. Each pair is a row of its own.
+    return durable(both.select("c", "d", "cw", "dw").mapInArrow(run, schema))
+
+
+def _joined(labels: DataFrame | None, done: DataFrame) -> DataFrame | None:
+    """The classes after the links among ``done``: the classes before are the nodes that these links join."""
+    links = done.where("state = 0").select("c", "d")
+    links = durable(_with_class(_with_class(links, labels, "c", "a"), labels, "d", "b").where("a <> b").select(F.col("a").alias("c"), F.col("b").alias("d")).distinct())
+    if links.isEmpty():
+        return labels
+    new = components(links)
+    if labels is None:
+        return new
+    further = labels.join(few(new.select(F.col("node").alias("label"), F.col("label").alias("new"))), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return durable(further.unionByName(new.join(few(labels.select("node")), "node", "left_anti")))
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, label, ...) with ``main``, the label of most texts of a bucket, and ``others``, the texts that have another."""
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("texts"))
+    most = each.groupBy("key").agg(F.max(F.struct("texts", "label")).alias("m"), F.sum("texts").alias("all")).select("key", F.col("m.label").alias("main"), (F.col("all") - F.col("m.texts")).alias("others"))
+    return rows.join(few(durable(most.where("others > 0"))), "key")
+
+
+def _stars(rows: DataFrame, sig: DataFrame) -> DataFrame:
+    """Open buckets as stars: (key, c, d, label, minor, state, nc, n, lost, apart), written, without the centres.
+
+    The centre is a text of the largest class, the one in most buckets; ``minor`` texts are of another class.
     """
-    stars = done.where("star and state <> 1").join(few(labels.select(F.col("node").alias("d"), "label")), "d", "left")
-    stars = durable(stars.select("c", "d", "n", "state", F.coalesce("label", "d").alias("label")))
-    moved = durable(stars.where("state = 2").select("c", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("label").alias("of_x")))
-    sizes = (F.least("n", "nx") >= F.greatest("n", "nx") * F.lit(SIMILARITY) - 1e-9) & (F.col("label") != F.col("of_x"))
-    pairs = stars.join(few(moved), "c").where(sizes)
-    return pairs.select(F.least("d", "x").alias("c"), F.greatest("d", "x").alias("d"), F.lit(False).alias("star")).distinct()
+    centre = rows.where("label = main").groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most")).select("key", F.col("most.node").alias("c"))
+    star = durable(rows.join(few(durable(centre)), "key").where("node <> c").select("key", "c", F.col("node").alias("d"), "label", (F.col("label") != F.col("main")).alias("minor")))
+    return durable(star.join(_compared(star.select("c", "d").distinct(), sig, differences=True), ["c", "d"]))
 
 
-def classes(sig: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that have links: the class of each, named by its least node."""
-    edges, links, small = _first_edges(sig), None, SMALL
-    while True:
-        done = durable(_verified(durable(edges), sig))
-        found = done.where("state = 0").select("c", "d")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, rounds=1)
-        buckets = durable(_next_buckets(done, labels))
-        moved = durable(_moved_edges(done, labels))
-        if buckets.isEmpty() and moved.isEmpty():
-            return components(links)
-        small = min(4 * small, MOST)  # fewer texts are left in each round
-        edges = _edges(_sized(buckets), small).unionByName(moved).groupBy("c", "d").agg(F.max("star").alias("star"))
+def _star_edges(stars: DataFrame) -> DataFrame:
+    """(c, d): pairs of different classes whose differences from their centre allow for a link; see the head of this module.
+
+    Texts that share too few shingles with the centre ask: those outside of the largest class, and all of
+    a star that has moved texts.
+    """
+    moved = durable(stars.groupBy("key").agg(F.max(F.col("minor") & (F.col("state") == 2)).alias("moved")))
+    asks = (F.col("state") == 1) & (F.col("minor") | F.col("moved"))
+    each = stars.join(few(moved), "key").select("key", "d", "label", "n", "nc", "lost", asks.alias("asks"), F.size("apart").alias("total"), F.explode("apart").alias("s"))
+    ranked = durable(_ranked(each, ["key"], "d").drop("texts", "shared"))
+
+    def within(size, common):  # ranks of which one at least belongs to so many common differences
+        return F.col(f"rank{size}") <= F.col(f"total{size}") - F.ceil(common - 1e-9) + 1
+
+    x, y = (ranked.select("key", "s", "nc", *(F.col(c).alias(f"{c}{i}") for c in ("d", "label", "n", "lost", "total", "rank", "asks"))) for i in "xy")
+    x = x.where(F.col("asksx") & within("x", F.lit(SHARE) * (F.col("nx") + F.col("nc")) - F.col("nc") + F.col("lostx")))
+    y = y.drop("nc").where(within("y", F.greatest(F.lit(1.0), F.lit(1 - SHARE) * F.col("losty") + F.lit(SHARE) * (F.col("totaly") - F.col("losty")))))
+    common = F.lit(SHARE) * (F.col("nx") + F.col("ny")) - F.col("nc") + F.col("lostx") + F.col("losty")
+    sizes = F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(SIMILARITY) - 1e-9
+    met = (x["key"] == y["key"]) & (x["s"] == y["s"]) & (F.col("labelx") != F.col("labely")) & sizes & within("x", common) & within("y", common)
+    return x.join(y, met).select(F.least("dx", "dy").alias("c"), F.greatest("dx", "dy").alias("d")).distinct()
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, label): the least node of each connected component, for nodes with links.
+def _moved_edges(stars: DataFrame) -> DataFrame:
+    """(c, d): pairs of a star of which one is in another order than the centre.
 
-    After ``rounds`` labels may still be too fine, never too coarse.
+    Such a text need share nothing outside of the centre with its partner, so it is compared with all
+    members that are near enough in size and not known to share too few shingles with the centre (those
+    ask themselves), save those of its class. Each pair is a row of its own.
+    """
+    near = stars.where("state <> 1").select("key", "d", "n", "state", "label")
+    moved = durable(near.where("state = 2").select("key", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("label").alias("of_x")))
+    sizes = (F.least("n", "nx") >= F.greatest("n", "nx") * F.lit(SIMILARITY) - 1e-9) & (F.col("label") != F.col("of_x"))
+    return near.join(few(moved), "key").where(sizes).select(F.least("d", "x").alias("c"), F.greatest("d", "x").alias("d")).distinct()
+
+
+def classes(sig: DataFrame) -> DataFrame | None:
+    """(node, label) of the nodes that have links: the class of each, named by its least node; None without links."""
+    rows = _sized(durable(_first_buckets(sig)))
+    centre = durable(rows.groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most")).select("key", F.col("most.node").alias("c")))
+    edges = durable(rows.join(few(centre), "key").where("node <> c").groupBy("c", F.col("node").alias("d")).agg(F.count("*").alias("keys")))
+    best = edges.groupBy("d").agg(F.max(F.struct("keys", "c")).alias("most")).select(F.col("most.c").alias("c"), "d")
+    labels = _joined(None, _compared(best, sig))
+    labels = _joined(labels, _compared(_apart(edges, labels), sig))
+    # buckets of more than one class: the few that are outside of the largest one meet all others
+    open_ = durable(_largest(_with_class(rows, labels, "node", "label")))
+    minor = open_.where((F.col("others") <= SMALL) & (F.col("label") != F.col("main"))).select("key", F.col("node").alias("x"), F.col("label").alias("of_x"))
+    pairs = open_.where(F.col("others") <= SMALL).select("key", "node", "label").join(minor, "key").where("label <> of_x")
+    labels = _joined(labels, _compared(pairs.select(F.least("node", "x").alias("c"), F.greatest("node", "x").alias("d")).distinct(), sig))
+    wide = open_.where(F.col("others") > SMALL).select("key", "node", "n", "keys")
+    if wide.isEmpty():
+        return labels
+    stars = _stars(durable(_largest(_with_class(wide, labels, "node", "label"))), sig)
+    return _joined(labels, _compared(_star_edges(stars).union(_moved_edges(stars)).distinct(), sig))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label), written: the least node of each connected component, for nodes with links.
 
     Each round takes the least label among neighbours and then follows the label's own label, so
     the rounds grow with the logarithm of a component's width.
     """
     both = durable(links.select(F.col("c").alias("node"), F.col("d").alias("other")).union(links.select("d", "c")).distinct())
-    labels, done = durable(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))), 0
+    labels = durable(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(few(labels.select(F.col("node").alias("other"), "label")), "other").groupBy("node").agg(F.min("label").alias("m"))
         own = labels.select("node", F.col("label").alias("old"))
@@ -321,8 +372,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         new = durable(better.join(few(jump), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
         changed = not new.where("label <> old").isEmpty()
         labels = new.select("node", "label")
-        done += 1
-        if not changed or done == rounds:
+        if not changed:
             return labels
 
 
@@ -334,11 +384,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     shingle. Null texts count as empty, repeated rows are kept, and a class of null ids has a null id.
     """
     sig = durable(signatures(docs))
-    labels = classes(sig)
-    named = sig.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    named = durable(named)
-    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "label").select("doc_id", "class_id")
+    named = durable(_with_class(sig.select("doc_id", "node"), classes(sig), "node", "label").select("doc_id", "label"))
+    least = durable(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")))
+    # a text without others is its own class and need not be joined
+    shared = few(durable(least.where("rows > 1").select("label", "class_id", F.lit(True).alias("_shared"))))
+    return named.join(shared, "label", "left").select("doc_id", F.when(F.col("_shared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

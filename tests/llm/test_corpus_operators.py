@@ -335,23 +335,14 @@ def brute_classes(texts):
 
 
 def test_short_texts_meet(spark):
-    """Each linked pair of texts of 5 to 110 words has a key in common, whatever words differ."""
+    """Texts of 5 to 110 words: classes as by brute force, whatever words differ."""
     rng = random.Random(11)
-    pairs = 0
-    for n in [*range(5, 31), *range(31, 111, 5)]:
-        for _ in range(60):
-            x = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(9)) for _ in range(n)]
-            y = x[rng.randint(0, 1 + n // 12) : n - rng.randint(0, n // 12)] + ["new"] * rng.randint(0, 1 + n // 12)
-            a, b = shingles_of(" ".join(x)), shingles_of(" ".join(y))
-            if min(len(a), len(b)) <= near_dup.FEW and near_dup.compare(a, b)[0] == 0:
-                pairs += 1
-                assert set(near_dup.keys_of(a)) & set(near_dup.keys_of(b))
-    assert pairs > 500
     texts = []
-    for n in range(5, 31):
+    for n in [*range(5, 31), *range(31, 111, 5)]:
         for _ in range(4):
             x = ["w%d" % rng.randrange(300) for _ in range(n)]
-            texts += [" ".join(x), " ".join([*x, "end"]), " ".join(["start", *x]), " ".join(x[1:]), " ".join(x[:-1])]
+            y = x[rng.randint(0, 1 + n // 12) : n - rng.randint(0, n // 12)] + ["new"] * rng.randint(0, 1 + n // 12)
+            texts += [" ".join(x), " ".join([*x, "end"]), " ".join(["start", *x]), " ".join(x[1:]), " ".join(x[:-1]), " ".join(y)]
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs_of(spark, texts)).collect()}
     assert got == dict(enumerate(brute_classes(texts)))
 
@@ -366,7 +357,7 @@ def test_one_common_sketch_in_a_large_bucket(spark):
         for i in (20, 65, 110):
             y[i] = "new%d" % i
         a, b = shingles_of(" ".join(x)), shingles_of(" ".join(y))
-        common = set(near_dup.keys_of(a)) & set(near_dup.keys_of(b))
+        common = set(near_dup.sketch(a)) & set(near_dup.sketch(b))
         if len(common) == 1 and near_dup.compare(a, b)[0] == 0:
             break
     seed = next(i for i, k in enumerate(near_dup.sketch(a)) if k in common)
@@ -386,18 +377,17 @@ def test_one_common_sketch_in_a_large_bucket(spark):
     assert got == dict(enumerate(brute_classes(texts))) and got[1] == 0
 
 
-def test_moved_passages_in_a_large_bucket(spark, monkeypatch):
-    """Near copies of one text, some with moved passages: classes as by brute force, and no array of more pairs than MOST texts have."""
+@pytest.mark.parametrize("small", [12, 3])
+def test_moved_passages_in_a_large_bucket(spark, monkeypatch, small):
+    """Near copies of one text, some with moved passages: classes as by brute force, with few or many stars."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
     rng = random.Random(17)
     base = ["w%d" % rng.randrange(900) for _ in range(120)]
-    vary = lambda w: " ".join("v%d" % rng.randrange(900) if rng.random() < 0.012 else x for x in w)
+    vary = lambda w, rate=0.012: " ".join("v%d" % rng.randrange(900) if rng.random() < rate else x for x in w)
     texts = [vary(base) for _ in range(60)] + [vary(base[60:] + base[:60]) for _ in range(8)] + [vary(base[30:60] + base[:30] + base[60:]) for _ in range(3)]
-    sizes, pairs = [], near_dup._pairs
-    monkeypatch.setattr(near_dup, "MOST", 24)
-    monkeypatch.setattr(near_dup, "_pairs", lambda sized, small: sizes.append(small) or pairs(sized, small))
+    texts += [vary(base, 0.04) for _ in range(20)] + [t + " v1 v2" for t in texts[:3]]
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs_of(spark, texts)).collect()}
     assert got == dict(enumerate(brute_classes(texts))) and len(set(got.values())) > 1
-    assert len(sizes) > 1 and max(sizes) <= 24
 
 
 def test_pipeline(spark):
