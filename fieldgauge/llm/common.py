@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a document for near-duplicate work: letters, digits and underscore.
@@ -19,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a local session) is a temporary folder taken.
+    Only a local session may leave that unset: it gets a temporary folder. On a cluster each executor
+    would write to its own disk there, so that is refused.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
@@ -62,3 +67,16 @@ def few(table: DataFrame) -> DataFrame:
 def pick(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose key is among ``ids``: by broadcast while these are few, else by a join."""
     return df.join(few(ids), key, "left_semi")
+
+
+def hash_of_id(key: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40))
+
+
+def least_hashed(labels: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """Rows of the least hash of their id: all, or of more than ``most`` some more than that many.
+
+    What is ranked by `hash_of_id` and cut at ``most`` afterwards is then small in every task.
+    """
+    n = labels.count()
+    return labels if n <= most else labels.where(hash_of_id(key) < int((1 << 40) * min(1.0, (1.2 * most + 200) / n)))

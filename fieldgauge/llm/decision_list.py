@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import durable
+from fieldgauge.llm.common import durable, hash_of_id, least_hashed
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -200,7 +200,8 @@ def learned_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
     """
     names = list(FEATURES)
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good"))
-    taken = stats.join(lab, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "word_chars", "n_words").limit(max_rows)
+    lab = least_hashed(lab, max_rows)
+    taken = stats.join(lab, "doc_id").orderBy(hash_of_id(), "doc_id", "word_chars", "n_words").limit(max_rows)
     rows = taken.select("_good", *(feature(f).alias(f"_f{i}") for i, f in enumerate(names))).collect()
     values = np.array([r[1:] for r in rows], float).reshape(-1, len(names))
     return learn(values, np.array([r[0] > 0 for r in rows], bool), names, min_precision)

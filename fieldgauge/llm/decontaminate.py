@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldgauge.llm.common import free_name
+from fieldgauge.llm.common import durable, free_name
 from fieldgauge.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -75,13 +76,14 @@ def phrases(pairs: list[tuple[object, bytes]], window: int = WINDOW) -> Phrases:
     return Phrases(number, rows, lengths, items, np.cumsum([0, *map(len, of.values())]))
 
 
-def search_shard(ids: list[np.ndarray], p: Phrases, block: int = SHARD_WORDS) -> tuple[list[np.ndarray], list[set]]:
+def search_shard(ids: list[np.ndarray], p: Phrases, block: int | None = None) -> tuple[list[np.ndarray], list[set]]:
     """For each document of a shard its hit words and the windows that occur in it.
 
     The documents stand one after another with separators between. Words that no window has are
     separators too, a run of them one, since no occurrence can cross them. A shard of more words
     than an index holds (one very long document) is indexed in blocks that overlap by a window.
     """
+    block = block or SHARD_WORDS
     all_ids = np.concatenate([np.append(x, 0) for x in ids]).astype(np.int64)
     begin = np.cumsum([0, *(len(x) + 1 for x in ids)])
     hit = np.zeros(len(all_ids) + 1, np.int32)
@@ -145,7 +147,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if blocks == 1:
         return _search(docs, phrases([(r.item_id, r.window) for r in named.collect()], window), text_col, kind)
     row = free_name(docs, "_row")
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
+    docs = durable(docs.withColumn(row, F.monotonically_increasing_id()))  # written: each block must see the same numbers
     parts = []
     for b in range(blocks):
         p = phrases([(r.item_id, r.window) for r in named.where(F.col("block") == b).collect()], window)
@@ -169,7 +171,7 @@ def _search(docs: DataFrame, p: Phrases, text_col: str, kind: str) -> DataFrame:
     keep = [f for f in docs.schema.fields if f.name not in made]
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
     schema = T.StructType([*keep, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T._parse_datatype_string(f"array<{kind}>"))])
-    item_type = pa.int64() if kind in ("bigint", "long") else pa.int32() if kind == "int" else pa.string()
+    item_type = to_arrow_type(T._parse_datatype_string(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldgauge.llm.common import durable, hash_of_id, least_hashed
+
 SLOTS = 1 << 18
 _WORD = re.compile(r"\w+")
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[^\W\d_]+", lambda m: ("A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a")), (r"\d+", "9"), (r"([^\w])\1+", r"\1\1"))]
@@ -96,10 +98,10 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, featurize) -> list
     bound holds whatever the table holds; whole texts are turned into slots on the executors. Of
     equal texts with equal labels one is used.
     """
-    chosen = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id")
+    labels = least_hashed(labels, max_rows)
     # the ids are taken first, so that no text is sorted
-    ids = chosen.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
-    chosen = chosen.join(F.broadcast(ids), "doc_id", "left_semi")
+    ids = docs.select("doc_id").join(labels, "doc_id").orderBy(hash_of_id(), "doc_id").limit(max_rows).distinct().join(labels, "doc_id")
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(durable(ids)), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = featurize()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldgauge.llm.common import free_name
 from fieldgauge.llm.hashed_terms import _AGAIN, Adam, Cached, dense, sample, select_slots, shares, token_slots
 
 
@@ -84,7 +85,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, most_terms:
     return Ordinal(slots, w.copy(), first[0] + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
-def fit_on(docs: DataFrame, grades_of: DataFrame, grades: int = 3, max_rows: int = 8_000) -> Ordinal:
+def fit_on(docs: DataFrame, grades_of: DataFrame, grades: int = 3, max_rows: int = 8_000, most_terms: int = 2048) -> Ordinal:
     """Fit on at most ``max_rows`` rated texts; ``grades_of`` has doc_id and `grade` (0 is the lowest).
 
     ``max_rows`` bounds what reaches the driver. Of several grades of an id the lowest counts; rows
@@ -96,7 +97,7 @@ def fit_on(docs: DataFrame, grades_of: DataFrame, grades: int = 3, max_rows: int
         of = Cached(token_slots)
         return lambda text: shares(text, of)
 
-    return fit(sample(docs, lab, max_rows, featurize), grades)
+    return fit(sample(docs, lab, max_rows, featurize), grades, most_terms)
 
 
 def grades_from_labels(labels: DataFrame) -> DataFrame:
@@ -126,13 +127,19 @@ def score(df: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
 KEEP = 0.5
 
 
-def graded_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> DataFrame:
-    """doc_id, expected_grade, p_good (grade 1 or more), p_best (grade 2) and kept of each document."""
-    scored = score(docs.select("doc_id", "text"), fit_on(docs, grades_from_labels(labels), 3, max_rows))
+def graded_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, most_terms: int = 2048) -> DataFrame:
+    """doc_id, expected_grade, p_good (grade 1 or more), p_best (grade 2) and kept of each document.
+
+    Null counts as an empty text, which is graded by the thresholds alone; repeated rows give repeated rows.
+    """
+    scored = score(docs.select("doc_id", "text"), fit_on(docs, grades_from_labels(labels), 3, max_rows, most_terms))
     return scored.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_good"), F.col("tails")[1].alias("p_best"), (F.col("tails")[0] >= KEEP).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> DataFrame:
-    """The documents that the classifier keeps, with their own columns."""
-    scored = score(docs, fit_on(docs, grades_from_labels(labels), 3, max_rows))
-    return scored.where(F.col("tails")[0] >= KEEP).select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, most_terms: int = 2048) -> DataFrame:
+    """The documents that the classifier keeps, with their own columns; null texts are graded as empty ones."""
+    model = fit_on(docs, grades_from_labels(labels), 3, max_rows, most_terms)
+    # under free names, so that columns of the documents stay
+    own = {c: free_name(docs, f"_own_{c}") for c in ("expected_grade", "tails") if c in docs.columns}
+    scored = score(docs.withColumnsRenamed(own), model).where(F.col("tails")[0] >= KEEP)
+    return scored.drop("expected_grade", "tails").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

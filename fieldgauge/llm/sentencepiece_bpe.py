@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Units in each of a task's two dictionaries (recent ones and those before), and the longest that is kept.
-KEPT_UNITS, KEPT_LENGTH = 300_000, 48
+#: Units in each of a task's two dictionaries (recent ones and those before), the longest that is kept, and
+#: pairs of pieces whose check is kept. With some 350 bytes a unit and 100 a pair a task holds 70 MB at most.
+KEPT_UNITS, KEPT_LENGTH, KEPT_PAIRS = 80_000, 48, 150_000
 _SPACED = re.compile(r"( +)([^ ]*)")
 
 
@@ -115,6 +116,11 @@ class Encoder(dict):
         self.checked: dict[tuple[int, int], bool] = {}
         self.run_memo: dict[int, list[int]] = {}
 
+    def forget(self) -> None:
+        """Gives back what was kept of the texts met so far; the automaton stays."""
+        self.clear()
+        self.before, self.checked, self.run_memo = {}, {}, {}
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges would leave these two neighbours as they are."""
         limit = len(self.id_of) + 1
@@ -156,7 +162,7 @@ class Encoder(dict):
                         break
                     fits = checked.get((before, rank))
                     if fits is None:
-                        if len(checked) > 1_000_000:
+                        if len(checked) > KEPT_PAIRS:
                             checked.clear()
                         fits = checked[before, rank] = self.compatible(before, rank)
                     if fits:
@@ -302,7 +308,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(key: str, shared) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
+    """One automaton for each Python worker and vocabulary; what is kept of texts belongs to a task."""
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(shared.value)
@@ -314,14 +320,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *arrays])))
 
 
-def _with_columns(df: DataFrame, added: list[T.StructField], text_col: str, make) -> DataFrame:
+def _with_columns(df: DataFrame, added: list[T.StructField], text_col: str, model_path: str, make) -> DataFrame:
+    """``make`` gives the added columns from an encoder and the values of a batch."""
+    key, shared = model_path, df.sparkSession.sparkContext.broadcast(vocabulary(model_path))
     schema = T.StructType([f for f in df.schema.fields if f.name not in {a.name for a in added}] + added)
     keep = [f.name for f in df.schema.fields if f.name not in {a.name for a in added}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *make(texts)], names=[*keep, *(a.name for a in added)])
+        enc = _encoder(key, shared)
+        try:
+            for batch in batches:
+                made = make(enc, batch.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *(a.name for a in added)])
+        finally:
+            enc.forget()  # the worker may serve other operators next
 
     return df.mapInArrow(run, schema)
 
@@ -332,24 +344,18 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
     A null or empty text has no ids. Other columns stay as they are; a column that already has
     the name of the result is replaced. Rows are independent: repeated rows give repeated rows.
     """
-    key, shared = model_path, df.sparkSession.sparkContext.broadcast(vocabulary(model_path))
-
-    def make(texts):
-        enc = _encoder(key, shared)
+    def make(enc, texts):
         return [_lists([numbers(",".join([p[0] for p in enc.parts(t or "")])) for t in texts])]
 
-    return _with_columns(df, [T.StructField(out_col, T.ArrayType(T.IntegerType()))], text_col, make)
+    return _with_columns(df, [T.StructField(out_col, T.ArrayType(T.IntegerType()))], text_col, model_path, make)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """Adds ``out_col string``: the text of each row's ids (null or no ids: an empty text)."""
-    key, shared = model_path, df.sparkSession.sparkContext.broadcast(vocabulary(model_path))
-
-    def make(lists):
-        enc = _encoder(key, shared)
+    def make(enc, lists):
         return [pa.array([enc.decode_text(ids or []) for ids in lists], pa.string())]
 
-    return _with_columns(df, [T.StructField(out_col, T.StringType())], ids_col, make)
+    return _with_columns(df, [T.StructField(out_col, T.StringType())], ids_col, model_path, make)
 
 
 def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -359,12 +365,10 @@ def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", wi
     ids gives. A null text counts as empty. One pass, no shuffle; memory is bounded by the batch
     and by the dictionary of units.
     """
-    key, shared = model_path, df.sparkSession.sparkContext.broadcast(vocabulary(model_path))
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     added += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
 
-    def make(texts):
-        enc = _encoder(key, shared)
+    def make(enc, texts):
         n, ids_sha, text_sha, raw = [], [], [], []
         for text in texts:
             parts = enc.parts(text or "")
@@ -378,7 +382,7 @@ def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", wi
         out = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
         return [*out, _lists(raw)] if with_ids else out
 
-    return _with_columns(df, added, text_col, make)
+    return _with_columns(df, added, text_col, model_path, make)
 
 
 def digest(df: DataFrame, model_path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import durable, text_or_empty
+from fieldgauge.llm.common import durable, free_name, text_or_empty
 from fieldgauge.llm.feistel import permute, round_keys
 
 _IN_PARTITION = (1 << 33) - 1  # bits of monotonically_increasing_id() that count within a partition
@@ -23,7 +23,7 @@ def numbered(df: DataFrame, order: list[str], out_col: str = "row_number") -> tu
     their place in the input, so that a key with very many rows fills several ranges. The driver
     sees one count for each partition.
     """
-    tie, local = "_tie", "_local"
+    tie, local = free_name(df, "_tie"), free_name(df, "_local")
     ranged = df.withColumn(tie, F.monotonically_increasing_id())
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = ranged.repartitionByRange(parts, *order, tie).sortWithinPartitions(*order, tie)
@@ -33,7 +33,8 @@ def numbered(df: DataFrame, order: list[str], out_col: str = "row_number") -> tu
     for r in counts:
         sizes[r["p"]] = r["count"]
     starts = df.sparkSession.sparkContext.broadcast(np.cumsum(sizes) - sizes)
-    schema = T.StructType([*kept.drop(local).schema.fields, T.StructField(out_col, T.LongType())])
+    own = [f for f in kept.schema.fields if f.name not in (local, out_col)]
+    schema = T.StructType([*own, T.StructField(out_col, T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,6 +48,8 @@ def numbered(df: DataFrame, order: list[str], out_col: str = "row_number") -> tu
 def shuffle_into_shards(df: DataFrame, order: list[str], shards: int, key: str) -> DataFrame:
     """Adds ``row_number``, ``shard int`` and ``slot long``: law `rows`, shard sizes at most one apart.
 
+    Columns of the frame that have these names are replaced.
+
     Row number r goes to place p, p = permute(r); its shard is p modulo ``shards`` and its slot is
     p divided by it, so both follow from r, the number of rows and the key, and
     `row_of` leads back. Nulls of the order columns come first. Rows that tie in all order columns
@@ -56,12 +59,13 @@ def shuffle_into_shards(df: DataFrame, order: list[str], shards: int, key: str)
         raise ValueError("at least one shard is needed")
     rows, n = numbered(df, order)
     keys = round_keys(key)
-    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    own = [f for f in rows.schema.fields if f.name not in ("shard", "slot")]
+    schema = T.StructType([*own, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = permute(batch.column("row_number").to_numpy(), n, keys)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((at % shards).astype(np.int32)), pa.array(at // shards)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array((at % shards).astype(np.int32)), pa.array(at // shards)], names=schema.names)
 
     return rows.mapInArrow(place, schema)
 

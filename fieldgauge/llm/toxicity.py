@@ -70,10 +70,11 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], most_terms: int = 2048,
     return Machine(slots, float(bias[0]), w.astype(float), v.astype(float))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Machine:
+def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, most_terms: int = 2048) -> Machine:
     """Fit on at most ``max_rows`` labelled texts (`toxic` 0 or 1; the higher of several labels of an id).
 
-    ``max_rows`` bounds what reaches the driver; the sample is that of the least hashes of the ids.
+    ``max_rows`` bounds what reaches the driver; the sample is that of the least hashes of the ids. The
+    model has the ``most_terms`` terms most associated with the label.
     """
     lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y"))
 
@@ -86,7 +87,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Machine
 
         return make
 
-    return fit(sample(docs, lab, max_rows, featurize))
+    return fit(sample(docs, lab, max_rows, featurize), most_terms)
 
 
 def score(df: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -109,8 +110,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of each document."""
-    machine = fit_on(docs.where(~held_out()), labels.where(~held_out()), max_rows)
+def toxic_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, threshold: float = 0.3, most_terms: int = 2048) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document.
+
+    Null counts as an empty text, which has the score of no terms; a null id is not held out. Repeated
+    rows give repeated rows; without labels every score is one half.
+    """
+    machine = fit_on(docs.where(~held_out()), labels.where(~held_out()), max_rows, most_terms)
     scored = score(docs.select("doc_id", "text"), machine)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
