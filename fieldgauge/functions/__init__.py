@@ -11,12 +11,16 @@ WINDOWS = [("6-12", 6, 12), ("13-30", 13, 30)]  # rollout steps, ends included
 
 
 def sig(x: Column, n: int = 6) -> Column:
-    """x to n significant figures; null, NaN and infinities pass.
-
-    A value whose shortest decimal form ends in a 5 to be rounded goes away from zero.
-    """
+    """x to n significant figures, by its exact binary value; null, NaN and infinities pass."""
     x = x.cast("double")
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == INF), x).otherwise(F.format_string(f"%.{n - 1}e", x).cast("double"))
+    shown = F.call_function("format_number", x, F.lit("0." + "0" * (n - 1) + "E0" if n > 1 else "0E0"))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == INF), x).otherwise(shown.cast("double"))
+
+
+def variance(x: Column) -> Column:
+    """Sample variance; below 1e-15 of the mean square it is what summing in some order leaves, and 0."""
+    v = F.var_samp(x)
+    return F.when(v <= 1e-15 * F.avg(x * x), 0.0).otherwise(v)
 
 
 def finite(x: Column) -> Column:

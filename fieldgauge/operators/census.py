@@ -17,7 +17,10 @@ def component_census(var: DataFrame, by: list[str] = ("file", "field"), first: s
 
 
 def trajectory_audit(var: DataFrame, frames: tuple[int, int] = (4, 33)) -> DataFrame:
-    """For each trajectory and field: frames at the floor, the last of them, variances at chosen frames."""
+    """For each trajectory and field: frames at the floor, the last of them, variances at chosen frames.
+
+    ``var_final`` is that of the last frame, null where that one is undefined.
+    """
     v, t = F.col("var"), F.col("t")
     return var.groupBy("file", "trajectory", "field").agg(
         F.count_if(v <= EPS).alias("n_le"), F.max(F.when(v <= EPS, t)).alias("last_t_le"), F.min(v).alias("var_min"), *(F.max(F.when(t == k, v)).alias(f"var_t{k}") for k in frames), F.max_by("var", "t").alias("var_final")
@@ -56,6 +59,7 @@ def map_order(mapped: DataFrame) -> DataFrame:
 
 
 def persistence_curve(pers: DataFrame, var: DataFrame, eps: float = EPS) -> DataFrame:
+    """Mean score over the fields of each frame for persistence; frames without one before are left out."""
     joined = pers.where("persistence_mse is not null").join(var, ["file", "trajectory", "t", "field"])
     return joined.groupBy("file", "trajectory", "t").agg(F.avg(vrmse(F.col("persistence_mse"), F.col("var"), eps)).alias("score"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldgauge.functions import EPS, EPS_FIX, INF, vrmse
+from fieldgauge.functions import EPS, EPS_FIX, INF, variance, vrmse
 from fieldgauge.sources.views import FIELDS, FRAME
 
 SITE = ["file", "trajectory", "field_idx", "site"]
@@ -25,6 +25,7 @@ def long_variance(cells: DataFrame, ddof: int = 1) -> DataFrame:
 
 
 def frame_rms2(cells: DataFrame) -> DataFrame:
+    """Mean square of each field over the cells of a frame; nulls do not count, a frame of nulls gives null."""
     return cells.groupBy(*FRAME).agg(*(F.avg(F.col(f) * F.col(f)).alias(f"rms2_{f}") for f in FIELDS))
 
 
@@ -43,6 +44,7 @@ def frame_mse(pred: DataFrame, target: DataFrame, keys: list[str], by: list[str]
 
 
 def spatial_mean(cells: DataFrame) -> DataFrame:
+    """Mean of each field over the cells of a frame; nulls do not count, a frame of nulls gives null."""
     return cells.groupBy(*FRAME).agg(*(F.avg(f).alias(f"mean_{f}") for f in FIELDS))
 
 
@@ -54,7 +56,8 @@ def persistence_mse(grid: DataFrame) -> DataFrame:
 
 
 def prediction_variance(preds: DataFrame) -> DataFrame:
-    return preds.groupBy("model", "mode", *FRAME, "field").agg(F.var_samp("pred").alias("pvar"))
+    """Variance of the predicted frame, as `functions.variance`; null where fewer than two sites have one."""
+    return preds.groupBy("model", "mode", *FRAME, "field").agg(variance(F.col("pred")).alias("pvar"))
 
 
 ROW = ["model", "mode", *FRAME, "rollout_step", "input_start"]
@@ -66,6 +69,7 @@ def field_mean_vrmse(rows: DataFrame, eps: float | Column, name: str = "score",
 
 
 def well_conditioned(rows: DataFrame, threshold: float = EPS_FIX) -> DataFrame:
+    """Whether every field of a score row has a variance above the threshold; a null variance has not."""
     return rows.groupBy(*ROW).agg(F.bool_and(F.coalesce(F.col("var") > threshold, F.lit(False))).alias("conditioned"))
 
 

@@ -8,7 +8,7 @@ from fieldgauge.functions import EPS, EPS_FIX, band, floor_share, safe_div, sig,
 from fieldgauge.operators import census as M
 from fieldgauge.operators import frames as A
 from fieldgauge.operators import screen as C
-from fieldgauge.plans.registry import S, query
+from fieldgauge.plans.registry import VAR, S, query
 from fieldgauge.sources import views as V
 from fieldgauge.sources.views import FIELDS, FRAME
 
@@ -18,6 +18,9 @@ _PERS = "pm AS (SELECT file, trajectory, t, field, field_idx, avg((x - p) * (x -
 _GVAR = "gv AS (SELECT file, trajectory, t, field, var_samp(x) AS var FROM grid GROUP BY ALL)"
 
 
+_NAN = "CAST('nan' AS DOUBLE)"
+
+
 def sigs(df, *names):
     return df.withColumns({n: sig(F.col(n)) for n in names})
 
@@ -62,7 +65,7 @@ def q_a7(spark, d):
     return sigs(A.persistence_mse(V.grid(spark, d)), "persistence_mse")
 
 
-@query("q_a8", "preds", f"SELECT model, mode, file, trajectory, t, field, {S('var_samp(pred)')} AS pvar FROM preds WHERE model = 'persistence' GROUP BY ALL")
+@query("q_a8", "preds", f"SELECT model, mode, file, trajectory, t, field, {S(VAR('pred'))} AS pvar FROM preds WHERE model = 'persistence' GROUP BY ALL")
 def q_a8(spark, d):
     return sigs(A.prediction_variance(V.preds(spark, d).where("model = 'persistence'")), "pvar")
 
@@ -112,7 +115,7 @@ def _report(spark, d, eps=EPS, by=("file", "field")):
     return C.field_report(A.long_variance(V.cells(spark, d)), eps, by)
 
 
-@query("q_c3", "cells", f"WITH {_VAR} SELECT file, field, count(*) AS n_frames, {S('min(var)')} AS var_min, {S('median(var)')} AS var_median, {S('max(var)')} AS var_max, {S('max(1e-7 / (var + 1e-7))')} AS share_worst, {S('median(1e-7 / (var + 1e-7))')} AS share_median FROM fv GROUP BY file, field")
+@query("q_c3", "cells", f"WITH {_VAR} SELECT file, field, count(*) AS n_frames, " + ", ".join(f"{S(f'CASE WHEN bool_or(var IS NULL) THEN {_NAN} ELSE {x} END')} AS {n}" for x, n in (("min(var)", "var_min"), ("median(var)", "var_median"), ("max(var)", "var_max"), ("max(1e-7 / (var + 1e-7))", "share_worst"), ("median(1e-7 / (var + 1e-7))", "share_median"))) + " FROM fv GROUP BY file, field")
 def q_c3(spark, d):
     return sigs(_report(spark, d).select("file", "field", "n_frames", "var_min", "var_median", "var_max", "share_worst", "share_median"), "var_min", "var_median", "var_max", "share_worst", "share_median")
 
@@ -161,12 +164,12 @@ def q_c11(spark, d):
     return sigs(C.sweep_bound(A.long_variance(V.cells(spark, d)), EPS, EPS_FIX), "least", "median", "most")
 
 
-@query("q_c12", "cells", f"WITH {_VAR}, r AS (SELECT field, field_idx, max(1e-7 / (var + 1e-7)) AS s FROM fv GROUP BY ALL) SELECT field, {S('s')} AS share_worst FROM r ORDER BY s DESC, field_idx LIMIT 1")
+@query("q_c12", "cells", f"WITH {_VAR}, r AS (SELECT field, field_idx, CASE WHEN NOT bool_or(var IS NULL) THEN max(1e-7 / (var + 1e-7)) END AS s FROM fv GROUP BY ALL) SELECT field, {S(f'coalesce(s, {_NAN})')} AS share_worst FROM r ORDER BY coalesce(nullif(s, 0), -1) DESC, field_idx LIMIT 1")
 def q_c12(spark, d):
     return C.least_conditioned(_report(spark, d, by=("field", "field_idx"))).select("field", sig(F.col("share_worst")).alias("share_worst"))
 
 
-@query("q_c13", "cells", f"WITH {_VAR}, r AS (SELECT field, max(1e-7 / (var + 1e-7)) AS s, bool_or(var IS NULL) AS u FROM fv GROUP BY ALL) SELECT CASE WHEN bool_or(u) THEN 'SCREEN UNDEFINED' WHEN max(s) >= 0.9 THEN 'SCREEN POSITIVE' WHEN max(s) >= 0.5 THEN 'SCREEN BORDERLINE' ELSE 'SCREEN NEGATIVE' END AS verdict, {S('max(s)')} AS worst_share, count(*) AS n_fields FROM r")
+@query("q_c13", "cells", f"WITH {_VAR}, r AS (SELECT field, CASE WHEN NOT bool_or(var IS NULL) THEN max(1e-7 / (var + 1e-7)) END AS s, bool_or(var IS NULL) AS u FROM fv GROUP BY ALL) SELECT CASE WHEN bool_or(u) THEN 'SCREEN UNDEFINED' WHEN max(s) >= 0.9 THEN 'SCREEN POSITIVE' WHEN max(s) >= 0.5 THEN 'SCREEN BORDERLINE' ELSE 'SCREEN NEGATIVE' END AS verdict, {S('max(s)')} AS worst_share, count(*) AS n_fields FROM r")
 def q_c13(spark, d):
     return sigs(C.verdict(_report(spark, d, by=("field",)), EPS), "worst_share")
 
@@ -176,7 +179,7 @@ def q_c14(spark, d):
     return C.rescued(_report(spark, d, 0.0, ("field",))).select("field", "band")
 
 
-@query("q_c15", "cells", f"WITH {_VAR}, s AS (SELECT field, max(1e-7 / (var + 1e-7)) AS share FROM fv GROUP BY field), b AS (SELECT {_BAND} AS band FROM s) SELECT CASE WHEN bool_or(band = 'floor-determined') THEN 'positive' ELSE '' END AS reasons, NOT bool_or(band = 'floor-determined') AS clean FROM b")
+@query("q_c15", "cells", f"WITH {_VAR}, s AS (SELECT field, CASE WHEN NOT bool_or(var IS NULL) THEN max(1e-7 / (var + 1e-7)) END AS share FROM fv GROUP BY field), b AS (SELECT {_BAND} AS band FROM s) SELECT concat_ws(',', CASE WHEN bool_or(band = 'floor-determined') THEN 'positive' END, CASE WHEN bool_or(band = 'undefined') THEN 'undefined' END) AS reasons, NOT bool_or(band IN ('floor-determined', 'undefined')) AS clean FROM b")
 def q_c15(spark, d):
     return C.clean_gate(_report(spark, d, by=("field",)))
 
@@ -188,10 +191,10 @@ def q_c16(spark, d):
     return both.select(*FRAME, F.inline(each))
 
 
-@query("q_c17", "rows", f"SELECT model, field, {S('max(sqrt(mse / (var + 1e-7)) / sqrt(mse))')} AS amplification, bool_and(sqrt(mse / (var + 1e-7)) / sqrt(mse) <= 1 / sqrt(1e-7)) AS bounded FROM rows WHERE mse > 0 AND var IS NOT NULL GROUP BY ALL")
+@query("q_c17", "rows", f"SELECT model, field, {S('max(sqrt(mse / (var + 1e-7)) / sqrt(mse))')} AS amplification, bool_and(sqrt(mse / (var + 1e-7)) / sqrt(mse) <= 1 / sqrt(1e-7) * (1 + 1e-12)) AS bounded FROM rows WHERE mse > 0 AND var IS NOT NULL GROUP BY ALL")
 def q_c17(spark, d):
     a = safe_div(vrmse(F.col("mse"), F.col("var"), EPS), F.sqrt("mse"))
-    return sigs(V.rows(spark, d).where("mse > 0 and var is not null").groupBy("model", "field").agg(F.max(a).alias("amplification"), F.bool_and(a <= EPS**-0.5).alias("bounded")), "amplification")
+    return sigs(V.rows(spark, d).where("mse > 0 and var is not null").groupBy("model", "field").agg(F.max(a).alias("amplification"), F.bool_and(a <= EPS**-0.5 * (1 + 1e-12)).alias("bounded")), "amplification")
 
 
 @query("q_c18", "grid", "WITH s AS (SELECT file, trajectory, field, site, count(*) FILTER (WHERE x <> 0) AS nz, arg_min(x, t) AS a, arg_max(x, t) AS b FROM grid GROUP BY ALL) SELECT file, trajectory, field, sum(nz) = 0 AS all_zero, bool_and(abs(b - a) <= 1e-4) AS returns FROM s GROUP BY ALL")
@@ -221,7 +224,7 @@ def q_m2(spark, d):
     return sigs(M.component_census(var.join(F.broadcast(first), ["file", "trajectory"], "left_semi"), ["file", "trajectory", "field"]).select("file", "trajectory", "field", "n_frames", "var_min", "var_max"), "var_min", "var_max")
 
 
-_M3 = "ta AS (SELECT file, trajectory, field, count(*) FILTER (WHERE var <= 1e-7) AS n_le, max(CASE WHEN var <= 1e-7 THEN t END) AS last_t_le, min(var) AS var_min, max(CASE WHEN t = 4 THEN var END) AS var_t4, max(CASE WHEN t = 33 THEN var END) AS var_t33, arg_max(var, t) AS var_final FROM fv GROUP BY ALL)"
+_M3 = "ta AS (SELECT file, trajectory, field, count(*) FILTER (WHERE var <= 1e-7) AS n_le, max(CASE WHEN var <= 1e-7 THEN t END) AS last_t_le, min(var) AS var_min, max(CASE WHEN t = 4 THEN var END) AS var_t4, max(CASE WHEN t = 33 THEN var END) AS var_t33, first(var ORDER BY t DESC) AS var_final FROM fv GROUP BY ALL)"
 
 
 @query("q_m3", "cells", f"WITH {_VAR}, {_M3} SELECT file, trajectory, field, n_le, last_t_le, " + ", ".join(f"{S(c)} AS {c}" for c in ("var_min", "var_t4", "var_t33", "var_final")) + " FROM ta")

@@ -117,12 +117,13 @@ def q_w13(spark, d):
     return sigs(W.phase_split(_starts(spark, d)), "quiescent_weighted", "quiescent_plain", "developed_weighted", "developed_plain", "ratio")
 
 
-_QF = "qf AS (SELECT file, count(*) AS n_starts, count(*) FILTER (WHERE v <= 1e-5) AS n_quiescent, avg(CAST(v <= 1e-5 AS INT)) AS quiescent_fraction, min(v) AS min_field_variance FROM (SELECT file, trajectory, input_start, min(var) AS v FROM rows WHERE mode = 'onestep' GROUP BY ALL) q GROUP BY file)"
+_QF = "qf AS (SELECT file, count(*) AS n_starts, count(*) FILTER (WHERE v <= 1e-5) AS n_quiescent, avg(CAST(v <= 1e-5 AS INT)) AS quiescent_fraction, min(v) AS min_field_variance FROM (SELECT file, trajectory, input_start, min(var) AS v FROM rows WHERE mode = 'onestep' AND model <> 'persistence' GROUP BY ALL) q GROUP BY file)"
 
 
 @query("q_w14", "rows", f"WITH {_QF} SELECT file, n_starts, n_quiescent, {S('quiescent_fraction')} AS quiescent_fraction, {S('min_field_variance')} AS min_field_variance FROM qf")
 def q_w14(spark, d):
-    return sigs(W.quiescent_fraction(V.rows(spark, d)), "quiescent_fraction", "min_field_variance")
+    # persistence has no forecast where a frame is missing, so its starts are others
+    return sigs(W.quiescent_fraction(V.rows(spark, d).where("model <> 'persistence'")), "quiescent_fraction", "min_field_variance")
 
 
 @query("q_w15", "rows", f"SELECT model, field, {S('avg(sqrt(mse / (var + 1e-7)))')} AS score, count(*) AS n FROM rows WHERE mode = 'rollout' AND rollout_step BETWEEN 6 AND 12 GROUP BY ALL")
@@ -254,7 +255,7 @@ def q_w30(spark, d):
     return W.exact_steps(V.rows(spark, d), 6, 12)
 
 
-@query("q_w31", "rows", "SELECT model, mode, field, count(*) FILTER (WHERE sqrt(mse) > sqrt(var) + sqrt(pvar)) AS n_far, count(*) AS n FROM rows WHERE field_idx > 0 GROUP BY ALL")
+@query("q_w31", "rows", "SELECT model, mode, field, count(*) FILTER (WHERE sqrt(mse) > (sqrt(var) + sqrt(pvar)) * (1 + 1e-12)) AS n_far, count(*) AS n FROM rows WHERE field_idx > 0 GROUP BY ALL")
 def q_w31(spark, d):
     return W.displacements(V.rows(spark, d))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -26,28 +27,29 @@ def q_f5(spark, d):
     return jobs.one_step_forecasts(w, _last).select("file", "trajectory", "start", sig(F.col("pred"), 5).alias("pred"))
 
 
-@query("q_f6", "grid", f"WITH s AS (SELECT file, trajectory, site, x FROM grid WHERE field = 'density' AND t = 3) SELECT file, trajectory, site, CAST(k AS INT) AS rollout_step, {S('x', 5)} AS pred FROM s, range(1, 31) r(k)")
+@query("q_f6", "grid", f"WITH s AS (SELECT file, trajectory, site, arg_max(x, t) AS x FROM grid WHERE field = 'density' AND t < 4 GROUP BY ALL HAVING count(*) = 4) SELECT file, trajectory, site, CAST(k AS INT) AS rollout_step, {S('x', 5)} AS pred FROM s, range(1, 31) r(k)")
 def q_f6(spark, d):
     g = V.grid(spark, d).where("field = 'density'").select("file", "trajectory", "site", "t", "x")
     return jobs.rollout_forecasts(g, _last, 30).select("file", "trajectory", "site", "rollout_step", sig(F.col("pred"), 5).alias("pred"))
 
 
 def _shared(spark):
+    """A new folder that all executors see; only a local session may do without a named one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
+    if not folder and not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{folder}/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="spark-")
 
 
-@query("q_t2", "grid", f"WITH {_PERS} SELECT file, trajectory, t, {S('persistence_mse', 5)} AS persistence_mse FROM pm WHERE field = 'density' AND persistence_mse IS NOT NULL AND t < 60")
+@query("q_t2", "grid", f"WITH {_PERS} SELECT file, trajectory, field, t, {S('persistence_mse', 5)} AS persistence_mse FROM pm WHERE persistence_mse IS NOT NULL")
 def q_t2(spark, d):
     """Frames written as a table, read as a stream and carried by state; compared with the batch operator."""
     base = _shared(spark)
-    frames = V.grid(spark, d).where("field = 'density' and t < 60").groupBy("file", "trajectory", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("site", "x"))), lambda s: s["x"]).alias("xs"))
+    frames = V.grid(spark, d).groupBy("file", "trajectory", "field", "t").agg(F.array_sort(F.collect_list(F.struct("site", "x"))).alias("cells"))
     frames.write.parquet(f"{base}/frames")
     stream = spark.readStream.schema(frames.schema).parquet(f"{base}/frames")
     jobs.persistence_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("file", "trajectory", "t", sig(F.col("persistence_mse"), 5).alias("persistence_mse"))
+    return spark.read.parquet(f"{base}/out").select("file", "trajectory", "field", "t", sig(F.col("persistence_mse"), 5).alias("persistence_mse"))
 
 
 @query("q_x1", "events", f"WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, var_samp(value) AS v, count(*) AS n FROM events GROUP BY ALL) SELECT CAST(day AS VARCHAR) AS day, event_type, n, {S('v', 4)} AS var FROM e")

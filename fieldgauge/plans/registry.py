@@ -13,6 +13,11 @@ def S(expr: str, n: int = 6) -> str:
     return f"CAST(printf('%.{n - 1}e', CAST({expr} AS DOUBLE)) AS DOUBLE)"
 
 
+def VAR(expr: str) -> str:
+    """DuckDB: the sample variance, with 0 for what is below 1e-15 of the mean square."""
+    return f"CASE WHEN var_samp({expr}) <= 1e-15 * avg({expr} * {expr}) THEN CAST(0 AS DOUBLE) ELSE var_samp({expr}) END"
+
+
 def query(name: str, views: str = "", sql: str | None = None):
     """Register a query; ``views`` names the working tables of its SQL, separated by spaces."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldgauge.functions import variance
+
 FIELDS = ["density", "vx", "vy", "vz"]
 FRAME = ["file", "trajectory", "t"]
 
@@ -65,7 +67,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score rows, long over fields: mse, target variance and prediction variance of each window."""
     keys = ["model", "mode", *FRAME, "rollout_step", "input_start", "field", "field_idx"]
     d = F.col("pred") - F.col("target")
-    return preds(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n_cells"), F.avg(d * d).alias("mse"), F.var_samp("target").alias("var"), F.var_samp("pred").alias("pvar"))
+    return preds(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n_cells"), F.avg(d * d).alias("mse"), variance(F.col("target")).alias("var"), variance(F.col("pred")).alias("pvar"))
 
 
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +99,7 @@ FROM grid g JOIN grid p ON p.file = g.file AND p.trajectory = g.trajectory AND p
 UNION ALL SELECT s.model, CASE WHEN s.k = 0 THEN 'onestep' ELSE 'rollout' END, g.file, g.trajectory, g.t, CASE WHEN s.k = 1 THEN g.t - 3 END, CASE WHEN s.k = 0 THEN g.t - 4 END, g.field, g.field_idx, g.site, g.x, g.x * s.gain + s.shift
 FROM grid g CROSS JOIN (VALUES ('zero', 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)), ('zero', 1, 0, 0), ('bias', 0, 1, 0.01), ('bias', 1, 1, 0.01)) s(model, k, gain, shift) WHERE g.t >= 4 AND (s.k = 0 OR g.t <= 33)""",
     "rows": """SELECT model, mode, file, trajectory, t, rollout_step, input_start, field, field_idx, count(*) AS n_cells,
-  avg((pred - target) * (pred - target)) AS mse, var_samp(target) AS var, var_samp(pred) AS pvar FROM preds GROUP BY ALL""",
+  avg((pred - target) * (pred - target)) AS mse, """ + ", ".join(f"CASE WHEN var_samp({x}) <= 1e-15 * avg({x} * {x}) THEN CAST(0 AS DOUBLE) ELSE var_samp({x}) END AS {n}" for x, n in (("target", "var"), ("pred", "pvar"))) + " FROM preds GROUP BY ALL",
     "vec": "SELECT CAST(label AS INT) AS trajectory, vec_id AS t, embedding FROM embeddings",
     "curve": "SELECT user_id AS trajectory, event_type AS model, ts, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS x, value AS y FROM events",
     "docs": "SELECT doc_id, text FROM documents",

@@ -21,20 +21,26 @@ def incremental_census(spark: SparkSession, schema, source: str, out: str, check
 
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_t, last = state.get if state.exists else (None, None)
+    last_t, sites, xs = state.get if state.exists else (None, [], [])
+    last = dict(zip(sites, xs, strict=True))
     out = []
     for r in pd.concat(list(frames)).sort_values("t").itertuples():
-        x = [float(v) for v in r.xs]
-        if last_t is not None and r.t == last_t + 1 and len(last) == len(x):
-            out.append((*key, int(r.t), float(sum((a - b) ** 2 for a, b in zip(x, last, strict=True)) / len(x))))
-        last_t, last = int(r.t), x
-    state.update((last_t, last))
-    yield pd.DataFrame(out, columns=["file", "trajectory", "t", "persistence_mse"])
+        now = {int(c["site"]): float(c["x"]) for c in r.cells if c["x"] is not None}
+        shared = [s for s in now if s in last] if last_t is not None and r.t == last_t + 1 else []
+        if shared:
+            out.append((*key, int(r.t), sum((now[s] - last[s]) ** 2 for s in shared) / len(shared)))
+        last_t, last = int(r.t), now
+    state.update((last_t, list(last), list(last.values())))
+    yield pd.DataFrame(out, columns=["file", "trajectory", "field", "t", "persistence_mse"])
 
 
 def persistence_stream(frames: DataFrame) -> DataFrame:
-    """Persistence errors of a stream of frames (file, trajectory, t, xs), one frame of state a trajectory."""
-    return frames.groupBy("file", "trajectory").applyInPandasWithState(_step, "file string, trajectory int, t int, persistence_mse double", "t int, xs array<double>", "append", GroupStateTimeout.NoTimeout)
+    """Persistence errors of a stream of frames (file, trajectory, field, t, cells of site and x).
+
+    The state is the last frame of each trajectory and field. Cells are matched by site; sites that only one
+    of two neighbouring frames has, and null cells, do not count. Frames without a neighbour before give nothing.
+    """
+    return frames.groupBy("file", "trajectory", "field").applyInPandasWithState(_step, "file string, trajectory int, field string, t int, persistence_mse double", "t int, sites array<bigint>, xs array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def one_step_forecasts(windows: DataFrame, model, out: str = "pred double") -> DataFrame:
@@ -49,7 +55,7 @@ def one_step_forecasts(windows: DataFrame, model, out: str = "pred double") -> D
 
 
 def rollout_forecasts(frames: DataFrame, model, steps: int, history: int = 4) -> DataFrame:
-    """Autoregressive rollout of each trajectory and site from its first frames."""
+    """Autoregressive rollout of each trajectory and site from its first frames (F6); a site that lacks one gives none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seen = pdf.sort_values("t")["x"].tolist()[:history]
