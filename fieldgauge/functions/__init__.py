@@ -10,10 +10,11 @@ NAN, INF = float("nan"), float("inf")
 WINDOWS = [("6-12", 6, 12), ("13-30", 13, 30)]  # rollout steps, ends included
 
 
-def sig(x: Column, n: int = 6) -> Column:
+def sig(x: Column, n: int | Column = 6) -> Column:
     """x to n significant figures, by its exact binary value; null, NaN and infinities pass."""
     x = x.cast("double")
-    shown = F.call_function("format_number", x, F.lit("0." + "0" * (n - 1) + "E0" if n > 1 else "0E0"))
+    zeros = F.lit("0" * (n - 1)) if isinstance(n, int) else F.repeat(F.lit("0"), n - 1)
+    shown = F.call_function("format_number", x, F.concat(F.lit("0."), zeros, F.lit("E0")))
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == INF), x).otherwise(shown.cast("double"))
 
 

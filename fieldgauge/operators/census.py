@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +73,22 @@ def window_table(joined: DataFrame, windows: DataFrame) -> DataFrame:
         F.avg((F.col("var") <= EPS).cast("double")).alias("frac_le_eps"), F.avg(a / b).alias("ratio"), F.max(a).alias("max_eps"), F.avg(a).alias("mean_eps"), F.max(b).alias("max_fix"), F.avg(b).alias("mean_fix"),
         F.min("var").alias("var_min"), F.percentile("var", F.lit(0.5)).alias("var_median"), F.max("var").alias("var_max"), F.count("*").alias("n"),
     )
+
+
+def isolated(inputs: DataFrame, census, schema: str) -> DataFrame:
+    """The inputs with what ``census(row as a dict) -> dict`` gives, and ``error``: one that fails is recorded
+    with its error and nulls in place of results, and the others go on (M10). Columns of these names are replaced."""
+    made = [f.strip().split()[0] for f in schema.split(",")]
+    keep = [f"`{n}` {t}" for n, t in inputs.dtypes if n not in (*made, "error")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for row in b.to_dict("records"):
+                try:
+                    rows.append({**row, **census(row), "error": None})
+                except Exception as e:  # whatever a broken input raises is its record
+                    rows.append({**row, **dict.fromkeys(made), "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=[*(n for n in b.columns if n not in (*made, "error")), *made, "error"])
+
+    return inputs.mapInPandas(run, ", ".join([*keep, schema, "error string"]))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldgauge.functions import sig
+from fieldgauge.functions import finite, sig
 
 
 def compare_tables(got: DataFrame, want: DataFrame, keys: list[str], values: list[str], rel: float = 1e-4) -> DataFrame:
@@ -25,13 +25,15 @@ def compare_tables(got: DataFrame, want: DataFrame, keys: list[str], values: lis
 
 
 def stated_digits(x: Column) -> Column:
-    """The least number of significant figures, 1 to 12, that gives the value."""
-    return F.coalesce(reduce(lambda acc, n: F.when(sig(x, n) == sig(x, 12), F.lit(n)).otherwise(acc), range(12, 0, -1), F.lit(None).cast("int")), F.lit(12))
+    """The least number of significant figures, 1 to 12, that gives the value; 12 for null, NaN and infinities."""
+    x = x.cast("double")
+    fits = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda n: sig(x, n) == sig(x, 12))
+    return F.when(finite(x), F.coalesce(F.array_min(fits), F.lit(12))).otherwise(F.lit(12))
 
 
 def at_stated_precision(x: Column, stored: Column) -> Column:
     """Whether x, rounded to the figures that the stored value carries, equals it."""
-    return reduce(lambda acc, n: F.when(stated_digits(stored) == n, sig(x, n) == stored).otherwise(acc), range(1, 13), F.lit(False))
+    return F.coalesce(sig(x, stated_digits(stored)) == stored, F.lit(False))
 
 
 #: Numbers in prose: decimals, exponents, and whole numbers of three digits or more.
@@ -62,21 +64,50 @@ def required(keys: DataFrame, present: DataFrame, key: str, strict: bool = False
     return gone.withColumn(key, F.raise_error(F.concat(F.lit("absent: "), F.col(key).cast("string"))).cast(dict(keys.dtypes)[key])) if strict else gone
 
 
-def numeric_leaves(docs: DataFrame, col: str, depth: int = 4, key: str = "doc_id") -> DataFrame:
-    """key, path and num of the numbers in JSON documents, also those inside string leaves; one level a step.
+def numeric_leaves(docs: DataFrame, col: str, key: str = "doc_id") -> DataFrame:
+    """key, path and num of the numbers in JSON documents, also those inside string leaves.
 
-    Objects and arrays are opened ``depth`` times; what is nested deeper is not opened.
+    Objects and arrays are opened one level a step until nothing is nested; text that is no JSON has no numbers.
     """
+    spark = docs.sparkSession
     level = docs.select(key, F.lit("").alias("path"), F.try_parse_json(col).alias("v"))
     leaves = []
-    for i in range(depth + 1):
+    while True:
         kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        nested = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
         text = F.try_variant_get("v", "$", "string")
         found = F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), 1))
         leaves.append(level.where(~nested).select(key, "path", F.explode(found).alias("s")))
-        if i < depth:
-            name = f"_l{i}"
-            level.where(nested).createOrReplaceTempView(name)
-            level = docs.sparkSession.sql(f"SELECT {key}, concat(path, '/', coalesce(x.key, cast(x.pos AS string))) AS path, x.value AS v FROM {name}, LATERAL variant_explode(v) AS x")
-    return reduce(DataFrame.unionByName, leaves).select(key, "path", F.col("s").try_cast("double").alias("num"))
+        inner = level.where(nested)
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, leaves).select(key, "path", F.col("s").try_cast("double").alias("num"))
+        each = inner.withColumnRenamed("v", "_whole").lateralJoin(spark.tvf.variant_explode(F.col("_whole").outer()).withColumnsRenamed({"pos": "_pos", "key": "_key", "value": "v"}))
+        level = each.select(key, F.concat("path", F.lit("/"), F.coalesce("_key", F.col("_pos").cast("string"))).alias("path"), "v")
+
+
+#: Claims in prose: a ratio, and a worked example of a floor's share with its printed value.
+FACTOR = r"factor of ([0-9]+(?:\.[0-9]+)?)"
+EXAMPLE = r"floor_share\(var=([-+0-9.eE]+), ?eps=([-+0-9.eE]+)\) # ([0-9]+(?:\.[0-9]+)?)"
+
+
+def untraced_factors(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and claim of each "factor of N" in a text that no known value gives at as many figures as N has.
+
+    Trailing zeros of a whole number count as figures; a text without claims, or null, has no rows.
+    """
+    claims = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FACTOR), 1))).alias("claim"))
+    shown = F.regexp_replace(F.regexp_replace("claim", r"\.", ""), "^0+", "")
+    claims = claims.withColumns({"d": F.least(F.greatest(F.length(shown), F.lit(1)), F.lit(12)), "value": F.col("claim").cast("double")})
+    each = known.select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("d"), F.col("value").alias("x")).select("d", sig(F.col("x"), F.col("d")).alias("value")).distinct()
+    return claims.join(each, ["d", "value"], "left_anti").select(key, "claim")
+
+
+def worked_examples(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, example, printed and holds of each worked example in a text: whether it gives the printed value at its decimals."""
+    found = docs.select(key, F.explode(F.regexp_extract_all("text", F.lit(f"({EXAMPLE.replace('([', '(?:[')})"), 1)).alias("example"))
+    part = lambda i: F.regexp_extract("example", EXAMPLE, i)
+    var, eps, printed = part(1).try_cast("double"), part(2).try_cast("double"), part(3)
+    decimals = F.length(F.regexp_extract(printed, r"\.([0-9]*)", 1))
+    share = F.when(eps == 0, 0.0).otherwise(F.try_divide(eps, var + eps))
+    holds = F.abs(share - printed.cast("double")) <= F.lit(0.5) * F.pow(F.lit(10.0), -decimals) + 1e-12
+    return found.select(key, "example", printed.alias("printed"), F.coalesce(holds, F.lit(False)).alias("holds"))

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def frame_window(df: DataFrame, lo: int, hi: int, stride: int, keys: list[str] = ("file", "trajectory")) -> DataFrame:
-    """Frames lo, lo + stride, ... up to hi or the last frame of the trajectory."""
-    last = df.groupBy(*keys).agg(F.max("t").alias("_last"))
-    at = df.join(F.broadcast(last), list(keys))
-    return at.where(F.col("t").between(F.lit(lo), F.least(F.lit(hi), F.col("_last"))) & ((F.col("t") - lo) % stride == 0)).drop("_last")
+def frame_window(df: DataFrame, lo: int, hi: int, stride: int) -> DataFrame:
+    """Frames lo, lo + stride, ... up to hi or the last frame that a trajectory has; a null t is no frame."""
+    return df.where(F.col("t").between(lo, hi) & ((F.col("t") - lo) % stride == 0))
 
 
 def even_pick(names: DataFrame, col: str, n: int) -> DataFrame:

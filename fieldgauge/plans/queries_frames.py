@@ -91,9 +91,9 @@ def q_a12(spark, d):
     return sigs(A.relative_difference(x.withColumn("x", F.col("x") * 1.5), x, ["trajectory", "t", "i"], ["trajectory", "t"]), "rel_diff")
 
 
-@query("q_a13", "preds", f"SELECT model, rollout_step, {S('max(abs(pred - target))')} AS max_abs_diff, CAST(grouping(rollout_step) AS INT) AS overall FROM preds WHERE mode = 'rollout' AND model <> 'bias' GROUP BY GROUPING SETS ((model, rollout_step), (model))")
+@query("q_a13", "preds", f"SELECT model, rollout_step, {S('max(abs(pred - target))')} AS max_abs_diff, CAST(grouping(rollout_step) AS INT) AS overall FROM preds WHERE mode = 'rollout' GROUP BY GROUPING SETS ((model, rollout_step), (model))")
 def q_a13(spark, d):
-    return A.max_difference(V.preds(spark, d).where("model <> 'bias'")).withColumns({"max_abs_diff": sig(F.col("max_abs_diff")), "overall": F.col("overall").cast("int")})
+    return A.max_difference(V.preds(spark, d)).withColumns({"max_abs_diff": sig(F.col("max_abs_diff")), "overall": F.col("overall").cast("int")})
 
 
 @query("q_a14", "rows", f"SELECT model, mode, file, trajectory, t, field, {S('sqrt(var * (n_cells - 1) / n_cells / (var + 1e-7))')} AS baseline FROM rows")
@@ -221,7 +221,7 @@ def q_m2(spark, d):
 
     var = A.long_variance(V.cells(spark, d))
     first = var.select("file", "trajectory").distinct().withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("trajectory"))).where("k <= 1")
-    return sigs(M.component_census(var.join(F.broadcast(first), ["file", "trajectory"], "left_semi"), ["file", "trajectory", "field"]).select("file", "trajectory", "field", "n_frames", "var_min", "var_max"), "var_min", "var_max")
+    return sigs(M.component_census(var.join(first, ["file", "trajectory"], "left_semi"), ["file", "trajectory", "field"]).select("file", "trajectory", "field", "n_frames", "var_min", "var_max"), "var_min", "var_max")
 
 
 _M3 = "ta AS (SELECT file, trajectory, field, count(*) FILTER (WHERE var <= 1e-7) AS n_le, max(CASE WHEN var <= 1e-7 THEN t END) AS last_t_le, min(var) AS var_min, max(CASE WHEN t = 4 THEN var END) AS var_t4, max(CASE WHEN t = 33 THEN var END) AS var_t33, first(var ORDER BY t DESC) AS var_final FROM fv GROUP BY ALL)"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldgauge.functions import EPS, band, floor_share, nan_to_num, safe_div, sig
+from fieldgauge.operators import census as M
 from fieldgauge.operators import checks as K
 from fieldgauge.operators import frames as A
 from fieldgauge.operators import layout as L
@@ -72,12 +75,12 @@ def q_p6(spark, d):
     return L.collisions(V.table(spark, d, "embeddings").select(F.concat(F.lit("v."), F.col("vec_id") % 100).alias("name")))
 
 
-@query("q_p7", "grid", f"WITH s AS (SELECT field, avg(x) AS m, greatest(stddev_samp(x), 1e-4) AS sd FROM grid GROUP BY field) SELECT file, trajectory, t, site, g.field, {S('(x - m) / sd', 4)} AS z, abs((x - m) / sd * sd + m - x) <= 1e-9 AS back FROM grid g JOIN s ON s.field = g.field WHERE abs(x - m) > 1e-6")
+@query("q_p7", "grid", "WITH s AS (SELECT field, avg(x) AS m, greatest(stddev_samp(x), 1e-4) AS sd FROM grid GROUP BY field) SELECT file, trajectory, t, site, g.field, round((x - m) / sd, 6) + 0.0 AS z, abs((x - m) / sd * sd + m - x) <= 1e-9 AS back FROM grid g JOIN s ON s.field = g.field")
 def q_p7(spark, d):
     g = V.grid(spark, d)
     s = g.groupBy("field").agg(F.avg("x").alias("m"), F.greatest(F.stddev_samp("x"), F.lit(1e-4)).alias("sd"))
     z = (F.col("x") - F.col("m")) / F.col("sd")
-    return g.join(F.broadcast(s), "field").where(F.abs(F.col("x") - F.col("m")) > 1e-6).select(*FRAME, "site", "field", sig(z, 4).alias("z"), (F.abs(z * F.col("sd") + F.col("m") - F.col("x")) <= 1e-9).alias("back"))
+    return g.join(F.broadcast(s), "field").select(*FRAME, "site", "field", (F.round(z, 6) + 0.0).alias("z"), (F.abs(z * F.col("sd") + F.col("m") - F.col("x")) <= 1e-9).alias("back"))
 
 
 @query("q_p8", "grid", f"WITH s AS (SELECT field, greatest(stddev_samp(x), 1e-4) AS sd FROM grid GROUP BY field), v AS (SELECT field, file, trajectory, t, var_samp(x) AS v FROM grid GROUP BY ALL), m AS (SELECT field, min(v) AS v FROM v GROUP BY field) SELECT m.field, {S('1e-7 / (v + 1e-7)')} AS raw_share, {S('1e-7 / (v / (sd * sd) + 1e-7)')} AS z_share FROM m JOIN s ON s.field = m.field")
@@ -317,13 +320,40 @@ def q_c19(spark, d):
     return L.notes(L.resolve_layout(_catalogue(spark, d), 2, None))
 
 
-@query("q_m10", "documents", "SELECT source, count(*) FILTER (WHERE try_cast(substr(text, 1, 3) AS DOUBLE) IS NOT NULL) AS n_read, CASE WHEN count(*) FILTER (WHERE try_cast(substr(text, 1, 3) AS DOUBLE) IS NULL) > 0 THEN 'unreadable input' END AS error FROM documents GROUP BY source")
+@query("q_m10", "documents", "WITH n AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS n FROM documents) SELECT source, count(*) FILTER (WHERE n > 0) AS n_read, count(*) FILTER (WHERE n = 0) AS n_failed, CAST(sum(n) AS BIGINT) AS n_numbers, min(CASE WHEN n = 0 THEN 'ValueError: no number' END) AS error FROM n GROUP BY source")
 def q_m10(spark, d):
-    """Inputs that cannot be read as numbers are recorded for their source; the census goes on."""
-    x = F.substring("text", 1, 3).try_cast("double")
-    return V.table(spark, d, "documents").groupBy("source").agg(F.count(x).alias("n_read"), F.when(F.count_if(x.isNull()) > 0, "unreadable input").alias("error"))
+    """Inputs without a number are recorded as failed for their source; the census of the others goes on."""
+    done = M.isolated(V.table(spark, d, "documents").select("source", "text"), _numbers_of, "n_numbers bigint")
+    return done.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("n_read"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.coalesce(F.sum("n_numbers"), F.lit(0)).alias("n_numbers"), F.min("error").alias("error"))
+
+
+def _numbers_of(row):
+    found = re.findall("[0-9]+", row["text"] or "")
+    if not found:
+        raise ValueError("no number")
+    return {"n_numbers": len(found)}
+
+
+_FACTORS = "SELECT p_partkey, 'larger by a factor of ' || CASE p_size % 3 WHEN 0 THEN CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) WHEN 1 THEN CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) ELSE CAST(p_partkey % 100 AS VARCHAR) END || ' than before' AS text FROM part"
+_KNOWN = "SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS value FROM lineitem UNION SELECT DISTINCT CAST(p_size AS DOUBLE) + 0.5 FROM part"
+
+
+@query("q_v8", "part", "WITH t AS (" + _FACTORS + r"), c AS (SELECT p_partkey, unnest(list_distinct(regexp_extract_all(text, 'factor of ([0-9]+(?:\.[0-9]+)?)', 1))) AS claim FROM t), d AS (SELECT *, least(greatest(length(ltrim(replace(claim, '.', ''), '0')), 1), 12) AS d FROM c), k AS (" + _KNOWN + ") SELECT p_partkey, claim FROM d WHERE NOT EXISTS (SELECT 1 FROM k WHERE CAST(printf('%.' || CAST(d - 1 AS VARCHAR) || 'e', value) AS DOUBLE) = CAST(claim AS DOUBLE))")
+def q_v8(spark, d):
+    """Claims stated for the parts, held against quantities and half sizes."""
+    part, text = V.table(spark, d, "part"), F.when(F.col("p_size") % 3 == 0, F.floor("p_retailprice").cast("string")).when(F.col("p_size") % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"))).otherwise((F.col("p_partkey") % 100).cast("string"))
+    known = V.table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("value")).distinct().union(part.select(F.col("p_size").cast("double") + 0.5).distinct())
+    return K.untraced_factors(part.select("p_partkey", F.concat(F.lit("larger by a factor of "), text, F.lit(" than before")).alias("text")), known, "p_partkey")
+
+
+@query("q_v18", "part", r"WITH e AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS v, CAST(CAST(floor(100 * 10.0 / (p_size + 10)) AS BIGINT) + p_partkey % 3 AS BIGINT) AS c, p_size FROM part), t AS (SELECT p_partkey, p_size, v, '0.' || lpad(CAST(c AS VARCHAR), 2, '0') AS printed FROM e) SELECT p_partkey, 'floor_share(var=' || v || ', eps=10) # ' || printed AS example, printed, abs(10.0::DOUBLE / (p_size + 10.0::DOUBLE) - CAST(printed AS DOUBLE)) <= 0.5 * 0.01::DOUBLE + 1e-12 AS holds FROM t")
+def q_v18(spark, d):
+    """A worked example for each part, some of them with a wrong last figure."""
+    cents = F.floor(F.lit(1000.0) / (F.col("p_size") + 10)) + F.col("p_partkey") % 3
+    text = F.concat(F.lit("see floor_share(var="), F.col("p_size").cast("string"), F.lit(", eps=10) # 0."), F.lpad(cents.cast("string"), 2, "0"), F.lit(" as printed"))
+    return K.worked_examples(V.table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey")
 
 
 @query("q_v4", "events", "SELECT event_id, '/' || key AS path, CAST(json_extract_string(props, '$.' || key) AS DOUBLE) AS num FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) q")
 def q_v4(spark, d):
-    return K.numeric_leaves(V.table(spark, d, "events"), "props", depth=2, key="event_id")
+    return K.numeric_leaves(V.table(spark, d, "events"), "props", key="event_id")
