@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Units in each of a task's two dictionaries (recent ones and those before), the longest that is kept, and
-#: pairs of pieces whose check is kept. With some 350 bytes a unit and 100 a pair a task holds 70 MB at most.
-KEPT_UNITS, KEPT_LENGTH, KEPT_PAIRS = 80_000, 48, 150_000
+#: pairs of pieces whose check is kept. With some 200 bytes a unit and 100 a pair a task holds 120 MB at most.
+KEPT_UNITS, KEPT_LENGTH, KEPT_PAIRS = 250_000, 48, 200_000
 _SPACED = re.compile(r"( +)([^ ]*)")
 
 
@@ -60,7 +60,8 @@ def vocabulary(model_path: str) -> Vocabulary:
 
 
 class Encoder(dict):
-    """unit -> (ids joined by commas, decoded text, whether it opens with a lone space mark).
+    """unit -> its ids joined by commas, or, where decoding them does not give the unit back or they open
+    with a lone space mark, (ids joined by commas, decoded text, whether they open with a lone space mark).
 
     The keys are units without the space in front.
     """
@@ -244,8 +245,12 @@ class Encoder(dict):
     def entry(self, ids: list[int]) -> tuple[str, str, bool]:
         return ",".join([self.number[i] for i in ids]), self.decode(ids), ids[:1] == [self.id_of[self.lone]]
 
-    def __missing__(self, word: str) -> tuple[str, str, bool]:
-        made = self.before.get(word) or self.entry(self.ids(SPACE + word))
+    def __missing__(self, word: str) -> str | tuple[str, str, bool]:
+        made = self.before.get(word)
+        if made is None:
+            made = self.entry(self.ids(SPACE + word))
+            if not made[2] and made[1] == " " + word:
+                made = made[0]
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_UNITS:
                 self.before = dict(self)
@@ -253,13 +258,21 @@ class Encoder(dict):
             self[word] = made
         return made
 
-    def parts(self, text: str) -> list[tuple[str, str, bool]]:
-        """The entries of a whole text, in order."""
+    def both(self, text: str) -> tuple[str, str]:
+        """The ids of a whole text, joined by commas, and the text that they decode to."""
         if not text:
-            return []
+            return "", ""
         text = text.replace(SPACE, " ")
         if "  " not in text and text[0] != " " and text[-1] != " ":
-            return [self[w] for w in text.split(" ")]
+            try:
+                return ",".join([self[w] for w in text.split(" ")]), text
+            except TypeError:  # some unit is kept as a tuple
+                pass
+        parts = self.parts(text)
+        return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])[1:]  # without the space put in front
+
+    def parts(self, text: str) -> list[tuple[str, str, bool]]:
+        """The entries of a text that is not empty, in order."""
         out = []
         for m in _SPACED.finditer(" " + text):
             n, word = len(m[1]), m[2]
@@ -267,6 +280,8 @@ class Encoder(dict):
                 out.append(self.entry(self.spaces(n)))
                 continue
             made = self[word]
+            if isinstance(made, str):
+                made = made, " " + word, False
             if n > 1 and made[2]:  # the space before the word joins the others
                 out += [self.entry(self.spaces(n)), self.entry(self.ids(SPACE + word)[1:])]
             else:
@@ -274,7 +289,7 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> list[int]:
-        return numbers(",".join([p[0] for p in self.parts(text)])).tolist()
+        return numbers(self.both(text)[0]).tolist()
 
     def decode_text(self, ids: list[int]) -> str:
         """The text of the ids of a whole text: as `decode`, without the space put in front."""
@@ -344,14 +359,16 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
     A null or empty text has no ids. Other columns stay as they are; a column that already has
     the name of the result is replaced. Rows are independent: repeated rows give repeated rows.
     """
+
     def make(enc, texts):
-        return [_lists([numbers(",".join([p[0] for p in enc.parts(t or "")])) for t in texts])]
+        return [_lists([numbers(enc.both(t or "")[0]) for t in texts])]
 
     return _with_columns(df, [T.StructField(out_col, T.ArrayType(T.IntegerType()))], text_col, model_path, make)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """Adds ``out_col string``: the text of each row's ids (null or no ids: an empty text)."""
+
     def make(enc, lists):
         return [pa.array([enc.decode_text(ids or []) for ids in lists], pa.string())]
 
@@ -371,12 +388,10 @@ def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", wi
     def make(enc, texts):
         n, ids_sha, text_sha, raw = [], [], [], []
         for text in texts:
-            parts = enc.parts(text or "")
-            joined = ",".join([p[0] for p in parts])
-            decoded = "".join([p[1] for p in parts])
+            joined, decoded = enc.both(text or "")
             n.append(joined.count(",") + 1 if joined else 0)
             ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-            text_sha.append(hashlib.sha256(decoded[1:].encode()).hexdigest())  # without the space put in front
+            text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             if with_ids:
                 raw.append(numbers(joined))
         out = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
