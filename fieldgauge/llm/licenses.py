@@ -42,6 +42,8 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
     ("proprietary", "Copyright. All rights reserved.", "rights reserved"),
 ]
+#: A declaration by identifier, for each license above and those that have no other wording here.
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}", f"spdx {name}") for name in [*dict.fromkeys(t[0] for t in TEMPLATES if t[0] != "proprietary"), "CC-BY-ND-4.0", "LGPL-2.1", "EPL-2.0", "0BSD"]]
 #: Words that mark a sentence as speaking of licenses, and those that set one license apart from another.
 HINTS = ["licen", "copyright", "permission", "redistribut", "rights reserved", "public domain", "spdx", "creative commons", "cc by", "cc0"]
 TELLING = {"mit", "apache", "gnu", "lesser", "affero", "bsd", "mozilla", "nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "cc0", "isc", "2", "3", "2.0", "3.0", "4.0", "1.0", "1.1", "2.1"}
@@ -49,7 +51,12 @@ TELLING = {"mit", "apache", "gnu", "lesser", "affero", "bsd", "mozilla", "nc", "
 #: mark it are there, and no word that marks another license is.
 COVER = 0.6
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n")
+#: Sentences end at a full stop or the like, or at a blank line; a line that is wrapped goes on.
+_SENTENCE = re.compile(r"(?<=[.!?:;])(?<!Identifier:)\s+|\n\s*\n|\n(?=SPDX)")
+#: What opens a line of a comment in source code.
+_COMMENT = re.compile(r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+|<!--|\"\"\")[ \t]?")
+#: Characters before and after a hint that may belong to its statement; longer sentences are cut there.
+REACH = 2_000
 
 
 def wording(text: str) -> list[str]:
@@ -81,7 +88,7 @@ class Scanner:
         self.templates = [(name, wording(text), frozenset(wording(mark))) for name, text, mark in templates]
         self.alone = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t, _ in templates]
-        self.judge = lru_cache(50_000)(self._judge)
+        self.judge = lru_cache(5_000)(self._judge)
 
     def _judge(self, block: str) -> Verdict:
         """Winners in the order of what they save; the first whose wording holds is the license."""
@@ -91,9 +98,11 @@ class Scanner:
         words = wording(block)
         have = frozenset(words)
         order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
-        for i in order[:8]:
+        for i in order:
             name, text, marks = self.templates[i]
-            if saved[i] <= 0 or not marks <= have or (have & TELLING) - set(text) - marks:
+            if saved[i] <= 0:
+                break
+            if not marks <= have or (have & TELLING) - set(text) - marks:
                 continue
             if common_words(text, words) >= COVER * len(text):
                 return Verdict(name, saved[i], tuple(sorted(set(text) - have)), tuple(sorted(have - set(text))))
@@ -101,18 +110,45 @@ class Scanner:
         text = self.templates[best][1]
         return Verdict(None, saved[best], tuple(sorted(set(text) - have)), tuple(sorted(have - set(text))))
 
-    def blocks(self, text: str | None) -> list[str]:
-        """Neighbouring sentences or lines that speak of licenses, joined."""
+    def blocks(self, text: str | None) -> list[list[str]]:
+        """Neighbouring sentences that speak of licenses, without comment signs, wrapped lines joined."""
         low = (text or "").lower()
         if not any(h in low for h in HINTS):
             return []
         out: list[list[str]] = [[]]
-        for s in _SENTENCE.split(text):
-            if any(h in s.lower() for h in HINTS):
-                out[-1].append(s)
-            elif out[-1]:
+        for s in _SENTENCE.split(_COMMENT.sub("", text)):
+            near = [w for w in self._near(s) if w]
+            if near:
+                out[-1] += near
+            elif out[-1] and s.strip():
                 out.append([])
-        return [" ".join(b) for b in out if b]
+        return [b for b in out if b]
+
+    def _near(self, sentence: str) -> list[str]:
+        """The sentence if it has a hint; of a very long one the parts around its hints."""
+        low = sentence.lower()
+        if len(low) != len(sentence):
+            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in sentence)
+        at = sorted(m.start() for h in HINTS for m in re.finditer(re.escape(h), low))
+        if not at or len(sentence) <= 2 * REACH:
+            return [" ".join(sentence.split())] if at else []
+        spans: list[list[int]] = []
+        for k in at:
+            if spans and k - REACH <= spans[-1][1] and spans[-1][1] - spans[-1][0] < 4 * REACH:
+                spans[-1][1] = k + REACH
+            else:
+                spans.append([max(0, k - REACH), k + REACH])
+        return [" ".join(sentence[x:y].split()) for x, y in spans]
+
+    def verdicts(self, text: str | None) -> list[list[Verdict]]:
+        """For each block its statements: that of the block, and those of its sentences that state another license;
+        of a block that states none, what its best template saves."""
+        out = []
+        for block in self.blocks(text):
+            all_ = [self.judge(" ".join(block)), *(self.judge(s) for s in block if len(block) > 1)]
+            found = {v.license: v for v in reversed(all_) if v.license}
+            out.append(list(found.values())[::-1] or all_[:1])
+        return out
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -120,7 +156,8 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 
     A finding has the block's license (null if no template is confirmed), the bytes that its best
     template saves, and the words in which the two differ. Whole texts are read; null and empty texts
-    have no blocks. A block of several sentences that state different licenses is judged by sentence.
+    have no blocks; repeated rows give repeated rows. A block is neighbouring sentences that speak of licenses;
+    it is judged as a whole and by sentence, so it can state several licenses.
     """
     kind = dict(docs.dtypes)[id_col]
     finding = pa.struct([("license", pa.string()), ("saved", pa.int32()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))])
@@ -130,11 +167,9 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
         for batch in batches:
             counts, names, found = [], [], []
             for text in batch.column(text_col).to_pylist():
-                verdicts = []
-                for block in scanner.blocks(text):
-                    v = scanner.judge(block)
-                    verdicts += [v] if v.license else [scanner.judge(s) for s in _SENTENCE.split(block) if s]
-                counts.append(len(verdicts))
+                blocks = scanner.verdicts(text)
+                verdicts = [v for b in blocks for v in b]
+                counts.append(len(blocks))
                 names.append(sorted({v.license for v in verdicts if v.license}))
                 found.append([{"license": v.license, "saved": v.saved, "missing": list(v.missing), "added": list(v.added)} for v in verdicts])
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(counts, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(found, pa.list_(finding))], names=[id_col, "n_blocks", "licenses", "findings"])

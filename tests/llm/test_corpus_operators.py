@@ -57,6 +57,40 @@ def test_licenses(spark):
     assert licenses.scan(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_license_wordings(spark):
+    """Wrapped headers, comment signs, identifiers, and several statements in a block."""
+    s = licenses.Scanner()
+    named = lambda t: sorted({v.license for b in s.verdicts(t) for v in b if v.license})
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    assert named(mit) == ["MIT"] and named("\n".join("# " + x for x in mit.split("\n"))) == ["MIT"]
+    assert named(bsd) == ["BSD-3-Clause"] and named(" * " + bsd.replace("\n", "\n * ")) == ["BSD-3-Clause"]
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "LGPL-2.1", "ISC"):
+        assert named(f"// SPDX-License-Identifier: {name}\nint main;") == [name]
+    assert named("Released under the MIT License. All rights reserved. Copyright 2020.") == ["MIT", "proprietary"]
+    long = "word " * 30_000
+    assert named(long + "Released under the MIT License. " + long) == ["MIT"] and named(long + " released under the mit license " + long) == ["MIT"]
+
+
+def test_license_of_blocks_by_all_templates():
+    """The verdict of 1,000 altered statements is the best-saving one of all templates whose wording holds."""
+    rng, s = random.Random(21), licenses.Scanner()
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    for _ in range(1000):
+        words = rng.choice(texts).split() + (rng.choice(texts).split() if rng.random() < 0.2 else [])
+        block = " ".join(w for w in words if rng.random() > rng.choice([0, 0.1, 0.4])) or "license"
+        raw, have, hold = block.encode(), licenses.wording(block), []
+        for i, (name, text, marks) in enumerate(s.templates):
+            row = [[0] * (len(have) + 1) for _ in range(len(text) + 1)]
+            for x in range(len(text)):
+                for y in range(len(have)):
+                    row[x + 1][y + 1] = row[x][y] + 1 if text[x] == have[y] else max(row[x][y + 1], row[x + 1][y])
+            saved = len(s.alone.compress(raw)) - len(s.given[i].compress(raw))
+            if saved > 0 and marks <= set(have) and not (set(have) & licenses.TELLING) - set(text) - marks and row[-1][-1] >= licenses.COVER * len(text):
+                hold.append((-saved, i, name))
+        assert s.judge(block).license == (min(hold)[2] if hold else None)
+
+
 # 2 line dedup
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_banded_distance(spark, threshold):
