@@ -27,7 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldgauge.llm.common import BROADCAST_IDS, WORD, durable, few
@@ -196,10 +196,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
-def _ranked(rows: DataFrame, group: list[str], owner: str) -> DataFrame:
+def _ranked(rows: DataFrame, group: list[str], owner: str, useful: Column | None = None) -> DataFrame:
     """Rows (group, owner, s, total, ...) whose s is not its owner's alone, with its ``rank`` among those of the
-    owner, the rarest within the group first. Those that nobody else has come before all; they are only counted."""
-    seen = rows.groupBy(*group, "s").agg(F.count("*").alias("texts")).where("texts > 1")
+    owner, the rarest within the group first. Those that nobody else has come before all, and so do those for
+    which ``useful``, an aggregate, is false: they are only counted."""
+    seen = rows.groupBy(*group, "s").agg(F.count("*").alias("texts"), (F.lit(True) if useful is None else useful).alias("useful")).where("texts > 1 and useful").drop("useful")
     each = Window.partitionBy(*group, owner)
     shared = rows.join(seen, [*group, "s"]).withColumn("shared", F.count("*").over(each))
     return shared.withColumn("rank", F.col("total") - F.col("shared") + F.row_number().over(each.orderBy("texts", "s")))
@@ -290,6 +291,13 @@ def _largest(rows: DataFrame) -> DataFrame:
     return rows.join(few(durable(most.where("others > 0"))), "key")
 
 
+def _families(rows: DataFrame) -> DataFrame:
+    """Buckets that have texts in common as one, so that every text is in one star only."""
+    centre = rows.groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most")).select("key", F.col("most.node").alias("c"))
+    family = components(rows.join(few(durable(centre)), "key").select("c", F.col("node").alias("d")))
+    return rows.select("node", "n", "keys").distinct().join(few(family.select("node", F.col("label").alias("key"))), "node")
+
+
 def _stars(rows: DataFrame, sig: DataFrame) -> DataFrame:
     """Open buckets as stars: (key, c, d, label, minor, state, nc, n, lost, apart), written, without the centres.
 
@@ -309,7 +317,9 @@ def _star_edges(stars: DataFrame) -> DataFrame:
     moved = durable(stars.groupBy("key").agg(F.max(F.col("minor") & (F.col("state") == 2)).alias("moved")))
     asks = (F.col("state") == 1) & (F.col("minor") | F.col("moved"))
     each = stars.join(few(moved), "key").select("key", "d", "label", "n", "nc", "lost", asks.alias("asks"), F.size("apart").alias("total"), F.explode("apart").alias("s"))
-    ranked = durable(_ranked(each, ["key"], "d").drop("texts", "shared"))
+    # a shingle that no asking text has, or only texts of one class, is in no pair
+    useful = F.max("asks") & (F.min("label") != F.max("label"))
+    ranked = durable(_ranked(each, ["key"], "d", useful).drop("texts", "shared"))
 
     def within(size, common):  # ranks of which one at least belongs to so many common differences
         return F.col(f"rank{size}") <= F.col(f"total{size}") - F.ceil(common - 1e-9) + 1
@@ -352,7 +362,7 @@ def classes(sig: DataFrame) -> DataFrame | None:
     wide = open_.where(F.col("others") > SMALL).select("key", "node", "n", "keys")
     if wide.isEmpty():
         return labels
-    stars = _stars(durable(_largest(_with_class(wide, labels, "node", "label"))), sig)
+    stars = _stars(durable(_largest(_with_class(_families(wide), labels, "node", "label"))), sig)
     return _joined(labels, _compared(_star_edges(stars).union(_moved_edges(stars)).distinct(), sig))
 
 
