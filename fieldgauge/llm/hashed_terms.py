@@ -116,24 +116,26 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, featurize) -> list
 
 
 def select_slots(rows: list[tuple[int, np.ndarray, np.ndarray]], most: int, least_rows: int = 4) -> np.ndarray:
-    """The slots most associated with a label above the lowest or with the lowest, by the log-likelihood ratio."""
+    """The slots most associated with either side of some threshold between labels, by the log-likelihood ratio."""
     y = np.array([r[0] for r in rows])
-    low = y == (y.min() if len(y) else 0)
-    n1, n0 = int(low.sum()), int((~low).sum())
-    if not n1 or not n0:
-        return np.empty(0, np.int64)
-    a = np.bincount(np.concatenate([s for (_, s, _), k in zip(rows, low, strict=True) if k]), minlength=SLOTS).astype(float)
-    b = np.bincount(np.concatenate([s for (_, s, _), k in zip(rows, low, strict=True) if not k]), minlength=SLOTS).astype(float)
-    t, n = a + b, n0 + n1
+    best_of = np.zeros(SLOTS)
+
+    def count(chosen):
+        return np.bincount(np.concatenate([s for (_, s, _), k in zip(rows, chosen, strict=True) if k]), minlength=SLOTS).astype(float)
 
     def part(seen, expected):
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(seen > 0, seen * np.log(seen / expected), 0)
 
-    g = part(a, t * n1 / n) + part(b, t * n0 / n) + part(n1 - a, (n - t) * n1 / n) + part(n0 - b, (n - t) * n0 / n)
-    g[t < least_rows] = 0
-    best = np.argsort(-g, kind="stable")[:most]
-    return np.sort(best[g[best] > 3])
+    for top in np.unique(y)[:-1]:
+        low = y <= top
+        n1, n0 = int(low.sum()), int((~low).sum())
+        a, b = count(low), count(~low)
+        t, n = a + b, n0 + n1
+        g = part(a, t * n1 / n) + part(b, t * n0 / n) + part(n1 - a, (n - t) * n1 / n) + part(n0 - b, (n - t) * n0 / n)
+        best_of = np.maximum(best_of, np.where(t < least_rows, 0, g))
+    best = np.argsort(-best_of, kind="stable")[:most]
+    return np.sort(best[best_of[best] > 3])
 
 
 def dense(rows: list[tuple[int, np.ndarray, np.ndarray]], slots: np.ndarray) -> np.ndarray:
