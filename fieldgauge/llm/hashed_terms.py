@@ -100,7 +100,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, featurize) -> list
     """
     labels = least_hashed(labels, max_rows)
     # the ids are taken first, so that no text is sorted
-    ids = docs.select("doc_id").join(labels, "doc_id").orderBy(hash_of_id(), "doc_id").limit(max_rows).distinct().join(labels, "doc_id")
+    ids = docs.select("doc_id").join(labels, "doc_id").orderBy(hash_of_id(), "doc_id").limit(max_rows).distinct()
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(durable(ids)), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

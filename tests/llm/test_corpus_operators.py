@@ -143,6 +143,14 @@ def test_line_dedup_of_all_lines(spark, tmp_path):
     assert left == {i: t for i, t in want.items() if texts[i] is not None and (t.strip(" ") or not texts[i].strip(" "))}
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    texts = [long, long[:50_000] + "Z" + long[50_001:], "\n".join([long[:-3], long[1:]]), "short\n" + long]
+    got = {r.doc_id: r for r in line_dedup.deduplicated(docs_of(spark, texts)).collect()}
+    assert [(got[i].n_lines, got[i].n_kept) for i in range(4)] == [(1, 1), (1, 0), (2, 1), (2, 1)]
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.without_repeats(docs_of(spark, ["a" * 50]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -154,10 +162,15 @@ def test_quality_held_out(spark):
     train = lab.where("doc_id % 3 > 0")
     model = quality_model.fit_on(d, quality_model.grades_from_labels(train))
     assert (np.diff(model.thresholds) > 0).all()
-    r = quality_model.score(d.select("doc_id", "text"), model).join(lab.where("doc_id % 3 = 0"), "doc_id").select("quality", (F.col("tails")[0] >= 0.5).cast("int").alias("kept")).collect()
+    r = quality_model.score(d.select("doc_id", "text"), model).join(lab.where("doc_id % 3 = 0"), "doc_id").select("quality", "toxic", (F.col("tails")[0] >= 0.5).cast("int").alias("kept"), F.col("tails")[1].alias("best")).collect()
     good = [x.kept for x in r if x.quality == 1]
     bad = [x.kept for x in r if x.quality == 0]
-    assert np.mean(good) > 0.95 and np.mean(bad) < 0.6
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
+    clean, toxic = ([x.best for x in r if x.quality == 1 and x.toxic == k] for k in (0, 1))
+    assert np.mean([a > b for a in clean for b in toxic]) > 0.8  # the upper threshold tells good texts from toxic ones
+    assert quality_model.graded_documents(docs_of(spark, []).limit(0), lab).count() == 0
+    same = docs_of(spark, [*ODD]).withColumns({"tails": F.lit("x"), "expected_grade": F.lit(1)})
+    assert quality_model.keep_good(same, lab.limit(0)).columns == same.columns
     odd = quality_model.graded_documents(docs_of(spark, ODD), lab).collect()
     assert len(odd) == len(ODD) and all(0 <= x.p_best <= x.p_good <= 1 for x in odd)
 
@@ -166,7 +179,9 @@ def test_toxicity_held_out(spark):
     d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     r = toxicity.toxic_documents(d, lab).join(lab, "doc_id").where("held_out").collect()
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in r)
-    assert np.mean([x.predicted == x.toxic for x in r]) > 0.9
+    caught = sum(x.predicted for x in r if x.toxic)
+    assert caught >= 0.6 * sum(x.toxic for x in r) and caught >= 0.75 * sum(x.predicted for x in r)
+    assert toxicity.toxic_documents(docs_of(spark, []).limit(0), lab).count() == 0
     odd = toxicity.toxic_documents(docs_of(spark, ODD), lab.limit(0)).collect()
     assert len(odd) == len(ODD) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.3) for x in odd)
 
@@ -204,6 +219,9 @@ def test_pieces(spark):
     for i, t in enumerate(ODD):
         ids = sp.encode(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+    assert sentencepiece_bpe.digest(docs_of(spark, []).limit(0), piece_model()).count() == 0
+    long = "x" * 100_000 + " " + "Aé b" * 5_000
+    assert enc.encode(long) == sp.encode(long)
     both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs_of(spark, ODD), piece_model()), piece_model(), out_col="back")
     assert all(r.back == (r.text or "").replace("▁", " ") for r in both.collect())
 
@@ -243,6 +261,9 @@ def test_passages(spark, most, monkeypatch):
                     hit |= set(range(k, k + len(g)))
                     items.add(i)
         assert {k for s in r.spans for k in range(s["first"], s["after"])} == hit and set(r["items"]) == items and r.n_words == len(w)
+    assert decontaminate.remove_passages(docs_of(spark, []).limit(0), bench).count() == 0
+    small = decontaminate.find_passages(docs_of(spark, texts, False), bench.select(F.col("item_id").cast("smallint"), "text"), max_windows=most)
+    assert sum(len(r.items) for r in small.collect()) == sum(len(r.items) for r in found)
     assert decontaminate.remove_passages(docs_of(spark, texts), bench).where("doc_id = 0").first().text == "x  y"
 
 
@@ -293,6 +314,7 @@ def test_statistics_and_rules(spark):
     lab = spark.read.parquet(f"{DATA}/labels.parquet")
     got = decision_list.quality_rules(docs_of(spark, ODD), lab).collect()
     assert len(got) == len(ODD) and all(r.base_failed and not r.kept for r in got)
+    assert decision_list.quality_rules(docs_of(spark, []).limit(0), lab).count() == 0
 
 
 # 9 sharding
@@ -313,6 +335,9 @@ def test_shards(spark):
     assert len(got) == len(texts) and all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert {(r.size, r.text_crc32) for r in got} == {(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts}
     assert sharding.shard_documents(docs_of(spark, []).limit(0)).count() == 0
+    taken = docs.withColumns({"shard": F.lit("x"), "slot": F.lit("y"), "_tie": F.lit(0), "_local": F.lit(1), "row_number": F.lit(2)})
+    placed = sharding.shuffle_into_shards(taken, ["doc_id"], 3, "k")
+    assert sorted(r.slot for r in placed.where("shard = 0").collect()) == list(range(-(-len(texts) // 3))) and set(taken.columns) == set(placed.columns)
 
 
 # 10 near duplicates
@@ -432,4 +457,8 @@ def test_pipeline(spark):
     assert set(docs.columns) < set(out.columns) and 0 < out.count() < docs.count()
     assert out.groupBy("doc_id").count().where("count > 1").count() == 0
     r = out.first()
+    by_hand = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        by_hand = stage(spark, by_hand, DATA)
+    assert {(x.doc_id, x.text) for x in by_hand.select("doc_id", "text").collect()} == {(x.doc_id, x.text) for x in out.select("doc_id", "text").collect()}
     assert len(r.ids) == r.n_tokens and hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256
