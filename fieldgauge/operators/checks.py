@@ -111,3 +111,25 @@ def worked_examples(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     share = F.when(eps == 0, 0.0).otherwise(F.try_divide(eps, var + eps))
     holds = F.abs(share - printed.cast("double")) <= F.lit(0.5) * F.pow(F.lit(10.0), -decimals) + 1e-12
     return found.select(key, "example", printed.alias("printed"), F.coalesce(holds, F.lit(False)).alias("holds"))
+
+
+def undeclared_floors(docs: DataFrame, leaves: DataFrame, floors: dict[str, tuple[str, str]], key: str = "doc_id", reach: int = 230, figures: int = 4) -> DataFrame:
+    """key, value and floor of each number in a text that a leaf gives under one floor, with that floor named neither in
+    the number's sentence nor within ``reach`` characters.
+
+    ``leaves`` has path and value; ``floors`` maps a floor to the patterns of the last segment of its paths
+    and of its names in prose. Values that occur under two floors, or under none, are exempt.
+    """
+    last = F.regexp_extract("path", "([^/]*)$", 1)
+    of_path = F.coalesce(*(F.when(last.rlike(segment), F.lit(floor)) for floor, (segment, _) in floors.items()))
+    known = leaves.select(sig(F.col("value"), figures).alias("value"), of_path.alias("floor")).groupBy("value").agg(F.min("floor").alias("floor"), F.max("floor").alias("other"), F.count_if(F.col("floor").isNull()).alias("none")).where("floor = other and none = 0").select("value", "floor")
+    found = docs.select(key, "text", F.regexp_extract_all("text", F.lit(f"({NUMBER})"), 1).alias("_n"), F.split("text", NUMBER, -1).alias("_p"))
+    # what stands before the number of a place: the pieces up to it and the numbers between them
+    at = found.select(key, "text", "_n", "_p", F.posexplode("_n").alias("_i", "_s"))
+    before = F.aggregate(F.slice("_p", 1, F.col("_i") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("_n", 1, F.col("_i")), F.lit(0), lambda a, x: a + F.length(x))
+    at = at.withColumn("_at", before).withColumns({"_left": F.substring("text", F.lit(1), F.col("_at")), "_right": F.substring("text", F.col("_at") + F.length("_s") + 1, F.length("text"))})
+    near = F.concat_ws(" ", F.substring("_left", F.greatest(F.lit(1), F.col("_at") - reach + 1), F.lit(reach)), F.substring("_right", F.lit(1), F.lit(reach)))
+    sentence = F.concat_ws(" ", F.element_at(F.split("_left", r"[.!?]\s"), -1), F.element_at(F.split("_right", r"[.!?]\s"), 1))
+    joined = at.select(key, sig(F.col("_s").try_cast("double"), figures).alias("value"), F.concat_ws(" ", near, sentence).alias("_context")).join(known, "value")
+    named = F.coalesce(*(F.when(F.col("floor") == floor, F.col("_context").rlike(name)) for floor, (_, name) in floors.items()))
+    return joined.where(~named).select(key, "value", "floor").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["queries_frames", "queries_scores", "queries_tables", "queries_stream"]
+MODULES = ["queries_frames", "queries_scores", "queries_tables", "queries_stream", "queries_sources"]
 
 
 def load() -> tuple[dict, dict]:

@@ -357,3 +357,14 @@ def q_v18(spark, d):
 @query("q_v4", "events", "SELECT event_id, '/' || key AS path, CAST(json_extract_string(props, '$.' || key) AS DOUBLE) AS num FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) q")
 def q_v4(spark, d):
     return K.numeric_leaves(V.table(spark, d, "events"), "props", key="event_id")
+
+
+@query("q_v19", "part", f"WITH v AS (SELECT *, {S('p_retailprice', 4)} AS value, CASE WHEN p_size % 2 = 0 THEN 'eps' ELSE 'fix' END AS floor FROM part), k AS (SELECT value, min(floor) AS floor FROM v GROUP BY value HAVING min(floor) = max(floor)) SELECT p_partkey, value, k.floor FROM v JOIN k USING (value) WHERE NOT ((p_partkey % 3 = 0 AND k.floor = 'eps' OR p_partkey % 3 = 1 AND k.floor = 'fix') AND p_partkey % 2 = 0)")
+def q_v19(spark, d):
+    """A score for each part, stated with a constant's name beside it or far behind it."""
+    part = V.table(spark, d, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, "the library constant").when(F.col("p_partkey") % 3 == 1, "the raised constant").otherwise("no constant")
+    far = F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.concat(F.lit(". "), F.repeat(F.lit("and so on "), 30)))
+    text = F.concat(F.lit("The score is "), F.col("p_retailprice").cast("double").cast("string"), far, F.lit(" under "), name, F.lit(". More follows."))
+    leaves = part.select(F.concat(F.lit("/score/at_"), F.when(F.col("p_size") % 2 == 0, "eps").otherwise("fix")).alias("path"), F.col("p_retailprice").cast("double").alias("value"))
+    return K.undeclared_floors(part.select("p_partkey", text.alias("text")), leaves, {"eps": ("eps$", "library constant"), "fix": ("fix$", "raised constant")}, "p_partkey")

@@ -25,11 +25,11 @@ def read_score_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_score_rows(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Parquet by model and mode, or gz JSON lines for exchange (S3)."""
+    """Parquet by model and mode, or gz JSON for exchange, a payload a file (S3)."""
     if fmt == "parquet":
         rows.write.partitionBy("model", "mode").parquet(path)
     elif fmt == "json":
-        rows.write.json(path, compression="gzip")
+        rows.write.option("maxRecordsPerFile", 1).json(path, compression="gzip")
     else:
         raise ValueError(f"no such format: {fmt}")
 
@@ -49,6 +49,15 @@ def read_audit_rows(spark: SparkSession, path: str) -> DataFrame:
     return z.select("file", "trajectory", "t", F.col("z.fields").alias("field"), "field_idx", F.col("z.variance_ddof1").alias("var"), F.col("z.spatial_mean").alias("mean"), F.col("z.persistence_mse").alias("persistence_mse"))
 
 
+def write_audits(frames: DataFrame, path: str) -> None:
+    """Long audit rows (`field`, `field_idx`, var, mean, persistence_mse) as documents, one for each trajectory."""
+    f = F.array_sort(F.collect_list(F.struct("field_idx", "field", "var", "mean", "persistence_mse")))
+    row = frames.groupBy("file", "trajectory", "t").agg(f.alias("f"))
+    entry = F.struct("t", F.col("f.var").alias("variance_ddof1"), F.col("f.mean").alias("spatial_mean"), F.col("f.persistence_mse").alias("persistence_mse"))
+    docs = row.groupBy("file", "trajectory").agg(F.first("f.field").alias("fields"), F.array_sort(F.collect_list(entry), lambda a, b: a["t"] - b["t"]).alias("rows"))
+    docs.write.option("maxRecordsPerFile", 1).json(path, compression="gzip")
+
+
 def read_census(spark: SparkSession, path: str) -> DataFrame:
     """dataset, file, field and statistics of census documents (S4); the maps are never inferred."""
     files = spark.read.schema(CENSUS).json(path, multiLine=True).select("dataset", "n_test_files_total", "frame_stride", F.explode("files").alias("file", "v"))
@@ -59,10 +68,11 @@ def write_census(census: DataFrame, path: str) -> None:
     """One document for each dataset, with its files and fields as maps."""
     stats = F.struct(F.col("var_min"), F.col("var_max"), F.col("var_mean"), F.col("frac_below_epslib"), F.col("frac_below_epsfix"), F.col("n_frames"))
     per = census.groupBy("dataset", "file").agg(F.map_from_entries(F.collect_list(F.struct("field", stats))).alias("fields"))
-    per.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("file", F.struct("fields")))).alias("files")).write.json(path)
+    per.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("file", F.struct("fields")))).alias("files")).write.option("maxRecordsPerFile", 1).json(path)
 
 
 def write_windows_csv(rows: DataFrame, path: str) -> None:
+    """Score rows as CSV with a header (S6); nulls are empty."""
     rows.write.option("header", True).csv(path)
 
 

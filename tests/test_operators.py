@@ -131,3 +131,63 @@ def test_incremental_census(spark, tmp_path):
         make(k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         run()
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_claims_in_text(spark):
+    t = spark.createDataFrame([(0, "larger by a factor of 2.5 or a factor of 30"), (1, "no claim"), (2, None), (3, "factor of 2.51")], "doc_id int, text string")
+    known = spark.createDataFrame([(2.54,), (29.7,)], "value double")
+    assert [(r.doc_id, r.claim) for r in checks.untraced_factors(t, known).collect()] == [(3, "2.51")]
+    t = spark.createDataFrame([(0, "see floor_share(var=1e-7, eps=1e-7) # 0.5 and floor_share(var=3,eps=1) # 0.26"), (1, None)], "doc_id int, text string")
+    assert sorted((r.printed, r.holds) for r in checks.worked_examples(t).collect()) == [("0.26", False), ("0.5", True)]
+
+
+def test_undeclared_floors(spark):
+    floors = {"eps": ("eps$", "library floor"), "fix": ("fix$", "raised floor")}
+    leaves = spark.createDataFrame([("/a/at_eps", 12.34), ("/a/at_fix", 56.78), ("/a/at_eps", 9.87), ("/a/at_fix", 9.87)], "path string, value double")
+    filler = "word " * 60
+    texts = ["12.34 under the library floor.", f"12.34. {filler} library floor.", f"The library floor, {filler} gives 12.34.", "56.78 under the library floor", "9.87 alone", f"1.5 and 12.34 {filler}. 56.78 raised floor", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted((r.doc_id, r.floor) for r in checks.undeclared_floors(docs, leaves, floors).collect()) == [(1, "eps"), (3, "fix"), (5, "eps")]
+
+
+def test_isolated(spark):
+    def census(row):
+        return {"n": 1 // row["k"]}
+
+    df = spark.createDataFrame([(1, "a"), (0, "b"), (1, "c")], "k int, name string")
+    from fieldgauge.operators.census import isolated
+
+    assert sorted((r.name, r.n, r.error) for r in isolated(df, census, "n bigint").collect()) == [("a", 1, None), ("b", None, "ZeroDivisionError: integer division or modulo by zero"), ("c", 1, None)]
+
+
+def test_rounding(spark):
+    """Significant figures by the exact binary value, as C prints them."""
+    from fieldgauge.functions import sig
+
+    values = [66.955, 64.065, 0.5, 2.5, 1e-320, -1.25, 0.0, -0.0, 1e300, 123456.5, 0.15, float("inf")]
+    for n in (1, 2, 4, 6):
+        got = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", sig(F.col("v"), n).alias("s")).orderBy("i").collect()]
+        assert got == [float(f"%.{n - 1}e" % v) for v in values]
+
+
+def test_frames_of_other_sites(spark):
+    """The stream matches cells by site."""
+    import pandas as pd
+
+    from fieldgauge.streaming.jobs import _step
+
+    class State:
+        exists, held = False, None
+
+        @property
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held, self.exists = v, True
+
+    cells = lambda d: [{"site": s, "x": x} for s, x in d.items()]
+    state = State()
+    first = next(_step(("f", 0, "x"), iter([pd.DataFrame({"t": [0, 1], "cells": [cells({1: 1.0, 2: 5.0}), cells({2: 5.0, 3: 9.0})]})]), state))
+    second = next(_step(("f", 0, "x"), iter([pd.DataFrame({"t": [2, 4], "cells": [cells({3: 7.0}), cells({3: 1.0})]})]), state))
+    assert first[["t", "persistence_mse"]].values.tolist() == [[1, 0.0]] and second[["t", "persistence_mse"]].values.tolist() == [[2, 4.0]]
