@@ -72,6 +72,12 @@ def collisions(names: DataFrame) -> DataFrame:
     return names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def refuse_collisions(names: DataFrame) -> DataFrame:
+    """The names, each once; one that more than one field would have is an error that says so."""
+    each = names.groupBy("name").agg(F.count("*").alias("n"))
+    return each.select(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several fields would be named "), F.col("name")))).otherwise(F.col("name")).alias("name"))
+
+
 def history_windows(frames: DataFrame, keys: list[str], history: int = 4, stride: int = 1, cap: int | None = None) -> DataFrame:
     """start, inputs (the `history` values before the target) and target of each window of a trajectory."""
     w = Window.partitionBy(*keys).orderBy("t")

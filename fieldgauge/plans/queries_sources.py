@@ -8,10 +8,10 @@ from fieldgauge.functions import sig
 from fieldgauge.operators import census as M
 from fieldgauge.operators import frames as A
 from fieldgauge.plans.queries_frames import _GVAR, _PERS, _VAR, gvar
-from fieldgauge.plans.queries_stream import _shared
 from fieldgauge.plans.registry import VAR, S, query
 from fieldgauge.sources import files
 from fieldgauge.sources import views as V
+from fieldgauge.sources.files import shared
 from fieldgauge.sources.views import FRAME
 from fieldgauge.streaming import jobs
 
@@ -25,7 +25,7 @@ def _windows(rows):
 @query("q_s1", "rows", f"SELECT {_WINDOW}, {S('mse')} AS mse, {S('var')} AS var FROM rows")
 def q_s1(spark, d):
     """Score rows as payload documents, one for each model and trajectory."""
-    at = f"{_shared(spark)}/payloads"
+    at = f"{shared(spark)}/payloads"
     files.write_score_rows(files.as_payloads(V.rows(spark, d)), at, "json")
     return _windows(files.read_score_rows(spark, at))
 
@@ -36,7 +36,7 @@ _MEAN = "gm AS (SELECT file, trajectory, t, field, avg(x) AS mean FROM grid GROU
 @query("q_s2", "grid", f"WITH {_PERS}, {_GVAR}, {_MEAN} SELECT file, trajectory, t, field, field_idx, {S('var')} AS var, round(mean, 9) + 0.0 AS mean, {S('persistence_mse')} AS persistence_mse FROM pm JOIN gv USING (file, trajectory, t, field) JOIN gm USING (file, trajectory, t, field)")
 def q_s2(spark, d):
     """Audits of trajectories as documents with one entry for each frame."""
-    at, g = f"{_shared(spark)}/audits", V.grid(spark, d)
+    at, g = f"{shared(spark)}/audits", V.grid(spark, d)
     each = A.persistence_mse(g).join(gvar(g), [*FRAME, "field"]).join(g.groupBy(*FRAME, "field").agg(F.avg("x").alias("mean")), [*FRAME, "field"])
     files.write_audits(each, at)
     back = files.read_audit_rows(spark, at)
@@ -46,7 +46,7 @@ def q_s2(spark, d):
 @query("q_s3", "rows", f"SELECT {_WINDOW}, {S('mse')} AS mse, {S('var')} AS var FROM rows")
 def q_s3(spark, d):
     """Score rows as a table partitioned by model and mode."""
-    at = f"{_shared(spark)}/rows"
+    at = f"{shared(spark)}/rows"
     files.write_score_rows(V.rows(spark, d), at)
     return _windows(spark.read.schema("file string, trajectory int, t int, rollout_step int, input_start int, field string, field_idx int, n_cells bigint, mse double, var double, pvar double, model string, mode string").parquet(at))
 
@@ -56,7 +56,7 @@ _CENSUS = f"WITH {_VAR} SELECT file AS dataset, CAST(trajectory AS VARCHAR) AS f
 
 
 def _written_census(spark, d):
-    at = f"{_shared(spark)}/census"
+    at = f"{shared(spark)}/census"
     c = M.component_census(A.long_variance(V.cells(spark, d)), ["file", "trajectory", "field"]).withColumnsRenamed({"file": "dataset", "frac_le_eps": "frac_below_epslib", "frac_le_fix": "frac_below_epsfix"})
     files.write_census(c.withColumn("file", F.col("trajectory").cast("string")), at)
     return at
@@ -79,7 +79,7 @@ def q_s5(spark, d):
 @query("q_s6", "rows", f"SELECT model, file, trajectory, t, field, {S('mse')} AS mse FROM rows WHERE mode = 'rollout'")
 def q_s6(spark, d):
     """Rollout windows as CSV with a header."""
-    at = f"{_shared(spark)}/windows"
+    at = f"{shared(spark)}/windows"
     files.write_windows_csv(V.rows(spark, d).where("mode = 'rollout'").select("model", *FRAME, "field", "mse"), at)
     back = spark.read.option("header", True).schema("model string, file string, trajectory int, t int, field string, mse double").csv(at)
     return back.withColumn("mse", sig(F.col("mse")))
@@ -88,7 +88,7 @@ def q_s6(spark, d):
 @query("q_t1", "grid", f"SELECT file, field, trajectory, count(*) AS n, {S(VAR('x'))} AS var FROM grid GROUP BY file, field, trajectory")
 def q_t1(spark, d):
     """A census of each trajectory as it arrives; what a former run has taken is not read again."""
-    base, g = _shared(spark), V.grid(spark, d).select("file", "trajectory", "field", "x")
+    base, g = shared(spark), V.grid(spark, d).select("file", "trajectory", "field", "x")
     each = lambda b: b.groupBy("file", "field", "trajectory").agg(F.count("*").alias("n"), F.var_samp("x").alias("var"))
     for k in (0, 1):
         g.where(F.col("trajectory") == k).write.mode("append").parquet(f"{base}/in")

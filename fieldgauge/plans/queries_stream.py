@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from fieldgauge.functions import EPS, sig
@@ -13,6 +10,7 @@ from fieldgauge.plans.queries_frames import _PERS
 from fieldgauge.plans.queries_tables import _FRAMES, _frames
 from fieldgauge.plans.registry import S, query
 from fieldgauge.sources import views as V
+from fieldgauge.sources.files import shared
 from fieldgauge.streaming import jobs
 
 
@@ -33,18 +31,10 @@ def q_f6(spark, d):
     return jobs.rollout_forecasts(g, _last, 30).select("file", "trajectory", "site", "rollout_step", sig(F.col("pred"), 5).alias("pred"))
 
 
-def _shared(spark):
-    """A new folder that all executors see; only a local session may do without a named one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{folder}/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="spark-")
-
-
 @query("q_t2", "grid", f"WITH {_PERS} SELECT file, trajectory, field, t, {S('persistence_mse', 5)} AS persistence_mse FROM pm WHERE persistence_mse IS NOT NULL")
 def q_t2(spark, d):
     """Frames written as a table, read as a stream and carried by state; compared with the batch operator."""
-    base = _shared(spark)
+    base = shared(spark)
     frames = V.grid(spark, d).groupBy("file", "trajectory", "field", "t").agg(F.array_sort(F.collect_list(F.struct("site", "x"))).alias("cells"))
     frames.write.parquet(f"{base}/frames")
     stream = spark.readStream.schema(frames.schema).parquet(f"{base}/frames")

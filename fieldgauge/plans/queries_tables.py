@@ -14,7 +14,9 @@ from fieldgauge.operators import frames as A
 from fieldgauge.operators import layout as L
 from fieldgauge.plans.queries_frames import sigs
 from fieldgauge.plans.registry import S, query
+from fieldgauge.sources import files
 from fieldgauge.sources import views as V
+from fieldgauge.sources.files import shared
 from fieldgauge.sources.views import FIELDS, FRAME
 
 
@@ -168,17 +170,23 @@ def q_s11(spark, d):
     return c.select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), sig(F.col(f"m_{f}")).alias("mean"), sig(F.greatest(F.col(f"s_{f}"), F.lit(1e-4))).alias("std")) for f in ("density", "vx")))))
 
 
-@query("q_s12", "conversations", "SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN '>200' ELSE CAST(length(text) AS VARCHAR) END AS cell, CASE WHEN length(text) <= 200 THEN CAST(length(text) AS DOUBLE) END AS value, length(text) > 200 AS censored FROM conversations")
+@query("q_s12", "conversations", "SELECT conv_id, CAST(turn AS VARCHAR) AS turn, role, CASE WHEN length(text) > 200 THEN '>200' ELSE CAST(length(text) AS VARCHAR) END AS cell, CASE WHEN length(text) <= 200 THEN CAST(length(text) AS DOUBLE) END AS value, length(text) > 200 AS censored FROM conversations WHERE text IS NOT NULL")
 def q_s12(spark, d):
+    """Lengths of turns published as a table of role and turn for each conversation."""
     n = F.char_length("text")
-    cell = V.table(spark, d, "conversations").select("conv_id", "turn", F.when(n > 200, ">200").otherwise(n.cast("string")).alias("cell"))
-    return cell.select("conv_id", "turn", "cell", F.col("cell").try_cast("double").alias("value"), F.col("cell").startswith(">").alias("censored"))
+    c = V.table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "role", F.when(n > 200, ">200").otherwise(n.cast("string")).alias("cell"))
+    inner = c.groupBy("conv_id", "role").agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), "cell"))).alias("m"))
+    published = inner.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "m"))).alias("m"))
+    return files.melt_published(published, "m", ["role", "turn"])
 
 
-@query("q_s13", "documents", r"SELECT doc_id, nullif(regexp_extract(text, 'version (\d+(?:\.\d+)?)', 1), '') AS version, nullif(regexp_extract(text, 'Version (\d+\.\d+)', 1), '') AS release FROM documents")
+@query("q_s13", "nation", "SELECT CASE WHEN n_nationkey = 0 THEN 0.0 ELSE n_nationkey / 1e9 END AS worst, CASE WHEN n_nationkey % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, count(*) AS n FROM nation GROUP BY ALL")
 def q_s13(spark, d):
-    pick = lambda p: F.when(F.regexp_extract("text", p, 1) != "", F.regexp_extract("text", p, 1))
-    return V.docs(spark, d).select("doc_id", pick(r"version (\d+(?:\.\d+)?)").alias("version"), pick(r"Version (\d+\.\d+)").alias("release"))
+    """A text log for each nation, read whole."""
+    at = f"{shared(spark)}/logs"
+    log = F.concat(F.lit("comparison of "), "n_name", F.lit("\nmaximum relative difference: "), F.col("n_nationkey").cast("string"), F.lit("e-9\nresult: "), F.when(F.col("n_nationkey") % 3 == 0, "FAIL").otherwise("PASS"))
+    V.table(spark, d, "nation").select(log.alias("value")).write.option("maxRecordsPerFile", 1).text(at)
+    return files.read_log_verdict(spark, at).groupBy("worst", "verdict").agg(F.count("*").alias("n"))
 
 
 _TWO = "a AS (SELECT l_returnflag AS k, l_linestatus AS s, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_returnflag AS k, l_linestatus AS s, sum(CASE WHEN l_tax > 0.01 THEN l_quantity ELSE 0 END) AS q, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)"

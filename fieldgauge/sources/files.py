@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import glob
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,14 @@ AUDIT = "file string, trajectory int, fields array<string>, rows array<struct<t:
 CENSUS = "dataset string, n_test_files_total int, window_frames array<int>, frame_stride int, eps_lib double, eps_fix double, files_censused array<string>, files map<string, struct<fields:map<string, struct<var_min:double,var_max:double,var_mean:double,frac_below_epslib:double,frac_below_epsfix:double,n_frames:int,window:array<int>>>, sec:double, static_fields_excluded:array<string>, error:string>>"
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder that all executors see; only a local session may do without a named one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{folder}/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="spark-")
+
+
 def read_score_rows(spark: SparkSession, path: str) -> DataFrame:
     """One row for each window and field of gz JSON payloads."""
     each = spark.read.schema(PAYLOAD).json(path, multiLine=True).select("fields", F.explode("rows").alias("r"))
@@ -76,6 +86,19 @@ def write_windows_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
 
+def melt_published(df: DataFrame, col: str, levels: list[str]) -> DataFrame:
+    """Nested maps of cells as rows (S12): a column for each level, the cell, its value and whether it is ``censored``.
+
+    A cell such as ">10" is censored and has no value; a null map or cell has no row.
+    """
+    keep = [c for c in df.columns if c != col]
+    for level in levels:
+        df = df.select(*keep, F.explode(col).alias(level, "_inner")).withColumnRenamed("_inner", col)
+        keep.append(level)
+    cell = F.col(col).cast("string")
+    return df.where(F.col(col).isNotNull()).select(*keep, cell.alias("cell"), cell.try_cast("double").alias("value"), cell.startswith(">").alias("censored"))
+
+
 def read_log_verdict(spark: SparkSession, path: str) -> DataFrame:
     """Largest relative difference and verdict of each text log."""
     t = spark.read.text(path, wholetext=True)

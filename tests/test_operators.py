@@ -191,3 +191,10 @@ def test_frames_of_other_sites(spark):
     first = next(_step(("f", 0, "x"), iter([pd.DataFrame({"t": [0, 1], "cells": [cells({1: 1.0, 2: 5.0}), cells({2: 5.0, 3: 9.0})]})]), state))
     second = next(_step(("f", 0, "x"), iter([pd.DataFrame({"t": [2, 4], "cells": [cells({3: 7.0}), cells({3: 1.0})]})]), state))
     assert first[["t", "persistence_mse"]].values.tolist() == [[1, 0.0]] and second[["t", "persistence_mse"]].values.tolist() == [[2, 4.0]]
+
+
+def test_colliding_names_are_refused(spark):
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert sorted(r.name for r in layout.refuse_collisions(names).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="several fields would be named a"):
+        layout.refuse_collisions(names.union(names.limit(1))).collect()
