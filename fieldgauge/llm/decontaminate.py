@@ -138,6 +138,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     at a time; a larger benchmark is searched in as many blocks, whose spans are then merged for each
     row. Null texts have no words; repeated rows get equal results; items without an id do not count.
     """
+    return _found(docs, benchmark, text_col, window, max_windows, cut=False)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, max_windows: int, cut: bool) -> DataFrame:
+    """As `find_passages`; with ``cut`` the texts (and n_chars) of one block are cut in the same pass."""
     named = windows(benchmark, window).withColumn("block", F.lit(0))
     total = named.count()
     blocks = max(1, -(-total // max_windows))
@@ -145,7 +150,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         named = named.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("int"))
     kind = dict(benchmark.dtypes)["item_id"]
     if blocks == 1:
-        return _search(docs, phrases([(r.item_id, r.window) for r in named.collect()], window), text_col, kind)
+        return _search(docs, phrases([(r.item_id, r.window) for r in named.collect()], window), text_col, kind, cut)
     row = free_name(docs, "_row")
     docs = durable(docs.withColumn(row, F.monotonically_increasing_id()))  # written: each block must see the same numbers
     parts = []
@@ -162,10 +167,27 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["after"], s["after"]).alias("after")))),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return docs.join(each.withColumn("spans", merged), row).drop(row)
-
-
-def _search(docs: DataFrame, p: Phrases, text_col: str, kind: str) -> DataFrame:
+    found = docs.join(each.withColumn("spans", merged), row).drop(row)
+    return found.mapInArrow(lambda batches: (_cut(b, text_col, b.column("spans").to_pylist()) for b in batches), found.schema) if cut else found
+
+
+def _cut(batch: pa.RecordBatch, text_col: str, spans: list[list[dict]]) -> pa.RecordBatch:
+    """The rows with the words of the spans cut out of their texts; ``n_chars`` follows where the frame has it."""
+    if not any(spans):
+        return batch
+    names = batch.schema.names
+    texts = batch.column(text_col).to_pylist()
+    sizes = batch.column("n_chars").to_pylist() if "n_chars" in names else []
+    for i, own in enumerate(spans):
+        if own:
+            texts[i] = without_words(texts[i], [(x["first"], x["after"]) for x in own])
+            if sizes:
+                sizes[i] = len(texts[i])
+    made = {c: pa.array(v, batch.schema.field(c).type) for c, v in ((text_col, texts), ("n_chars", sizes)) if v}
+    return pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
+
+
+def _search(docs: DataFrame, p: Phrases, text_col: str, kind: str, cut: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(p)
     made = {"n_words", "spans", "items"}
     keep = [f for f in docs.schema.fields if f.name not in made]
@@ -183,6 +205,7 @@ def _search(docs: DataFrame, p: Phrases, text_col: str, kind: str) -> DataFrame:
             for b in kept:
                 n = b.num_rows
                 spans = [[{"first": x, "after": y} for x, y in spans_of(h).tolist()] for h in hits[at : at + n]]
+                b = _cut(b, text_col, spans) if cut else b
                 items = [sorted({x for w in f for x in p.items[p.starts[w] : p.starts[w + 1]]}) for f in found[at : at + n]]
                 sizes = pa.array([len(x) for x in ids[at : at + n]], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), sizes, pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), pa.array(items, pa.list_(item_type))], names=schema.names)
@@ -217,28 +240,14 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without their benchmark passages; one with nothing else in it goes.
 
-    Documents without a passage stay as they are. ``n_chars`` follows the text where the frame has it.
+    Documents without a passage stay as they are, null and empty texts too; repeated rows are cut alike.
+    ``n_chars`` follows the text where the frame has it. Columns of the names that the search makes stay.
     """
-    found = find_passages(docs, benchmark)
-    columns = docs.columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = {}
-            spans = batch.column("spans").to_pylist()
-            if any(spans):
-                texts = batch.column("text").to_pylist()
-                sizes = batch.column("n_chars").to_pylist() if "n_chars" in columns else []
-                for i, own in enumerate(spans):
-                    if own:
-                        texts[i] = without_words(texts[i], [(x["first"], x["after"]) for x in own])
-                        if sizes:
-                            sizes[i] = len(texts[i])
-                made = {c: pa.array(v, batch.schema.field(c).type) for c, v in (("text", texts), ("n_chars", sizes)) if v}
-            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in columns], names=columns)
-
+    own = {c: free_name(docs, f"_own_{c}") for c in ("n_words", "spans", "items") if c in docs.columns}
+    found = _found(docs.withColumnsRenamed(own), benchmark, "text", WINDOW, MAX_WINDOWS, cut=True)
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["after"] - s["first"])
-    return found.where((F.size("spans") == 0) | (total < F.col("n_words"))).select(*columns, "spans").mapInArrow(cut, docs.schema)
+    left = found.where((F.size("spans") == 0) | (total < F.col("n_words"))).drop("n_words", "spans", "items")
+    return left.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -264,7 +264,11 @@ def test_passages(spark, most, monkeypatch):
     assert decontaminate.remove_passages(docs_of(spark, []).limit(0), bench).count() == 0
     small = decontaminate.find_passages(docs_of(spark, texts, False), bench.select(F.col("item_id").cast("smallint"), "text"), max_windows=most)
     assert sum(len(r.items) for r in small.collect()) == sum(len(r.items) for r in found)
-    assert decontaminate.remove_passages(docs_of(spark, texts), bench).where("doc_id = 0").first().text == "x  y"
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", most)
+    clashing = docs_of(spark, texts).withColumns({"spans": F.lit(5), "n_words": F.lit("w"), "items": F.lit(1.5), "n_chars": F.char_length("text")})
+    left = decontaminate.remove_passages(clashing, bench)
+    assert left.columns == clashing.columns and left.where("doc_id = 0").select("text", "n_chars", "spans", "n_words").first() == ("x  y", 4, 5, "w")
+    assert left.where("text is null").count() == 1
 
 
 # 7 pseudonyms
