@@ -20,7 +20,7 @@ from fieldgauge.llm.fm_index import FMIndex
 
 WINDOW = 10
 #: Words of an index; a shard is as many neighbouring documents of one partition as fill it.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Windows of the benchmark that are held by a task at once; more are searched in several blocks.
 MAX_WINDOWS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
