@@ -21,13 +21,17 @@ from pyspark.sql import types as T
 
 from fieldgauge.llm.feistel import permute, round_keys
 
-_FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+_FIRST_YEAR, _LAST_YEAR = 1900, 2100
+_DAY_CLASSES = [(1, 9), (10, 12), (13, 28), (29, 29), (30, 30), (31, 31)]
+#: Country codes of one and two digits; those that begin otherwise have three, in these tens.
+_COUNTRIES = {"7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+_THREE_DIGITS = set("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 85 88 96 97 99".split())
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _FORMS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?:(?<=password)|(?<=passwd)|(?<=token)|(?<=secret)|(?<=api_key)|(?<=apikey))(?:\s?[=:]\s?[\"']?)[0-9A-Za-z]{8,}"),
     ("iban", r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"),
-    ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
+    ("ip", r"(?<![\w.])(?<!version )(?<!Version )(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
     ("iso_date", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"),
     ("date", r"(?<![\d/.])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\d/])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -123,30 +127,14 @@ class Pseudonyms:
             v = self._move(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ip")
             return ".".join(map(str, v.to_bytes(4, "big")))
         if kind in ("iso_date", "date"):
-            numbers = [int(x) for x in re.split(r"[-/.]", text)]
-            sep = re.search(r"[-/.]", text)[0]
-            order = "ymd" if kind == "iso_date" else "dmy" if sep == "." or numbers[0] > 12 else "mdy"
-            named = dict(zip(order, numbers, strict=True))
-            try:
-                at = date(named["y"], named["m"], named["d"]).toordinal() - _FIRST
-            except ValueError:
+            parts = re.split(r"([-/.])", text)
+            first = int(parts[0])
+            order = "ymd" if kind == "iso_date" else "dmy" if parts[1] == "." or first > 12 else "mdy"
+            named = dict(zip(order, map(int, parts[::2]), strict=True))
+            if not (_FIRST_YEAR <= named["y"] < _LAST_YEAR and _has(**named)):
                 return None
-            if not 0 <= at < _DAYS:
-                return None
-            # slashed dates whose reading would change with the day stay within days that read the same way
-            days = [i for i in range(13, 29)] if order == "dmy" and sep == "/" else None
-            if days is not None:
-                if named["d"] not in days:
-                    return None if named["d"] < 13 else self._long_day(named, text)
-                months = (named["y"] - 1900) * 12 + named["m"] - 1
-                v = self._move(months * 16 + named["d"] - 13, 2400 * 16, "date/late days")
-                months, d = divmod(v, 16)
-                return f"{d + 13:02d}/{months % 12 + 1:02d}/{1900 + months // 12}"
-            new = date.fromordinal(_FIRST + self._move(at, _DAYS, "date/" + order))
-            if kind == "iso_date":
-                return new.isoformat()
-            a, b = (new.day, new.month) if order == "dmy" else (new.month, new.day)
-            return f"{a:02d}{sep}{b:02d}{sep}{new.year}"
+            new = self._date(**named)
+            return "".join(p if i % 2 else f"{new[order[i // 2]]:0{len(p)}d}" for i, p in enumerate(parts))
         if kind == "ssn":
             a, g, s = int(digits[:3]), int(digits[3:5]), int(digits[5:])
             if not 0 < a < 900 or a == 666 or not g or not s:
@@ -170,16 +158,24 @@ class Pseudonyms:
             v, line = divmod(self._move(v, 800 * 800 * 10_000, "phone"), 10_000)
             a, x = divmod(v, 800)
             return self._refill(text, f"{lead}{a + 200}{x + 200}{line:04d}")
-        lead = digits[:2]  # other numbers keep the country in front
-        if not 8 <= len(digits) <= 15 or digits[0] in "01":
+        # other numbers keep the country in front
+        lead = next((digits[:k] for k in (1, 2) if digits[:k] in _COUNTRIES), digits[:3] if digits[:2] in _THREE_DIGITS else None)
+        if not lead or not 8 <= len(digits) <= 15:
             return None
-        return self._refill(text, lead + f"{self._move(int(digits[2:]), 10 ** (len(digits) - 2), 'phone/' + lead):0{len(digits) - 2}d}")
+        n = len(digits) - len(lead)
+        return self._refill(text, lead + f"{self._move(int(digits[len(lead):]), 10**n, 'phone/' + lead):0{n}d}")
+
+    def _date(self, y: int, m: int, d: int) -> dict[str, int]:
+        """The pseudonym of a day, the same in every way of writing it.
 
-    def _long_day(self, named: dict, text: str) -> str:
-        """A day after the 28th, day first: the day stays, months that have it are permuted."""
-        fits = [i for i in range(2400) if _has(1900 + i // 12, i % 12 + 1, named["d"])]
-        v = fits[self._move(fits.index((named["y"] - 1900) * 12 + named["m"] - 1), len(fits), f"date/{named['d']}")]
-        return f"{named['d']:02d}/{v % 12 + 1:02d}/{1900 + v // 12}"
+        Days and months keep their number of digits, and days that no month can be stay so: a date that is
+        written without zeros, or with the day in front, is then read the same way again.
+        """
+        low, high = next(x for x in _DAY_CLASSES if x[0] <= d <= x[1])
+        months, width = _months(m < 10, high), high - low + 1
+        v = self._move(months.index((y, m)) * width + d - low, len(months) * width, f"date/{low}/{m < 10}")
+        y, m = months[v // width]
+        return {"y": y, "m": m, "d": low + v % width}
 
     def apply(self, text: str | None) -> tuple[str | None, list[str]]:
         """The text with pseudonyms, and the kind of each value that was replaced, in order."""
@@ -205,6 +201,12 @@ def _has(y: int, m: int, d: int) -> bool:
     return True
 
 
+@lru_cache(16)
+def _months(short: bool, day: int) -> list[tuple[int, int]]:
+    """The years and months, of one digit or of two, that have such a day."""
+    return [(y, m) for y in range(_FIRST_YEAR, _LAST_YEAR) for m in (range(1, 10) if short else range(10, 13)) if _has(y, m, day)]
+
+
 def pseudonymized(docs: DataFrame, key: str, text_col: str = "text", maker: Callable[[str], Pseudonyms] = Pseudonyms) -> DataFrame:
     """The rows with pseudonyms in their whole texts and ``kinds array<string>`` of what was replaced.
 

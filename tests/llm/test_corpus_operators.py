@@ -284,6 +284,29 @@ def test_pseudonyms(spark):
     assert all(got[i].text == t and got[i].kinds == [] for i, t in enumerate(ODD)) and got[len(ODD)].text == got[len(ODD) + 1].text == new
 
 
+def test_dates_in_every_form():
+    """One pseudonym for a day in all forms, in the same form, read the same way, undone; different days stay apart."""
+    import datetime
+
+    there, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", back=True)
+    seen = {}
+    for n in range(datetime.date(1999, 1, 1).toordinal(), datetime.date(2005, 1, 1).toordinal()):
+        d = datetime.date.fromordinal(n)
+        forms = {d.isoformat(): "%Y-%m-%d", d.strftime("%d.%m.%Y"): "%d.%m.%Y", d.strftime("%m/%d/%Y"): "%m/%d/%Y", f"{d.day}.{d.month}.{d.year}": "%d.%m.%Y", f"{d.month}/{d.day}/{d.year}": "%m/%d/%Y"}
+        if d.day > 12:
+            forms[d.strftime("%d/%m/%Y")] = "%d/%m/%Y"
+        made = set()
+        for text, form in forms.items():
+            new, kinds = there.apply(f"on {text}, noon")
+            new = new[3:-6]
+            assert kinds == ["date"] and back.apply(new)[0] == text and [len(x) for x in re.split("[-./]", new)] == [len(x) for x in re.split("[-./]", text)]
+            made.add(datetime.datetime.strptime(new, form).date())
+        assert len(made) == 1
+        seen.setdefault(made.pop(), d)
+    assert len(seen) == n - datetime.date(1999, 1, 1).toordinal() + 1
+    assert there.apply("31/04/2001 30.02.2000 2100-01-01 version 1.2.3.4 +999 12 345 678")[1] == ["phone"] and there.apply("+800 12 345 678")[1] == []
+
+
 @pytest.mark.parametrize("zero", ["\u0660", "\u0966", "\uff10"])
 def test_pseudonyms_in_other_digits(spark, zero):
     """Values in Arabic, Devanagari and full-width digits are replaced in their script, as the same numbers."""
