@@ -489,3 +489,20 @@ def test_pipeline(spark):
         by_hand = stage(spark, by_hand, DATA)
     assert {(x.doc_id, x.text) for x in by_hand.select("doc_id", "text").collect()} == {(x.doc_id, x.text) for x in out.select("doc_id", "text").collect()}
     assert len(r.ids) == r.n_tokens and hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """An empty table gives an empty table; clashing columns stay, and nulls and repeated rows pass through."""
+    import corpus_pipeline
+
+    for k, docs in (("none", docs_of(spark, []).limit(0)), ("odd", docs_of(spark, [*ODD, "good words of a text that is long enough to stay " * 3]).unionByName(docs_of(spark, ODD)))):
+        docs.withColumns({"kinds": F.lit(1), "tails": F.lit("t"), "spans": F.lit(2), "items": F.lit("i"), "_at": F.lit(3), "n_words": F.lit(4)}).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{DATA}/{name}.parquet").limit(0 if k == "none" else 1000).write.parquet(f"{tmp_path}/{k}/{name}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{k}")
+        before = spark.read.parquet(f"{tmp_path}/{k}/documents.parquet")
+        assert set(before.columns) <= set(out.columns) and out.count() <= before.count() and (k != "none" or out.count() == 0)
+
+
+def test_pseudonyms_of_no_rows(spark):
+    assert pii.pseudonymized(docs_of(spark, []).limit(0), "k").count() == 0
