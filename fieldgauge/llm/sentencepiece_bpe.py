@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ SPACE = "▁"
 #: Units in each of a task's two dictionaries (recent ones and those before), the longest that is kept, and
 #: pairs of pieces whose check is kept. With some 200 bytes a unit and 100 a pair a task holds 120 MB at most.
 KEPT_UNITS, KEPT_LENGTH, KEPT_PAIRS = 250_000, 48, 200_000
+#: Units that a worker keeps for its next task.
+KEPT_COMMON = 40_000
 _SPACED = re.compile(r"( +)([^ ]*)")
 
 
@@ -118,9 +121,12 @@ class Encoder(dict):
         self.run_memo: dict[int, list[int]] = {}
 
     def forget(self) -> None:
-        """Gives back what was kept of the texts met so far; the automaton stays."""
+        """Gives back what was kept of the texts met so far, but for the units met first, which are the common
+        ones; the automaton and the checked pairs stay."""
+        common = dict(islice((self.before or self).items(), KEPT_COMMON))
         self.clear()
-        self.before, self.checked, self.run_memo = {}, {}, {}
+        self.update(common)
+        self.before, self.run_memo = {}, {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges would leave these two neighbours as they are."""
