@@ -270,10 +270,13 @@ class Encoder(dict):
             return "", ""
         text = text.replace(SPACE, " ")
         if "  " not in text and text[0] != " " and text[-1] != " ":
+            words = text.split(" ")
+            made = [self[w] for w in words]
             try:
-                return ",".join([self[w] for w in text.split(" ")]), text
+                return ",".join(made), text
             except TypeError:  # some unit is kept as a tuple
-                pass
+                pairs = [(" " + w, m) if m.__class__ is str else (m[1], m[0]) for w, m in zip(words, made, strict=True)]
+                return ",".join([m for _, m in pairs]), "".join([t for t, _ in pairs])[1:]
         parts = self.parts(text)
         return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])[1:]  # without the space put in front
 
