@@ -80,3 +80,15 @@ def least_hashed(labels: DataFrame, most: int, key: str = "doc_id") -> DataFrame
     """
     n = labels.count()
     return labels if n <= most else labels.where(hash_of_id(key) < int((1 << 40) * min(1.0, (1.2 * most + 200) / n)))
+
+
+def crc32_sql(blob: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a blob; needs `CRC32_TABLE` among its common tables and a cross join with it."""
+    byte = "lambda x: CAST('0x' || x AS BIGINT)"
+    bytes_ = f"list_transform(regexp_extract_all(hex({blob}), '..'), {byte})"
+    step = "lambda c, b: xor(c >> 8, crc.t[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), {step}), 4294967295)"
+
+
+#: ``crc``: one row with the 256 remainders of single bytes.
+CRC32_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t)"""

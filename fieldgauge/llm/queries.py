@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgauge.llm import decision_list, decontaminate, licenses, line_dedup, near_dup, pii, quality_model, sentencepiece_bpe, sharding, toxicity
+from fieldgauge.llm import decision_list, decontaminate, importance, licenses, line_dedup, merkle, near_dup, pii, quality_model, sentencepiece_bpe, sharding, toxicity, url_filter
 from fieldgauge.llm.common import table
 
 
@@ -61,9 +61,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_decontamination, op7_pseudonyms, op8_quality_rules, op9_sharding, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_quality_classifier, op4_sentencepiece, op5_toxicity, op6_decontamination, op7_pseudonyms, op8_quality_rules, op9_sharding, op10_near_duplicates, op11_merkle_manifest, op12_importance_resampling, op13_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.ORACLE}
+    return {"op6_decontamination": decontaminate.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_importance_resampling": importance.ORACLE, "op13_url_filters": url_filter.ORACLE}
