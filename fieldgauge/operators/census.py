@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldgauge.functions import EPS, EPS_FIX, floor_share, sig, vrmse
+from fieldgauge.operators import ranks as R
+from fieldgauge.sources.files import written
+
+#: Windows that one table may have.
+MOST_WINDOWS = 1000
 
 
 def component_census(var: DataFrame, by: list[str] = ("file", "field"), first: str = "t") -> DataFrame:
@@ -59,20 +64,27 @@ def map_order(mapped: DataFrame) -> DataFrame:
     return mapped.withColumn("place", F.row_number().over(Window.orderBy(rank, "min_var", "file")))
 
 
-def persistence_curve(pers: DataFrame, var: DataFrame, eps: float = EPS) -> DataFrame:
-    """Mean score over the fields of each frame for persistence; frames without one before are left out."""
-    joined = pers.where("persistence_mse is not null").join(var, ["file", "trajectory", "t", "field"])
-    return joined.groupBy("file", "trajectory", "t").agg(F.avg(vrmse(F.col("persistence_mse"), F.col("var"), eps)).alias("score"))
+def persistence_curve(stats: DataFrame, eps: float = EPS) -> DataFrame:
+    """Mean score over the fields of each frame for persistence, from `frames.frame_stats`; frames without one before are left out."""
+    return stats.where("persistence_mse is not null").groupBy("file", "trajectory", "t").agg(F.avg(vrmse(F.col("persistence_mse"), F.col("var"), eps)).alias("score"))
 
 
 def window_table(joined: DataFrame, windows: DataFrame) -> DataFrame:
-    """Statistics of each (window, field) over the frames that a window holds; windows may overlap."""
-    at = joined.join(F.broadcast(windows), F.col("t").between(F.col("lo"), F.col("hi")))
+    """Statistics of each (window, field) over the frames that a window holds; windows may overlap.
+
+    The windows (label, lo, hi) are few and become part of the plan, so no table is joined with them.
+    """
+    kept = windows.select("label", "lo", "hi").collect()
+    if len(kept) > MOST_WINDOWS:
+        raise ValueError(f"more than {MOST_WINDOWS} windows")
+    held = F.filter(F.array(*(F.struct(F.lit(w.label).alias("label"), F.lit(w.lo).alias("lo"), F.lit(w.hi).alias("hi")) for w in kept)), lambda w: F.col("t").between(w["lo"], w["hi"]))
+    at = written(joined.select("field", "var", "persistence_mse", F.explode(held["label"]).alias("label")))
     a, b = vrmse(F.col("persistence_mse"), F.col("var"), EPS), vrmse(F.col("persistence_mse"), F.col("var"), EPS_FIX)
-    return at.groupBy("label", "field").agg(
+    out = at.groupBy("label", "field").agg(
         F.avg((F.col("var") <= EPS).cast("double")).alias("frac_le_eps"), F.avg(a / b).alias("ratio"), F.max(a).alias("max_eps"), F.avg(a).alias("mean_eps"), F.max(b).alias("max_fix"), F.avg(b).alias("mean_fix"),
-        F.min("var").alias("var_min"), F.percentile("var", F.lit(0.5)).alias("var_median"), F.max("var").alias("var_max"), F.count("*").alias("n"),
+        F.min("var").alias("var_min"), F.max("var").alias("var_max"), F.count("*").alias("n"),
     )
+    return R.with_medians(out, at, ["label", "field"], "var").withColumn("var_median", R.median(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def isolated(inputs: DataFrame, census, schema: str) -> DataFrame:

@@ -55,6 +55,16 @@ def persistence_mse(grid: DataFrame) -> DataFrame:
     return grid.select(*FRAME, "field", "field_idx", (d * d).alias("d2")).groupBy(*FRAME, "field", "field_idx").agg(F.avg("d2").alias("persistence_mse"))
 
 
+def frame_stats(grid: DataFrame) -> DataFrame:
+    """Persistence error, sample variance and mean of each frame and field: one lag and one aggregation over the grid.
+
+    ``persistence_mse`` is null where there is no frame before; nulls of x do not count.
+    """
+    w = Window.partitionBy(*SITE).orderBy("t")
+    d = F.col("x") - F.when(F.lag("t").over(w) == F.col("t") - 1, F.lag("x").over(w))
+    return grid.select(*FRAME, "field", "field_idx", "x", (d * d).alias("d2")).groupBy(*FRAME, "field", "field_idx").agg(F.avg("d2").alias("persistence_mse"), F.var_samp("x").alias("var"), F.avg("x").alias("mean"))
+
+
 def prediction_variance(preds: DataFrame) -> DataFrame:
     """Variance of the predicted frame, as `functions.variance`; null where fewer than two sites have one."""
     return preds.groupBy("model", "mode", *FRAME, "field").agg(variance(F.col("pred")).alias("pvar"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldgauge.operators import ranks as R
+
 
 def frame_window(df: DataFrame, lo: int, hi: int, stride: int) -> DataFrame:
     """Frames lo, lo + stride, ... up to hi or the last frame that a trajectory has; a null t is no frame."""
@@ -13,10 +15,10 @@ def frame_window(df: DataFrame, lo: int, hi: int, stride: int) -> DataFrame:
 
 def even_pick(names: DataFrame, col: str, n: int) -> DataFrame:
     """n of the sorted names, evenly spread, ends included; places are rounded half to even."""
-    ranked = names.select(col).distinct().withColumn("_i", F.row_number().over(Window.orderBy(col)) - 1)
-    total = ranked.agg((F.max("_i")).alias("_top"))
-    want = total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "_top").select(F.bround(F.col("k") * F.col("_top") / max(n - 1, 1), 0).cast("int").alias("_i")).distinct()
-    return ranked.join(F.broadcast(want), "_i", "left_semi").select(col)
+    ranked = R.numbered(names.select(col).distinct(), [], [col], "_i", "_n")
+    # name i is picked if some k of the n gives it
+    of = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / max(n - 1, 1), 0).cast("bigint"))
+    return ranked.where(F.array_contains(of, F.col("_i"))).select(col)
 
 
 def split_components(values: Column, n: int) -> Column:
@@ -95,8 +97,7 @@ def runs(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 def unique_leaves(fields: DataFrame) -> DataFrame:
     """A later field with a leaf name that is taken gets `leaf@path`, and a number from the third on."""
-    n = F.row_number().over(Window.partitionBy("leaf").orderBy("path"))
-    return fields.withColumn("_n", n).withColumn("name", F.when(F.col("_n") == 1, F.col("leaf")).when(F.col("_n") == 2, F.concat_ws("@", "leaf", "path")).otherwise(F.concat(F.concat_ws("@", "leaf", "path"), F.lit("#"), F.col("_n")))).drop("_n")
+    return R.numbered(fields, ["leaf"], ["path"], "_n").withColumn("_n", F.col("_n") + 1).withColumn("name", F.when(F.col("_n") == 1, F.col("leaf")).when(F.col("_n") == 2, F.concat_ws("@", "leaf", "path")).otherwise(F.concat(F.concat_ws("@", "leaf", "path"), F.lit("#"), F.col("_n")))).drop("_n")
 
 
 def notes(resolved: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldgauge.functions import EPS, EPS_FIX, WINDOWS, finite, safe_div, vrmse
+from fieldgauge.operators import ranks as R
+from fieldgauge.sources.files import written
 
 TRAJ = ["file", "trajectory"]
 
@@ -112,18 +114,20 @@ def separation(strata: DataFrame) -> DataFrame:
 
 
 def midranks(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """Adds rank_<column>, from 1: rows that tie share the mean of their ranks. Nulls tie and come first."""
     for c in cols:
-        at = F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-        df = df.withColumn(f"rank_{c}", at)
+        df = R.ranked(df, by, c, "_first", "_ties").withColumn(f"rank_{c}", F.col("_first") + (F.col("_ties") + 1) / 2).drop("_first", "_ties")
     return df
 
 
 def dispersion(scores: DataFrame, by: list[str]) -> DataFrame:
     """Spread of trajectory scores, with the means that leave one out."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    s = scores.withColumn("loo", F.when(n > 1, (F.sum("score").over(w) - F.col("score")) / (n - 1)))
-    return s.groupBy(*by).agg(F.min("score").alias("least"), F.max("score").alias("most"), F.percentile("score", F.lit(0.5)).alias("median"), safe_div(F.max("score"), F.min("score")).alias("ratio"), (100 * safe_div(F.stddev_samp("score"), F.avg("score"))).alias("cv"), F.min("loo").alias("loo_least"), F.max("loo").alias("loo_most"))
+    scores = written(scores.select(*by, "score"))
+    n, total = F.count("*"), F.sum("score")
+    # the mean without one score is least where the largest is left out
+    without = lambda c: F.when(n > 1, (total - c) / (n - 1))
+    out = scores.groupBy(*by).agg(F.min("score").alias("least"), F.max("score").alias("most"), safe_div(F.max("score"), F.min("score")).alias("ratio"), (100 * safe_div(F.stddev_samp("score"), F.avg("score"))).alias("cv"), without(F.max("score")).alias("loo_least"), without(F.min("score")).alias("loo_most"))
+    return R.with_medians(out, scores, by, "score").withColumn("median", R.median(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def tail_slope(points: DataFrame) -> DataFrame:
@@ -148,3 +152,13 @@ def displacements(rows: DataFrame) -> DataFrame:
     return rows.where("field_idx > 0").groupBy("model", "mode", "field").agg(F.count_if(F.coalesce(far, F.lit(False))).alias("n_far"), F.count("*").alias("n"))
 
 
+def set_sizes(rows: DataFrame, keys: list[str], a: str, b: str, distinct: str) -> DataFrame:
+    """Sizes of two sets of keys, of their union, intersection and difference, and how many values ``distinct`` has.
+
+    A key is in a set if one of its rows meets the condition; one grouping by key gives all of them.
+    """
+    in_a, in_b = F.coalesce(F.bool_or(F.expr(a)), F.lit(False)), F.coalesce(F.bool_or(F.expr(b)), F.lit(False))
+    each = rows.groupBy(*dict.fromkeys([*keys, distinct])).agg(in_a.alias("_a"), in_b.alias("_b"))
+    x, y = F.col("_a"), F.col("_b")
+    counts = {"n_a": x, "n_b": y, "n_union": x | y, "n_both": x & y, "n_only_a": x & ~y}
+    return each.agg(*(F.count_if(c).alias(n) for n, c in counts.items()), F.countDistinct(distinct).alias(f"n_{distinct}s"))

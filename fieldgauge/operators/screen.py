@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldgauge.functions import INF, NAN, band, finite, floor_share, safe_div
+from fieldgauge.operators import ranks as R
+from fieldgauge.sources.files import written
 
 SPAN_LIMIT = 1e6
 
@@ -15,12 +17,16 @@ def _with_rule(undefined: Column, value: Column) -> Column:
     return F.when(undefined > 0, NAN).otherwise(value)
 
 
-def field_report(var: DataFrame, eps: float, by: list[str] = ("field",)) -> DataFrame:
+def field_report(var: DataFrame, eps: float, by: list[str] = ("field",), medians: bool = True) -> DataFrame:
     """One row for each field from its frame denominators `var`: counts, spread, shares and band.
 
-    A denominator that is null, NaN or infinite is undefined and makes the field's statistics NaN.
+    A denominator that is null, NaN or infinite is undefined and makes the field's statistics NaN. ``medians``
+    adds `var_median` and `share_median`: exact ones, from the two middle denominators (the share falls as the
+    denominator grows, so these are its middle ones too); for that
+    they are written and sorted, all else is one aggregation.
     """
     v, share = F.col("var"), floor_share(F.col("var"), eps)
+    var = written(var.select(*by, "var")) if medians else var
     ok = finite(v)
     good = F.when(ok, v)
     n, bad = F.count("*"), F.count_if(~ok)
@@ -32,10 +38,8 @@ def field_report(var: DataFrame, eps: float, by: list[str] = ("field",)) -> Data
         bad.alias("n_undefined"),
         zeros.alias("n_zero"),
         _with_rule(bad, F.min(good)).alias("var_min"),
-        _with_rule(bad, F.percentile(good, F.lit(0.5))).alias("var_median"),
         _with_rule(bad, F.max(good)).alias("var_max"),
         _with_rule(bad, F.max(F.when(ok, share))).alias("share_worst"),
-        _with_rule(bad, F.percentile(F.when(ok, share), F.lit(0.5))).alias("share_median"),
         F.max(F.when(ok, share)).alias("share_worst_finite"),
         at_floor.alias("n_at_floor"),
         (at_floor / n).alias("frac_at_floor"),
@@ -51,7 +55,13 @@ def field_report(var: DataFrame, eps: float, by: list[str] = ("field",)) -> Data
         named = named.when(F.col("n_zero") > 0, "degenerate-denominator").when(wide, "floorless-unbounded").otherwise("no-floor")
     else:
         named = named.otherwise(band(F.col("share_worst")))
-    return out.withColumn("band", named)
+    out = out.withColumn("band", named)
+    if not medians:
+        return out
+    each = R.with_medians(out, var, list(by), "var")
+    low, high = F.col("_low"), F.col("_high")
+    middle = {"var_median": R.median(low, high), "share_median": R.median(floor_share(high, eps), floor_share(low, eps))}
+    return each.withColumns({c: _with_rule(F.col("n_undefined"), m) for c, m in middle.items()}).drop("_low", "_high")
 
 
 def rescued(report: DataFrame) -> DataFrame:
@@ -97,8 +107,10 @@ def sweep_scores(rows: DataFrame, floors: list[float], by: list[str]) -> DataFra
 def sweep_bound(var: DataFrame, low: float, high: float, by: list[str] = ("field",)) -> DataFrame:
     """How much a score can change between two floors, from the denominators alone."""
     r = F.sqrt(safe_div(F.col("var") + high, F.col("var") + low))
-    ok = F.when(finite(r), r)
-    return var.where(F.col("var").isNotNull()).groupBy(*by).agg(F.min(ok).alias("least"), F.percentile(ok, F.lit(0.5)).alias("median"), F.max(ok).alias("most"), F.count_if(~finite(r)).alias("n_unbounded"))
+    ratios = written(var.where(F.col("var").isNotNull()).select(*by, r.alias("_r")))
+    ok = F.when(finite(F.col("_r")), F.col("_r"))
+    out = ratios.groupBy(*by).agg(F.min(ok).alias("least"), F.max(ok).alias("most"), F.count_if(~finite(F.col("_r"))).alias("n_unbounded"))
+    return R.with_medians(out, ratios, list(by), "_r").select(*by, "least", R.median(F.col("_low"), F.col("_high")).alias("median"), "most", "n_unbounded")
 
 
 def static_fields(grid: DataFrame, tol: float = 0.0) -> DataFrame:

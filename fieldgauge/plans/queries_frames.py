@@ -111,13 +111,13 @@ def q_c2(spark, d):
     return A.long_variance(V.cells(spark, d)).select(*FRAME, "field", band(floor_share(F.col("var"), EPS)).alias("band"))
 
 
-def _report(spark, d, eps=EPS, by=("file", "field")):
-    return C.field_report(A.long_variance(V.cells(spark, d)), eps, by)
+def _report(spark, d, eps=EPS, by=("file", "field"), medians=False):
+    return C.field_report(A.long_variance(V.cells(spark, d)), eps, by, medians)
 
 
 @query("q_c3", "cells", f"WITH {_VAR} SELECT file, field, count(*) AS n_frames, " + ", ".join(f"{S(f'CASE WHEN bool_or(var IS NULL) THEN {_NAN} ELSE {x} END')} AS {n}" for x, n in (("min(var)", "var_min"), ("median(var)", "var_median"), ("max(var)", "var_max"), ("max(1e-7 / (var + 1e-7))", "share_worst"), ("median(1e-7 / (var + 1e-7))", "share_median"))) + " FROM fv GROUP BY file, field")
 def q_c3(spark, d):
-    return sigs(_report(spark, d).select("file", "field", "n_frames", "var_min", "var_median", "var_max", "share_worst", "share_median"), "var_min", "var_median", "var_max", "share_worst", "share_median")
+    return sigs(_report(spark, d, medians=True).select("file", "field", "n_frames", "var_min", "var_median", "var_max", "share_worst", "share_median"), "var_min", "var_median", "var_max", "share_worst", "share_median")
 
 
 @query("q_c4", "cells", f"WITH {_VAR} SELECT file, field, count(*) FILTER (WHERE var <= 1e-7) AS n_at_floor, {S('count(*) FILTER (WHERE var <= 1e-7) / count(*)')} AS frac_at_floor FROM fv GROUP BY file, field")
@@ -133,7 +133,7 @@ def q_c5(spark, d):
 @query("q_c6", "events", "WITH v AS (SELECT user_id, CAST(ts AS DATE) AS day, var_samp(value) AS var FROM events GROUP BY ALL) SELECT user_id, count(*) AS n_frames, count(*) FILTER (WHERE var <= 0) AS n_zero, count(*) FILTER (WHERE var IS NULL OR isnan(var) OR isinf(var)) AS n_undefined FROM v GROUP BY user_id")
 def q_c6(spark, d):
     v = V.table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.var_samp("value").alias("var"))
-    return C.field_report(v, EPS, ["user_id"]).select("user_id", "n_frames", "n_zero", "n_undefined")
+    return C.field_report(v, EPS, ["user_id"], medians=False).select("user_id", "n_frames", "n_zero", "n_undefined")
 
 
 @query("q_c7", "cells", f"WITH {_VAR} SELECT file, field, {S('max(var) / min(var)')} AS span FROM fv GROUP BY file, field")
@@ -278,8 +278,7 @@ def q_m9(spark, d):
 
 @query("q_m11", "grid", f"WITH {_PERS}, {_GVAR} SELECT file, trajectory, t, {S('avg(sqrt(persistence_mse / (var + 1e-7)))')} AS score FROM pm JOIN gv USING (file, trajectory, t, field) WHERE persistence_mse IS NOT NULL GROUP BY ALL")
 def q_m11(spark, d):
-    g = V.grid(spark, d)
-    return sigs(M.persistence_curve(A.persistence_mse(g), gvar(g)), "score")
+    return sigs(M.persistence_curve(A.frame_stats(V.grid(spark, d))), "score")
 
 
 _A, _B = "sqrt(persistence_mse / (var + 1e-7))", "sqrt(persistence_mse / (var + 1e-5))"
@@ -287,9 +286,8 @@ _A, _B = "sqrt(persistence_mse / (var + 1e-7))", "sqrt(persistence_mse / (var +
 
 @query("q_m12", "grid", f"WITH {_PERS}, {_GVAR}, j AS (SELECT w.label, field, var, persistence_mse FROM pm JOIN gv USING (file, trajectory, t, field) JOIN (VALUES ('4:33', 4, 33), ('6:12', 6, 12), ('13:30', 13, 30), ('34:82', 34, 82)) w(label, lo, hi) ON t BETWEEN lo AND hi) SELECT label, field, {S('avg(CAST(var <= 1e-7 AS INT))')} AS frac_le_eps, {S(f'avg({_A} / {_B})')} AS ratio, {S(f'max({_A})')} AS max_eps, {S(f'avg({_A})')} AS mean_eps, {S(f'max({_B})')} AS max_fix, {S(f'avg({_B})')} AS mean_fix, {S('min(var)')} AS var_min, {S('median(var)')} AS var_median, {S('max(var)')} AS var_max, count(*) AS n FROM j GROUP BY ALL")
 def q_m12(spark, d):
-    g = V.grid(spark, d)
     wins = spark.createDataFrame([("4:33", 4, 33), ("6:12", 6, 12), ("13:30", 13, 30), ("34:82", 34, 82)], "label string, lo int, hi int")
-    out = M.window_table(A.persistence_mse(g).join(gvar(g), [*FRAME, "field"]), wins)
+    out = M.window_table(A.frame_stats(V.grid(spark, d)), wins)
     return sigs(out, *(c for c in out.columns if c not in ("label", "field", "n")))
 
 

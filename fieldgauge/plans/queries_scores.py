@@ -191,14 +191,7 @@ def q_w21(spark, d):
 
 @query("q_w22", "rows", "WITH a AS (SELECT DISTINCT file, trajectory FROM rows WHERE mode = 'rollout' AND var <= 1e-7), b AS (SELECT DISTINCT file, trajectory FROM rows WHERE mode = 'onestep' AND var > 1e-2) SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) q) AS n_union, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) q) AS n_both, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) q) AS n_only_a, (SELECT count(DISTINCT file) FROM rows) AS n_files")
 def q_w22(spark, d):
-    rows = V.rows(spark, d)
-    keys = ["file", "trajectory"]
-    a, b = rows.where("mode = 'rollout' and var <= 1e-7").select(keys).distinct(), rows.where("mode = 'onestep' and var > 1e-2").select(keys).distinct()
-    parts = {"n_a": a, "n_b": b, "n_union": a.union(b).distinct(), "n_both": a.intersect(b), "n_only_a": a.subtract(b)}
-    out = rows.agg(F.countDistinct("file").alias("n_files"))
-    for name, part in parts.items():
-        out = out.crossJoin(F.broadcast(part.agg(F.count("*").alias(name))))
-    return out
+    return W.set_sizes(V.rows(spark, d), ["file", "trajectory"], "mode = 'rollout' and var <= 1e-7", "mode = 'onestep' and var > 1e-2", distinct="file")
 
 
 @query("q_w23", "rows", f"WITH {_OS}, {_TZ}, m AS (SELECT model, eps, avg(weighted) FILTER (WHERE file = 'A') AS narrow, avg(weighted) AS broad FROM tz WHERE n > 1 GROUP BY ALL) SELECT model, eps, {S('narrow')} AS narrow, {S('broad')} AS broad, {S('narrow / broad')} AS ratio FROM m")
@@ -286,7 +279,7 @@ _FS = "fs AS (SELECT field, greatest(stddev_samp(x), 1e-4) AS sd FROM grid GROUP
 def q_w35(spark, d):
     g = V.grid(spark, d)
     sd = g.groupBy("field").agg(F.greatest(F.stddev_samp("x"), F.lit(1e-4)).alias("sd"))
-    j = A.persistence_mse(g).where("persistence_mse is not null").join(gvar(g), [*FRAME, "field"]).join(F.broadcast(sd), "field")
+    j = A.frame_stats(g).where("persistence_mse is not null").join(F.broadcast(sd), "field")
     s2 = F.col("sd") * F.col("sd")
     return j.select(*FRAME, "field", sig(vrmse(F.col("persistence_mse"), F.col("var"), EPS)).alias("raw"), sig(vrmse(F.col("persistence_mse") / s2, F.col("var") / s2, EPS)).alias("normalised"))
 

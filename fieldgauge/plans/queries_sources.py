@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldgauge.functions import sig
 from fieldgauge.operators import census as M
 from fieldgauge.operators import frames as A
-from fieldgauge.plans.queries_frames import _GVAR, _PERS, _VAR, gvar
+from fieldgauge.plans.queries_frames import _GVAR, _PERS, _VAR
 from fieldgauge.plans.registry import VAR, S, query
 from fieldgauge.sources import files
 from fieldgauge.sources import views as V
@@ -36,9 +36,8 @@ _MEAN = "gm AS (SELECT file, trajectory, t, field, avg(x) AS mean FROM grid GROU
 @query("q_s2", "grid", f"WITH {_PERS}, {_GVAR}, {_MEAN} SELECT file, trajectory, t, field, field_idx, {S('var')} AS var, round(mean, 9) + 0.0 AS mean, {S('persistence_mse')} AS persistence_mse FROM pm JOIN gv USING (file, trajectory, t, field) JOIN gm USING (file, trajectory, t, field)")
 def q_s2(spark, d):
     """Audits of trajectories as documents with one entry for each frame."""
-    at, g = f"{shared(spark)}/audits", V.grid(spark, d)
-    each = A.persistence_mse(g).join(gvar(g), [*FRAME, "field"]).join(g.groupBy(*FRAME, "field").agg(F.avg("x").alias("mean")), [*FRAME, "field"])
-    files.write_audits(each, at)
+    at = f"{shared(spark)}/audits"
+    files.write_audits(A.frame_stats(V.grid(spark, d)), at)
     back = files.read_audit_rows(spark, at)
     return back.select(*FRAME, "field", "field_idx", sig(F.col("var")).alias("var"), (F.round("mean", 9) + 0.0).alias("mean"), sig(F.col("persistence_mse")).alias("persistence_mse"))
 

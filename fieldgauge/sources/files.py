@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,12 +21,19 @@ CENSUS = "dataset string, n_test_files_total int, window_frames array<int>, fram
 
 def shared(spark: SparkSession) -> str:
     """A new folder that all executors see; only a local session may do without a named one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{folder}/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="spark-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to a new shared folder and read again: lost executors cost no more than their tasks."""
+    at = shared(df.sparkSession)
+    df.write.mode("overwrite").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def read_score_rows(spark: SparkSession, path: str) -> DataFrame:
     """One row for each window and field of gz JSON payloads."""
     each = spark.read.schema(PAYLOAD).json(path, multiLine=True).select("fields", F.explode("rows").alias("r"))

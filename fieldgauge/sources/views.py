@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldgauge.functions import variance
@@ -47,20 +47,26 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and prediction per site: persistence, zero and a shifted target, one-step and rollout."""
-    g = grid(spark, sf_dir)
-    keys = ["file", "trajectory", "field_idx", "site"]
-    none = F.lit(None).cast("int")
-    before = g.select(*keys, (F.col("t") + 1).alias("t"), F.col("x").alias("pred"))
-    last = g.where("t = 3").select(*keys, F.col("x").alias("pred"))
-    cols = ["model", "mode", *FRAME, "rollout_step", "input_start", "field", "field_idx", "site", "target", "pred"]
-    target = g.where("t >= 4").withColumnRenamed("x", "target")
-    one = target.join(before, [*keys, "t"]).withColumns({"model": F.lit("persistence"), "mode": F.lit("onestep"), "rollout_step": none, "input_start": F.col("t") - 4}).select(cols)
-    roll = target.where("t <= 33").join(last, keys).withColumns({"model": F.lit("persistence"), "mode": F.lit("rollout"), "rollout_step": F.col("t") - 3, "input_start": none}).select(cols)
-    kinds = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(k).alias("mode"), F.lit(a).alias("gain"), F.lit(b).alias("shift")) for m, a, b in (("zero", 0.0, 0.0), ("bias", 1.0, 0.01)) for k in ("onestep", "rollout")))
-    made = target.select("*", F.inline(kinds)).where("mode = 'onestep' or t <= 33")
-    made = made.withColumns({"rollout_step": F.when(F.col("mode") == "rollout", F.col("t") - 3), "input_start": F.when(F.col("mode") == "onestep", F.col("t") - 4), "pred": F.col("target") * F.col("gain") + F.col("shift")}).select(cols)
-    return one.unionByName(roll).unionByName(made)
+    """Target and prediction per site: persistence, zero and a shifted target, one-step and rollout.
+
+    One pass over the grid: a site's frames are sorted once, which gives the frame before and that of t = 3.
+    """
+    site = Window.partitionBy("file", "trajectory", "field_idx", "site").orderBy("t")
+    whole = site.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    start = F.max(F.when(F.col("t") == 3, F.struct("x"))).over(whole)
+    before = F.when(F.lag("t").over(site) == F.col("t") - 1, F.struct(F.lag("x").over(site).alias("x")))
+    g = grid(spark, sf_dir).withColumns({"_before": before, "_start": start}).where("t >= 4").withColumnRenamed("x", "target")
+    early, none = F.col("t") <= 33, F.lit(None).cast("int")
+
+    def kind(model: str, mode: str, there: Column, pred: Column) -> Column:
+        step, start_ = (F.col("t") - 3, none) if mode == "rollout" else (none, F.col("t") - 4)
+        return F.when(there, F.struct(F.lit(model).alias("model"), F.lit(mode).alias("mode"), step.alias("rollout_step"), start_.alias("input_start"), pred.alias("pred")))
+
+    made = [kind("persistence", "onestep", F.col("_before").isNotNull(), F.col("_before.x")), kind("persistence", "rollout", early & F.col("_start").isNotNull(), F.col("_start.x"))]
+    for model, gain, shift in (("zero", 0.0, 0.0), ("bias", 1.0, 0.01)):
+        made += [kind(model, mode, early if mode == "rollout" else F.lit(True), F.col("target") * gain + shift) for mode in ("onestep", "rollout")]
+    each = g.select(*FRAME, "field", "field_idx", "site", "target", F.inline(F.array_compact(F.array(*made))))
+    return each.select("model", "mode", *FRAME, "rollout_step", "input_start", "field", "field_idx", "site", "target", "pred")
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Hand-computed cases, undefined values, and refusals."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldgauge.functions import band, floor_share, safe_div, sig, two_sided_p, vrmse
-from fieldgauge.operators import checks, frames, layout, scores, screen
+from fieldgauge.operators import checks, frames, layout, ranks, scores, screen
 from fieldgauge.sources import files
 
 
+DATA = "/root/testdata/sf0.001"
+
+
 def one(spark, *cols):
     return spark.range(1).select(*cols).first()
 
@@ -198,3 +202,68 @@ def test_colliding_names_are_refused(spark):
     assert sorted(r.name for r in layout.refuse_collisions(names).collect()) == ["a", "b"]
     with pytest.raises(Exception, match="several fields would be named a"):
         layout.refuse_collisions(names.union(names.limit(1))).collect()
+
+
+def brute_ranks(rows):
+    """(group, value) -> (less, equal) with nulls least and undefined numbers largest."""
+    key = lambda v: (0, 0) if v is None else (2, 0) if math.isnan(v) else (1, v)
+    out = []
+    for g, v in rows:
+        mine = [key(x) for h, x in rows if h == g]
+        out.append((g, sum(k < key(v) for k in mine), mine.count(key(v))))
+    return sorted(out, key=repr)
+
+
+def test_ranks_over_ranges(spark):
+    """Ties over the borders of ranges, a hot value, nulls, undefined numbers, a null group, clashing names, no rows."""
+    values = [None, 1.0, 2.0, 2.0, -3.5, math.inf, -math.inf, math.nan, math.nan, 0.0, -0.0]
+    rows = [(g, v) for g in ("a", None) for v in values] + [("hot", 7.0)] * 200 + [("hot", float(i)) for i in range(60)] + [("one", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").withColumns({"AT": F.lit(1), "first_": F.lit("x"), "N": F.lit(2)}).repartition(3)
+    got = ranks.ranked(df, ["g"], "v")
+    assert got.columns == [*df.columns, "first", "ties"]
+    assert sorted(((r.g, r["first"], r.ties) for r in got.collect()), key=repr) == brute_ranks(rows)
+    at = ranks.numbered(df, ["g"], ["v"], "Place", "size").collect()
+    for g in {g for g, _ in rows}:
+        mine = sorted((r for r in at if r.g == g), key=lambda r: r.Place)
+        assert [r.Place for r in mine] == list(range(len(mine))) and {r["size"] for r in mine} == {len(mine)}
+        assert [r.v for r in mine if r.v is not None and not math.isnan(r.v)] == sorted(r.v for r in mine if r.v is not None and not math.isnan(r.v))
+    assert ranks.numbered(df.limit(0), ["g"], ["v"]).count() == 0 and ranks.ranked(df.limit(0), [], "v").count() == 0
+    assert sorted(r.place for r in ranks.numbered(df, [], ["v"]).collect()) == list(range(len(rows)))
+    mid = {r.g: (r.low, r.high) for r in ranks.middle(df.where("not isnan(v)"), ["g"], "v").collect()}
+    assert mid["hot"] == (7.0, 7.0) and mid["one"] == (1.0, 1.0) and mid["a"] == (0.0, 1.0)
+
+
+def test_median_of_one_group_of_ten_million(spark):
+    """One group, half of it one value: no task gets more than its share, and the median is exact."""
+    n = 10_000_000
+    df = spark.range(n).select(F.lit("x").alias("field"), F.when(F.col("id") % 2 == 0, F.lit(0.5)).otherwise(F.col("id") / n).alias("var"))
+    placed, _ = ranks._placed(df, ["field"], ["var"])
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 0.4 * n
+    r = screen.field_report(df, 1e-7).first()
+    assert r.n_frames == n and r.var_median == 0.5 and r.share_median == pytest.approx(1e-7 / (0.5 + 1e-7), rel=1e-12)
+
+
+def test_medians_of_few_values(spark):
+    rows = [("a", 1.0), ("a", 4.0), ("b", 3.0), ("c", None), ("d", 1.0), ("d", math.nan), ("e", 0.0), ("e", 2.0), ("e", 9.0)]
+    df = spark.createDataFrame(rows, "field string, var double")
+    got = {r.field: r for r in screen.field_report(df, 1.0).collect()}
+    assert got["a"].var_median == 2.5 and got["a"].share_median == pytest.approx((1 / 2 + 1 / 5) / 2)
+    assert got["b"].var_median == 3 and math.isnan(got["c"].var_median) and math.isnan(got["d"].var_median) and got["e"].var_median == 2
+    bound = {r.field: r for r in screen.sweep_bound(df, 0.0, 1.0).collect()}
+    assert bound["a"].median == pytest.approx((math.sqrt(2) + math.sqrt(5 / 4)) / 2) and bound["e"].n_unbounded == 1 and bound["e"].median == pytest.approx((math.sqrt(3 / 2) + math.sqrt(10 / 9)) / 2) and "c" not in bound
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_hold_no_group(spark):
+    """Neither percentiles nor windows over all rows or a hot key, and one scan of a table."""
+    from fieldgauge.plans import load
+
+    queries = load()[0]
+    for name in ("q_c3", "q_c11", "q_m12", "q_w29", "q_w20", "q_p3", "q_s10"):
+        assert not re.search(r"percentile|Window ", plan_of(queries[name](spark, DATA))), name
+    for name in ("q_m11", "q_w5", "q_w22", "q_w13"):
+        assert plan_of(queries[name](spark, DATA)).count("lineitem.parquet") == 1, name
