@@ -21,12 +21,93 @@ def even_pick(names: DataFrame, col: str, n: int) -> DataFrame:
     return ranked.where(F.array_contains(of, F.col("_i"))).select(col)
 
 
-def split_components(values: Column, n: int) -> Column:
-    """Channel-last array to an array of (component, values)."""
-    def of(i: int) -> Column:
-        return F.filter(values, lambda x, j: j % n == i)
+def _without(shape: Column, axis: Column) -> Column:
+    return F.concat(F.slice(shape, F.lit(1), axis), F.slice(shape, axis + 2, F.size(shape)))
 
-    return F.array(*(F.struct(F.lit(i).alias("component"), of(i).alias("values")) for i in range(n)))
+
+def _product(shape: Column) -> Column:
+    return F.aggregate(shape, F.lit(1).cast("long"), lambda a, n: a * n)
+
+
+def take(values: Column, shape: Column, axis: Column, at: Column) -> Column:
+    """The values of a flat array (C order) whose index along ``axis`` is ``at``: slices, joined."""
+    stride = _product(F.slice(shape, axis + 2, F.size(shape))).cast("int")
+    block = stride * F.get(shape, axis)
+    outer = (F.size(values) / F.greatest(block, F.lit(1))).cast("int")
+    starts = F.when(outer > 0, F.sequence(F.lit(0), outer - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(starts, lambda o: F.slice(values, o * block + at * stride + 1, stride)))
+
+
+def split_components(fields: DataFrame, axes: str = "axes", most: int = 2) -> DataFrame:
+    """One row for each component of each field (name, shape, values flat in C order, `axes`: its component axes).
+
+    A vector's components are named `name.i`, a tensor's `name.ij`; ``axes`` are distinct, counted from 0 or from the end (-1: the
+    last), null or empty for a scalar, which stays whole under its name. More than ``most`` axes, or one that the shape has not, is an
+    error. The axes that are split leave the shape. Each value is moved once for each axis.
+    """
+    own = [c for c in fields.columns if c not in ("name", "shape", "values", axes)]
+    rank = F.size("shape")
+    fits = lambda a: (a >= -rank) & (a < rank)
+    asked = F.coalesce(F.col(axes), F.array().cast("array<int>"))
+    checked = F.when((F.size(asked) > most) | ~F.forall(asked, fits), F.raise_error(F.concat(F.lit("axes do not fit: "), "name")).cast("array<int>")).otherwise(F.array_sort(F.transform(asked, lambda a: F.pmod(a, rank))))
+    at = fields.select(*own, "name", "shape", "values", checked.alias("_axes"), F.lit(".").alias("_dot"))
+    for _ in range(most):
+        axis = F.get("_axes", F.lit(0))
+
+        def part(c: Column) -> Column:
+            return F.struct(F.concat("name", "_dot", c.cast("string")).alias("name"), _without(F.col("shape"), axis).alias("shape"), take(F.col("values"), F.col("shape"), axis, c).alias("values"), F.transform(F.slice("_axes", 2, most), lambda a: a - 1).alias("_axes"), F.lit("").alias("_dot"))
+
+        whole = F.array(F.struct("name", "shape", "values", "_axes", "_dot"))
+        n = F.get("shape", axis)
+        parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), part)).otherwise(F.filter(whole, lambda x: F.lit(False)))
+        at = at.select(*own, F.inline(F.when(F.size("_axes") == 0, whole).otherwise(parts)))
+    return at.select(*own, "name", "shape", "values")
+
+
+def laid_out(frames: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Frames (name, shape without the leading axis, values) split as `resolve_layout` has decided for their arrays.
+
+    ``resolved`` has one row for each name, with the axis counted in the whole array. A refused field is an error when it is
+    read; so is a split along the leading axis, which holds the frames. Fields without a decision are left out.
+    """
+    inside = F.when(F.col("axis") < 0, F.col("axis")).otherwise(F.col("axis") - 1)
+    fits = (F.col("axis") >= -F.size("shape")) & (F.col("axis") != 0)
+    wanted = strict(resolved).select("name", F.when(F.col("decision") == "split", F.when(fits & (F.size("shape") > 1), F.array(inside)).otherwise(F.raise_error(F.concat(F.lit("no axis for components: "), "name")).cast("array<int>"))).alias("_split"))
+    return split_components(frames.join(wanted, "name").withColumnRenamed("_split", "axes"))
+
+
+def leaf(name: Column) -> Column:
+    return F.substring_index(name, "/", -1)
+
+
+def select_fields(catalogue: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """The catalogue's fields that are asked for, by full or leaf name; without names all of two axes or more."""
+    if wanted is None:
+        return catalogue.where(F.size("shape") >= 2)
+    return catalogue.where(F.col("name").isin(wanted) | leaf(F.col("name")).isin(wanted))
+
+
+def missing_fields(catalogue: DataFrame, wanted: list[str]) -> DataFrame:
+    """Names that are asked for and that no field has, as full or leaf name."""
+    spark = catalogue.sparkSession
+    names = catalogue.select(F.explode(F.array("name", leaf(F.col("name")))).alias("name"))
+    return spark.createDataFrame([(w,) for w in wanted], "name string").join(names, "name", "left_anti")
+
+
+def with_status(catalogue: DataFrame, most_bytes: int) -> DataFrame:
+    """Adds `status`: fields above the limit are `unscreened`, a skip that the report has to carry."""
+    return catalogue.withColumn("status", F.when(F.col("bytes") > most_bytes, "unscreened").otherwise("screened"))
+
+
+def with_skipped(report: DataFrame, catalogue: DataFrame, key: str = "name") -> DataFrame:
+    """The report with a row for each field that was not screened: its statistics are null, its band `unscreened`."""
+    skipped = catalogue.where("status = 'unscreened'").select(key).distinct()
+    return report.unionByName(skipped.withColumn("band", F.lit("unscreened")), allowMissingColumns=True)
+
+
+def skip_notes(catalogue: DataFrame) -> DataFrame:
+    """Notes (name, grade) of skipped fields: a report without a field that was asked for is incomplete, as with an assumed layout."""
+    return catalogue.where("status = 'unscreened'").select("name", F.lit("assumed").alias("grade"))
 
 
 def resolve_layout(catalogue: DataFrame, n_spatial: int, component_axis=None, n_leading: int | None = None, axes: dict | None = None) -> DataFrame:

@@ -12,9 +12,11 @@ from fieldgauge.operators import census as M
 from fieldgauge.operators import checks as K
 from fieldgauge.operators import frames as A
 from fieldgauge.operators import layout as L
+from fieldgauge.operators import ranks as R
+from fieldgauge.operators import screen as C
 from fieldgauge.plans.queries_frames import sigs
 from fieldgauge.plans.registry import S, query
-from fieldgauge.sources import files
+from fieldgauge.sources import arrays, files
 from fieldgauge.sources import views as V
 from fieldgauge.sources.files import shared
 from fieldgauge.sources.views import FIELDS, FRAME
@@ -43,10 +45,18 @@ def q_p3(spark, d):
     return L.even_pick(V.table(spark, d, "orders").select(F.to_date("o_orderdate").cast("string").alias("day")), "day", 10)
 
 
-@query("q_p4", "vec", f"WITH e AS (SELECT trajectory, t, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM vec) SELECT trajectory, t, CAST(i % 4 AS INT) AS component, {S('avg(CAST(x AS DOUBLE))', 4)} AS mean, {S('var_pop(CAST(x AS DOUBLE))', 4)} AS var FROM e GROUP BY ALL")
+_COMPONENT = "CASE vec_id % 4 WHEN 0 THEN 'v' WHEN 1 THEN 'v.' || (i % 2) WHEN 2 THEN 'v.' || (i // 16) ELSE 'v.' || ((i // 2) % 4) || (i % 2) END"
+
+
+@query("q_p4", "embeddings", f"WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), c AS (SELECT vec_id, i, x, {_COMPONENT} AS name FROM e) SELECT vec_id, name, count(*) AS n, CASE vec_id % 4 WHEN 0 THEN '64' WHEN 1 THEN '32' WHEN 2 THEN '16' ELSE '8' END AS shape, {S('avg(CAST(x AS DOUBLE))', 4)} AS mean, {S('var_pop(CAST(x AS DOUBLE))', 4)} AS var FROM c GROUP BY ALL")
 def q_p4(spark, d):
-    parts = V.vec(spark, d).select("trajectory", "t", F.inline(L.split_components(F.transform("embedding", lambda x: x.cast("double")), 4)))
-    return _array_stats(parts, "values").select("trajectory", "t", "component", sig(F.col("mean"), 4).alias("mean"), sig(F.col("var"), 4).alias("var"))
+    """Scalars, vectors with the last or the first axis for components, and tensors with the last two, by the number of the vector."""
+    k, ints = F.col("vec_id") % 4, lambda *n: F.array(*map(F.lit, n))
+    shape = F.when(k == 0, ints(64)).when(k == 1, ints(32, 2)).when(k == 2, ints(4, 16)).otherwise(ints(8, 4, 2))
+    axes = F.when(k == 1, ints(-1)).when(k == 2, ints(0)).when(k == 3, ints(2, -2))
+    fields = V.table(spark, d, "embeddings").select("vec_id", F.lit("v").alias("name"), shape.alias("shape"), F.transform("embedding", lambda x: x.cast("double")).alias("values"), axes.alias("axes"))
+    parts = _array_stats(L.split_components(fields), "values")
+    return parts.select("vec_id", "name", F.size("values").cast("long").alias("n"), F.concat_ws(",", F.transform("shape", lambda n: n.cast("string"))).alias("shape"), sig(F.col("mean"), 4).alias("mean"), sig(F.col("var"), 4).alias("var"))
 
 
 def _array_stats(df, col):
@@ -145,17 +155,49 @@ def q_p15(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.substring_index("url", "/", -1).alias("tail"))
 
 
-@query("q_s8", "embeddings", f"WITH {_CAT} SELECT name, CAST(r AS INT) AS rank FROM cat WHERE r >= 3 OR name IN ('f0', 'f3')")
+def _written_arrays(spark, d):
+    """A file of arrays for each label: the embedding, a velocity on 32 points, and their second half as a scalar field."""
+    at = f"{shared(spark)}/arrays"
+    e = V.table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("embedding"), F.col("embedding").alias("flow/velocity"), F.slice("embedding", 33, 32).alias("half"), F.element_at("embedding", 1).alias("level"))
+    arrays.write_arrays(e, at, "label", "vec_id", {"embedding": (64,), "flow/velocity": (32, 2), "half": (32,), "level": ()})
+    return at
+
+
+_PLACED = "p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings), f AS (SELECT CAST(label AS VARCHAR) || '-' || (pos // 256) || '.npz' AS file, pos % 256 AS t, embedding FROM p), m AS (SELECT file, t, 'embedding' AS name, '64' AS shape, embedding AS v FROM f UNION ALL SELECT file, t, 'flow/velocity', '32,2', embedding FROM f UNION ALL SELECT file, t, 'half', '32', embedding[33:] FROM f UNION ALL SELECT file, t, 'level', '', embedding[1:1] FROM f)"
+_STAT = "u AS (SELECT file, t, name, shape, unnest(v) AS x FROM m), st AS (SELECT file, t, name, shape, avg(CAST(x AS DOUBLE)) AS mean, var_samp(CAST(x AS DOUBLE)) AS var FROM u GROUP BY ALL)"
+
+
+@query("q_s7", "embeddings", f"WITH {_PLACED}, {_STAT} SELECT file, name, t, shape, {S('mean', 4)} AS mean FROM st")
+def q_s7(spark, d):
+    """Vectors written as arrays by the executors and read back, a task for each slice of an array."""
+    back = arrays.frames(spark, _written_arrays(spark, d), frames=32)
+    return _array_stats(back, "values").select(F.substring_index("file", "/", -1).alias("file"), "name", "t", F.concat_ws(",", F.transform("shape", lambda n: n.cast("string"))).alias("shape"), sig(F.col("mean"), 4).alias("mean"))
+
+
+@query("q_s8", "embeddings", f"WITH {_PLACED} SELECT name, count(DISTINCT file) AS n_files, CAST(count(*) AS BIGINT) AS n_frames, CAST(NULL AS VARCHAR) AS missing FROM m WHERE name <> 'level' GROUP BY name UNION ALL SELECT name || '?', count(DISTINCT file), CAST(count(*) AS BIGINT), 'pressure' FROM m WHERE name IN ('flow/velocity', 'half') GROUP BY name")
 def q_s8(spark, d):
-    c = _catalogue(spark, d).withColumn("rank", F.size("shape"))
-    named = c.where(F.col("name").isin("f0", "f3")).select("name")
-    return c.where("rank >= 3").union(c.join(F.broadcast(named), "name", "left_semi")).distinct().select("name", "rank")
+    """Fields picked without names (two axes or more), and by a leaf, a full and an unknown name."""
+    c = arrays.catalogue(spark, _written_arrays(spark, d))
+    count = lambda df: df.groupBy("name").agg(F.countDistinct("file").alias("n_files"), F.sum(F.element_at("shape", 1).cast("long")).alias("n_frames"))
+    wanted = ["velocity", "half", "pressure"]
+    gone = L.missing_fields(c, wanted).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("missing"))
+    named = count(L.select_fields(c, wanted)).withColumn("name", F.concat("name", F.lit("?"))).crossJoin(F.broadcast(gone))
+    return count(L.select_fields(c)).withColumn("missing", F.lit(None).cast("string")).unionByName(named)
 
 
-@query("q_s9", "documents", "SELECT doc_id, strlen(text) AS bytes, CASE WHEN strlen(text) > 4000 THEN 'unscreened' ELSE 'screened' END AS status FROM documents")
+@query("q_s9", "embeddings", f"WITH {_PLACED}, {_STAT}, b AS (SELECT file, name, count(*) * CASE name WHEN 'half' THEN 32 ELSE 64 END * 8 > (SELECT quantile_disc(n, 0.5) FROM (SELECT count(*) * 64 * 8 AS n FROM f GROUP BY file) q) AS skipped FROM m WHERE name <> 'level' GROUP BY file, name) SELECT st.file, st.name, CASE WHEN skipped THEN NULL ELSE count(*) END AS n_frames, CASE WHEN NOT skipped THEN {S('max(1e-7 / (var + 1e-7))', 4)} END AS share_worst, CASE WHEN skipped THEN 'unscreened' ELSE 'well-conditioned' END AS band FROM st JOIN b USING (file, name) GROUP BY st.file, st.name, skipped")
 def q_s9(spark, d):
-    b = F.octet_length("text").cast("long")
-    return V.docs(spark, d).select("doc_id", b.alias("bytes"), F.when(b > 4000, "unscreened").otherwise("screened").alias("status"))
+    """Arrays above the median size of an embedding are not read; the report has them all the same."""
+    at = _written_arrays(spark, d)
+    c = L.select_fields(arrays.catalogue(spark, at))
+    limit = R.middle(c.where("name = 'embedding'"), [], "bytes").first().low
+    c = L.with_status(c, limit).withColumn("file", F.substring_index("file", "/", -1)).withColumn("key", F.concat_ws(":", "file", "name"))
+    read = arrays.frames(spark, at).withColumn("key", F.concat_ws(":", F.substring_index("file", "/", -1), "name"))
+    screened = read.join(c.where("status = 'screened'").select("key"), "key", "left_semi")
+    n = F.size("values")
+    var = _array_stats(screened, "values").select("key", (F.col("var") * n / (n - 1)).alias("var"))
+    report = L.with_skipped(C.field_report(var, EPS, ["key"], medians=False).select("key", "n_frames", "share_worst", "band"), c, "key")
+    return report.select(F.split_part("key", F.lit(":"), F.lit(1)).alias("file"), F.split_part("key", F.lit(":"), F.lit(2)).alias("name"), "n_frames", sig(F.col("share_worst"), 4).alias("share_worst"), "band")
 
 
 @query("q_s10", "pages", "WITH f AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS leaf, lpad(CAST(page_id AS VARCHAR), 12, '0') AS path FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY path) AS n FROM f) SELECT page_id, CASE WHEN n = 1 THEN leaf WHEN n = 2 THEN leaf || '@' || path ELSE leaf || '@' || path || '#' || n END AS name FROM n")

@@ -1,17 +1,13 @@
-"""Readers and writers of score rows, audits, censuses, window tables, arrays and logs."""
+"""Readers and writers of score rows, audits, censuses, window tables and logs."""
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ROW = "file string, trajectory int, mode string, model string, t int, rollout_step int, input_start int, mse array<double>, target_variance_ddof1 array<double>, pred_variance_ddof1 array<double>"
 PAYLOAD = f"fields array<string>, provenance struct<repo:string,revision:string,device:string,dataset_url:string,history:int,captured_utc:string>, rows array<struct<{', '.join(c.replace(' ', ':', 1) for c in ROW.split(', '))}>>"
@@ -111,45 +107,3 @@ def read_log_verdict(spark: SparkSession, path: str) -> DataFrame:
     """Largest relative difference and verdict of each text log."""
     t = spark.read.text(path, wholetext=True)
     return t.select(F.regexp_extract("value", r"(?i)max(?:imum)?[^\n:=]*[:=]\s*([-+0-9.eE]+)", 1).try_cast("double").alias("worst"), F.regexp_extract("value", r"(?i)\b(PASS|FAIL)\b", 1).alias("verdict"))
-
-
-class ArrayFrames(DataSource):
-    """`.npy` arrays as frames (S7): one row for each leading index, one partition for each slice of a file.
-
-    Options: `path` (a glob that the tasks can open), `frames` for each partition.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "array_frames"
-
-    def schema(self) -> str:
-        return "name string, t bigint, shape array<int>, values array<double>"
-
-    def reader(self, schema):
-        return _FrameReader(self.options)
-
-
-class _FrameReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths, self.step = sorted(glob.glob(options["path"])), int(options.get("frames", "64"))
-
-    def partitions(self):
-        import numpy as np
-
-        out = []
-        for p in self.paths:
-            n = np.load(p, mmap_mode="r").shape[0]
-            out += [InputPartition((p, a, min(a + self.step, n))) for a in range(0, n, self.step)]
-        return out or [InputPartition(None)]
-
-    def read(self, partition) -> Iterator[tuple]:
-        import numpy as np
-
-        if partition.value is None:
-            return
-        path, a, b = partition.value
-        array = np.load(path, mmap_mode="r")
-        name = os.path.splitext(os.path.basename(path))[0]
-        for t in range(a, b):
-            yield name, t, list(array.shape[1:]), np.asarray(array[t], float).ravel().tolist()

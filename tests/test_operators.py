@@ -1,6 +1,7 @@
 """Hand-computed cases, undefined values, and refusals."""
 
 import math
+import os
 import re
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldgauge.functions import band, floor_share, safe_div, sig, two_sided_p, vrmse
 from fieldgauge.operators import checks, frames, layout, ranks, scores, screen
-from fieldgauge.sources import files
+from fieldgauge.sources import arrays, files
 
 
 DATA = "/root/testdata/sf0.001"
@@ -120,10 +121,75 @@ def test_round_trips(spark, tmp_path):
 
 
 def test_arrays(spark, tmp_path):
-    np.save(tmp_path / "v.npy", np.arange(60.0).reshape(5, 3, 4))
-    spark.dataSource.register(files.ArrayFrames)
-    df = spark.read.format("array_frames").option("path", f"{tmp_path}/*.npy").option("frames", "2").load()
-    assert df.count() == 5 and df.where("t = 4").first()["values"][-1] == 59 and df.first()["shape"] == [3, 4]
+    """Slices, `.npz` members stored and compressed, Fortran order, arrays without axes, patterns, empty folders, and refusals."""
+    a = np.arange(60.0).reshape(5, 3, 4)
+    os.makedirs(tmp_path / "in")
+    np.save(tmp_path / "in/v.npy", a)
+    np.savez(tmp_path / "in/s.npz", **{"x/u": a[:, 0], "level": np.float32(7), "none": np.zeros((0, 2))})
+    np.savez_compressed(tmp_path / "in/c.npz", u=np.asfortranarray(a.astype("int16")), flag=np.array([True, False]))
+    got = arrays.frames(spark, str(tmp_path / "in"), frames=2)
+    rows = {(os.path.basename(r.file), r.name, r.t): (r.shape, r["values"]) for r in got.collect()}
+    want = {("v.npy", "v", t): ([3, 4], a[t].ravel().tolist()) for t in range(5)} | {("s.npz", "x/u", t): ([4], a[t, 0].tolist()) for t in range(5)} | {("s.npz", "level", 0): ([], [7.0])}
+    want |= {("c.npz", "u", t): ([3, 4], a[t].ravel().tolist()) for t in range(5)} | {("c.npz", "flag", t): ([], [1.0 - t]) for t in range(2)}
+    assert rows == want
+    assert got.rdd.getNumPartitions() == 3 + 3 + 1 + 3 + 1
+    assert {r.name for r in arrays.frames(spark, str(tmp_path / "in/*.npz"), fields=["u", "level"]).collect()} == {"x/u", "level", "u"}
+    cat = arrays.catalogue(spark, f"file://{tmp_path}/in")
+    assert sorted((r.name, r.dtype, tuple(r.shape), r.bytes) for r in cat.collect()) == sorted([("v", "float64", (5, 3, 4), 480), ("x/u", "float64", (5, 4), 160), ("level", "float32", (), 4), ("none", "float64", (0, 2), 0), ("u", "int16", (5, 3, 4), 120), ("flag", "bool", (2,), 2)])
+    assert {r.name for r in layout.select_fields(cat).collect()} == {"v", "x/u", "none", "u"}
+    assert {r.name for r in layout.select_fields(cat, ["u", "level", "gone"]).collect()} == {"x/u", "u", "level"}
+    assert [r.name for r in layout.missing_fields(cat, ["u", "gone"]).collect()] == ["gone"]
+    os.makedirs(tmp_path / "empty")
+    assert arrays.frames(spark, str(tmp_path / "empty")).count() == 0 and arrays.catalogue(spark, str(tmp_path / "empty")).count() == 0
+    np.savez(tmp_path / "empty/words.npz", w=np.array(["a", "b"]))
+    assert arrays.catalogue(spark, str(tmp_path / "empty")).first().dtype == "<U1"
+    with pytest.raises(Exception, match="no numbers"):
+        arrays.frames(spark, str(tmp_path / "empty")).collect()
+
+
+def test_written_arrays(spark, tmp_path):
+    df = spark.range(10).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("f"), (-F.col("id")).alias("t"), F.when(F.col("id") != 9, F.array(F.col("id").cast("double"), F.lit(1.0))).alias("v"))
+    done = arrays.write_arrays(df, str(tmp_path / "x"), "f", "t", {"v": (2,)}, per_file=4)
+    assert sorted(map(tuple, done.collect())) == [("a-0.npz", 4), ("b-0.npz", 4), ("b-1.npz", 2)]
+    back = sorted((os.path.basename(r.file), r.t, r["values"][0]) for r in arrays.frames(spark, str(tmp_path / "x")).collect())
+    assert math.isnan(back[0][2]) and [x[2] for x in back[1:]] == [6.0, 3.0, 0.0, 8.0, 7.0, 5.0, 4.0, 2.0, 1.0]
+
+
+@pytest.mark.parametrize(("shape", "axes"), [((6,), []), ((3, 4), [-1]), ((3, 4), [0]), ((2, 3, 4), [1]), ((2, 3, 4), [-1, -2]), ((2, 3, 4), [0, 2]), ((2, 1, 3, 2), [2, 1]), ((0, 3), [1])])
+def test_components_on_any_axis(spark, shape, axes):
+    a = np.arange(float(np.prod(shape))).reshape(shape)
+    df = spark.createDataFrame([("k", "f", list(shape), a.ravel().tolist(), axes or None)], "key string, name string, shape array<int>, values array<double>, axes array<int>")
+    got = {r.name: (r.shape, r["values"]) for r in layout.split_components(df).collect()}
+    at = sorted(x % len(shape) for x in axes)
+    want = {"f": (list(shape), a.ravel().tolist())} if not at else {}
+    for index in np.ndindex(*(shape[x] for x in at)) if at else []:
+        part = a[tuple(index[at.index(x)] if x in at else slice(None) for x in range(len(shape)))]
+        want["f." + "".join(map(str, index))] = (list(part.shape), part.ravel().tolist())
+    assert got == want
+
+
+def test_components_as_decided(spark, tmp_path):
+    """Arrays read, laid out by declaration and split; a layout that does not fit is refused."""
+    np.savez(tmp_path / "a.npz", velocity=np.arange(24.0).reshape(2, 4, 3), density=np.arange(8.0).reshape(2, 4))
+    cat = arrays.catalogue(spark, str(tmp_path))
+    resolved = layout.resolve_layout(cat.select("name", "shape"), 1, -1, n_leading=1)
+    parts = layout.laid_out(arrays.frames(spark, str(tmp_path)), resolved)
+    assert {r.name: r.n for r in parts.groupBy("name").agg(F.count("*").alias("n")).collect()} == {"density": 2, "velocity.0": 2, "velocity.1": 2, "velocity.2": 2}
+    assert parts.where("name = 'velocity.1' and t = 1").first()["values"] == [13.0, 16.0, 19.0, 22.0]
+    with pytest.raises(Exception, match="neither a scalar"):
+        layout.laid_out(arrays.frames(spark, str(tmp_path)), layout.resolve_layout(cat.select("name", "shape"), 2, -1, n_leading=2)).collect()
+    with pytest.raises(Exception, match="axes do not fit"):
+        layout.split_components(spark.createDataFrame([("f", [2], [1.0, 2.0], [1])], "name string, shape array<int>, values array<double>, axes array<int>")).collect()
+
+
+def test_skipped_fields_reach_the_report(spark):
+    cat = layout.with_status(spark.createDataFrame([("a", [9, 9], 648), ("b", [3, 3], 72)], "name string, shape array<int>, bytes bigint"), 100)
+    report = screen.field_report(spark.createDataFrame([("b", 1.0), ("b", 2.0)], "name string, var double"), 1e-7, ["name"])
+    full = {r.name: r for r in layout.with_skipped(report, cat).collect()}
+    assert full["a"].band == "unscreened" and full["a"].var_min is None and full["b"].band == "well-conditioned"
+    assert screen.clean_gate(report).first().clean is True
+    gate = screen.clean_gate(report, layout.skip_notes(cat)).first()
+    assert gate.clean is False and gate.reasons == "incomplete"
 
 
 def test_incremental_census(spark, tmp_path):
