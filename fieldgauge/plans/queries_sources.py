@@ -92,4 +92,4 @@ def q_t1(spark, d):
     for k in (0, 1):
         g.where(F.col("trajectory") == k).write.mode("append").parquet(f"{base}/in")
         jobs.incremental_census(spark, g.schema, f"{base}/in", f"{base}/out", f"{base}/state", each)
-    return spark.read.parquet(f"{base}/out").withColumn("var", sig(F.col("var")))
+    return jobs.read_batches(spark, f"{base}/out").withColumn("var", sig(F.col("var")))

@@ -33,11 +33,12 @@ def q_f6(spark, d):
 
 @query("q_t2", "grid", f"WITH {_PERS} SELECT file, trajectory, field, t, {S('persistence_mse', 5)} AS persistence_mse FROM pm WHERE persistence_mse IS NOT NULL")
 def q_t2(spark, d):
-    """Frames written as a table, read as a stream and carried by state; compared with the batch operator."""
+    """Frames dealt over batches out of order, paired by state; compared with the batch operator."""
     base = shared(spark)
     frames = V.grid(spark, d).groupBy("file", "trajectory", "field", "t").agg(F.array_sort(F.collect_list(F.struct("site", "x"))).alias("cells"))
-    frames.write.parquet(f"{base}/frames")
-    stream = spark.readStream.schema(frames.schema).parquet(f"{base}/frames")
+    # three files, so three batches, none of which has the frames of a trajectory in order or without gaps
+    frames.repartition(3, F.col("t") * 7 % 11).write.parquet(f"{base}/frames")
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/frames")
     jobs.persistence_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("file", "trajectory", "field", "t", sig(F.col("persistence_mse"), 5).alias("persistence_mse"))
 

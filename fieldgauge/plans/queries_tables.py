@@ -281,10 +281,17 @@ def q_v7(spark, d):
     return K.untraced(K.numbers_in_text(docs, figures=8), docs.select(F.col("n_chars").cast("double").alias("value")), 8)
 
 
-@query("q_v9", "documents", r"SELECT doc_id, len(regexp_extract_all(text, 'License', 0)) AS n_license, len(regexp_extract_all(text, '[A-Z]{3,}!!', 0)) AS n_shouts FROM documents")
+_CLAIMS = [("a year", r"\b(20[0-9]{2})\b"), ("a day", r"-([0-3][0-9])\b"), ("a page", r"\b([0-9]{1,3}(?:,[0-9]{3})+)\b"), ("a year", r"\b(19[0-9]{2})\b")]
+_CLAIMED = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS name, unnest(regexp_extract_all(text, '{p}', 1)) AS n FROM documents" for name, p in _CLAIMS)
+_COUNTS = "SELECT 'a year' AS name, CAST((SELECT max(year(ts)) FROM events) AS BIGINT) AS actual UNION ALL SELECT 'a day', (SELECT count(*) FROM nation)"
+
+
+@query("q_v9", "documents", f"WITH c AS ({_CLAIMED}), k AS ({_COUNTS}) SELECT DISTINCT doc_id, c.name, CAST(replace(n, ',', '') AS BIGINT) AS claimed, actual, CAST(replace(n, ',', '') AS BIGINT) = actual AS agrees FROM c LEFT JOIN k USING (name)")
 def q_v9(spark, d):
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return V.docs(spark, d).select("doc_id", count("License").alias("n_license"), count("[A-Z]{3,}!!").alias("n_shouts"))
+    """Years, days and larger numbers that documents state, held against the last year of the events and the number of nations."""
+    year = V.table(spark, d, "events").agg(F.max(F.year("ts")).cast("bigint").alias("actual")).select(F.lit("a year").alias("name"), "actual")
+    day = V.table(spark, d, "nation").agg(F.count("*").alias("actual")).select(F.lit("a day").alias("name"), "actual")
+    return K.claims(V.docs(spark, d), _CLAIMS, year.unionByName(day))
 
 
 @query("q_v10", "events", "WITH r AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, min(ts) AS a, max(ts) AS b, count(DISTINCT user_id) AS users FROM events GROUP BY ALL) SELECT CAST(day AS VARCHAR) AS day, n, CAST(epoch(b) AS BIGINT) - CAST(epoch(a) AS BIGINT) AS span, users FROM r".replace("CAST(epoch(b) AS BIGINT)", "CAST(floor(epoch(b)) AS BIGINT)").replace("CAST(epoch(a) AS BIGINT)", "CAST(floor(epoch(a)) AS BIGINT)"))
@@ -299,9 +306,13 @@ def q_v11(spark, d):
     return V.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"), (F.min(day) != F.max(day)).alias("revised"), F.datediff(F.min(day), F.lit("2024-01-01").cast("date")).alias("gap"))
 
 
-@query("q_v12", "pages", r"SELECT page_id, len(regexp_extract_all(html, '<[^>]+>', 0)) AS n_tags, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS n_text FROM pages")
+@query("q_v12", "orders", "WITH o AS (SELECT o_custkey, o_orderdate, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) SELECT o_custkey AS page_id, CAST(k - 1 AS INT) AS place, 'v' || k AS version, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM o")
 def q_v12(spark, d):
-    return V.table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<[^>]+>")).cast("long").alias("n_tags"), F.char_length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("n_text"))
+    """A page of versions for each customer, its orders; the first mark is a link, as on such pages."""
+    o = V.table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.to_date("o_orderdate").alias("day")))).alias("o"))
+    mark = lambda x, i: F.concat(F.when(i == 0, "<a href='/v1'>[v1]</a>").otherwise(F.concat(F.lit("<b>[v"), (i + 1).cast("string"), F.lit("]</b>"))), F.lit("\n "), F.date_format(x["day"], "EEE, d MMM yyyy"), F.lit(" 10:00:00 UTC (12 KB)<br/>"))
+    pages = o.select(F.col("o_custkey").alias("page_id"), F.concat(F.lit("<html><p>From: [v0] x</p>"), F.array_join(F.transform("o", mark), "\n"), F.lit("</html>")).alias("html"))
+    return K.versions(pages).select("page_id", "place", "version", F.col("date").cast("string").alias("date"))
 
 
 @query("q_v13", "rows", "SELECT model, file, trajectory, count(DISTINCT rollout_step) AS steps, count(DISTINCT rollout_step) >= 13 AS enough, count(*) = 4 * count(DISTINCT rollout_step) AS shapes, count(*) FILTER (WHERE n_cells <> 10) = 0 AS even FROM rows WHERE mode = 'rollout' GROUP BY ALL")
@@ -409,12 +420,20 @@ def q_v4(spark, d):
     return K.numeric_leaves(V.table(spark, d, "events"), "props", key="event_id")
 
 
-@query("q_v19", "part", f"WITH v AS (SELECT *, {S('p_retailprice', 4)} AS value, CASE WHEN p_size % 2 = 0 THEN 'eps' ELSE 'fix' END AS floor FROM part), k AS (SELECT value, min(floor) AS floor FROM v GROUP BY value HAVING min(floor) = max(floor)) SELECT p_partkey, value, k.floor FROM v JOIN k USING (value) WHERE NOT ((p_partkey % 3 = 0 AND k.floor = 'eps' OR p_partkey % 3 = 1 AND k.floor = 'fix') AND p_partkey % 2 = 0)")
+_NUMBER = r"\d+\.\d+(?:[eE][-+]?\d+)?|\d+[eE][-+]?\d+|\d{3,}"
+_V19 = rf"""WITH lf AS (SELECT {S('CAST(n_chars AS DOUBLE)', 4)} AS value, CASE WHEN doc_id % 2 = 0 THEN 'eps' ELSE 'fix' END AS floor FROM documents),
+k AS (SELECT value, min(floor) AS floor FROM lf GROUP BY value HAVING min(floor) = max(floor)),
+n AS (SELECT doc_id, text, regexp_extract_all(text, '{_NUMBER}') AS n, string_split_regex(text, '{_NUMBER}') AS p FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, text, n[i] AS s, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(n[1:i - 1], lambda x: length(x))), 0) AS pos FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM n) q),
+v AS (SELECT doc_id, {S('CAST(s AS DOUBLE)', 4)} AS value, substr(text, 1, CAST(pos AS BIGINT)) AS l, substr(text, CAST(pos AS BIGINT) + length(s) + 1) AS r FROM u),
+j AS (SELECT doc_id, value, floor, l, r FROM v JOIN k USING (value)),
+c AS (SELECT doc_id, value, floor, [right(l, 230), left(r, 230), list_last(string_split_regex(l, '[.!?]\s')), list_first(string_split_regex(r, '[.!?]\s'))] AS near FROM j)
+SELECT DISTINCT doc_id, value, floor FROM c WHERE NOT list_bool_or(list_transform(near, lambda x: CASE floor WHEN 'eps' THEN contains(x, 'th') ELSE contains(x, 'de ') END))"""
+
+
+@query("q_v19", "documents", _V19)
 def q_v19(spark, d):
-    """A score for each part, stated with a constant's name beside it or far behind it."""
-    part = V.table(spark, d, "part")
-    name = F.when(F.col("p_partkey") % 3 == 0, "the library constant").when(F.col("p_partkey") % 3 == 1, "the raised constant").otherwise("no constant")
-    far = F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.concat(F.lit(". "), F.repeat(F.lit("and so on "), 30)))
-    text = F.concat(F.lit("The score is "), F.col("p_retailprice").cast("double").cast("string"), far, F.lit(" under "), name, F.lit(". More follows."))
-    leaves = part.select(F.concat(F.lit("/score/at_"), F.when(F.col("p_size") % 2 == 0, "eps").otherwise("fix")).alias("path"), F.col("p_retailprice").cast("double").alias("value"))
-    return K.undeclared_floors(part.select("p_partkey", text.alias("text")), leaves, {"eps": ("eps$", "library constant"), "fix": ("fix$", "raised constant")}, "p_partkey")
+    """Numbers in the documents that are some document's length, which has a floor by its number, with that floor's name not near."""
+    docs = V.table(spark, d, "documents")
+    leaves = docs.select(F.concat(F.lit("/length/at_"), F.when(F.col("doc_id") % 2 == 0, "eps").otherwise("fix")).alias("path"), F.col("n_chars").cast("double").alias("value"))
+    return K.undeclared_floors(docs.select("doc_id", "text"), leaves, {"eps": ("eps$", "th"), "fix": ("fix$", "de ")})

@@ -1,7 +1,10 @@
 """Hand-computed cases, undefined values, and refusals."""
 
+import glob
+import json
 import math
 import os
+import random
 import re
 
 import numpy as np
@@ -193,14 +196,129 @@ def test_skipped_fields_reach_the_report(spark):
 
 
 def test_incremental_census(spark, tmp_path):
+    """New inputs only; a batch that is replayed after its write replaces what it left."""
     from fieldgauge.streaming import jobs
 
     make = lambda k: spark.createDataFrame([(k, float(i)) for i in range(4)], "k int, x double")
     run = lambda: jobs.incremental_census(spark, make(0).schema, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", lambda b: b.groupBy("k").agg(F.var_samp("x").alias("v")))
+    taken = lambda: sorted(r.k for r in jobs.read_batches(spark, f"{tmp_path}/out").collect())
     for k in (1, 2):
         make(k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         run()
-    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+    assert taken() == [1, 2]
+    for f in glob.glob(f"{tmp_path}/cp/commits/*1*") + glob.glob(f"{tmp_path}/cp/commits/.*1*"):
+        os.remove(f)  # as if the job had failed between the write and the commit
+    run()
+    assert taken() == [1, 2]
+    jobs.write_batch(make(9).select("k").distinct(), 1, f"{tmp_path}/out")
+    jobs.write_batch(make(9).select("k").distinct(), 1, f"{tmp_path}/out")
+    assert taken() == [1, 9]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_frames_in_any_order(spark, tmp_path, seed):
+    """Frames dealt over batches at random, with a gap, a null, other sites and two trajectories: as the batch operator."""
+    from fieldgauge.streaming import jobs
+
+    rng, rows = random.Random(seed), []
+    for trajectory in (0, 1):
+        for t in range(12):
+            if (trajectory, t) != (0, 5):
+                rows += [("f", trajectory, "u", 0, t, site, None if (t, site) == (3, 2) else rng.random()) for site in range(4) if (t + site) % 7]
+    grid = spark.createDataFrame(rows, "file string, trajectory int, field string, field_idx int, t int, site int, x double")
+    want = {(r.trajectory, r.t): r.persistence_mse for r in frames.persistence_mse(grid).collect() if r.persistence_mse is not None}
+    folded = grid.groupBy("file", "trajectory", "field", "t").agg(F.collect_list(F.struct("site", "x")).alias("cells"))
+    keys = [(r.trajectory, r.t) for r in folded.select("trajectory", "t").collect()]
+    rng.shuffle(keys)
+    for i in range(0, len(keys), 6):
+        part = spark.createDataFrame(keys[i : i + 6], "trajectory int, t int")
+        folded.join(part, ["trajectory", "t"]).select("file", "trajectory", "field", "t", "cells").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.persistence_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    got = [((r.trajectory, r.t), r.persistence_mse) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
+def test_rollout_calls_the_model_once_a_step(spark, tmp_path):
+    from fieldgauge.streaming import jobs
+
+    def model(inputs):
+        with open(tmp_path / "calls", "a") as f:
+            f.write(f"{len(inputs)}\n")
+        return [sum(x) / len(x) for x in inputs]
+
+    rows = [("f", k, t, s, float(t * 10 + s)) for k in (0, 1) for t in range(6) for s in range(5) if (k, t, s) != (1, 2, 3)]
+    df = spark.createDataFrame(rows, "file string, trajectory int, t int, site bigint, x double")
+    got = {(r.trajectory, r.site, r.rollout_step): r.pred for r in jobs.rollout_forecasts(df, model, 3, mean=2.0, std=4.0).collect()}
+    assert len(got) == 3 * (5 + 4) and (1, 3, 1) not in got
+    assert got[0, 2, 1] == pytest.approx(17) and got[0, 2, 2] == pytest.approx((12 + 22 + 32 + 17) / 4)
+    assert sorted(open(tmp_path / "calls").read().split()) == ["4"] * 3 + ["5"] * 3
+
+
+def test_leaves_of_any_depth(spark):
+    deep = "[" * 50_000 + "7" + "]" * 50_000
+    texts = ['{"a": [1, [2.5, {"b": "x 3 and -4.5"}]], "c": true, "d": null, "e": {}}', "8", '"9 lives"', "no", None, "", "[1, 2", "{}", '{"k": 1, "k": 2}', "NaN", '["1e3"]', '{"é/\\u00e9": -0.5e1}', deep, deep[:-1], deep.replace("7", '{"x": [tru]}'), deep.replace("7", '{"x": [true, {"y": "5"}], "z": 6}')]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumns({"path": F.lit(1), "_doc": F.lit(2)})
+    got = {}
+    for r in checks.numeric_leaves(df, "text").collect():
+        got.setdefault(r.doc_id, []).append((r.path[:200], r.num))
+    want = {0: [("/a/0", 1.0), ("/a/1/0", 2.5), ("/a/1/1/b", 3.0), ("/a/1/1/b", -4.5)], 1: [("", 8.0)], 2: [("", 9.0)], 8: [("/k", 2.0)], 10: [("/0", 1.0), ("/0", 3.0)], 11: [("/é/é", -5.0)], 12: [(("/0" * 50_000)[:200], 7.0)]}
+    want[15] = [(("/0" * 50_000)[:200], x) for x in (5.0, 6.0)]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert plan_of(checks.numeric_leaves(df, "text")).count("Scan") == 1
+    assert checks.numeric_leaves(df.limit(0), "text").count() == 0
+
+
+@pytest.mark.parametrize("text", ['{"a":[1,2,{"b":[]}],"c":"\\\\\\""}', "[]", "{}", " [1 , 2 ] ", "1", "[1,]", "[,1]", '{"a"}', '{"a":}', '{,}', "[1 2]", "]", "[}", '{"a":1,}', "[[1]", "1 2", '{1:2}', "tru", "01", "-", '"a', "[1]]", ""])
+def test_own_reader_agrees(text):
+    def read(f):
+        try:
+            return f(text)
+        except ValueError:
+            return "refused"
+
+    assert read(checks._read_deep_json) == read(lambda x: json.loads(x, parse_int=float, parse_constant=checks._refused))
+
+
+def test_claims_against_counts(spark):
+    docs = spark.createDataFrame([(0, "MAP has 17 rows and 1,728 windows; again 17 rows"), (1, "18 rows, 99 checks"), (2, None), (3, "")], "doc_id int, text string")
+    actual = spark.createDataFrame([("rows", 17), ("windows", 1728)], "name string, actual int")
+    patterns = [("rows", r"(\d+) rows"), ("windows", r"([\d,]+) windows"), ("checks", r"(\d+) checks")]
+    got = sorted((tuple(r) for r in checks.claims(docs, patterns, actual).collect()), key=repr)
+    assert got == sorted([(0, "rows", 17, 17, True), (0, "windows", 1728, 1728, True), (1, "rows", 18, 17, False), (1, "checks", 99, None, None)], key=repr)
+
+
+def test_versions_of_a_page(spark):
+    html = "<b>[<a href='x'>v1</a>]</b> Mon, 3 Jan\n2022 10:00 [v2] <i>Tue,</i> 04 FEB 2023, [v3] Mon, 31 Feb 2022, [v4] no day"
+    pages = spark.createDataFrame([(0, html.replace("[<a href='x'>v1</a>]", "<a href='x'>[v1]</a>")), (1, "<p>none</p>"), (2, None)], "page_id int, html string")
+    got = [(r.place, r.version, str(r.date)) for r in checks.versions(pages).orderBy("place").collect()]
+    assert got == [(0, "v1", "2022-01-03"), (1, "v2", "2023-02-04"), (2, "v3", "None")]
+
+
+def brute_undeclared(text, leaves, floors, reach=230):
+    out = set()
+    for m in re.finditer(checks.NUMBER, text or ""):
+        value = float(f"{float(m[0]):.3e}")
+        of = {next((f for f, (seg, _) in floors.items() if re.search(seg, p)), None) for p, v in leaves if float(f"{v:.3e}") == value}
+        if len(of) == 1 and None not in of:
+            floor = of.pop()
+            left, right = text[: m.start()], text[m.end() :]
+            near = (left[-reach:], right[:reach], re.split(r"[.!?]\s", left)[-1], re.split(r"[.!?]\s", right)[0])
+            if not any(re.search(floors[floor][1], x) for x in near):
+                out.add((value, floor))
+    return out
+
+
+def test_context_of_very_many_numbers(spark):
+    floors = {"eps": ("eps$", "library (?:floor|one)"), "fix": ("fix$", "raised floor")}
+    rng = random.Random(3)
+    leaves = [("/a/at_eps", 123.0), ("/a/at_fix", 456.0), ("/a/at_eps", 7.5), ("/b/at_none", 7.5), ("/b/x_eps", 888.0)]
+    texts = ["".join(rng.choice(["123", "456.0 ", "888", "7.5", " word ", " library floor", "raised floor ", ". ", "! ", "é", " filler" * 20]) + rng.choice(["", " "]) for _ in range(60)) for _ in range(60)]
+    many = "456 raised floor. " + "filler words " * 40 + ". " + "123 and 888 " * 5000
+    rows = [*enumerate(texts), (98, many), (99, many + " library one"), (99, "the 123 alone"), (100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"kind": F.lit(1), "value": F.lit(0)})
+    got = {(r.doc_id, r.value, r.floor) for r in checks.undeclared_floors(docs, spark.createDataFrame(leaves, "path string, value double"), floors).collect()}
+    assert got == {(i, *x) for i, text in rows for x in brute_undeclared(text, leaves, floors)}
 
 
 def test_claims_in_text(spark):
