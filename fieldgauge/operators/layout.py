@@ -170,6 +170,11 @@ def history_windows(frames: DataFrame, keys: list[str], history: int = 4, stride
     return at.withColumnRenamed("x", "target")
 
 
+def flatten_channels(inputs: Column, fields: list[str]) -> Column:
+    """A window's frames (structs of fields) as channels: frames in time, fields within a frame (P10)."""
+    return F.flatten(F.transform(inputs, lambda f: F.array(*(f[c] for c in fields))))
+
+
 def runs(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Contiguous runs of frame numbers: first, last and length."""
     w = Window.partitionBy(*keys).orderBy("t")

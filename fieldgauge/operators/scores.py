@@ -97,6 +97,24 @@ def last_trajectory_counterfactual(scores: DataFrame, wins: DataFrame) -> DataFr
     return per.groupBy("model", "label", "eps").agg(F.max_by("score", F.struct(*TRAJ)).alias("last"), F.avg("score").alias("all")).withColumn("ratio", safe_div(F.col("last"), F.col("all")))
 
 
+def last_trajectory_curves(scores: DataFrame) -> DataFrame:
+    """Per rollout step the last trajectory's score, and the mean, least and most over all trajectories."""
+    per = scores.groupBy("model", "eps", "rollout_step")
+    out = per.agg(F.max_by("score", F.struct(*TRAJ)).alias("last"), F.avg("score").alias("all"), F.min("score").alias("least"), F.max("score").alias("most"))
+    return out.withColumn("ratio", safe_div(F.col("last"), F.col("all")))
+
+
+def two_floors(points: DataFrame, at: str, low: float = EPS, high: float = EPS_FIX) -> DataFrame:
+    """Mean over trajectories of `y` at each ``at`` (a start or a step) under two floors, and their ratio."""
+    mean = lambda e: F.avg(F.when(F.col("eps") == e, F.col("y")))
+    return points.groupBy("model", at).agg(mean(low).alias("at_eps"), mean(high).alias("at_fix"), safe_div(mean(low), mean(high)).alias("ratio"))
+
+
+def surface_differences(means: DataFrame, published: DataFrame) -> DataFrame:
+    """Field means (model, field, score) less each published surface (surface, field, value) (W33); a field that a surface lacks has no row."""
+    return means.join(published, "field").withColumn("difference", F.col("score") - F.col("value"))
+
+
 def first_divergent_step(rows: DataFrame, limit: float = 1e6) -> DataFrame:
     bad = ~finite(F.col("mse")) | (F.col("mse") > limit)
     return rows.where("mode = 'rollout'").groupBy("model", *TRAJ).agg(F.min(F.when(bad, F.col("rollout_step"))).alias("first_bad_step"), F.max("mse").alias("max_mse"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldgauge.functions import EPS, EPS_FIX, safe_div, sig, two_sided_p, vrmse
 from fieldgauge.operators import frames as A
+from fieldgauge.operators import records as Q
 from fieldgauge.operators import scores as W
 from fieldgauge.plans.queries_frames import _GVAR, _PERS, gvar, sigs
 from fieldgauge.plans.registry import S, query
@@ -89,9 +90,12 @@ def q_w9(spark, d):
     return sigs(_per(spark, d), "score")
 
 
-@query("q_w10", "rows", f"WITH {_PT} SELECT model, label, eps, {S('arg_max(score, file || trajectory)')} AS last, {S('avg(score)')} AS all, {S('arg_max(score, file || trajectory) / avg(score)')} AS ratio FROM pt GROUP BY ALL".replace(" AS all", ' AS "all"'))
+@query("q_w10", "rows", (f"WITH {_PT} SELECT model, label, eps, {S('arg_max(score, file || trajectory)')} AS last, {S('avg(score)')} AS all, CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS most, {S('arg_max(score, file || trajectory) / avg(score)')} AS ratio FROM pt GROUP BY ALL UNION ALL SELECT model, 'step ' || rollout_step, eps, {S('arg_max(score, file || trajectory)')}, {S('avg(score)')}, {S('min(score)')}, {S('max(score)')}, {S('arg_max(score, file || trajectory) / avg(score)')} FROM rs GROUP BY ALL").replace(" AS all", ' AS "all"'))
 def q_w10(spark, d):
-    return sigs(W.last_trajectory_counterfactual(_roll(spark, d), W.windows(spark)), "last", "all", "ratio")
+    """Window ratios of the last trajectory to all, and the curves by step."""
+    roll = _roll(spark, d)
+    steps = W.last_trajectory_curves(roll).withColumn("label", F.concat(F.lit("step "), F.col("rollout_step").cast("string"))).drop("rollout_step")
+    return sigs(W.last_trajectory_counterfactual(roll, W.windows(spark)).unionByName(steps, allowMissingColumns=True), "last", "all", "least", "most", "ratio")
 
 
 _TZ = "tz AS (SELECT model, eps, file, trajectory, count(*) AS n, avg(y) AS plain, CASE WHEN max(x) > min(x) THEN sum((y + y2) / 2 * (x2 - x)) / (max(x) - min(x)) ELSE avg(y) END AS weighted FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM os WINDOW w AS (PARTITION BY model, eps, file, trajectory ORDER BY x)) q GROUP BY ALL)"
@@ -253,17 +257,20 @@ def q_w31(spark, d):
     return W.displacements(V.rows(spark, d))
 
 
-@query("q_w32", "rows", f"WITH {_OS} SELECT model, x, {S('avg(y) FILTER (WHERE eps = 1e-7)')} AS at_eps, {S('avg(y) FILTER (WHERE eps = 1e-5)')} AS at_fix, {S('avg(y) FILTER (WHERE eps = 1e-7) / avg(y) FILTER (WHERE eps = 1e-5)')} AS ratio FROM os GROUP BY ALL")
+@query("q_w32", "rows", f"WITH {_OS}, {_RS}, u AS (SELECT 'start' AS kind, model, x AS at_, y, eps FROM os UNION ALL SELECT 'step', model, rollout_step, score, eps FROM rs) SELECT kind, model, at_, {S('avg(y) FILTER (WHERE eps = 1e-7)')} AS at_eps, {S('avg(y) FILTER (WHERE eps = 1e-5)')} AS at_fix, {S('avg(y) FILTER (WHERE eps = 1e-7) / avg(y) FILTER (WHERE eps = 1e-5)')} AS ratio FROM u GROUP BY ALL")
 def q_w32(spark, d):
-    at = lambda e: F.avg(F.when(F.col("eps") == e, F.col("y")))
-    return sigs(_starts(spark, d).groupBy("model", "x").agg(at(EPS).alias("at_eps"), at(EPS_FIX).alias("at_fix"), safe_div(at(EPS), at(EPS_FIX)).alias("ratio")), "at_eps", "at_fix", "ratio")
+    """Tables by start and by rollout step at two floors."""
+    start = W.two_floors(_starts(spark, d), "x").withColumnRenamed("x", "at_").withColumn("kind", F.lit("start"))
+    step = W.two_floors(_roll(spark, d).withColumnRenamed("score", "y"), "rollout_step").withColumnRenamed("rollout_step", "at_").withColumn("kind", F.lit("step"))
+    return sigs(start.unionByName(step), "at_eps", "at_fix", "ratio")
 
 
-@query("q_w33", "rows", f"WITH m AS (SELECT model, field, avg(sqrt(mse / (var + 1e-7))) AS s FROM rows WHERE mode = 'onestep' GROUP BY ALL) SELECT a.model, a.field, {S('a.s')} AS score, {S('a.s - z.s', 4)} AS less_zero FROM m a JOIN m z ON z.field = a.field AND z.model = 'zero' WHERE a.model = 'bias'")
+@query("q_w33", "rows", f"WITH m AS (SELECT model, field, avg(sqrt(mse / (var + 1e-7))) AS s FROM rows WHERE mode = 'onestep' GROUP BY ALL) SELECT a.model, z.model AS surface, a.field, {S('a.s')} AS score, round(a.s - z.s, 6) + 0.0 AS difference FROM m a JOIN m z ON z.field = a.field")
 def q_w33(spark, d):
-    m = V.rows(spark, d).where("mode = 'onestep'").groupBy("model", "field").agg(F.avg(vrmse(F.col("mse"), F.col("var"), EPS)).alias("s"))
-    zero = m.where("model = 'zero'").select("field", F.col("s").alias("z"))
-    return m.where("model = 'bias'").join(F.broadcast(zero), "field").select("model", "field", sig(F.col("s")).alias("score"), sig(F.col("s") - F.col("z"), 4).alias("less_zero"))
+    """Each model's field means against those of every model as a published surface."""
+    m = V.rows(spark, d).where("mode = 'onestep'").groupBy("model", "field").agg(F.avg(vrmse(F.col("mse"), F.col("var"), EPS)).alias("score"))
+    out = W.surface_differences(m, m.select(F.col("model").alias("surface"), "field", F.col("score").alias("value")))
+    return out.select("model", "surface", "field", sig(F.col("score")).alias("score"), (F.round("difference", 6) + 0.0).alias("difference"))
 
 
 @query("q_w34", "rows", f"SELECT model, file, field, {S('max(sqrt(mse / (var + 1e-7)))')} AS requested, {S('max(sqrt(mse / (var + 1e-5)))')} AS fallback, {S('max(sqrt((var + 1e-5) / (var + 1e-7)))')} AS amplification FROM rows GROUP BY ALL")
@@ -284,13 +291,12 @@ def q_w35(spark, d):
     return j.select(*FRAME, "field", sig(vrmse(F.col("persistence_mse"), F.col("var"), EPS)).alias("raw"), sig(vrmse(F.col("persistence_mse") / s2, F.col("var") / s2, EPS)).alias("normalised"))
 
 
-@query("q_w36", "rows", f"WITH a AS (SELECT file, trajectory, t, field, mse, lag(mse) OVER (PARTITION BY model, mode, file, trajectory, field ORDER BY t) AS leg FROM rows WHERE model = 'zero' AND mode = 'onestep') SELECT file, count(*) AS n_windows, count(leg) AS n_compared, count(leg) = count(*) AS complete, {S('max(abs(mse - leg) / mse)')} AS worst, coalesce(bool_and(abs(mse - leg) / mse <= 1), true) AS all_close FROM a WHERE mse > 0 GROUP BY file")
+@query("q_w36", "rows", f"WITH a AS (SELECT file, trajectory, t, field, mse FROM rows WHERE model = 'persistence' AND mode = 'onestep'), b AS (SELECT file, trajectory, t, field, mse FROM rows WHERE model = 'persistence' AND mode = 'rollout'), j AS (SELECT coalesce(a.field, b.field) AS field, coalesce(a.file, b.file) AS file, a.mse AS x, b.mse AS y, a.file IS NOT NULL AND b.file IS NOT NULL AS met FROM a FULL JOIN b USING (file, trajectory, t, field)) SELECT field, file, count(*) AS n_windows, count(*) FILTER (WHERE met) AS n_compared, bool_and(met) AS complete, {S('max(CASE WHEN met THEN abs(x - y) END)')} AS worst, bool_and(met AND x = y) AS identical FROM j GROUP BY ALL")
 def q_w36(spark, d):
-    """Each window's second leg is the one before it; the first of a trajectory has none."""
-    w = Window.partitionBy("model", "mode", "file", "trajectory", "field").orderBy("t")
-    a = V.rows(spark, d).where("model = 'zero' and mode = 'onestep'").withColumn("leg", F.lag("mse").over(w)).where("mse > 0")
-    rel = F.abs(F.col("mse") - F.col("leg")) / F.col("mse")
-    return sigs(a.groupBy("file").agg(F.count("*").alias("n_windows"), F.count("leg").alias("n_compared"), (F.count("leg") == F.count("*")).alias("complete"), F.max(rel).alias("worst"), F.coalesce(F.bool_and(rel <= 1), F.lit(True)).alias("all_close")), "worst")
+    """Persistence in one step and in a rollout as two legs: the same at the first step, else not; only early frames have both."""
+    r = V.rows(spark, d).where("model = 'persistence'")
+    leg = lambda mode: r.where(F.col("mode") == mode)
+    return sigs(Q.equivalence(leg("onestep"), leg("rollout"), ["file", "trajectory", "t", "field"], ["field", "file"]).drop("worst_relative"), "worst")
 
 
 @query("q_j1", "documents", "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '?') AS status FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id")

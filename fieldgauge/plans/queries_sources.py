@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldgauge.functions import sig
+from fieldgauge.functions import EPS, EPS_FIX, sig
 from fieldgauge.operators import census as M
 from fieldgauge.operators import frames as A
 from fieldgauge.plans.queries_frames import _GVAR, _PERS, _VAR
@@ -57,7 +57,7 @@ _CENSUS = f"WITH {_VAR} SELECT file AS dataset, CAST(trajectory AS VARCHAR) AS f
 def _written_census(spark, d):
     at = f"{shared(spark)}/census"
     c = M.component_census(A.long_variance(V.cells(spark, d)), ["file", "trajectory", "field"]).withColumnsRenamed({"file": "dataset", "frac_le_eps": "frac_below_epslib", "frac_le_fix": "frac_below_epsfix"})
-    files.write_census(c.withColumn("file", F.col("trajectory").cast("string")), at)
+    files.write_census(c.withColumn("file", F.col("trajectory").cast("string")), at, {"window": (0, 83), "stride": 1, "eps_lib": EPS, "eps_fix": EPS_FIX})
     return at
 
 
@@ -67,12 +67,12 @@ def q_s4(spark, d):
     return files.read_census(spark, _written_census(spark, d)).select("dataset", "file", "field", *(sig(F.col(c)).alias(c) for c in _STATS), F.col("n_frames").cast("long").alias("n_frames"))
 
 
-@query("q_s5", "cells", f"WITH c AS ({_CENSUS}) SELECT dataset, count(DISTINCT file) AS n_files, count(*) AS n_entries FROM c GROUP BY dataset")
+@query("q_s5", "cells", f"WITH c AS ({_CENSUS}) SELECT dataset, count(DISTINCT file) AS n_files, count(*) AS n_entries, string_agg(DISTINCT file, ',' ORDER BY file) AS taken, CAST(count(DISTINCT file) AS INT) AS n_test_files_total, 0 AS first, 83 AS last, 1 AS frame_stride, CAST(1e-7 AS DOUBLE) AS eps_lib, CAST(1e-5 AS DOUBLE) AS eps_fix FROM c GROUP BY dataset")
 def q_s5(spark, d):
-    """What is in each census document."""
+    """What is in each census document, and what it says of its run."""
     docs = spark.read.schema(files.CENSUS).json(_written_census(spark, d))
     entries = F.aggregate(F.map_values("files"), F.lit(0).cast("long"), lambda a, v: a + F.size(F.map_keys(v["fields"])))
-    return docs.groupBy("dataset").agg(F.sum(F.size(F.map_keys("files"))).alias("n_files"), F.sum(entries).alias("n_entries"))
+    return docs.select("dataset", F.size(F.map_keys("files")).cast("long").alias("n_files"), entries.alias("n_entries"), F.array_join("files_censused", ",").alias("taken"), "n_test_files_total", F.get("window_frames", F.lit(0)).alias("first"), F.get("window_frames", F.lit(1)).alias("last"), "frame_stride", "eps_lib", "eps_fix")
 
 
 @query("q_s6", "rows", f"SELECT model, file, trajectory, t, field, {S('mse')} AS mse FROM rows WHERE mode = 'rollout'")

@@ -7,12 +7,13 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldgauge.functions import EPS, band, floor_share, nan_to_num, safe_div, sig
+from fieldgauge.functions import EPS, band, floor_share, nan_to_num, safe_div, sig, variance, vrmse
 from fieldgauge.operators import census as M
 from fieldgauge.operators import checks as K
 from fieldgauge.operators import frames as A
 from fieldgauge.operators import layout as L
 from fieldgauge.operators import ranks as R
+from fieldgauge.operators import records as Q
 from fieldgauge.operators import screen as C
 from fieldgauge.plans.queries_frames import sigs
 from fieldgauge.plans.registry import S, query
@@ -116,13 +117,15 @@ def q_p9(spark, d):
     return w.select("file", "trajectory", "start", sig(F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x), 5).alias("inputs_total"), sig(F.col("target"), 5).alias("target"))
 
 
-@query("q_p10", "cells", "WITH f AS (SELECT file, trajectory, t, count(*) AS n FROM cells GROUP BY ALL) SELECT file, trajectory, max(t) AS last_t, count(*) * 4 AS n_channels FROM f GROUP BY ALL")
+_WIDE = "fw AS (SELECT file, trajectory, t, avg(density) AS density, avg(vx) AS vx, avg(vy) AS vy, avg(vz) AS vz FROM cells GROUP BY ALL), wd AS (SELECT file, trajectory, t - 4 AS start, list(density) OVER h AS d, list(vx) OVER h AS x, list(vy) OVER h AS y, list(vz) OVER h AS z FROM fw WINDOW h AS (PARTITION BY file, trajectory ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))"
+
+
+@query("q_p10", "cells", f"WITH {_WIDE}, c AS (SELECT file, trajectory, start, unnest(range(0, 16)) AS channel, d, x, y, z FROM wd WHERE len(d) = 4) SELECT file, trajectory, start, CAST(channel AS INT) AS channel, {S('CASE channel % 4 WHEN 0 THEN d[channel // 4 + 1] WHEN 1 THEN x[channel // 4 + 1] WHEN 2 THEN y[channel // 4 + 1] ELSE z[channel // 4 + 1] END', 5)} AS value FROM c")
 def q_p10(spark, d):
-    """Channels of a trajectory: time-major, fields within a frame."""
-    f = V.cells(spark, d).groupBy(*FRAME).agg(*(F.avg(c).alias(c) for c in FIELDS))
-    seq = f.groupBy("file", "trajectory").agg(F.max("t").alias("last_t"), F.array_sort(F.collect_list(F.struct("t", *FIELDS))).alias("s"))
-    flat = F.flatten(F.transform("s", lambda x: F.array(*(x[c] for c in FIELDS))))
-    return seq.select("file", "trajectory", "last_t", F.size(flat).cast("long").alias("n_channels"))
+    """Channels of each window of four frames, in their order."""
+    frames = A.spatial_mean(V.cells(spark, d)).withColumn("x", F.struct(*(F.col(f"mean_{f}").alias(f) for f in FIELDS)))
+    w = L.history_windows(frames.select(*FRAME, "x"), ["file", "trajectory"])
+    return w.select("file", "trajectory", "start", F.posexplode(L.flatten_channels(F.col("inputs"), FIELDS)).alias("channel", "value")).withColumn("value", sig(F.col("value"), 5))
 
 
 @query("q_p11", "events", f"WITH v AS (SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN var_samp(value) IS NULL THEN 0 ELSE var_samp(value) END AS v FROM events GROUP BY ALL) SELECT user_id, CAST(day AS VARCHAR) AS day, {S('v * sqrt(2)', 5)} AS filled FROM v")
@@ -150,9 +153,12 @@ def q_p14(spark, d):
     return V.rows(spark, d).select("mode", "t", "rollout_step", "input_start", holds.alias("holds")).distinct()
 
 
-@query("q_p15", "pages", r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '([^/]*)$', 1) AS tail FROM pages")
+@query("q_p15", "part", "WITH f AS (SELECT p_partkey, replace(p_name, ' ', '_') || '_' || p_size || '.hdf5' AS file, 'hub/' || replace(p_brand, '#', '-') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-' || lower(p_type) END AS repo FROM part) SELECT p_partkey, CAST(p_partkey AS BIGINT) >= 0 AND file IS NOT NULL AS named, regexp_extract(file, '([^_]*)\\.hdf5$', 1) AS label, regexp_extract(repo, 'hub/([^-]*)-(.*)', 1) AS model, regexp_extract(repo, 'hub/([^-]*)-(.*)', 2) AS dataset FROM f")
 def q_p15(spark, d):
-    return V.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.substring_index("url", "/", -1).alias("tail"))
+    """Labels of files and repositories named after the parts."""
+    f = V.table(spark, d, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_size").cast("string"), F.lit(".hdf5")).alias("file"), F.concat(F.lit("hub/"), F.translate("p_brand", "#", "-"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("-"), F.lower("p_type")))).alias("repo"))
+    model, dataset = Q.model_and_dataset(F.col("repo"))
+    return f.select("p_partkey", F.col("file").isNotNull().alias("named"), Q.dataset_of(F.col("file")).alias("label"), model.alias("model"), dataset.alias("dataset"))
 
 
 def _written_arrays(spark, d):
@@ -206,10 +212,10 @@ def q_s10(spark, d):
     return L.unique_leaves(f).select("page_id", "name")
 
 
-@query("q_s11", "cells", "SELECT field, " + S("m") + " AS mean, " + S("greatest(sd, 1e-4)") + " AS std FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, avg({f}) AS m, stddev_samp({f}) AS sd FROM cells" for f in ("density", "vx")) + ") q WHERE field = 'density' OR sd > 0")
+@query("q_s11", "cells", "SELECT field, " + S("m") + " AS mean, " + S("greatest(sd, 1e-4)") + " AS std FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, round(avg({f}), 12) + 0.0 AS m, stddev_samp({f}) AS sd FROM cells" for f in FIELDS) + ") q")
 def q_s11(spark, d):
-    c = V.cells(spark, d).agg(*(g(f).alias(f"{n}_{f}") for f in ("density", "vx") for n, g in (("m", F.avg), ("s", F.stddev_samp))))
-    return c.select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), sig(F.col(f"m_{f}")).alias("mean"), sig(F.greatest(F.col(f"s_{f}"), F.lit(1e-4))).alias("std")) for f in ("density", "vx")))))
+    c = V.cells(spark, d).agg(*(g(f).alias(f"{n}_{f}") for f in FIELDS for n, g in (("m", lambda f: F.round(F.avg(f), 12) + 0.0), ("s", F.stddev_samp))))
+    return c.select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), sig(F.col(f"m_{f}")).alias("mean"), sig(F.greatest(F.col(f"s_{f}"), F.lit(1e-4))).alias("std")) for f in FIELDS))))
 
 
 @query("q_s12", "conversations", "SELECT conv_id, CAST(turn AS VARCHAR) AS turn, role, CASE WHEN length(text) > 200 THEN '>200' ELSE CAST(length(text) AS VARCHAR) END AS cell, CASE WHEN length(text) <= 200 THEN CAST(length(text) AS DOUBLE) END AS value, length(text) > 200 AS censored FROM conversations WHERE text IS NOT NULL")
@@ -264,12 +270,15 @@ def q_v5(spark, d):
     return K.required(V.docs(spark, d), V.table(spark, d, "labels"), "doc_id")
 
 
-@query("q_v6", "lineitem", "SELECT l_returnflag AS k, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS n_above, count(*) = (SELECT count(*) FROM lineitem x WHERE x.l_returnflag = lineitem.l_returnflag) AS pinned FROM lineitem GROUP BY l_returnflag")
+@query("q_v6", "lineitem orders", "WITH l AS (SELECT l_orderkey, CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_and(l_linestatus = 'O') THEN 'O' ELSE 'P' END AS name FROM lineitem GROUP BY l_orderkey), a AS (SELECT name, count(*) AS n FROM l GROUP BY name UNION ALL SELECT 'orders with lines', count(DISTINCT l_orderkey) FROM lineitem), b AS (SELECT o_orderstatus AS name, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'orders with lines', count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) SELECT coalesce(a.name, b.name) AS name, a.n AS observed, b.n AS expected, coalesce(a.n = b.n, false) AS pinned FROM a FULL JOIN b ON a.name = b.name")
 def q_v6(spark, d):
-    li = V.table(spark, d, "lineitem")
-    expected = li.groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("want"))
-    got = li.groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("n_above"))
-    return got.join(F.broadcast(expected), "k").select("k", "n", "n_above", (F.col("n") == F.col("want")).alias("pinned"))
+    """Orders by the state of their lines against the states that the orders have."""
+    li, orders = V.table(spark, d, "lineitem"), V.table(spark, d, "orders")
+    state = F.when(F.bool_and(F.col("l_linestatus") == "F"), "F").when(F.bool_and(F.col("l_linestatus") == "O"), "O").otherwise("P")
+    each = li.groupBy("l_orderkey").agg(state.alias("name"))
+    got = each.groupBy("name").agg(F.count("*").alias("n")).unionByName(each.agg(F.count("*").alias("n")).withColumn("name", F.lit("orders with lines")))
+    there = orders.join(li.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").agg(F.count("*").alias("n")).withColumn("name", F.lit("orders with lines"))
+    return Q.pinned(got, orders.groupBy(F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n")).unionByName(there))
 
 
 _NUM = r"nm AS (SELECT DISTINCT doc_id, CAST(printf('%.7e', CAST(s AS DOUBLE)) AS DOUBLE) AS value FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(\d+\.\d+(?:[eE][-+]?\d+)?|\d+[eE][-+]?\d+|\d{3,})', 1))) AS s FROM documents) q WHERE try_cast(s AS DOUBLE) IS NOT NULL AND abs(try_cast(s AS DOUBLE)) < 1e300 AND NOT (regexp_full_match(s, '\d{4}') AND CAST(s AS DOUBLE) BETWEEN 1900 AND 2099))"
@@ -281,29 +290,34 @@ def q_v7(spark, d):
     return K.untraced(K.numbers_in_text(docs, figures=8), docs.select(F.col("n_chars").cast("double").alias("value")), 8)
 
 
-_CLAIMS = [("a year", r"\b(20[0-9]{2})\b"), ("a day", r"-([0-3][0-9])\b"), ("a page", r"\b([0-9]{1,3}(?:,[0-9]{3})+)\b"), ("a year", r"\b(19[0-9]{2})\b")]
+_CLAIMS = [("a version", r"version ([0-9]+)\b"), ("a version", r"Version ([0-9]+)\b"), ("a mail host", r"@mail([0-9]+)\.example"), ("a page", r"page ([0-9,]+)")]
 _CLAIMED = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS name, unnest(regexp_extract_all(text, '{p}', 1)) AS n FROM documents" for name, p in _CLAIMS)
-_COUNTS = "SELECT 'a year' AS name, CAST((SELECT max(year(ts)) FROM events) AS BIGINT) AS actual UNION ALL SELECT 'a day', (SELECT count(*) FROM nation)"
+_COUNTS = "SELECT 'a version' AS name, (SELECT count(DISTINCT l_returnflag) FROM lineitem) AS actual UNION ALL SELECT 'a mail host', (SELECT count(*) FROM region)"
 
 
 @query("q_v9", "documents", f"WITH c AS ({_CLAIMED}), k AS ({_COUNTS}) SELECT DISTINCT doc_id, c.name, CAST(replace(n, ',', '') AS BIGINT) AS claimed, actual, CAST(replace(n, ',', '') AS BIGINT) = actual AS agrees FROM c LEFT JOIN k USING (name)")
 def q_v9(spark, d):
-    """Years, days and larger numbers that documents state, held against the last year of the events and the number of nations."""
-    year = V.table(spark, d, "events").agg(F.max(F.year("ts")).cast("bigint").alias("actual")).select(F.lit("a year").alias("name"), "actual")
-    day = V.table(spark, d, "nation").agg(F.count("*").alias("actual")).select(F.lit("a day").alias("name"), "actual")
-    return K.claims(V.docs(spark, d), _CLAIMS, year.unionByName(day))
+    """Versions and mail hosts that documents name, held against the number of return flags and of regions."""
+    flags = V.table(spark, d, "lineitem").agg(F.countDistinct("l_returnflag").alias("actual")).select(F.lit("a version").alias("name"), "actual")
+    regions = V.table(spark, d, "region").agg(F.count("*").alias("actual")).select(F.lit("a mail host").alias("name"), "actual")
+    return K.claims(V.docs(spark, d), _CLAIMS, flags.unionByName(regions))
 
 
-@query("q_v10", "events", "WITH r AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, min(ts) AS a, max(ts) AS b, count(DISTINCT user_id) AS users FROM events GROUP BY ALL) SELECT CAST(day AS VARCHAR) AS day, n, CAST(epoch(b) AS BIGINT) - CAST(epoch(a) AS BIGINT) AS span, users FROM r".replace("CAST(epoch(b) AS BIGINT)", "CAST(floor(epoch(b)) AS BIGINT)").replace("CAST(epoch(a) AS BIGINT)", "CAST(floor(epoch(a)) AS BIGINT)"))
+@query("q_v10", "events", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE d) AS n_on_day, CAST(max(CASE WHEN d THEN floor(epoch(ts)) END) - min(CASE WHEN d THEN floor(epoch(ts)) END) AS BIGINT) AS span, (SELECT string_agg(DISTINCT CAST(CAST(x.ts AS DATE) AS VARCHAR), ',' ORDER BY CAST(CAST(x.ts AS DATE) AS VARCHAR)) FROM events x WHERE x.event_type = e.event_type AND x.user_id = e.user_id AND CAST(x.ts AS DATE) <> DATE '2024-01-10') AS outside_, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-28 12:00:00') = 0 AS none_after, user_id FROM (SELECT *, CAST(ts AS DATE) = DATE '2024-01-10' AS d FROM events) e GROUP BY event_type, user_id")
 def q_v10(spark, d):
-    e = V.table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"))
-    return e.agg(F.count("*").alias("n"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("span"), F.countDistinct("user_id").alias("users"))
+    """Records of each user and type: those of one day, the days outside of it, and whether any came after the capture."""
+    return Q.bulk_window(V.table(spark, d, "events"), "2024-01-10", "2024-01-28 12:00:00", ["event_type", "user_id"]).withColumnRenamed("outside", "outside_").withColumn("outside_", F.when(F.col("outside_") != "", F.col("outside_")))
 
 
-@query("q_v11", "events", "SELECT user_id, count(*) AS n, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS last_day, min(CAST(ts AS DATE)) <> max(CAST(ts AS DATE)) AS revised, CAST(datediff('day', DATE '2024-01-01', min(CAST(ts AS DATE))) AS INT) AS gap FROM events GROUP BY user_id")
+_ANCHORS = {"paper": "2023-12-20", "tables": "2024-01-05"}
+
+
+@query("q_v11", "events", "WITH r AS (SELECT user_id, count(*) AS n, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events GROUP BY user_id), g AS (SELECT *, datediff('day', DATE '2023-12-20', a) AS p, datediff('day', DATE '2024-01-05', a) AS q FROM r) SELECT user_id, n, CAST(a AS VARCHAR) AS first_day, CAST(b AS VARCHAR) AS last_day, a <> b AS revised, CAST(p AS INT) AS after_paper, CAST(q AS INT) AS after_tables, (SELECT count(*) FROM g) AS n_groups, (SELECT count(DISTINCT a) = 1 FROM g) AS same_day, (SELECT bool_or(a <> b) FROM g) AS any_revised, CAST((SELECT min(p) FROM g) AS INT) AS least_after_paper, CAST((SELECT max(p) FROM g) AS INT) AS most_after_paper, CAST((SELECT min(q) FROM g) AS INT) AS least_after_tables, CAST((SELECT max(q) FROM g) AS INT) AS most_after_tables FROM g")
 def q_v11(spark, d):
-    day = F.to_date("ts")
-    return V.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"), (F.min(day) != F.max(day)).alias("revised"), F.datediff(F.min(day), F.lit("2024-01-01").cast("date")).alias("gap"))
+    """First and last day of each user, days after two anchors, and the summary over all users."""
+    each = Q.chronology(V.table(spark, d, "events"), "user_id", _ANCHORS)
+    named = each.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+    return named.crossJoin(F.broadcast(Q.chronology_summary(each, _ANCHORS)))
 
 
 @query("q_v12", "orders", "WITH o AS (SELECT o_custkey, o_orderdate, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) SELECT o_custkey AS page_id, CAST(k - 1 AS INT) AS place, 'v' || k AS version, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM o")
@@ -315,22 +329,30 @@ def q_v12(spark, d):
     return K.versions(pages).select("page_id", "place", "version", F.col("date").cast("string").alias("date"))
 
 
-@query("q_v13", "rows", "SELECT model, file, trajectory, count(DISTINCT rollout_step) AS steps, count(DISTINCT rollout_step) >= 13 AS enough, count(*) = 4 * count(DISTINCT rollout_step) AS shapes, count(*) FILTER (WHERE n_cells <> 10) = 0 AS even FROM rows WHERE mode = 'rollout' GROUP BY ALL")
+@query("q_v13", "rows", "WITH h AS (SELECT file, min(f) AS least, CAST(sum(greatest(f - 4, 0)) AS BIGINT) AS expected FROM (SELECT file, trajectory, count(DISTINCT t) AS f FROM grid GROUP BY ALL) q GROUP BY file), w AS (SELECT model, file, mode, trajectory, t, count(*) AS fields, max(rollout_step) AS step, min(n_cells) = max(n_cells) AS even, max(coalesce(pvar, 0)) AS spread FROM rows GROUP BY ALL), p AS (SELECT model, file, max(step) AS steps, count(*) FILTER (WHERE mode = 'onestep') AS windows, min(fields) = max(fields) AND bool_and(even) AS shapes_match, max(spread) = 0 AS all_zero FROM w GROUP BY ALL) SELECT model, p.file, steps, windows, expected, steps >= 13 AS long_enough, least >= 4 + steps AS frames_enough, windows = expected AS windows_complete, shapes_match, all_zero FROM p JOIN h ON h.file = p.file")
 def q_v13(spark, d):
-    steps = F.countDistinct("rollout_step")
-    return V.rows(spark, d).where("mode = 'rollout'").groupBy("model", "file", "trajectory").agg(steps.alias("steps"), (steps >= 13).alias("enough"), (F.count("*") == 4 * steps).alias("shapes"), (F.count_if(F.col("n_cells") != 10) == 0).alias("even"))
+    return Q.geometry(V.rows(spark, d), V.grid(spark, d))
 
 
-@query("q_v14", "documents", "SELECT doc_id, n_chars = length(text) AS agrees FROM documents")
+@query("q_v14", "documents labels", "WITH a AS (SELECT lang, source, avg(n_chars) AS v FROM documents GROUP BY ALL), b AS (SELECT lang, source, avg(length(text)) AS v FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL), j AS (SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.source, b.source) AS source, CASE WHEN a.v IS NULL THEN 'missing' WHEN b.v IS NULL THEN 'extra' WHEN abs(a.v - b.v) <= 1e-4 * abs(b.v) THEN 'equal' ELSE 'differs' END AS status FROM a FULL JOIN b ON a.lang = b.lang AND a.source = b.source), c AS (SELECT lang, count(*) AS x, count(*) FILTER (WHERE v > 1000) AS y FROM a GROUP BY lang), s AS (SELECT lang, count(*) AS x, count(*) FILTER (WHERE v > 1000) AS y FROM b GROUP BY lang) SELECT j.lang, source, status, s.x AS n_cells, c.x AS derived_cells, s.y AS n_above, c.y AS derived_above, coalesce(s.x = c.x AND s.y = c.y, false) AS follows FROM j LEFT JOIN s ON s.lang = j.lang LEFT JOIN c ON c.lang = j.lang")
 def q_v14(spark, d):
-    """Two copies of one number: the stored length and the text's own."""
-    return V.table(spark, d, "documents").select("doc_id", (F.col("n_chars") == F.char_length("text")).alias("agrees"))
+    """Two copies of a table of mean lengths, stored ones and those of the labelled texts, and counts stored with the second."""
+    docs = V.table(spark, d, "documents")
+    a = docs.groupBy("lang", "source").agg(F.avg("n_chars").alias("value"))
+    b = docs.join(V.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").groupBy("lang", "source").agg(F.avg(F.char_length("text")).alias("value"))
+    stored = b.groupBy("lang").agg(F.count("*").alias("n_cells"), F.count_if(F.col("value") > 1000).alias("n_above"))
+    return K.compare_tables(a, b, ["lang", "source"], ["value"]).drop("column").join(Q.derived_counts(a, stored, ["lang"], 1000), "lang")
 
 
-@query("q_v15", "cells", "WITH a AS (SELECT file, trajectory, t, var_samp(density) * (count(*) - 1) / count(*) AS x, var_pop(density) AS y FROM cells GROUP BY ALL) SELECT file, trajectory, t, abs(x - y) <= 1e-9 * y AS agrees FROM a WHERE y > 0")
+@query("q_v15", "rows", f"WITH a AS (SELECT file, trajectory, t, field, sqrt(var * (n_cells - 1) / n_cells / (var + 1e-7)) AS x FROM rows WHERE model = 'zero' AND mode = 'onestep' AND t % 7 > 0), b AS (SELECT g.file, g.trajectory, g.t, g.field, sqrt(avg((x - m) * (x - m)) / (var_samp(x) + 1e-7)) AS y FROM grid g JOIN (SELECT file, trajectory, t, field, avg(x) AS m FROM grid GROUP BY ALL) q USING (file, trajectory, t, field) WHERE g.t >= 4 AND g.t % 5 > 0 GROUP BY ALL) SELECT coalesce(a.file, b.file) AS file, coalesce(a.trajectory, b.trajectory) AS trajectory, coalesce(a.t, b.t) AS t, coalesce(a.field, b.field) AS field, CASE WHEN a.file IS NULL THEN 'missing' WHEN b.file IS NULL THEN 'extra' WHEN x IS NULL AND y IS NULL OR abs(x - y) <= 1e-4 * abs(y) OR abs(x - y) <= 1e-12 THEN 'equal' ELSE 'differs' END AS status FROM a FULL JOIN b USING (file, trajectory, t, field)")
 def q_v15(spark, d):
-    a = V.cells(spark, d).groupBy(*FRAME).agg((F.var_samp("density") * (F.count("*") - 1) / F.count("*")).alias("x"), F.var_pop("density").alias("y"))
-    return a.where("y > 0").select(*FRAME, (F.abs(F.col("x") - F.col("y")) <= 1e-9 * F.col("y")).alias("agrees"))
+    """The score of predicting a frame's mean, from its variance and from the squared deviations; each leaves some frames out."""
+    rows = V.rows(spark, d).where("model = 'zero' and mode = 'onestep' and t % 7 > 0")
+    one = A.mean_predictor(rows).select(*FRAME, "field", F.col("baseline").alias("score"))
+    w = Window.partitionBy(*FRAME, "field")
+    dev = V.grid(spark, d).where("t >= 4 and t % 5 > 0").withColumn("_d", F.col("x") - F.avg("x").over(w))
+    two = dev.groupBy(*FRAME, "field").agg(vrmse(F.avg(F.col("_d") * F.col("_d")), variance(F.col("x")), EPS).alias("score"))
+    return K.compare_tables(one, two, [*FRAME, "field"], ["score"]).drop("column")
 
 
 @query("q_v16", "lineitem", "WITH c AS (SELECT 'orders' AS name, CAST((SELECT count(DISTINCT l_orderkey) FROM lineitem) AS VARCHAR) AS observed, CAST((SELECT count(*) FROM orders) AS VARCHAR) AS expected UNION ALL SELECT 'flags', CAST((SELECT count(DISTINCT l_returnflag) FROM lineitem) AS VARCHAR), '3'), s AS (SELECT *, CASE WHEN observed = expected THEN 'pass' ELSE 'fail' END AS status FROM c) SELECT *, (SELECT bool_and(status = 'pass') FROM s) AS all_pass FROM s")

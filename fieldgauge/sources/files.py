@@ -78,11 +78,17 @@ def read_census(spark: SparkSession, path: str) -> DataFrame:
     return files.select("dataset", "n_test_files_total", "frame_stride", "file", F.explode("v.fields").alias("field", "s")).select("dataset", "n_test_files_total", "frame_stride", "file", "field", "s.*")
 
 
-def write_census(census: DataFrame, path: str) -> None:
-    """One document for each dataset, with its files and fields as maps."""
+def write_census(census: DataFrame, path: str, run: dict | None = None) -> None:
+    """One document for each dataset, with its files and fields as maps and what the run was.
+
+    ``run`` may give ``window`` (first and last frame), ``stride``, ``eps_lib`` and ``eps_fix``; how many files a dataset has and which were
+    taken follows from the census. A dataset has few files and fields, so a document is one row.
+    """
     stats = F.struct(F.col("var_min"), F.col("var_max"), F.col("var_mean"), F.col("frac_below_epslib"), F.col("frac_below_epsfix"), F.col("n_frames"))
     per = census.groupBy("dataset", "file").agg(F.map_from_entries(F.collect_list(F.struct("field", stats))).alias("fields"))
-    per.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("file", F.struct("fields")))).alias("files")).write.option("maxRecordsPerFile", 1).json(path)
+    docs = per.groupBy("dataset").agg(F.count("*").cast("int").alias("n_test_files_total"), F.array_sort(F.collect_list("file")).alias("files_censused"), F.map_from_entries(F.collect_list(F.struct("file", F.struct("fields")))).alias("files"))
+    told = {"window_frames": F.array(*(F.lit(x).cast("int") for x in run["window"])), "frame_stride": F.lit(run["stride"]).cast("int"), "eps_lib": F.lit(run["eps_lib"]), "eps_fix": F.lit(run["eps_fix"])} if run else {}
+    docs.withColumns(told).write.option("maxRecordsPerFile", 1).json(path)
 
 
 def write_windows_csv(rows: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldgauge.functions import band, floor_share, safe_div, sig, two_sided_p, vrmse
-from fieldgauge.operators import checks, frames, layout, ranks, scores, screen
+from fieldgauge.operators import checks, frames, layout, ranks, records, scores, screen
 from fieldgauge.sources import arrays, files
 
 
@@ -451,3 +451,69 @@ def test_plans_hold_no_group(spark):
         assert not re.search(r"percentile|Window ", plan_of(queries[name](spark, DATA))), name
     for name in ("q_m11", "q_w5", "q_w22", "q_w13"):
         assert plan_of(queries[name](spark, DATA)).count("lineitem.parquet") == 1, name
+
+
+def test_pinned_counts(spark):
+    a, b = (spark.createDataFrame(x, "name string, n long") for x in ([("rows", 17), ("windows", 1728), ("more", 1)], [("rows", 17), ("windows", 688), ("less", 2)]))
+    got = {r.name: (r.observed, r.expected, r.pinned) for r in records.pinned(a, b).collect()}
+    assert got == {"rows": (17, 17, True), "windows": (1728, 688, False), "more": (1, None, False), "less": (None, 2, False)}
+
+
+def test_bulk_window_and_chronology(spark):
+    rows = [("a", "2024-01-02 10:00:00"), ("a", "2024-01-02 10:00:30"), ("a", "2024-01-05 00:00:00"), ("b", "2024-01-01 00:00:00"), ("c", None)]
+    df = spark.createDataFrame(rows, "repo string, s string").select("repo", F.col("s").cast("timestamp").alias("ts"))
+    got = {r.repo: tuple(r)[1:] for r in records.bulk_window(df, "2024-01-02", "2024-01-04 00:00:00", ["repo"]).collect()}
+    assert got == {"a": (3, 2, 30, "2024-01-05", False), "b": (1, 0, None, "2024-01-01", True), "c": (1, 0, None, "", True)}
+    anchors = {"paper": "2023-12-31", "tables": "2024-01-02"}
+    each = records.chronology(df, "repo", anchors)
+    assert {r.repo: (str(r.first_day), r.revised, r.after_paper, r.after_tables) for r in each.collect()} == {"a": ("2024-01-02", True, 2, 0), "b": ("2024-01-01", False, 1, -1), "c": ("None", None, None, None)}
+    assert tuple(records.chronology_summary(each.where("repo <> 'c'"), anchors).first()) == (2, False, True, 1, 2, -1, 0)
+
+
+def test_geometry(spark):
+    def rows(model, steps, starts, fields=2, cells=9, pvar=0.0):
+        out = [(model, "f", "rollout", 0, 4 + k, k + 1, f, cells + (f if cells == 8 else 0), pvar) for k in range(steps) for f in range(fields)]
+        return out + [(model, "f", "onestep", 0, 4 + k, None, f, cells + (f if cells == 8 else 0), pvar) for k in range(starts) for f in range(fields)]
+
+    df = spark.createDataFrame(rows("good", 13, 16) + rows("short", 5, 16) + rows("few", 13, 15) + rows("uneven", 13, 16, cells=8) + rows("moves", 17, 16, pvar=1.0), "model string, file string, mode string, trajectory int, t int, rollout_step int, field_idx int, n_cells int, pvar double")
+    got = {r.model: r for r in records.geometry(df, spark.range(20).select(F.lit("f").alias("file"), F.lit(0).alias("trajectory"), F.col("id").alias("t"))).collect()}
+    g = got["good"]
+    assert g.long_enough and g.frames_enough and g.windows_complete and g.shapes_match and g.all_zero and g.expected == 16
+    assert not got["short"].long_enough and not got["few"].windows_complete and not got["uneven"].shapes_match
+    assert not got["moves"].frames_enough and not got["moves"].all_zero
+
+
+def test_copies_with_their_counts(spark):
+    cells = spark.createDataFrame([("a", 11.0), ("a", 1.0), ("b", 12.0)], "k string, value double")
+    stored = spark.createDataFrame([("a", 2, 1), ("b", 1, 0), ("c", 1, 0)], "k string, n_cells long, n_above long")
+    assert {r.k: r.follows for r in records.derived_counts(cells, stored, ["k"], 10.0).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_equivalence_of_two_legs(spark):
+    a = spark.createDataFrame([("x", 1, 1.0), ("x", 2, math.nan), ("y", 1, 2.0), ("z", 1, 1.0), ("z", 2, 1.0), ("u", 1, math.nan)], "k string, t int, mse double")
+    b = spark.createDataFrame([("x", 1, 1.0), ("x", 2, math.nan), ("y", 1, 3.0), ("z", 1, 1.0), ("z", 3, 1.0), ("u", 1, 1.0)], "k string, t int, mse double")
+    got = {r.k: (r.n_windows, r.n_compared, r.complete, r.worst, r.worst_relative, r.identical) for r in records.equivalence(a, b, ["k", "t"], ["k"]).collect()}
+    assert got == {"x": (2, 2, True, 0.0, 0.0, True), "y": (1, 1, True, 1.0, 0.5, False), "z": (3, 1, False, 0.0, 0.0, False), "u": (1, 1, True, math.inf, math.inf, False)}
+
+
+def test_labels_of_names(spark):
+    df = spark.createDataFrame([("a/b_c_rayleigh.hdf5", "hub/FNO-shear-flow"), ("plain.hdf5", "one"), (None, None)], "file string, repo string")
+    model, dataset = records.model_and_dataset(F.col("repo"))
+    assert [tuple(r) for r in df.select(records.dataset_of(F.col("file")), model, dataset).collect()] == [("rayleigh", "FNO", "shear-flow"), ("plain", "one", None), (None, None, None)]
+
+
+def test_curves_and_tables_by_step(spark):
+    rows = [("m", "f", k, s, 1e-7, float(10 * k + s)) for k in (0, 1) for s in (1, 2)] + [("m", "f", 0, 1, 1e-5, 0.5)]
+    s = spark.createDataFrame(rows, "model string, file string, trajectory int, rollout_step int, eps double, score double")
+    got = {(r.eps, r.rollout_step): (r.last, r["all"], r.least, r.most) for r in scores.last_trajectory_curves(s).collect()}
+    assert got == {(1e-7, 1): (11.0, 6.0, 1.0, 11.0), (1e-7, 2): (12.0, 7.0, 2.0, 12.0), (1e-5, 1): (0.5, 0.5, 0.5, 0.5)}
+    two = {r.rollout_step: (r.at_eps, r.at_fix, r.ratio) for r in scores.two_floors(s.withColumnRenamed("score", "y"), "rollout_step").collect()}
+    assert two == {1: (6.0, 0.5, 12.0), 2: (7.0, None, None)}
+
+
+def test_census_documents_tell_their_run(spark, tmp_path):
+    census = spark.createDataFrame([("d", f, "a", 1.0, 2.0, 1.5, 0.0, 0.1, 7) for f in ("f.1", "f.2")], "dataset string, file string, field string, var_min double, var_max double, var_mean double, frac_below_epslib double, frac_below_epsfix double, n_frames int")
+    files.write_census(census, f"{tmp_path}/s", {"window": (4, 33), "stride": 2, "eps_lib": 1e-7, "eps_fix": 1e-5})
+    r = spark.read.schema(files.CENSUS).json(f"{tmp_path}/s").first()
+    assert (r.n_test_files_total, r.files_censused, r.window_frames, r.frame_stride, r.eps_lib, r.eps_fix) == (2, ["f.1", "f.2"], [4, 33], 2, 1e-7, 1e-5)
+    assert files.read_census(spark, f"{tmp_path}/s").count() == 2
