@@ -80,7 +80,7 @@ def equivalence(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], valu
     met = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     same = F.coalesce(x.eqNullSafe(y), F.lit(False))
     far = F.when(met, F.when(same, 0.0).when(finite(x) & finite(y), F.abs(x - y)).otherwise(float("inf")))
-    return both.groupBy(*by).agg(F.count("*").alias("n_windows"), F.count_if(met).alias("n_compared"), (F.count_if(met) == F.count("*")).alias("complete"), F.max(far).alias("worst"), F.max(F.when(far == 0, 0.0).otherwise(far / F.greatest(F.abs(x), F.lit(1e-30)))).alias("worst_relative"), F.bool_and(met & same).alias("identical"))
+    return both.groupBy(*by).agg(F.count("*").alias("n_windows"), F.count_if(met).alias("n_compared"), (F.count_if(met) == F.count("*")).alias("complete"), F.max(far).alias("worst"), F.max(F.when((far == 0) | (far == float("inf")), far).otherwise(far / F.greatest(F.abs(x), F.lit(1e-30)))).alias("worst_relative"), F.bool_and(met & same).alias("identical"))
 
 
 def dataset_of(file: Column) -> Column:

@@ -90,7 +90,7 @@ def q_w9(spark, d):
     return sigs(_per(spark, d), "score")
 
 
-@query("q_w10", "rows", (f"WITH {_PT} SELECT model, label, eps, {S('arg_max(score, file || trajectory)')} AS last, {S('avg(score)')} AS all, CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS most, {S('arg_max(score, file || trajectory) / avg(score)')} AS ratio FROM pt GROUP BY ALL UNION ALL SELECT model, 'step ' || rollout_step, eps, {S('arg_max(score, file || trajectory)')}, {S('avg(score)')}, {S('min(score)')}, {S('max(score)')}, {S('arg_max(score, file || trajectory) / avg(score)')} FROM rs GROUP BY ALL").replace(" AS all", ' AS "all"'))
+@query("q_w10", "rows", (f"WITH {_PT} SELECT model, label, eps, {S('arg_max(score, file || trajectory)')} AS last, {S('avg(score)')} AS all, CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS most, {S('arg_max(score, file || trajectory) / avg(score)')} AS ratio FROM pt GROUP BY ALL UNION ALL SELECT model, 'step ' || rollout_step, eps, {S('arg_max_null(score, file || trajectory)')}, {S('avg(score)')}, {S('min(score)')}, {S('max(score)')}, {S('arg_max_null(score, file || trajectory) / avg(score)')} FROM rs GROUP BY ALL").replace(" AS all", ' AS "all"'))
 def q_w10(spark, d):
     """Window ratios of the last trajectory to all, and the curves by step."""
     roll = _roll(spark, d)
