@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def fields_without(df: DataFrame, made: Iterable[str]) -> list:
+    """The fields of the frame but those that have a name of ``made``, in letters of any case: Spark tells names apart without it."""
+    taken = {m.lower() for m in made}
+    return [f for f in df.schema.fields if f.name.lower() not in taken]
+
+
+def set_aside(df: DataFrame, made: Iterable[str]) -> dict[str, str]:
+    """Free names for the columns of the frame that have a name of ``made``, in letters of any case."""
+    taken = {m.lower() for m in made}
+    return {c: free_name(df, f"_own_{c}") for c in df.columns if c.lower() in taken}
+
+
 #: Ids that are sent to all tasks to pick rows out of a table; beyond that the tables are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -74,12 +87,23 @@ def hash_of_id(key: str = "doc_id") -> Column:
 
 
 def least_hashed(labels: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """Rows of the least hash of their id: all, or of more than ``most`` some more than that many.
+    """The ``most`` rows of the least hash of their id, fewer where there are fewer; ids are distinct.
 
-    What is ranked by `hash_of_id` and cut at ``most`` afterwards is then small in every task.
+    What is ranked is small in every task: rows above a threshold that leaves some more than ``most`` go first.
     """
     n = labels.count()
-    return labels if n <= most else labels.where(hash_of_id(key) < int((1 << 40) * min(1.0, (1.2 * most + 200) / n)))
+    few_ = labels if n <= most else labels.where(hash_of_id(key) < int((1 << 40) * min(1.0, (1.2 * most + 200) / n)))
+    return few_.orderBy(hash_of_id(key), key).limit(most)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """Of the ids that a document and a label have, ``most`` with their labels, written; the same ones each time.
+
+    ``labels`` has one row for each id. Labels without a document, however many, take no place, nor do
+    rows that repeat an id.
+    """
+    both = durable(docs.select(key).where(F.col(key).isNotNull()).distinct().join(labels, key))
+    return durable(least_hashed(both, most, key))
 
 
 def crc32_sql(blob: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import durable, hash_of_id, least_hashed
+from fieldgauge.llm.common import durable, fields_without, hash_of_id, labelled_sample
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -91,9 +91,12 @@ def statistics(text: str | None) -> list[int]:
 
 
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The other columns and the counts of the whole text, one row for each row; no shuffle."""
+    """The other columns and the counts of the whole text, one row for each row; no shuffle.
+
+    Columns that have the name of a count, in letters of any case, are replaced.
+    """
     made = [*COUNTS, *MORE]
-    keep = [f for f in df.schema.fields if f.name not in {*made, text_col}]
+    keep = fields_without(df, [*made, text_col])
     schema = T.StructType(keep + [T.StructField(c, T.LongType()) for c in made])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +197,16 @@ def learn(values: np.ndarray, good: np.ndarray, names: list[str], min_precision:
 def learned_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_precision: float = 0.95) -> list[Rule]:
     """Rules from the statistics of labelled rows (`quality` 1: good).
 
-    At most ``max_rows`` of the labelled rows reach the driver: those of the least hash of their id,
-    the same ones each time. Where labels of one id differ the lower one counts; rows without a
-    label or id teach nothing. Without bad rows the list is empty.
+    At most ``max_rows`` of the ids that have a label and a row reach the driver: those of the least hash,
+    the same ones each time. Where labels of one id differ the lower one counts, of rows that share an id the
+    one of the least counts; rows without a label or id teach nothing. Without bad rows the list is empty.
     """
     names = list(FEATURES)
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good"))
-    lab = least_hashed(lab, max_rows)
-    taken = stats.join(lab, "doc_id").orderBy(hash_of_id(), "doc_id", "word_chars", "n_words").limit(max_rows)
+    lab = labelled_sample(stats, lab, max_rows)
+    counts = [*COUNTS, *MORE]
+    each = stats.join(F.broadcast(lab), "doc_id").groupBy("doc_id", "_good").agg(F.min(F.struct(*counts)).alias("_s")).select("doc_id", "_good", "_s.*")
+    taken = each.orderBy(hash_of_id(), "doc_id")
     rows = taken.select("_good", *(feature(f).alias(f"_f{i}") for i, f in enumerate(names))).collect()
     values = np.array([r[1:] for r in rows], float).reshape(-1, len(names))
     return learn(values, np.array([r[0] > 0 for r in rows], bool), names, min_precision)

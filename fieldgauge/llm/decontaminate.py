@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldgauge.llm.common import durable, free_name
+from fieldgauge.llm.common import durable, fields_without, free_name, set_aside
 from fieldgauge.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -190,7 +190,7 @@ def _cut(batch: pa.RecordBatch, text_col: str, spans: list[list[dict]]) -> pa.Re
 def _search(docs: DataFrame, p: Phrases, text_col: str, kind: str, cut: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(p)
     made = {"n_words", "spans", "items"}
-    keep = [f for f in docs.schema.fields if f.name not in made]
+    keep = fields_without(docs, made)
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
     schema = T.StructType([*keep, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T._parse_datatype_string(f"array<{kind}>"))])
     item_type = to_arrow_type(T._parse_datatype_string(kind))
@@ -243,7 +243,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Documents without a passage stay as they are, null and empty texts too; repeated rows are cut alike.
     ``n_chars`` follows the text where the frame has it. Columns of the names that the search makes stay.
     """
-    own = {c: free_name(docs, f"_own_{c}") for c in ("n_words", "spans", "items") if c in docs.columns}
+    own = set_aside(docs, ("n_words", "spans", "items"))
     found = _found(docs.withColumnsRenamed(own), benchmark, "text", WINDOW, MAX_WINDOWS, cut=True)
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["after"] - s["first"])
     left = found.where((F.size("spans") == 0) | (total < F.col("n_words"))).drop("n_words", "spans", "items")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import durable, hash_of_id, least_hashed
+from fieldgauge.llm.common import labelled_sample
 
 SLOTS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -94,14 +94,14 @@ def shares(text: str, of: Cached) -> tuple[np.ndarray, np.ndarray]:
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int, featurize) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(label, slots, values) of at most ``max_rows`` labelled texts, the same ones each time.
 
-    ``labels`` has one `_y` for each doc_id. The rows of the least hash of their id are taken, so the
-    bound holds whatever the table holds; whole texts are turned into slots on the executors. Of
-    equal texts with equal labels one is used.
+    ``labels`` has one `_y` for each doc_id. Of the ids that documents have, those of the least hash are taken, so the
+    bound holds whatever the tables hold; whole texts are turned into slots on the executors. Of rows that
+    share an id the text of the least hash is used, of equal texts with equal labels one.
     """
-    labels = least_hashed(labels, max_rows)
     # the ids are taken first, so that no text is sorted
-    ids = docs.select("doc_id").join(labels, "doc_id").orderBy(hash_of_id(), "doc_id").limit(max_rows).distinct()
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(durable(ids)), "doc_id")
+    ids = labelled_sample(docs, labels, max_rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    chosen = texts.groupBy("doc_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = featurize()
@@ -110,7 +110,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, featurize) -> list
             yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y"), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([b.tobytes() for _, b in made], pa.binary())], names=["h", "y", "slots", "vals"])
 
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("slots", T.BinaryType()), T.StructField("vals", T.BinaryType())])
-    rows = chosen.select(F.xxhash64("text").alias("_h"), F.col("_y").cast("int"), "text").mapInArrow(run, schema).limit(max_rows).collect()
+    rows = chosen.select(F.xxhash64("text").alias("_h"), F.col("_y").cast("int"), "text").mapInArrow(run, schema).collect()
     seen = {(r.h, r.y): r for r in rows}
     return [(r.y, np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32)) for _, r in sorted(seen.items())]
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import CRC32_TABLE, crc32_sql, durable, free_name
+from fieldgauge.llm.common import CRC32_TABLE, crc32_sql, durable, fields_without, free_name
 from fieldgauge.llm.hashed_terms import Cached
 from fieldgauge.llm.sharding import numbered
 
@@ -102,7 +102,7 @@ def weighed(df: DataFrame, gain: np.ndarray, text_col: str = "text", longest: in
     Columns that have a result's name, in letters of any case, are replaced.
     """
     made = ["n_words", "n_features", "weight"]
-    keep = [f for f in df.schema.fields if f.name.lower() not in made and f.name != text_col]
+    keep = fields_without(df, [*made, text_col])
     packed = df.select(F.struct(*(f.name for f in keep)).alias("own"), F.col(text_col).cast("binary").alias("_text"))
     schema = T.StructType([packed.schema["own"], *(T.StructField(c, T.LongType()) for c in made)])
 

@@ -21,10 +21,18 @@ from pyspark.sql import functions as F
 
 from fieldgauge.llm.common import durable, few, free_name, pick
 
-#: Edits within which two lines are the same, and code points from which a line takes part.
+#: Edits within which two lines are the same, and code points from which a blank line takes part.
 THRESHOLD, MIN_CHARS = 2, 40
 #: For ``min_chars``: every line that is not blank takes part.
 ALL_LINES = 1
+#: Code points of the shorter of two lines from which one edit, and then more, leave them the same: in a short line an edit says
+#: something else.
+ONE_EDIT, MORE_EDITS = 12, 30
+
+
+def edits_allowed(n: Column, threshold: int) -> Column:
+    """Edits within which two lines, the shorter of n code points, are the same."""
+    return F.when(n < ONE_EDIT, 0).when(n < MORE_EDITS, min(1, threshold)).otherwise(threshold)
 
 
 def _takes_part(line: Column, min_chars: int) -> Column:
@@ -32,7 +40,7 @@ def _takes_part(line: Column, min_chars: int) -> Column:
     return (n >= min_chars) & ((n >= MIN_CHARS) | line.rlike(r"\S"))
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def lines_of(docs: DataFrame, min_chars: int = ALL_LINES) -> DataFrame:
     """(doc_id, at, line) of lines with ``min_chars`` code points or more; ``at`` counts from 0.
 
     Blank lines of fewer than `MIN_CHARS` never take part.
@@ -176,11 +184,11 @@ def _linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """(earlier, later): of the pairs (a, b) of line ids those within the threshold, by first occurrence."""
     a = lines.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa"))
     b = lines.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
-    both = pairs.distinct().join(a, "a").join(b, "b")
+    both = pairs.distinct().join(a, "a").join(b, "b").withColumn("allowed", edits_allowed(F.least(F.char_length("la"), F.char_length("lb")), threshold))
     # pairs are few and short but dear: every task gets its share of them. They are written first, since
     # the filter would be pushed down and have its long expression filled with those that make its columns
     both = durable(_without_common_ends(both).repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    near = both.where(banded_distance(F.col("la"), F.col("lb"), threshold) <= threshold)
+    near = both.where(banded_distance(F.col("la"), F.col("lb"), threshold) <= F.col("allowed"))
     return near.select(F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("later"))
 
 
@@ -202,7 +210,7 @@ def _meet(met: DataFrame, done: DataFrame | None, threshold: int) -> DataFrame:
 def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(earlier, later): links between different lines, from (id, line, doc_id, at) and (id, first, times).
 
-    Every line that is within the threshold of an earlier one is the later one of some link. Where an
+    Every line that is within `edits_allowed` of an earlier one is the later one of some link. Where an
     index entry holds more than `HOT` lines, all are compared with its earliest line; the pairs of which
     one line at least is not settled then meet again in a finer cut. Under the last cut all are compared.
     """
@@ -211,7 +219,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD)
     once = lines.select("id", "line").join(again, "id", "left_anti")
     copies = durable(lines.select("id", "line").join(again, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
     distinct = once.unionByName(copies).withColumns({"n": F.char_length("line"), "letters": _letter_counts(F.col("line"))})
-    distinct = distinct.where(F.col("n") > threshold)  # any two shorter ones are within the threshold: only equal ones count
+    distinct = distinct.where(F.col("n") >= max(ONE_EDIT, threshold + 1))  # of shorter ones only equal ones count
     met = _meeting(distinct, threshold + 1, threshold)
     ids = durable(met.select("id").distinct())
     texts = durable(pick(distinct, ids, "id").join(pick(firsts, ids, "id").select("id", "first"), "id"))
@@ -233,12 +241,11 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD)
         met = _meeting(pick(texts, inside, "id"), cuts.pop(0), threshold)
 
 
-def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = ALL_LINES) -> DataFrame:
     """(doc_id, at): lines of ``min_chars`` or more that stay.
 
-    The first occurrence of a line, by doc_id and place, stays unless the line is within ``threshold``
-    edits of a line that occurs earlier; its other occurrences go. Of lines of ``threshold`` code points
-    or fewer only the other occurrences go. doc_id is taken as the key. Lines are
+    The first occurrence of a line, by doc_id and place, stays unless the line is within `edits_allowed`
+    (``threshold`` at most) of a line that occurs earlier; its other occurrences go. doc_id is taken as the key. Lines are
     told apart by a 64-bit hash.
     """
     lines = lines_of(docs, min_chars).withColumn("id", F.xxhash64("line"))
@@ -263,7 +270,7 @@ def _with_kept(docs: DataFrame, threshold: int, min_chars: int) -> tuple[DataFra
     return found.select(*docs.columns, F.inline(F.transform(own, left)).alias(n, kept)), n, kept
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = ALL_LINES) -> DataFrame:
     """doc_id, n_lines, n_kept and kept_sha256 (of the text that stays) of each document.
 
     Lines are split at \\n; those of fewer than ``min_chars`` code points always stay. A null text is
@@ -273,7 +280,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     return found.select("doc_id", F.col(n).alias("n_lines"), F.size(kept).cast("long").alias("n_kept"), F.sha2(F.array_join(kept, "\n"), 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = ALL_LINES) -> DataFrame:
     """The documents without repeated lines. One of which nothing stays goes; n_chars follows the text.
 
     Null and blank texts stay as they are; rows that share a doc_id share the places that stay.

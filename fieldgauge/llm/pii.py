@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from fieldgauge.llm.common import fields_without
 from fieldgauge.llm.feistel import permute, round_keys
 
 _FIRST_YEAR, _LAST_YEAR = 1900, 2100
@@ -211,9 +212,9 @@ def pseudonymized(docs: DataFrame, key: str, text_col: str = "text", maker: Call
     """The rows with pseudonyms in their whole texts and ``kinds array<string>`` of what was replaced.
 
     Null and empty texts stay as they are, with no kinds. One pass, no shuffle; equal values get equal
-    pseudonyms wherever they stand. Values that fail validation stay.
+    pseudonyms wherever they stand. Values that fail validation stay. A column named ``kinds``, in letters of any case, is replaced.
     """
-    keep = [f for f in docs.schema.fields if f.name != "kinds"]
+    keep = fields_without(docs, ["kinds"])
     schema = T.StructType([*keep, T.StructField("kinds", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

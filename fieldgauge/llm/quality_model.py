@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import free_name
+from fieldgauge.llm.common import fields_without, set_aside
 from fieldgauge.llm.hashed_terms import _AGAIN, Adam, Cached, dense, sample, select_slots, shares, token_slots
 
 
@@ -108,10 +108,11 @@ def grades_from_labels(labels: DataFrame) -> DataFrame:
 def score(df: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     """Adds ``expected_grade double`` and ``tails array<double>`` (P(grade >= 1), P(grade >= 2), ...).
 
-    Null counts as an empty text, which has no terms. One pass, no shuffle.
+    Null counts as an empty text, which has no terms. One pass, no shuffle. Columns of these names, in letters of any
+    case, are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    keep = [f for f in df.schema.fields if f.name not in ("expected_grade", "tails")]
+    keep = fields_without(df, ("expected_grade", "tails"))
     schema = T.StructType([*keep, T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +141,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, most_te
     """The documents that the classifier keeps, with their own columns; null texts are graded as empty ones."""
     model = fit_on(docs, grades_from_labels(labels), 3, max_rows, most_terms)
     # under free names, so that columns of the documents stay
-    own = {c: free_name(docs, f"_own_{c}") for c in ("expected_grade", "tails") if c in docs.columns}
+    own = set_aside(docs, ("expected_grade", "tails"))
     scored = score(docs.withColumnsRenamed(own), model).where(F.col("tails")[0] >= KEEP)
     return scored.drop("expected_grade", "tails").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

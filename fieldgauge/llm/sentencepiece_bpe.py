@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldgauge.llm.common import fields_without
+
 SPACE = "▁"
 #: Units in each of a task's two dictionaries (recent ones and those before), the longest that is kept, and
 #: pairs of pieces whose check is kept. With some 200 bytes a unit and 100 a pair a task holds 120 MB at most.
@@ -347,8 +349,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _with_columns(df: DataFrame, added: list[T.StructField], text_col: str, model_path: str, make) -> DataFrame:
     """``make`` gives the added columns from an encoder and the values of a batch."""
     key, shared = model_path, df.sparkSession.sparkContext.broadcast(vocabulary(model_path))
-    schema = T.StructType([f for f in df.schema.fields if f.name not in {a.name for a in added}] + added)
-    keep = [f.name for f in df.schema.fields if f.name not in {a.name for a in added}]
+    fields = fields_without(df, [a.name for a in added])
+    schema, keep = T.StructType(fields + added), [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(key, shared)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import durable, free_name, text_or_empty
+from fieldgauge.llm.common import durable, fields_without, free_name, text_or_empty
 from fieldgauge.llm.feistel import permute, round_keys
 
 _IN_PARTITION = (1 << 33) - 1  # bits of monotonically_increasing_id() that count within a partition
@@ -33,7 +33,7 @@ def numbered(df: DataFrame, order: list[str], out_col: str = "row_number") -> tu
     for r in counts:
         sizes[r["p"]] = r["count"]
     starts = df.sparkSession.sparkContext.broadcast(np.cumsum(sizes) - sizes)
-    own = [f for f in kept.schema.fields if f.name not in (local, out_col)]
+    own = fields_without(kept, (local, out_col))
     schema = T.StructType([*own, T.StructField(out_col, T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def numbered(df: DataFrame, order: list[str], out_col: str = "row_number") -> tu
 def shuffle_into_shards(df: DataFrame, order: list[str], shards: int, key: str) -> DataFrame:
     """Adds ``row_number``, ``shard int`` and ``slot long``: law `rows`, shard sizes at most one apart.
 
-    Columns of the frame that have these names are replaced.
+    Columns of the frame that have these names, in letters of any case, are replaced.
 
     Row number r goes to place p, p = permute(r); its shard is p modulo ``shards`` and its slot is
     p divided by it, so both follow from r, the number of rows and the key, and
@@ -59,7 +59,7 @@ def shuffle_into_shards(df: DataFrame, order: list[str], shards: int, key: str)
         raise ValueError("at least one shard is needed")
     rows, n = numbered(df, order)
     keys = round_keys(key)
-    own = [f for f in rows.schema.fields if f.name not in ("shard", "slot")]
+    own = fields_without(rows, ("shard", "slot"))
     schema = T.StructType([*own, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldgauge.llm.common import fields_without
 from fieldgauge.llm.hashed_terms import Adam, Cached, dense, present, sample, select_slots, word_slots
 
 
@@ -91,9 +92,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, most_terms
 
 
 def score(df: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """Adds the score of each whole text; null counts as empty. One pass, no shuffle."""
+    """Adds the score of each whole text; null counts as empty. One pass, no shuffle. A column of its name is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(machine)
-    keep = [f for f in df.schema.fields if f.name != out_col]
+    keep = fields_without(df, [out_col])
     schema = T.StructType([*keep, T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,11 +115,66 @@ def test_line_dedup(spark, hot, monkeypatch):
     order = sorted(first, key=first.get)
     keep = {first[a] for n, a in enumerate(order) if not any(abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2 for b in order[:n])}
     want = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if len(x) < 40 or (i, k) in keep) for i, t in enumerate(texts)}
-    got = {r.doc_id: r.kept_sha256 for r in line_dedup.deduplicated(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r.kept_sha256 for r in line_dedup.deduplicated(docs_of(spark, texts), min_chars=40).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
     assert line_dedup.deduplicated(docs_of(spark, []).limit(0)).count() == 0
 
 
+def near_lines(a, b):
+    """The documented rule: no edit below 12 code points, one below 30, two from there on."""
+    n = min(len(a), len(b))
+    most = 0 if n < 12 else 1 if n < 30 else 2
+    return abs(len(a) - len(b)) <= most and edits(a, b) <= most
+
+
+def test_short_lines_that_say_something_else(spark):
+    texts = ["Total: 12", "Total: 37", "cat\ndog\ncow\ncat", "In.\nOf.", "Total: 12", "The total is 1234", "The total is 1235", "The total is 1299", "The total of this very long line is 12", "The total of this very long line is 37"]
+    got = {r.doc_id: (r.n_lines, r.n_kept) for r in line_dedup.deduplicated(docs_of(spark, texts)).collect()}
+    assert got == {0: (1, 1), 1: (1, 1), 2: (4, 3), 3: (2, 2), 4: (1, 0), 5: (1, 1), 6: (1, 0), 7: (1, 1), 8: (1, 1), 9: (1, 0)}
+
+
+@pytest.mark.parametrize("n_labels", [300, 40_000])
+def test_labels_without_documents_take_no_place(spark, n_labels):
+    """All labelled documents are learned from whatever the labels table holds besides, and one row of a repeated id."""
+    from fieldgauge.llm import common, hashed_terms
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    hot = docs.unionByName(spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("again "), F.col("id").cast("string")).alias("text")))
+    labels = spark.range(n_labels).select(F.col("id").alias("doc_id"), F.lit(1).alias("_y"))
+    make = lambda: lambda text: (np.array([hashed_terms.slot(text)], np.int32), np.ones(1, np.float32))
+    taken = [hashed_terms.sample(d, labels, 1000, make) for d in (docs, hot.repartition(5), hot.repartition(2))]
+    assert [len(x) for x in taken] == [200] * 3 and [r[1].tolist() for r in taken[1]] == [r[1].tolist() for r in taken[2]]
+    assert len(hashed_terms.sample(hot, labels, 50, make)) == 50
+    assert common.labelled_sample(hot, labels, 50).count() == 50
+    stats = hot.select("doc_id", *(F.lit(k).cast("long").alias(c) for k, c in enumerate([*decision_list.COUNTS, *decision_list.MORE])))
+    assert decision_list.learned_rules(stats, labels.select("doc_id", F.lit(1).alias("quality")), 1000) == []
+
+
+def test_names_in_other_letters(spark, tmp_path):
+    """Extra columns that have a result's name in capitals: the results are written and read."""
+    import corpus_pipeline
+    from fieldgauge.llm.common import table
+
+    few = table(spark, DATA, "documents").limit(40)
+    labels = table(spark, DATA, "labels")
+    clash = few.withColumns({c: F.lit("x") for c in ("Tails", "EXPECTED_GRADE", "Spans", "N_WORDS", "Items")})
+    done = {
+        "quality": corpus_pipeline.quality(spark, clash, DATA),
+        "lines": corpus_pipeline.lines(spark, clash.withColumn("_AT", F.lit(1)), DATA),
+        "near": corpus_pipeline.near_duplicates(spark, clash.withColumn("CLASS", F.lit(1)), DATA),
+        "benchmarks": corpus_pipeline.benchmarks(spark, clash, DATA),
+        "encode": corpus_pipeline.encode(spark, few.withColumns({c: F.lit("x") for c in ("IDS", "N_Tokens", "Ids_sha256")}), DATA),
+        "pii": pii.pseudonymized(few.withColumn("KINDS", F.lit(1)), key="k"),
+        "shards": sharding.shuffle_into_shards(few.withColumns({"SHARD": F.lit("x"), "Slot": F.lit(1), "ROW_number": F.lit(2)}), ["doc_id"], 3, "k"),
+        "toxic": toxicity.score(few.withColumn("SCORE", F.lit("x")), toxicity.fit_on(few, labels)),
+        "counts": decision_list.with_statistics(few.withColumn("N_WORDS", F.lit("x"))),
+    }
+    for name, df in done.items():
+        assert len({c.lower() for c in df.columns}) == len(df.columns), name
+        df.write.parquet(str(tmp_path / name))
+        assert spark.read.parquet(str(tmp_path / name)).columns == df.columns
+
+
 def test_line_dedup_of_all_lines(spark, tmp_path):
     """The registered query and the pipeline take part of no length out: short repeats go, blank lines stay."""
     import corpus_pipeline
@@ -134,7 +189,7 @@ def test_line_dedup_of_all_lines(spark, tmp_path):
             if line.strip():
                 first.setdefault(line, (i, k))
     order = sorted(first, key=first.get)
-    keep = {first[a] for n, a in enumerate(order) if not any(min(len(a), len(b)) > 2 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2 for b in order[:n])}
+    keep = {first[a] for n, a in enumerate(order) if not any(near_lines(a, b) for b in order[:n])}
     want = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if not x.strip() or (i, k) in keep) for i, t in enumerate(texts)}
     docs_of(spark, texts, False).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.kept_sha256 for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
