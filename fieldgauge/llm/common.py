@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: What empties the stores that operators keep in a Python worker from task to task.
+KEPT_IN_WORKER: list[Callable[[], None]] = []
+
+
+def begin_task(keeps: bool = False) -> None:
+    """Called where a task begins in a Python worker, which may have served other operators: what they kept goes, unless the
+    operator is the one that ``keeps``, and memory that is free goes back to the system."""
+    for clear in () if keeps else KEPT_IN_WORKER:
+        clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has that
+    if trim is not None:
+        trim(0)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldgauge.llm.common import durable, fields_without, free_name, set_aside
+from fieldgauge.llm.common import begin_task, durable, fields_without, free_name, set_aside
 from fieldgauge.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -196,6 +196,7 @@ def _search(docs: DataFrame, p: Phrases, text_col: str, kind: str, cut: bool = F
     item_type = to_arrow_type(T._parse_datatype_string(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         p = shared.value
         number = p.number
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import labelled_sample
+from fieldgauge.llm.common import begin_task, labelled_sample
 
 SLOTS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -26,7 +26,7 @@ def slot(term: str) -> int:
 class Cached(dict):
     """What a function of a word gives, kept for a bounded number of words."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -104,6 +104,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, featurize) -> list
     chosen = texts.groupBy("doc_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         make = featurize()
         for batch in batches:
             made = [make(t) for t in batch.column("text").to_pylist()]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldgauge.llm.common import BROADCAST_IDS, WORD, durable, few
+from fieldgauge.llm.common import begin_task, BROADCAST_IDS, durable, few, WORD
 from fieldgauge.llm.hashed_terms import Cached
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -167,6 +167,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     size of its prefix, if a text of `FEW` or fewer can be similar to it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         of = Cached(lambda w: crc32(w.encode("utf-8", "surrogatepass")))
         none = np.empty(0, np.int64)
         for batch in batches:
@@ -255,6 +256,7 @@ def _compared(edges: DataFrame, sig: DataFrame, differences: bool = False) -> Da
     both = edges.join(words.select(F.col("node").alias("c"), F.col("words").alias("cw")), "c").join(words.select(F.col("node").alias("d"), F.col("words").alias("dw")), "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             found, apart = [], []
             last, x = None, None

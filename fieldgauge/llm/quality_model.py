@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import fields_without, set_aside
+from fieldgauge.llm.common import begin_task, fields_without, set_aside
 from fieldgauge.llm.hashed_terms import _AGAIN, Adam, Cached, dense, sample, select_slots, shares, token_slots
 
 
@@ -116,6 +116,7 @@ def score(df: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     schema = T.StructType([*keep, T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         scorer = shared.value.scorer()
         for batch in batches:
             tails = shared.value.tails(scorer(batch.column(text_col).to_pylist()))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.llm.common import fields_without
+from fieldgauge.llm.common import KEPT_IN_WORKER, begin_task, fields_without
 
 SPACE = "▁"
 #: Units in each of a task's two dictionaries (recent ones and those before), the longest that is kept, and
@@ -331,6 +331,7 @@ def _utf8(raw: bytearray) -> str:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT_IN_WORKER.append(_ENCODERS.clear)
 
 
 def _encoder(key: str, shared) -> Encoder:
@@ -353,6 +354,7 @@ def _with_columns(df: DataFrame, added: list[T.StructField], text_col: str, mode
     schema, keep = T.StructType(fields + added), [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(keeps=True)
         enc = _encoder(key, shared)
         try:
             for batch in batches:
