@@ -28,8 +28,9 @@ TEMPLATES = [
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general public 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "gnu affero general public 3"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "bsd 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "redistribution source binary forms"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "redistribution source binary forms endorse promote"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License.", "bsd 2"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "redistribution source binary forms retain reproduce"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public 2.0"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "purpose fee granted"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4.0"),
@@ -38,15 +39,22 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution sharealike 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution noncommercial 4.0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", "cc by nc sa 4.0"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "creative commons attribution noncommercial sharealike 4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.", "cc by nc nd 4.0"),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "creative commons attribution noncommercial noderivatives 4.0"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "cc by nd 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights. Dedicated to the public domain under CC0 1.0.", "cc0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
     ("proprietary", "Copyright. All rights reserved.", "rights reserved"),
 ]
 #: A declaration by identifier, for each license above and those that have no other wording here.
-TEMPLATES += [(name, f"SPDX-License-Identifier: {name}", f"spdx {name}") for name in [*dict.fromkeys(t[0] for t in TEMPLATES if t[0] != "proprietary"), "CC-BY-ND-4.0", "LGPL-2.1", "EPL-2.0", "0BSD"]]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}", f"spdx {name}") for name in [*dict.fromkeys(t[0] for t in TEMPLATES if t[0] != "proprietary"), "LGPL-2.1", "EPL-2.0", "0BSD"]]
+#: Lines that are a license's title and nothing else.
+TITLES = {"mit license": "MIT", "apache license version 2.0": "Apache-2.0", "isc license": "ISC", "bsd 2 clause license": "BSD-2-Clause", "bsd 3 clause license": "BSD-3-Clause", "gnu general public license version 3": "GPL-3.0", "gnu general public license version 2": "GPL-2.0", "mozilla public license version 2.0": "MPL-2.0", "the unlicense": "Unlicense"}
 #: Words that mark a sentence as speaking of licenses, and those that set one license apart from another.
 HINTS = ["licen", "copyright", "permission", "redistribut", "rights reserved", "public domain", "spdx", "creative commons", "cc by", "cc0"]
-TELLING = {"mit", "apache", "gnu", "lesser", "affero", "bsd", "mozilla", "nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "cc0", "isc", "2", "3", "2.0", "3.0", "4.0", "1.0", "1.1", "2.1"}
+TELLING = {"mit", "apache", "gnu", "lesser", "affero", "bsd", "mozilla", "nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "cc0", "isc", "endorse", "2", "3", "2.0", "3.0", "4.0", "1.0", "1.1", "2.1"}
 #: A winner is confirmed if this share of its words stands in the block in their order, all words that
 #: mark it are there, and no word that marks another license is.
 COVER = 0.6
@@ -55,6 +63,12 @@ _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?:;])(?<!Identifier:)\s+|\n\s*\n|\n(?=SPDX)")
 #: What opens a line of a comment in source code.
 _COMMENT = re.compile(r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+|<!--|\"\"\")[ \t]?")
+#: The number of a clause, which does not end a block.
+_CLAUSE = re.compile(r"[(\[]?(?:[0-9]{1,2}|[a-z]|[ivx]+)[.)\]:]*|[-*\u2022]", re.I)
+#: Identifiers joined by operators: each part is a declaration of its own; what follows WITH is an exception to it.
+_EXPRESSION = re.compile(r"SPDX-License-Identifier:\s*([^\n]*?\s(?:OR|AND|WITH)\s[^\n]*)")
+#: A sentence that denies a statement states nothing.
+_DENIED = re.compile(r"\b(?:not|never|no longer|isn't|aren't|cannot be)\b[^.;]{0,30}\b(?:licen[sc]ed|released|available|distributed|published|covered|dedicated)\b", re.I)
 #: Characters before and after a hint that may belong to its statement; longer sentences are cut there.
 REACH = 2_000
 
@@ -98,6 +112,9 @@ class Scanner:
         words = wording(block)
         have = frozenset(words)
         order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
+        title = TITLES.get(" ".join(words)) or TITLES.get(" ".join(words[1:]) if words[:1] == ["the"] else "")
+        if title:  # the wording is the title's, word for word
+            return Verdict(title, max(s for s, (name, _, _) in zip(saved, self.templates, strict=True) if name == title), (), ())
         for i in order:
             name, text, marks = self.templates[i]
             if saved[i] <= 0:
@@ -120,7 +137,7 @@ class Scanner:
             near = [w for w in self._near(s) if w]
             if near:
                 out[-1] += near
-            elif out[-1] and s.strip():
+            elif out[-1] and s.strip() and not _CLAUSE.fullmatch(s.strip()):
                 out.append([])
         return [b for b in out if b]
 
@@ -140,12 +157,29 @@ class Scanner:
                 spans.append([max(0, k - REACH), k + REACH])
         return [" ".join(sentence[x:y].split()) for x, y in spans]
 
+    @staticmethod
+    def _parts(sentence: str) -> list[str]:
+        """A sentence, or the declarations of the parts of its identifier expression."""
+        m = _EXPRESSION.search(sentence)
+        if m is None:
+            return [sentence]
+        names = re.split(r"\s+(?:OR|AND)\s+", re.sub(r"\s+WITH\s+\S+", "", m[1]))
+        return [f"SPDX-License-Identifier: {n.strip('() ').split()[0]}" for n in names if n.strip("() ")]
+
     def verdicts(self, text: str | None) -> list[list[Verdict]]:
         """For each block its statements: that of the block, and those of its sentences that state another license;
-        of a block that states none, what its best template saves."""
+        of a block that states none, what its best template saves. Sentences that deny a statement are left out, and the parts of an
+        identifier expression are declarations of their own."""
         out = []
         for block in self.blocks(text):
-            all_ = [self.judge(" ".join(block)), *(self.judge(s) for s in block if len(block) > 1)]
+            told = [s for s in block if not _DENIED.search(s)]
+            parts = [p for s in told for p in self._parts(s)]
+            whole = " ".join(told or block)
+            if not told:
+                none = self.judge(whole)
+                all_ = [Verdict(None, none.saved, none.missing, none.added)]
+            else:
+                all_ = [*([] if parts != told else [self.judge(whole)]), *(self.judge(s) for s in parts if len(parts) > 1 or parts != told)]
             found = {v.license: v for v in reversed(all_) if v.license}
             out.append(list(found.values())[::-1] or all_[:1])
         return out
@@ -157,7 +191,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     A finding has the block's license (null if no template is confirmed), the bytes that its best
     template saves, and the words in which the two differ. Whole texts are read; null and empty texts
     have no blocks; repeated rows give repeated rows. A block is neighbouring sentences that speak of licenses;
-    it is judged as a whole and by sentence, so it can state several licenses.
+    it is judged as a whole and by sentence, so it can state several licenses. A sentence that several licenses share states none alone.
     """
     kind = dict(docs.dtypes)[id_col]
     finding = pa.struct([("license", pa.string()), ("saved", pa.int32()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))])

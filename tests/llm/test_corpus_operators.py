@@ -62,7 +62,7 @@ def test_license_wordings(spark):
     s = licenses.Scanner()
     named = lambda t: sorted({v.license for b in s.verdicts(t) for v in b if v.license})
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
-    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    bsd = "Licensed under the BSD\n3-Clause License."
     assert named(mit) == ["MIT"] and named("\n".join("# " + x for x in mit.split("\n"))) == ["MIT"]
     assert named(bsd) == ["BSD-3-Clause"] and named(" * " + bsd.replace("\n", "\n * ")) == ["BSD-3-Clause"]
     for name in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "LGPL-2.1", "ISC"):
@@ -72,6 +72,36 @@ def test_license_wordings(spark):
     assert named(long + "Released under the MIT License. " + long) == ["MIT"] and named(long + " released under the mit license " + long) == ["MIT"]
 
 
+def test_licenses_that_share_wording():
+    """Full BSD bodies with numbers, bullets and comment signs; identifier expressions; titles; denials; versions of CC."""
+    s = licenses.Scanner()
+    named = lambda t: sorted({v.license for b in s.verdicts(t) for v in b if v.license})
+    head = "Copyright (c) 2020, Someone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    clauses = ["Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."]
+    tail = '\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+    for n, name in ((2, "BSD-2-Clause"), (3, "BSD-3-Clause")):
+        for mark in ("{}. ", "* ", "({}) "):
+            body = head + "\n\n".join(mark.format(i + 1) + c for i, c in enumerate(clauses[:n])) + tail
+            assert named(body) == [name], (n, mark)
+            assert named("\n".join("# " + line for line in body.split("\n"))) == [name], (n, mark)
+    assert named(head) == []
+    assert named("SPDX-License-Identifier: MIT OR Apache-2.0") == ["Apache-2.0", "MIT"]
+    assert named("# SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause\nx = 1") == ["BSD-3-Clause", "GPL-2.0"]
+    assert named("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"] and named("Licensed under CC BY-NC-ND 4.0.") == ["CC-BY-NC-ND-4.0"]
+    assert named("MIT License") == ["MIT"] and named("The MIT License\n\nmore text") == ["MIT"]
+    assert named("This is not released under the MIT License.") == [] and named("It is no longer licensed under the Apache License, Version 2.0.") == []
+    assert named("This is not released under the MIT License. Licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+    for name, text, _ in licenses.TEMPLATES:
+        assert named(text) == [name], text
+
+
+def test_scan_by_hand(spark):
+    """The operator gives the blocks, the licenses and the words in which they differ, row by row."""
+    rows = ["A. Released under the MIT License.", "Released under the MIT License. Words between. Licensed under CC BY 4.0.", None, "nothing"]
+    got = {r.doc_id: (r.n_blocks, r.licenses, [(f.license, f.missing) for f in r.findings]) for r in licenses.scan(docs_of(spark, rows)).collect()}
+    assert got == {0: (1, ["MIT"], [("MIT", [])]), 1: (2, ["CC-BY-4.0", "MIT"], [("MIT", []), ("CC-BY-4.0", [])]), 2: (0, [], []), 3: (0, [], [])}
+
+
 def test_license_of_blocks_by_all_templates():
     """The verdict of 1,000 altered statements is the best-saving one of all templates whose wording holds."""
     rng, s = random.Random(21), licenses.Scanner()
