@@ -60,7 +60,7 @@ TELLING = {"mit", "apache", "gnu", "lesser", "affero", "bsd", "mozilla", "nc", "
 COVER = 0.6
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Sentences end at a full stop or the like, or at a blank line; a line that is wrapped goes on.
-_SENTENCE = re.compile(r"(?<=[.!?:;])(?<!Identifier:)\s+|\n\s*\n|\n(?=SPDX)")
+_SENTENCE = re.compile(r"(?<=[.!?:;])(?<!Identifier:)(?<! v\.)\s+|\n\s*\n|\n(?=SPDX)")
 #: What opens a line of a comment in source code.
 _COMMENT = re.compile(r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+|<!--|\"\"\")[ \t]?")
 #: The number of a clause, which does not end a block.
