@@ -30,10 +30,10 @@ _THREE_DIGITS = set("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 85 88 96 97
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _FORMS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?:(?<=password)|(?<=passwd)|(?<=token)|(?<=secret)|(?<=api_key)|(?<=apikey))(?:\s?[=:]\s?[\"']?)[0-9A-Za-z]{8,}"),
+    ("secret", r"(?i:(?<=password)|(?<=passwd)|(?<=token)|(?<=secret)|(?<=api_key)|(?<=api-key)|(?<=api key)|(?<=apikey)|(?<=access_key)|(?<=secret_key))(?:\s?[=:]\s?[\"']?)[0-9A-Za-z](?:[0-9A-Za-z_-]{6,}[0-9A-Za-z])"),
     ("iban", r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"),
     ("ip", r"(?<![\w.])(?<!version )(?<!Version )(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
-    ("iso_date", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"),
+    ("iso_date", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{4}/\d{2}/\d{2}(?![\d/])"),
     ("date", r"(?<![\d/.])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\d/])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d|-\d)"),
@@ -41,7 +41,7 @@ _FORMS = [
     ("intl_phone", r"(?<![\d+])\+(?![01])\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"),
 ]
 _ANY = re.compile("|".join(f"(?P<{k}>{p.replace('([/.])', '(?P<sep>[/.])').replace(chr(92) + '1', '(?P=sep)')})" for k, p in _FORMS))
-_HINT = re.compile(r"[\d@]|password|passwd|token|secret|api_?key")
+_HINT = re.compile(r"[\d@]|password|passwd|token|secret|api[_ -]?key|access_key", re.I)
 
 
 def luhn(digits: str) -> int:
@@ -211,7 +211,7 @@ def _months(short: bool, day: int) -> list[tuple[int, int]]:
 def pseudonymized(docs: DataFrame, key: str, text_col: str = "text", maker: Callable[[str], Pseudonyms] = Pseudonyms) -> DataFrame:
     """The rows with pseudonyms in their whole texts and ``kinds array<string>`` of what was replaced.
 
-    Null and empty texts stay as they are, with no kinds. One pass, no shuffle; equal values get equal
+    Hosts of mail addresses and signs within secrets are kept. Null and empty texts stay as they are, with no kinds. One pass, no shuffle; equal values get equal
     pseudonyms wherever they stand. Values that fail validation stay. A column named ``kinds``, in letters of any case, is replaced.
     """
     keep = fields_without(docs, ["kinds"])

@@ -369,6 +369,49 @@ def test_pseudonyms(spark):
     assert all(got[i].text == t and got[i].kinds == [] for i, t in enumerate(ODD)) and got[len(ODD)].text == got[len(ODD) + 1].text == new
 
 
+def test_secrets_in_any_letters():
+    """Labels in capitals and with other signs, tokens with signs in them, dates with slashes: replaced, undone, equal where equal."""
+    there, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", back=True)
+    secrets = ["API_KEY=abcdEFGH1234", "Password: abcdEFGH1234", "api-key: abcdEFGH1234", "token: ghp_abcdEFGH1234xyz", "secret=sk-abcdEFGH1234", 'ACCESS_KEY="AKIA1234567890AB"']
+    for text in secrets:
+        new, kinds = there.apply(f"see {text}, thanks")
+        label = re.match(r"[\w-]+\s?[=:]\s?\"?", text)[0]
+        assert kinds == ["secret"] and new.startswith(f"see {label}") and text[len(label) :].strip('"') not in new, text
+        assert len(new) == len(text) + len("see , thanks") and back.apply(new)[0] == f"see {text}, thanks"
+        assert [c for c in new if c in "_-="] == [c for c in text if c in "_-="]
+    assert there.apply(secrets[0])[0][8:] == there.apply(secrets[1])[0][10:]
+    new, kinds = there.apply("on 2021/03/04 and 2021-03-04")
+    assert kinds == ["date", "date"] and new[3:13].replace("/", "-") == new[18:] != "2021-03-04" and back.apply(new)[0] == "on 2021/03/04 and 2021-03-04"
+    for text in ("Password: short", "the token is here", "a secret = no"):
+        assert there.apply(text) == (text, [])
+
+
+def brute_pseudonyms(texts, key):
+    """Values found by the forms one after the other, each replaced by itself: the longest first match from the left."""
+    names, out = pii.Pseudonyms(key), []
+    for text in texts:
+        at, made, kinds = 0, "", []
+        while text and at < len(text):
+            found = [(k, m) for k, p in pii._FORMS if (m := re.compile(p).match(text, at))]
+            new = names._in_script(found[0][0], found[0][1][0]) if found else None
+            if found:
+                made += found[0][1][0] if new is None else new
+                kinds += [] if new is None else [{"iso_date": "date", "intl_phone": "phone"}.get(found[0][0], found[0][0])]
+                at = found[0][1].end()
+            else:
+                made, at = made + text[at], at + 1
+        out.append((made if text else text, kinds))
+    return out
+
+
+def test_pseudonyms_against_brute_force(spark):
+    rng = random.Random(8)
+    bits = ["a.b@mail.example.com", "+1 (677) 555-7033", "4961143020124266", "80.122.231.226", "2021-03-04", "2021/03/04", "03/04/2021", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "token=abcd1234efgh", "Password: ABCD-1234_x", "+44 20 7946 0958", "1234", "999.1.1.1", "word", ",", "é", "٣٤"]
+    texts = [rng.choice(["", " "]).join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(12)) for _ in range(80)] + [None, ""]
+    got = {r.doc_id: (r.text, r.kinds) for r in pii.pseudonymized(docs_of(spark, texts), "key").collect()}
+    assert got == dict(enumerate(brute_pseudonyms(texts, "key")))
+
+
 def test_dates_in_every_form():
     """One pseudonym for a day in all forms, in the same form, read the same way, undone; different days stay apart."""
     import datetime
