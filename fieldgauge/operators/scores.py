@@ -125,10 +125,10 @@ def crossings(cells: DataFrame, limit: float = 10.0) -> DataFrame:
     return cells.groupBy("eps").agg(F.count_if(F.col("score") > limit).alias("n_above"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("score") <= limit, F.concat_ws("/", "model", "label")))), ",").alias("not_above"))
 
 
-def separation(strata: DataFrame) -> DataFrame:
+def separation(strata: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Largest predictor of strata that never cross against the least of those that always do."""
     a, b = F.max(F.when(F.col("n_above") == 0, F.col("predictor"))), F.min(F.when(F.col("n_above") == F.col("n"), F.col("predictor")))
-    return strata.agg(a.alias("max_never"), b.alias("min_always"), F.coalesce(a < b, F.lit(False)).alias("separates"), F.count("*").alias("n_strata"))
+    return strata.groupBy(*(by or [])).agg(a.alias("max_never"), b.alias("min_always"), F.coalesce(a < b, F.lit(False)).alias("separates"), F.count("*").alias("n_strata"))
 
 
 def midranks(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

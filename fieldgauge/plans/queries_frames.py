@@ -55,9 +55,11 @@ def q_a5(spark, d):
     return V.rows(spark, d).select("model", "mode", *FRAME, "field", sig(vrmse(F.col("mse"), F.col("var"), EPS)).alias("score"))
 
 
-@query("q_a6", "cells", f"SELECT file, trajectory, t, {S('avg(density)')} AS mean_density FROM cells GROUP BY file, trajectory, t")
+@query("q_a6", "cells", f"SELECT file, trajectory, t, {S('avg(density)')} AS mean_density, " + ", ".join(f"round(avg({f}), 9) + 0.0 AS mean_{f}" for f in V.FIELDS[1:]) + " FROM cells GROUP BY file, trajectory, t")
 def q_a6(spark, d):
-    return sigs(A.spatial_mean(V.cells(spark, d)).select(*FRAME, "mean_density"), "mean_density")
+    """Means that may cancel out are compared to nine decimals."""
+    means = A.spatial_mean(V.cells(spark, d)).withColumns({f"mean_{f}": F.round(f"mean_{f}", 9) + 0.0 for f in V.FIELDS[1:]})
+    return sigs(means.select(*FRAME, *(f"mean_{f}" for f in V.FIELDS)), "mean_density")
 
 
 @query("q_a7", "grid", f"WITH {_PERS} SELECT file, trajectory, t, field, field_idx, {S('persistence_mse')} AS persistence_mse FROM pm")
@@ -65,9 +67,11 @@ def q_a7(spark, d):
     return sigs(A.persistence_mse(V.grid(spark, d)), "persistence_mse")
 
 
-@query("q_a8", "preds", f"SELECT model, mode, file, trajectory, t, field, {S(VAR('pred'))} AS pvar FROM preds WHERE model = 'persistence' GROUP BY ALL")
+@query("q_a8", "preds", f"SELECT model, mode, file, trajectory, t, field, CASE WHEN model <> 'bias' THEN {S('v')} END AS pvar, round(v, 10) + 0.0 AS rounded FROM (SELECT model, mode, file, trajectory, t, field, {VAR('pred')} AS v FROM preds GROUP BY ALL) q")
 def q_a8(spark, d):
-    return sigs(A.prediction_variance(V.preds(spark, d).where("model = 'persistence'")), "pvar")
+    """A shift far above a field's spread leaves few figures of the variance, so all models are compared to ten decimals too."""
+    v = A.prediction_variance(V.preds(spark, d)).withColumn("rounded", F.round("pvar", 10) + 0.0)
+    return sigs(v.withColumn("pvar", F.when(F.col("model") != "bias", F.col("pvar"))), "pvar")
 
 
 @query("q_a9", "rows", f"SELECT model, mode, file, trajectory, t, rollout_step, input_start, {S('avg(sqrt(mse / (var + 1e-7)))')} AS score FROM rows GROUP BY ALL")

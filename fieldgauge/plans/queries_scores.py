@@ -146,19 +146,19 @@ def q_w17(spark, d):
     return sigs(c.groupBy("file", "eps").agg(F.count_if(F.col("score") > 10).alias("n_above"), F.bool_and(F.col("score") <= 10).alias("none_above"), F.max("score").alias("most")), "most")
 
 
-_ST = "sx AS (SELECT c.trajectory, c.file, n_above, n, predictor FROM (SELECT file, trajectory, count(*) FILTER (WHERE score > 10) AS n_above, count(*) AS n FROM pt WHERE eps = 1e-7 AND model = 'bias' GROUP BY ALL) c JOIN (SELECT file, trajectory, avg(CAST(v <= 1e-5 AS INT)) AS predictor FROM (SELECT file, trajectory, input_start, min(var) AS v FROM rows WHERE mode = 'onestep' GROUP BY ALL) q GROUP BY ALL) p USING (file, trajectory))"
+_ST = "sx AS (SELECT model, c.trajectory, c.file, n_above, n, predictor FROM (SELECT model, file, trajectory, count(*) FILTER (WHERE score > 10) AS n_above, count(*) AS n FROM pt WHERE eps = 1e-7 GROUP BY ALL) c JOIN (SELECT file, trajectory, avg(CAST(v <= 1e-5 AS INT)) AS predictor FROM (SELECT file, trajectory, input_start, min(var) AS v FROM rows WHERE mode = 'onestep' GROUP BY ALL) q GROUP BY ALL) p USING (file, trajectory))"
 
 
 def _strata(spark, d):
     rows = V.rows(spark, d)
-    c = _per(spark, d).where((F.col("eps") == EPS) & (F.col("model") == "bias")).groupBy("file", "trajectory").agg(F.count_if(F.col("score") > 10).alias("n_above"), F.count("*").alias("n"), F.avg("score").alias("score"))
+    c = _per(spark, d).where(F.col("eps") == EPS).groupBy("model", "file", "trajectory").agg(F.count_if(F.col("score") > 10).alias("n_above"), F.count("*").alias("n"), F.avg("score").alias("score"))
     low = rows.where("mode = 'onestep'").groupBy("file", "trajectory", "input_start").agg(F.min("var").alias("v"))
     return c.join(low.groupBy("file", "trajectory").agg(F.avg((F.col("v") <= EPS_FIX).cast("double")).alias("predictor")), ["file", "trajectory"])
 
 
-@query("q_w18", "rows", f"WITH {_PT}, {_ST} SELECT {S('max(predictor) FILTER (WHERE n_above = 0)')} AS max_never, {S('min(predictor) FILTER (WHERE n_above = n)')} AS min_always, coalesce(max(predictor) FILTER (WHERE n_above = 0) < min(predictor) FILTER (WHERE n_above = n), false) AS separates, count(*) AS n_strata FROM sx")
+@query("q_w18", "rows", f"WITH {_PT}, {_ST} SELECT model, {S('max(predictor) FILTER (WHERE n_above = 0)')} AS max_never, {S('min(predictor) FILTER (WHERE n_above = n)')} AS min_always, coalesce(max(predictor) FILTER (WHERE n_above = 0) < min(predictor) FILTER (WHERE n_above = n), false) AS separates, count(*) AS n_strata FROM sx GROUP BY model")
 def q_w18(spark, d):
-    return sigs(W.separation(_strata(spark, d)), "max_never", "min_always")
+    return sigs(W.separation(_strata(spark, d), ["model"]), "max_never", "min_always")
 
 
 _DAY = "dy AS (SELECT event_type AS model, user_id, count(*) AS a, sum(value) AS b FROM events GROUP BY ALL)"
@@ -236,9 +236,9 @@ def q_w27(spark, d):
 _TWO = "two AS (SELECT model, eps, file, trajectory, max(CASE WHEN r = 2 THEN x END) AS x_before, max(CASE WHEN r = 1 THEN x END) AS x_last, max(CASE WHEN r = 2 THEN y END) AS y_before, max(CASE WHEN r = 1 THEN y END) AS y_last FROM (SELECT *, row_number() OVER (PARTITION BY model, eps, file, trajectory ORDER BY x DESC) AS r FROM os) q WHERE r <= 2 GROUP BY ALL)"
 
 
-@query("q_w28", "rows", f"WITH {_OS}, {_TWO} SELECT model, eps, file, trajectory, x_before, x_last, {S('y_before')} AS y_before, {S('y_last')} AS y_last, {S('100 * (y_before - y_last) / y_before', 4)} AS drop_percent FROM two WHERE model = 'zero'")
+@query("q_w28", "rows", f"WITH {_OS}, {_TWO} SELECT model, eps, file, trajectory, x_before, x_last, {S('y_before')} AS y_before, {S('y_last')} AS y_last, {S('100 * (y_before - y_last) / y_before', 4)} AS drop_percent FROM two")
 def q_w28(spark, d):
-    out = W.tail_slope(_starts(spark, d).where("model = 'zero'"))
+    out = W.tail_slope(_starts(spark, d))
     return sigs(out.withColumn("drop_percent", sig(F.col("drop_percent"), 4)), "y_before", "y_last")
 
 
@@ -310,10 +310,10 @@ def q_j2(spark, d):
     return V.rows(spark, d).where("mode = 'rollout'").join(F.broadcast(W.windows(spark)), F.col("rollout_step").between(F.col("lo"), F.col("hi"))).select("label", "model", "file", "trajectory", "rollout_step", "field")
 
 
-@query("q_j3", "rows", f"SELECT model, mode, file, trajectory, t, field, eps, {S('eps / (var + eps)')} AS share FROM rows CROSS JOIN {_EPS} WHERE model = 'zero'")
+@query("q_j3", "rows", f"SELECT model, mode, file, trajectory, t, field, eps, {S('eps / (var + eps)')} AS share FROM rows CROSS JOIN {_EPS}")
 def q_j3(spark, d):
     floors = spark.createDataFrame([(EPS,), (EPS_FIX,)], "eps double")
-    return V.rows(spark, d).where("model = 'zero'").crossJoin(F.broadcast(floors)).select("model", "mode", *FRAME, "field", "eps", sig(F.col("eps") / (F.col("var") + F.col("eps"))).alias("share"))
+    return V.rows(spark, d).crossJoin(F.broadcast(floors)).select("model", "mode", *FRAME, "field", "eps", sig(F.col("eps") / (F.col("var") + F.col("eps"))).alias("share"))
 
 
 @query("q_j4", "documents", "SELECT 'unlabelled' AS side, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) a UNION ALL SELECT 'unknown', count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents) b")

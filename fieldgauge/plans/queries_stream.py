@@ -19,16 +19,19 @@ def _last(inputs):
     return [x[-1] for x in inputs]
 
 
-@query("q_f5", "grid", f"WITH {_FRAMES} SELECT file, trajectory, t - 4 AS start, {S('p', 5)} AS pred FROM (SELECT *, lag(x) OVER w AS p, count(*) OVER h AS n FROM fr WINDOW w AS (PARTITION BY file, trajectory ORDER BY t), h AS (PARTITION BY file, trajectory ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) q WHERE n = 4")
+@query("q_f5", "grid", f"WITH {_FRAMES} SELECT file, trajectory, field, t - 4 AS start, round(p, 9) + 0.0 AS pred FROM (SELECT *, lag(x) OVER w AS p, count(*) OVER h AS n FROM fr WINDOW w AS (PARTITION BY file, trajectory, field ORDER BY t), h AS (PARTITION BY file, trajectory, field ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) q WHERE n = 4")
 def q_f5(spark, d):
-    w = L.history_windows(_frames(spark, d), ["file", "trajectory"]).select("file", "trajectory", "start", "inputs")
-    return jobs.one_step_forecasts(w, _last).select("file", "trajectory", "start", sig(F.col("pred"), 5).alias("pred"))
+    w = L.history_windows(_frames(spark, d), ["file", "trajectory", "field"]).select("file", "trajectory", "field", "start", "inputs")
+    return jobs.one_step_forecasts(w, _last).select("file", "trajectory", "field", "start", (F.round("pred", 9) + 0.0).alias("pred"))
 
 
-@query("q_f6", "grid", f"WITH s AS (SELECT file, trajectory, site, arg_max(x, t) AS x FROM grid WHERE field = 'density' AND t < 4 GROUP BY ALL HAVING count(*) = 4) SELECT file, trajectory, site, CAST(k AS INT) AS rollout_step, {S('x', 5)} AS pred FROM s, range(1, 31) r(k)")
+@query("q_f6", "grid", f"WITH s AS (SELECT file, trajectory, site, field_idx, arg_max(x, t) AS x FROM grid WHERE t < 4 GROUP BY ALL HAVING count(*) = 4) SELECT file, trajectory, site, CAST(field_idx AS INT) AS field_idx, CAST(k AS INT) AS rollout_step, round(x, 9) + 0.0 AS pred FROM s, range(1, 31) r(k)")
 def q_f6(spark, d):
-    g = V.grid(spark, d).where("field = 'density'").select("file", "trajectory", "site", "t", "x")
-    return jobs.rollout_forecasts(g, _last, 30).select("file", "trajectory", "site", "rollout_step", sig(F.col("pred"), 5).alias("pred"))
+    """The model is given each field of each site as a channel."""
+    n = len(V.FIELDS)
+    g = V.grid(spark, d).select("file", "trajectory", (F.col("site") * n + F.col("field_idx")).alias("site"), "t", "x")
+    made = jobs.rollout_forecasts(g, _last, 30)
+    return made.select("file", "trajectory", F.expr(f"site div {n}").alias("site"), (F.col("site") % n).cast("int").alias("field_idx"), "rollout_step", (F.round("pred", 9) + 0.0).alias("pred"))
 
 
 @query("q_t2", "grid", f"WITH {_PERS} SELECT file, trajectory, field, t, {S('persistence_mse', 5)} AS persistence_mse FROM pm WHERE persistence_mse IS NOT NULL")

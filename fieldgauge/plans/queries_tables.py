@@ -104,17 +104,18 @@ def q_p8(spark, d):
     return m.join(F.broadcast(s), "field").select("field", sig(floor_share(F.col("v"), EPS)).alias("raw_share"), sig(floor_share(F.col("v") / (F.col("sd") * F.col("sd")), EPS)).alias("z_share"))
 
 
-_FRAMES = "fr AS (SELECT file, trajectory, t, avg(x) AS x FROM grid WHERE field = 'density' GROUP BY ALL)"
+_FRAMES = "fr AS (SELECT file, trajectory, field, t, avg(x) AS x FROM grid GROUP BY ALL)"
 
 
 def _frames(spark, d):
-    return V.grid(spark, d).where("field = 'density'").groupBy(*FRAME).agg(F.avg("x").alias("x"))
+    return V.grid(spark, d).groupBy(*FRAME, "field").agg(F.avg("x").alias("x"))
 
 
-@query("q_p9", "grid", f"WITH {_FRAMES}, w AS (SELECT file, trajectory, t, x, count(*) OVER h AS n, sum(x) OVER h AS total FROM fr WINDOW h AS (PARTITION BY file, trajectory ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) SELECT file, trajectory, t - 4 AS start, {S('total', 5)} AS inputs_total, {S('x', 5)} AS target FROM w WHERE n = 4")
+@query("q_p9", "grid", f"WITH {_FRAMES}, w AS (SELECT file, trajectory, field, t, x, count(*) OVER h AS n, sum(x) OVER h AS total FROM fr WINDOW h AS (PARTITION BY file, trajectory, field ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) SELECT file, trajectory, field, t - 4 AS start, round(total, 9) + 0.0 AS inputs_total, round(x, 9) + 0.0 AS target FROM w WHERE n = 4")
 def q_p9(spark, d):
-    w = L.history_windows(_frames(spark, d), ["file", "trajectory"])
-    return w.select("file", "trajectory", "start", sig(F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x), 5).alias("inputs_total"), sig(F.col("target"), 5).alias("target"))
+    w = L.history_windows(_frames(spark, d), ["file", "trajectory", "field"])
+    total = F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x)
+    return w.select("file", "trajectory", "field", "start", (F.round(total, 9) + 0.0).alias("inputs_total"), (F.round("target", 9) + 0.0).alias("target"))
 
 
 _WIDE = "fw AS (SELECT file, trajectory, t, avg(density) AS density, avg(vx) AS vx, avg(vy) AS vy, avg(vz) AS vz FROM cells GROUP BY ALL), wd AS (SELECT file, trajectory, t - 4 AS start, list(density) OVER h AS d, list(vx) OVER h AS x, list(vy) OVER h AS y, list(vz) OVER h AS z FROM fw WINDOW h AS (PARTITION BY file, trajectory ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))"
