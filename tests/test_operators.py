@@ -358,6 +358,20 @@ def test_rounding(spark):
         assert got == [float(f"%.{n - 1}e" % v) for v in values]
 
 
+def test_rounding_of_whole_ties(spark):
+    """Whole numbers half way between two roundings go to the even figure, as C prints them."""
+    from fieldgauge.functions import sig
+
+    values = [48865.0, 48855.0, -12345.0, -12355.0, 25.0, 35.0, 5.0, 2.0**53 + 2, 2.0**63, -(2.0**63), 1e22, -0.0]
+    for n in (1, 2, 4, 6):
+        got = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", sig(F.col("v"), n).alias("s")).orderBy("i").collect()]
+        assert got == [float(f"%.{n - 1}e" % v) for v in values]
+    # a length of 48865 characters and the number 48860 in a text agree at four figures
+    docs = spark.createDataFrame([(0, "48860 alone")], "doc_id int, text string")
+    got = checks.undeclared_floors(docs, spark.createDataFrame([("/a/at_eps", 48865.0)], "path string, value double"), {"eps": ("eps$", "th")}).collect()
+    assert [(r.doc_id, r.value, r.floor) for r in got] == [(0, 48860.0, "eps")]
+
+
 def test_frames_of_other_sites(spark):
     """The stream matches cells by site."""
     import pandas as pd
