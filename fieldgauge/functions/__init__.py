@@ -10,14 +10,19 @@ NAN, INF = float("nan"), float("inf")
 WINDOWS = [("6-12", 6, 12), ("13-30", 13, 30)]  # rollout steps, ends included
 
 
-def sig(x: Column, n: int | Column = 6) -> Column:
-    """x to n significant figures, by its exact binary value, ties to the even figure; null, NaN and infinities pass."""
-    x = x.cast("double")
+def shown(x: Column, n: int | Column = 6) -> Column:
+    """A finite double as text, n significant figures and an exponent, by its exact binary value; ties go to the even figure."""
     zeros = F.lit("0" * (n - 1)) if isinstance(n, int) else F.repeat(F.lit("0"), n - 1)
-    shown = lambda v: F.call_function("format_number", v, F.concat(F.lit("0."), zeros, F.lit("E0"))).cast("double")
+    as_text = lambda v: F.call_function("format_number", v, F.concat(F.lit("0."), zeros, F.lit("E0")))
     # a whole double counts as inexact in Java's formatter, which rounds its ties up; as a long it is exact
     whole = (F.rint(x) == x) & (F.abs(x) < 2.0**63)
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == INF) | (x == 0), x).when(whole, shown(x.try_cast("bigint"))).otherwise(shown(x))
+    return F.when(whole, as_text(x.try_cast("bigint"))).otherwise(as_text(x))
+
+
+def sig(x: Column, n: int | Column = 6) -> Column:
+    """x to n significant figures, by its exact binary value, ties to the even figure; null, NaN and infinities pass."""
+    x = x.cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == INF) | (x == 0), x).otherwise(shown(x, n).cast("double"))
 
 
 def variance(x: Column) -> Column:

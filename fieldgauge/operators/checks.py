@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.functions import finite, sig
+from fieldgauge.functions import finite, shown, sig
 
 
 def compare_tables(got: DataFrame, want: DataFrame, keys: list[str], values: list[str], rel: float = 1e-4) -> DataFrame:
@@ -32,8 +32,11 @@ def compare_tables(got: DataFrame, want: DataFrame, keys: list[str], values: lis
 def stated_digits(x: Column) -> Column:
     """The least number of significant figures, 1 to 12, that gives the value; 12 for null, NaN and infinities."""
     x = x.cast("double")
+    # what twelve figures show, less closing zeros: fewer figures give another number, more give the same
+    figures = F.length(F.rtrim(F.translate(F.split_part(shown(x, 12), F.lit("E"), F.lit(1)), "-.", ""), F.lit("0")))
+    # numbers so small have fewer than twelve figures, so different ones may be one double
     fits = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda n: sig(x, n) == sig(x, 12))
-    return F.when(finite(x), F.coalesce(F.array_min(fits), F.lit(12))).otherwise(F.lit(12))
+    return F.when(~finite(x), F.lit(12)).when((x != 0) & (F.abs(x) < 1e-300), F.coalesce(F.array_min(fits), F.lit(12))).otherwise(F.greatest(figures, F.lit(1)))
 
 
 def at_stated_precision(x: Column, stored: Column) -> Column:

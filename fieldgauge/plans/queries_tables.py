@@ -254,9 +254,9 @@ def q_v1(spark, d):
 
 @query("q_v2", "part", "SELECT p_partkey, least(" + ", ".join(f"CASE WHEN {S('p_retailprice', n)} = {S('p_retailprice', 12)} THEN {n} ELSE 12 END" for n in range(1, 13)) + ") AS digits, true AS matches FROM part")
 def q_v2(spark, d):
-    x = F.col("p_retailprice")
-    stored = sig(x, 12)
-    return V.table(spark, d, "part").select("p_partkey", K.stated_digits(stored).alias("digits"), K.at_stated_precision(x, stored).alias("matches"))
+    x, stored = F.col("p_retailprice"), F.col("stored")
+    part = V.table(spark, d, "part").select("p_partkey", x, sig(x, 12).alias("stored"))
+    return part.select("p_partkey", K.stated_digits(stored).alias("digits"), K.at_stated_precision(x, stored).alias("matches"))
 
 
 @query("q_v3", "lineitem", f"WITH {_TWO} SELECT a.k, a.s, {S('a.q')} = {S('b.q')} AS same_q, a.n = b.n AS same_n FROM a JOIN b ON b.k = a.k AND b.s = a.s")

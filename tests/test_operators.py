@@ -372,6 +372,21 @@ def test_rounding_of_whole_ties(spark):
     assert [(r.doc_id, r.value, r.floor) for r in got] == [(0, 48860.0, "eps")]
 
 
+def test_stated_digits(spark):
+    """The least figures that give a number; the query rounds the stored number once, not where it is named."""
+    from fieldgauge.plans.queries_tables import q_v2
+
+    values = [0.0, -250.0, 1234.5, 99999999999.95, 123456789012.5, 0.1 + 0.2, 1e23, 1e-310, 5e-324, 1.7976931348623157e308, None, math.inf, math.nan]
+
+    def least(x):
+        return 12 if x is None or not math.isfinite(x) else min(n for n in range(1, 13) if float(f"%.{n - 1}e" % x) == float("%.11e" % x))
+
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", checks.stated_digits(F.col("v")).alias("d")).orderBy("i").collect()
+    assert [r.d for r in rows] == [least(x) for x in values]
+    plan = q_v2(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS stored" in plan and "1.0E-300" in plan  # each count of figures is tried for numbers below it only
+
+
 def test_frames_of_other_sites(spark):
     """The stream matches cells by site."""
     import pandas as pd
