@@ -176,7 +176,7 @@ _STAT = "u AS (SELECT file, t, name, shape, unnest(v) AS x FROM m), st AS (SELEC
 
 @query("q_s7", "embeddings", f"WITH {_PLACED}, {_STAT} SELECT file, name, t, shape, {S('mean', 4)} AS mean FROM st")
 def q_s7(spark, d):
-    """Vectors written as arrays by the executors and read back, a task for each slice of an array."""
+    """Vectors written as arrays by the executors and read back by slices, of which neighbours share a task."""
     back = arrays.frames(spark, _written_arrays(spark, d), frames=32)
     return _array_stats(back, "values").select(F.substring_index("file", "/", -1).alias("file"), "name", "t", F.concat_ws(",", F.transform("shape", lambda n: n.cast("string"))).alias("shape"), sig(F.col("mean"), 4).alias("mean"))
 

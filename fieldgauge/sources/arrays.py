@@ -1,8 +1,9 @@
 """`.npy` and `.npz` arrays as Spark tables: frames, the catalogue of fields, and a writer.
 
 Files are opened through the file systems of Arrow, by path or URI, so they need not be local. A reader task
-gets a slice of leading indices of one array and seeks to it; arrays that are compressed or in Fortran order
-are read up to it or whole.
+gets slices of leading indices and seeks to them; arrays that are compressed or in Fortran order are read up to
+them or whole. Beyond a few dozen slices neighbours share a task, and beyond as many files tasks are made of the listed sizes
+and no header is read before the tasks run.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
+from itertools import chain, groupby
 from operator import mul
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +36,37 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
-def array_files(path: str) -> list[str]:
-    """The `.npy` and `.npz` files at a path: a file, a folder with all below it, or a pattern with * or ?."""
+#: So many units are a task each; of more, neighbours share a task up to so many bytes, or files of a catalogue.
+FEW, TASK_BYTES, TASK_FILES = 64, 8 << 20, 64
+BATCH_VALUES = 1 << 22  # numbers that are handed on at once, a frame at least
+
+
+def _listed(path: str) -> list[tuple[str, int]]:
+    """Paths and sizes of `array_files`."""
     fixed = path[: min([path.find(c) for c in "*?[" if c in path] or [len(path)])]
     system, base = _system(fixed if fixed == path else fixed.rsplit("/", 1)[0])
     info = system.get_file_info(base)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
     pattern = None if fixed == path else base.rstrip("/") + path[len(fixed.rsplit("/", 1)[0]) :]
-    return sorted(f.path for f in found if f.path.endswith((".npy", ".npz")) and (pattern is None or fnmatch.fnmatch(f.path, pattern)))
+    return sorted((f.path, f.size or 0) for f in found if f.path.endswith((".npy", ".npz")) and (pattern is None or fnmatch.fnmatch(f.path, pattern)))
+
+
+def array_files(path: str) -> list[str]:
+    """The `.npy` and `.npz` files at a path: a file, a folder with all below it, or a pattern with * or ?."""
+    return [p for p, _ in _listed(path)]
+
+
+def _tasks(units: list[tuple[tuple, int]], most: int) -> list[InputPartition]:
+    """Tasks of neighbouring units (unit, size): one each of a few, else of up to ``most``, yet about `FEW` at least."""
+    limit = 0 if len(units) <= FEW else min(most, sum(size for _, size in units) // FEW)
+    out, held = [], 0
+    for unit, size in units:
+        if not out or not limit or held + size > limit:
+            out.append([])
+            held = 0
+        out[-1].append(unit)
+        held += size
+    return [InputPartition(units) for units in out or [[]]]
 
 
 class _Array:
@@ -59,11 +85,16 @@ class _Array:
             raise ValueError(f"an array of {self.dtype} has no numbers to screen")
         each, whole = reduce(mul, self.shape[1:], 1), reduce(mul, self.shape, 1)
         if self.fortran or not self.shape:
+            self.file.seek(self.start)
             flat = np.frombuffer(self.file.read(whole * self.dtype.itemsize), self.dtype)
             return flat.reshape(self.shape or (1,), order="F" if self.fortran else "C")[a:b].astype(float)
         self.file.seek(self.start + a * each * self.dtype.itemsize)
         return np.frombuffer(self.file.read((b - a) * each * self.dtype.itemsize), self.dtype).reshape((b - a, *self.shape[1:])).astype(float)
 
+    def slices(self, step: int) -> list[tuple[int, int]]:
+        n = self.shape[0] if self.shape else 1
+        return [(a, min(a + step, n)) for a in range(0, n, step)]
+
 
 @contextmanager
 def _members(system: fs.FileSystem, path: str):
@@ -84,17 +115,20 @@ class _Source(DataSource):
 class _CatalogueReader(DataSourceReader):
     def __init__(self, options):
         self.system, _ = _system(options["path"].split("*")[0].split("?")[0])
-        self.paths = array_files(options["path"])
+        self.files = _listed(options["path"])
+
+    def __getstate__(self):
+        return {**self.__dict__, "files": []}  # tasks have their own files and need not be sent all
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths] or [InputPartition(None)]
+        return _tasks([(path, 1) for path, _ in self.files], TASK_FILES)
 
     def read(self, partition) -> Iterator[tuple]:
-        if partition.value is not None:
-            with _members(self.system, partition.value) as members:
+        for path in partition.value:
+            with _members(self.system, path) as members:
                 for name, opened in members.items():
                     a = opened()
-                    yield partition.value, name, str(a.dtype), list(a.shape), math.prod(a.shape) * a.dtype.itemsize
+                    yield path, name, str(a.dtype), list(a.shape), math.prod(a.shape) * a.dtype.itemsize
 
 
 class ArrayCatalogue(_Source):
@@ -116,30 +150,59 @@ class _FrameReader(_CatalogueReader):
         self.step = int(options.get("frames", "64"))
         self.wanted = set(filter(None, options.get("fields", "").split(",")))
 
+    def fits(self, name: str) -> bool:
+        return not self.wanted or name in self.wanted or name.split("/")[-1] in self.wanted
+
     def partitions(self):
-        out = []
-        for p in self.paths:
-            with _members(self.system, p) as members:
+        """Units are (path, name, slices), or of many files (path, None, (i, k)): each k-th slice of its arrays from i on."""
+        units = []
+        for path, size in self.files:
+            if len(self.files) > FEW:
+                k = size // TASK_BYTES + 1
+                units += [((path, None, (i, k)), size // k) for i in range(k)]
+                continue
+            with _members(self.system, path) as members:
                 for name, opened in members.items():
-                    if not self.wanted or name in self.wanted or name.split("/")[-1] in self.wanted:
-                        shape = opened().shape
-                        out += [InputPartition((p, name, a, min(a + self.step, n))) for n in (shape[0] if shape else 1,) for a in range(0, n, self.step)]
-        return out or [InputPartition(None)]
-
-    def read(self, partition) -> Iterator[tuple]:
-        if partition.value is not None:
-            path, name, a, b = partition.value
+                    if self.fits(name):
+                        a = opened()
+                        each = math.prod(a.shape[1:]) * a.dtype.itemsize
+                        units += [((path, name, [(first, last)]), (last - first) * each) for first, last in a.slices(self.step)]
+        return _tasks(units, TASK_BYTES)
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        for path, units in groupby(partition.value, lambda u: u[0]):
             with _members(self.system, path) as members:
-                for t, frame in enumerate(members[name]().rows(a, b), a):
-                    yield path, name, t, list(np.shape(frame)), np.ravel(frame).tolist()
+                for (_, name), same in groupby(units, lambda u: u[:2]):
+                    spans = [u[2] for u in same]
+                    if name is not None:
+                        a = members[name]()
+                        for first, last in chain(*spans):
+                            yield from _batches(path, name, first, a.rows(first, last))
+                        continue
+                    for other in filter(self.fits, members):
+                        a = members[other]()
+                        for first, last in (x for i, k in spans for x in a.slices(self.step)[i::k]):
+                            yield from _batches(path, other, first, a.rows(first, last))
+
+
+def _batches(path: str, name: str, first: int, frames: np.ndarray) -> Iterator[pa.RecordBatch]:
+    shape = frames.shape[1:]
+    step = max(1, BATCH_VALUES // max(1, math.prod(shape)))
+    for at in range(0, len(frames), step):
+        part = frames[at : at + step]
+        n, ends = len(part), np.arange(len(part) + 1, dtype=np.int32)
+        values = pa.ListArray.from_arrays(pa.array(ends * math.prod(shape), pa.int32()), pa.array(part.ravel(), pa.float64()))
+        shapes = pa.array([list(shape)] * n, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([name] * n), pa.array(np.arange(first + at, first + at + n), pa.int64()), shapes, values], names=["file", "name", "t", "shape", "values"])
 
 
 class ArrayFrames(_Source):
     """Format ``array_frames``: one row for each leading index of each array, its values flat in C order.
 
-    Options: ``path`` (see `array_files`), ``frames`` for each task (64), ``fields`` (full or leaf names separated
-    by commas; all without it). An array without axes is one frame; one with a single axis has a number a frame; arrays
-    of other things than numbers are an error that says so. Tasks are one for each (file, array, slice).
+    Options: ``path`` (see `array_files`), ``frames`` of a slice, which is read at once (64), ``fields`` (full or leaf names
+    separated by commas; all without it). An array without axes is one frame; one with a single axis has a number a frame;
+    arrays of other things than numbers are an error that says so. Up to 64 slices (file, array, slice) are a task each;
+    of more, neighbours share a task of up to 8 MB, and of more than 64 files tasks are made by their sizes alone.
     """
 
     READER = _FrameReader

@@ -150,6 +150,35 @@ def test_arrays(spark, tmp_path):
         arrays.frames(spark, str(tmp_path / "empty")).collect()
 
 
+def test_arrays_of_many_files(spark, tmp_path):
+    """Many slices or files share tasks, large files are read by several, and every frame comes once."""
+    from fieldgauge.sources.arrays import ArrayFrames
+
+    want = {}
+    os.makedirs(tmp_path / "one")
+    os.makedirs(tmp_path / "many")
+    long = np.arange(2000.0).reshape(500, 4)
+    np.savez(tmp_path / "one/a.npz", u=long, f=np.asfortranarray(long), n=np.full(3, np.nan))
+    for i in range(150):
+        np.savez(tmp_path / f"many/{i}.npz", u=long[: i % 7] + i, level=np.int16(i))
+        want |= {(f"{i}.npz", "u", t): long[t] + i for t in range(i % 7)} | {(f"{i}.npz", "level", 0): [i]}
+    np.savez_compressed(tmp_path / "many/long.npz", v=(big := np.random.default_rng(1).random((300, 8192))), f=np.asfortranarray(big[:9, :3]))
+    want |= {("long.npz", "v", t): big[t] for t in range(300)} | {("long.npz", "f", t): big[t, :3] for t in range(9)}
+    one = arrays.frames(spark, str(tmp_path / "one"), frames=2)
+    assert one.rdd.getNumPartitions() <= 2 * 64
+    rows = sorted((r.name, r.t, r.shape, r["values"]) for r in one.where("name <> 'n'").collect())
+    assert rows == sorted((name, t, [4], long[t].tolist()) for name in "fu" for t in range(500))
+    assert [math.isnan(r["values"][0]) for r in one.where("name = 'n'").collect()] == [True] * 3
+    many = arrays.frames(spark, str(tmp_path / "many"), frames=2)
+    assert 3 < many.rdd.getNumPartitions() <= 2 * 64
+    got = [((os.path.basename(r.file), r.name, r.t), r["values"]) for r in many.collect()]
+    assert len(got) == len(want) and all(np.array_equal(want[k], v) for k, v in got)
+    assert {r.name for r in arrays.frames(spark, str(tmp_path / "many"), fields=["level"]).collect()} == {"level"}
+    cat = arrays.catalogue(spark, str(tmp_path / "many"))
+    assert cat.count() == 302 and cat.rdd.getNumPartitions() <= 2 * 64
+    assert max(len(p.value) for p in ArrayFrames({"path": str(tmp_path / "many")}).reader(None).partitions()) > 1
+
+
 def test_written_arrays(spark, tmp_path):
     df = spark.range(10).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("f"), (-F.col("id")).alias("t"), F.when(F.col("id") != 9, F.array(F.col("id").cast("double"), F.lit(1.0))).alias("v"))
     done = arrays.write_arrays(df, str(tmp_path / "x"), "f", "t", {"v": (2,)}, per_file=4)
