@@ -8,7 +8,10 @@ field remembers the positions from which the rest could not be covered. Two piec
 when undoing their merges, latest first, shows no merge across their border that would have come
 earlier. The result is what the merges themselves give.
 
-Units recur, so each task keeps a bounded dictionary of the units that it has met.
+Within a unit, too, there are places that no piece spans, as between a word and the comma after it where no
+piece has letters and commas. What lies between them is a run, and encoded alone as well.
+
+Units and runs recur, so each task keeps bounded dictionaries of those that it has met.
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ from pyspark.sql import types as T
 from fieldgauge.llm.common import KEPT_IN_WORKER, begin_task, fields_without
 
 SPACE = "▁"
-#: Units in each of a task's two dictionaries (recent ones and those before), the longest that is kept, and
-#: pairs of pieces whose check is kept. With some 200 bytes a unit and 100 a pair a task holds 120 MB at most.
-KEPT_UNITS, KEPT_LENGTH, KEPT_PAIRS = 250_000, 48, 200_000
+#: Units in each of a task's two dictionaries (recent ones and those before), runs in one more, the longest that is kept, and
+#: pairs of pieces whose check is kept. With some 200 bytes a unit or run and 100 a pair a task holds 200 MB at most.
+KEPT_UNITS, KEPT_RUNS, KEPT_LENGTH, KEPT_PAIRS = 250_000, 400_000, 48, 200_000
 #: Units that a worker keeps for its next task.
 KEPT_COMMON = 40_000
 _SPACED = re.compile(r"( +)([^ ]*)")
@@ -64,6 +67,50 @@ def vocabulary(model_path: str) -> Vocabulary:
     return Vocabulary(pieces, tuple(model.get_score(i) for i in range(n)), tuple(bytes_of[b] for b in range(256)), normal)
 
 
+def _runs(pieces: list[str]) -> re.Pattern:
+    """Matches the runs of a unit one by one: characters that pieces put side by side, directly or by way of others, are of
+    one kind, and no piece spans two kinds. A space mark, which stands in front, goes with any; a character of no kind is a run."""
+    kind: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while (up := kind.setdefault(c, c)) != c:
+            c = up
+        return c
+
+    for piece in pieces:
+        if len(piece) > 1:
+            of = [top(c) for c in piece if c != SPACE]
+            for c in of[1:]:
+                kind[top(c)] = top(of[0])
+    kinds: dict[str, list[str]] = {}
+    for c in kind:
+        kinds.setdefault(top(c), []).append(c)
+    classes = [f"[{''.join(map(re.escape, cs))}]+" for cs in sorted(kinds.values(), key=len, reverse=True)]
+    return re.compile(f"{SPACE}?(?:{'|'.join(classes)})|." if classes else ".", re.DOTALL)
+
+
+class _Runs(dict):
+    """run -> its ids joined by commas; None where decoding them does not give the run back or they open with a lone space mark."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, run: str) -> str | None:
+        e = self.encoder
+        if e.known.issuperset(run):  # pieces in a row are the run itself
+            ranks = e.known_run(run)
+            made = ",".join([e.rank_number[r] for r in ranks]) if ranks[0] != e.lone else None
+        else:
+            ids = e.ids(run)
+            made = ",".join([e.number[i] for i in ids]) if e.decode(ids) == run.replace(SPACE, " ") else None
+        if len(run) <= KEPT_LENGTH:
+            if len(self) >= KEPT_RUNS:
+                self.clear()
+            self[run] = made
+        return made
+
+
 class Encoder(dict):
     """unit -> its ids joined by commas, or, where decoding them does not give the unit back or they open
     with a lone space mark, (ids joined by commas, decoded text, whether they open with a lone space mark).
@@ -104,8 +151,9 @@ class Encoder(dict):
                     found = (left, right)
                     break
             self.split.append(found)
-            if len(piece) == 1 or found[0] != rank:  # pieces that no merges reach are left out
+            if len(piece) > 1 and found[0] != rank:  # pieces that no merges reach are left out
                 whole.add_word(piece, (len(piece) - 1, rank))
+        whole.add_word(SPACE * 2, (0, -1))  # in no unit: a vocabulary of characters alone has an automaton too
         whole.make_automaton()
         self.whole = whole
         reached = [len(p) == 1 or self.split[r][0] != r for r, p in enumerate(self.text)]
@@ -113,11 +161,15 @@ class Encoder(dict):
             while (s := self.shorter[rank]) >= 0 and not reached[s]:
                 self.shorter[rank] = self.shorter[s]
         self.sizes = [len(p) for p in self.text]
-        self.known = {p for p in self.text if len(p) == 1}
+        self.single = {p: r for r, p in enumerate(self.text) if len(p) == 1}
+        self.known = set(self.single)
         self.number = [str(i) for i in range(len(vocab.pieces))]
+        self.rank_number = [self.number[i] for i in words]
         self.shown: list[str | None] = [p.replace(SPACE, " ") for p in vocab.pieces]
         for i in vocab.byte_ids:
             self.shown[i] = None
+        self.cut = _runs(self.text).findall
+        self.runs = _Runs(self)
         self.before: dict = {}
         self.checked: dict[tuple[int, int], bool] = {}
         self.run_memo: dict[int, list[int]] = {}
@@ -129,6 +181,7 @@ class Encoder(dict):
         self.clear()
         self.update(common)
         self.before, self.run_memo = {}, {}
+        self.runs.clear()
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges would leave these two neighbours as they are."""
@@ -156,14 +209,16 @@ class Encoder(dict):
 
     def known_run(self, text: str) -> list[int]:
         """Ranks of the pieces of a text whose characters are all in the vocabulary."""
-        sizes, longest = self.sizes, [-1] * len(text)
+        sizes, longest = self.sizes, [self.single[c] for c in text]
         for end, (back, rank) in self.whole.iter(text):  # ends rise, so the last from a start is the longest
             longest[end - back] = rank
+        rank, n = longest[0], len(text)
+        if sizes[rank] == n:
+            return [rank]
         taken: list[int] = []
         failed = 0  # a bit for each position from which the rest cannot be covered
-        at, rank, n, checked = 0, longest[0], len(text), self.checked
+        at, before, checked = 0, -1, self.checked
         while True:
-            before = taken[-1] if taken else -1
             while rank >= 0:
                 end = at + sizes[rank]
                 if not failed >> end & 1:
@@ -179,7 +234,7 @@ class Encoder(dict):
                 rank = self.shorter[rank]
             if rank >= 0:
                 taken.append(rank)
-                at = end
+                at, before = end, rank
                 if at == n:
                     return taken
                 rank = longest[at]
@@ -187,6 +242,7 @@ class Encoder(dict):
                 failed |= 1 << at
                 rank = taken.pop()
                 at -= sizes[rank]
+                before = taken[-1] if taken else -1
 
     def ids(self, unit: str) -> list[int]:
         """Ids of a unit without inner spaces; a leading space mark is part of it."""
@@ -256,9 +312,12 @@ class Encoder(dict):
     def __missing__(self, word: str) -> str | tuple[str, str, bool]:
         made = self.before.get(word)
         if made is None:
-            made = self.entry(self.ids(SPACE + word))
-            if not made[2] and made[1] == " " + word:
-                made = made[0]
+            try:
+                made = ",".join(map(self.runs.__getitem__, self.cut(SPACE + word)))
+            except TypeError:  # some run is None
+                made = self.entry(self.ids(SPACE + word))
+                if not made[2] and made[1] == " " + word:
+                    made = made[0]
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_UNITS:
                 self.before = dict(self)

@@ -311,6 +311,19 @@ def test_pieces(spark):
     assert all(r.back == (r.text or "").replace("▁", " ") for r in both.collect())
 
 
+def test_runs_of_units():
+    """No piece spans two runs of a unit; words that differ in the signs around them share their runs."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    enc = sentencepiece_bpe.Encoder(sentencepiece_bpe.vocabulary(piece_model()))
+    assert all(len(enc.cut(p)) == 1 for p in enc.text)
+    assert sentencepiece_bpe._runs(["ab", "b.", "xy", "▁x", "▁"]).findall("▁xyab.ba,\n") == ["▁xy", "ab.ba", ",", "\n"]
+    for text in ("enverschung, enverschung. enverschung!\nenverschung### enverschung", "日本語,éx漢😀字.\n\n", ",a ▁ \n."):
+        assert enc.encode(text) == sp.encode(text)
+    assert sum("enverschung" in run for run in enc.runs) == 2  # with and without the space in front
+
+
 # 6 decontamination
 def test_index():
     rng = random.Random(3)
